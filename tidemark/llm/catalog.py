@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from .fmindex import op5_fm_index_decontamination
 from .hilbert import op8_hilbert_sharding
+from .pu_quality import op4_pu_quality
 from .simple8b import op1_simple8b_ids
+from .string_kernel import op10_string_kernel_language
 
-QUERIES = {f.__name__: f for f in (op1_simple8b_ids, op8_hilbert_sharding)}
+QUERIES = {f.__name__: f for f in (op1_simple8b_ids, op4_pu_quality, op5_fm_index_decontamination, op8_hilbert_sharding, op10_string_kernel_language)}
 
 #: DuckDB SQL of those that SQL can express.
 ORACLES: dict[str, str] = {}
