@@ -9,10 +9,11 @@ from .minhash import op7_b_bit_minhash
 from .pu_quality import op4_pu_quality
 from .simple8b import op1_simple8b_ids
 from .string_kernel import op10_string_kernel_language
+from .suffix_dedup import op2_suffix_array_dedup
 from .word_bpe import op9_word_bpe
 
 QUERIES = {f.__name__: f for f in (
-    op1_simple8b_ids, op3_log_bilinear_lm, op4_pu_quality, op5_fm_index_decontamination, op7_b_bit_minhash, op8_hilbert_sharding, op9_word_bpe, op10_string_kernel_language,
+    op1_simple8b_ids, op2_suffix_array_dedup, op3_log_bilinear_lm, op4_pu_quality, op5_fm_index_decontamination, op7_b_bit_minhash, op8_hilbert_sharding, op9_word_bpe, op10_string_kernel_language,
 )}
 
 #: DuckDB SQL of those that SQL can express.
