@@ -6,6 +6,7 @@ from .bilinear_lm import op3_log_bilinear_lm
 from .fmindex import op5_fm_index_decontamination
 from .hilbert import op8_hilbert_sharding
 from .minhash import op7_b_bit_minhash
+from .product_quantiser import op6_product_quantisation
 from .pu_quality import op4_pu_quality
 from .simple8b import op1_simple8b_ids
 from .string_kernel import op10_string_kernel_language
@@ -13,7 +14,7 @@ from .suffix_dedup import op2_suffix_array_dedup
 from .word_bpe import op9_word_bpe
 
 QUERIES = {f.__name__: f for f in (
-    op1_simple8b_ids, op2_suffix_array_dedup, op3_log_bilinear_lm, op4_pu_quality, op5_fm_index_decontamination, op7_b_bit_minhash, op8_hilbert_sharding, op9_word_bpe, op10_string_kernel_language,
+    op1_simple8b_ids, op2_suffix_array_dedup, op3_log_bilinear_lm, op4_pu_quality, op5_fm_index_decontamination, op6_product_quantisation, op7_b_bit_minhash, op8_hilbert_sharding, op9_word_bpe, op10_string_kernel_language,
 )}
 
 #: DuckDB SQL of those that SQL can express.
