@@ -22,6 +22,7 @@ one result; rows that share an id only are taken in the order of their texts; nu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -418,9 +419,9 @@ def cleaned(keep_text: bool):
                     at = end = b
             kept.append(text[at:])
             rest = b"".join(kept)
-            done.append((len(text), removed, merged, hashlib.sha256(rest).hexdigest(), rest if keep_text else None))
+            done.append((len(text), removed, merged, hashlib.sha256(rest).hexdigest(), zlib.crc32(text), rest if keep_text else None))
         cols = list(zip(*[(i, *done[k]) for (i, _), k in zip(all_rows, of, strict=True)], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "crc32", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[int, list[dict]] = {}
@@ -433,7 +434,7 @@ def cleaned(keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the bytes kept."""
+    """Per row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256, the text's crc32 and, if asked for, the bytes kept."""
     table, chunks = chunk_table(texts(docs))
     parts = partitions(docs.sparkSession)
     home = F.col("chunk").cast("int")
@@ -441,7 +442,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     again = to_part(table.mapInArrow(anchors_of_chunks(parts, length, gram), ROWS)).mapInArrow(repeated_anchors, ROWS)
     pieces = table.unionByName(again).repartitionById(chunks, home).mapInArrow(pieces_of_chunks(parts, length, gram), ROWS)
     spans = to_part(pieces).mapInArrow(repeats_of_parts(length), ROWS)
-    return table.unionByName(spans).repartitionById(chunks, home).mapInArrow(cleaned(keep_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return table.unionByName(spans).repartitionById(chunks, home).mapInArrow(cleaned(keep_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, crc32 long, kept binary")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
