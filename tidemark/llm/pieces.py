@@ -8,6 +8,7 @@ encoded on their own and the ids joined.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -37,7 +38,7 @@ def cut_at_spaces(text: str) -> list[str]:
 class Pieces:
     """Piece -> row of numbers. Flat storage; emptied when `most` pieces are held, so memory is bounded."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_200_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -48,16 +49,18 @@ class Pieces:
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all texts, how many for each text)."""
         per = [cut_at_spaces(t) for t in texts]
-        pieces = [p for ps in per for p in ps]
+        pieces = list(chain.from_iterable(per))
         if len(self.code) > self.most:
             self.clear()
-        new = list(dict.fromkeys(p for p in pieces if p not in self.code))
-        if new:
+        codes = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(codes < 0).tolist()
+        if unknown:
+            new = list(dict.fromkeys([pieces[i] for i in unknown]))
             flat, lens = self.encode(new)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
             self.flat, self.lens = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.lens, lens])
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+            codes[unknown] = [self.code[pieces[i]] for i in unknown]
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0

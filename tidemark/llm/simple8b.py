@@ -38,14 +38,24 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     ids = ids.astype(np.uint64)
     blocks = -(-n // block)
     ends = np.minimum(np.arange(1, blocks + 1, dtype=np.int64) * block, n)
-    end_of = np.repeat(ends, np.diff(np.concatenate([[0], ends])))
-    at = np.arange(n, dtype=np.int64)
+    # bits of each id, every block followed by zeros: a last word may reach beyond its block
+    reach = np.arange(n, dtype=np.int64)
+    reach += reach // block * int(COUNTS.max())
+    bits = np.zeros(blocks * (block + int(COUNTS.max())), np.uint8)
+    bits[reach] = np.frexp(ids.astype(np.float64))[1]
     choice = np.zeros(n, np.int8)
-    for s in range(len(COUNTS) - 1, 0, -1):
-        over = np.concatenate([[0], np.cumsum(ids >> np.uint64(WIDTHS[s]) != 0, dtype=np.int32)])
-        if over[-1] == n:
-            continue
-        choice[over[np.minimum(at + COUNTS[s], end_of)] == over[at]] = s
+    left = np.flatnonzero(bits[reach] <= WIDTHS[-1])
+    choice[left] = len(COUNTS) - 1
+    reach, held = reach[left], 1
+    most = bits[reach]
+    for s in range(len(COUNTS) - 2, 0, -1):  # what a wide selector doesn't fit, no narrower one fits
+        while held < COUNTS[s]:
+            most = np.maximum(most, bits[reach + held])
+            held += 1
+        fits = most <= WIDTHS[s]
+        if not fits.all():
+            left, reach, most = left[fits], reach[fits], most[fits]
+        choice[left] = s
     pos, places, picks = ends - np.diff(np.concatenate([[0], ends])), [], []
     own = np.arange(blocks)
     while len(own):
@@ -67,7 +77,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
         if s == 0:
             continue
         reach = start[rows][:, None] + np.arange(COUNTS[s])
-        inside = reach < end_of[start[rows]][:, None]
+        inside = reach < ends[owner[rows]][:, None]
         values = np.where(inside, ids[np.minimum(reach, n - 1)], np.uint64(0))
         words[rows] |= np.bitwise_or.reduce(values << (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64), axis=1)
     wide = picked == 0
