@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemark.plans import labels, logs, scores
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return scores.QUERIES | logs.QUERIES | labels.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scores.ORACLES | logs.ORACLES | labels.ORACLES

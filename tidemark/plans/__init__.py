@@ -1 +1 @@
-
+"""Views and the query catalogue."""
