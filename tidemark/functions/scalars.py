@@ -194,7 +194,7 @@ def nearest(value: Column, allowed: Column, within: float) -> Column:
 
 
 def room_of_scene(scene: Column) -> Column:
-    n = F.regexp_extract(scene, r"(\d+)$", 1).cast("int")
+    n = F.nullif(F.regexp_extract(scene, r"(\d+)$", 1), F.lit("")).cast("int")
     return F.when(n < 200, "kitchen").when(n < 300, "living room").when(n < 400, "bedroom").when(n.isNotNull(), "bathroom")
 
 

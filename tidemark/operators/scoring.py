@@ -100,5 +100,5 @@ def reweighted(audit: DataFrame, population: DataFrame, *strata: str) -> DataFra
 
 def text_headline(scores: DataFrame) -> DataFrame:
     """A line with percentages, n/a where undefined."""
-    pct = lambda c: F.coalesce(F.format_string("%.1f", F.col(c) * 100), F.lit("n/a"))
+    pct = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.1f", F.col(c) * 100)).otherwise("n/a")
     return scores.select(F.concat(F.lit("H "), pct("h"), F.lit(" KA "), pct("ka"), F.lit(" AR "), pct("ar")).alias("headline"))

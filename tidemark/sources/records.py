@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.operators import sets
 
-ITEM = T.StructType.fromDDL(
+ITEM = (
     "id string, episode_id string, query_time double, question_type string, question_subtype string, question string, question_stem string, "
     "options array<string>, answer_index bigint, abstention_index bigint, evidence_spans array<array<double>>, "
     "diagnostics struct<epistemic_status: string, uncertainty_sources: array<string>>, change_intensity bigint, video_evidence string"
 )
 
 
-def read_records(spark: SparkSession, path: str, schema: T.StructType = ITEM) -> DataFrame:
+def read_records(spark: SparkSession, path: str, schema: str = ITEM) -> DataFrame:
     """A JSON array or a file of JSON lines, told by its first character; blank lines are passed over, other than objects is an error."""
     first = spark.read.text(path).where("trim(value) <> ''").limit(1).first()
     if first is None:
@@ -23,18 +22,18 @@ def read_records(spark: SparkSession, path: str, schema: T.StructType = ITEM) ->
     return spark.read.schema(schema).option("multiLine", first[0].lstrip().startswith("[")).option("mode", "FAILFAST").json(path)
 
 
-def read_keyed(spark: SparkSession, path: str, schema: T.StructType, key: str = "id") -> DataFrame:
+def read_keyed(spark: SparkSession, path: str, schema: str, key: str = "id") -> DataFrame:
     """Lines by key, the last of each."""
     rows = spark.read.schema(schema).json(path).withColumn("_at", F.monotonically_increasing_id())
     return sets.last_wins(rows, [key], "_at").drop("_at")
 
 
-def read_predictions(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
+def read_predictions(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
     """Shards of predictions; an id in two of them is an error."""
     return sets.unique_or_error(spark.read.schema(schema).json(paths), "id")
 
 
-def read_results(spark: SparkSession, pattern: str, schema: T.StructType) -> DataFrame:
+def read_results(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """Result documents of many runs, with subset, protocol and model taken from the path (.../subset/models/protocol/model/result.json)."""
     rows = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("_p", F.split(F.input_file_name(), "/"))
     at = lambda k: F.element_at("_p", k)
