@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import labels, logs, scores
+from tidemark.plans import labels, logs, records, scores
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scores.QUERIES | logs.QUERIES | labels.QUERIES
+    return scores.QUERIES | logs.QUERIES | labels.QUERIES | records.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return scores.ORACLES | logs.ORACLES | labels.ORACLES
+    return scores.ORACLES | logs.ORACLES | labels.ORACLES | records.ORACLES
