@@ -6,6 +6,7 @@ from .bilinear_lm import op3_log_bilinear_lm
 from .fmindex import op5_fm_index_decontamination
 from .hilbert import op8_hilbert_sharding
 from .minhash import op7_b_bit_minhash
+from .oracles import OP5, OP6, OP7
 from .product_quantiser import op6_product_quantisation
 from .pu_quality import op4_pu_quality
 from .simple8b import op1_simple8b_ids
@@ -18,4 +19,4 @@ QUERIES = {f.__name__: f for f in (
 )}
 
 #: DuckDB SQL of those that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES = {"op5_fm_index_decontamination": OP5, "op6_product_quantisation": OP6, "op7_b_bit_minhash": OP7}
