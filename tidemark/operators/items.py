@@ -52,7 +52,7 @@ def media_name(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in columns])
 
 
-def video_path(episode: Column, released: str = r"^RevisitQA_([a-z]+)_\d+$") -> Column:
+def video_path(episode: Column, released: str = r"^[A-Za-z]+_([a-z]+)_\d+$") -> Column:
     """Where an episode's video lies: released names and site names at the top, others in a folder of participant or floor plan."""
     part = lambda p: F.nullif(F.regexp_extract(episode, p, 1), F.lit(""))
     top = F.coalesce(part(released))

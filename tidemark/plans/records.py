@@ -54,10 +54,10 @@ def neutral_ids(spark, sf):
     return out.select("id", "new_id")
 
 
-@query("SELECT id, CASE id % 4 WHEN 0 THEN 'P' || id || '/P' || id || '_x.mp4' WHEN 1 THEN 'FloorPlan' || id || '/a_FloorPlan' || id || '.mp4' WHEN 2 THEN 'cmu_' || id || '.mp4' ELSE 'RevisitQA_cook_' || id || '.mp4' END AS path FROM items")
+@query("SELECT id, CASE id % 4 WHEN 0 THEN 'P' || id || '/P' || id || '_x.mp4' WHEN 1 THEN 'FloorPlan' || id || '/a_FloorPlan' || id || '.mp4' WHEN 2 THEN 'cmu_' || id || '.mp4' ELSE 'Release_cook_' || id || '.mp4' END AS path FROM items")
 def video_paths(spark, sf):
     i = F.col("id").cast("string")
-    name = F.when(F.col("id") % 4 == 0, F.concat(F.lit("P"), i, F.lit("_x"))).when(F.col("id") % 4 == 1, F.concat(F.lit("a_FloorPlan"), i)).when(F.col("id") % 4 == 2, F.concat(F.lit("cmu_"), i)).otherwise(F.concat(F.lit("RevisitQA_cook_"), i))
+    name = F.when(F.col("id") % 4 == 0, F.concat(F.lit("P"), i, F.lit("_x"))).when(F.col("id") % 4 == 1, F.concat(F.lit("a_FloorPlan"), i)).when(F.col("id") % 4 == 2, F.concat(F.lit("cmu_"), i)).otherwise(F.concat(F.lit("Release_cook_"), i))
     return V.items(spark, sf).select("id", I.video_path(name).alias("path"))
 
 
