@@ -5,10 +5,11 @@ name its buckets, and the low BITS bits of all minima are packed, plane by plane
 similarity is estimated by bit counts: a share m of equal low bits means (m - 2^-b) / (1 - 2^-b). Pairs whose estimate
 is SLACK below the threshold at least are confirmed on the full sets.
 
-Equal texts are one node. Two rounds avoid the pairs of large groups and lose no link: first each text is confirmed
-against few centres (the smallest ids whose estimates reach it); then, in buckets that still hold several components,
-all candidate pairs between different components are. Buckets of more than BLOCK texts are dealt out in
-blocks, and every two blocks meet in a task of their own.
+Equal texts are one node. Each bucket gives a spanning forest of the pairs whose estimates reach that, and the forests' components are the
+families: every candidate pair lies within one. A family's texts travel once to the task that confirms it. There, a search
+goes from text to text; each is compared with those not reached so far that share a bucket with it and whose estimate suffices, so a group of close copies takes one
+comparison a text, no pair is compared twice and none is left out. Buckets and families of more than BLOCK texts are dealt out in
+blocks, and every two blocks meet in a task of their own. Tasks report spanning forests, never all pairs.
 
 Defined results: null, empty and blank texts have no shingles and stay alone; a text of fewer words is one shingle;
 rows that share an id are one document; rows without an id are linked with nothing and have no component; other columns are ignored.
@@ -16,8 +17,7 @@ rows that share an id are one document; rows without an id are linked with nothi
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -118,76 +118,88 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return cut(rows.mapInArrow(run, "_id long, digest binary, n_shingles long, bands array<long>, sig binary"), "signatures")
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, components, blocks, signatures) of each unit of a partition, ids ascending."""
+def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, blocks, signatures) of each unit of a partition, ids ascending."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     whole = pa.Table.from_batches(held)
-    unit, ids, comp, block = (whole.column(c).to_numpy() for c in ("unit", "_id", "component", "block"))
-    sigs = np.frombuffer(b"".join(whole.column("sig").to_pylist()), np.uint64).reshape(len(ids), -1)
+    unit, ids, block = (whole.column(c).to_numpy() for c in ("unit", "_id", "block"))
     order = np.lexsort((ids, unit))
     edges = np.flatnonzero(np.concatenate([[True], np.diff(unit[order]) != 0, [True]])).tolist()
     for a, b in zip(edges, edges[1:], strict=False):
         own = order[a:b]
-        yield ids[own], comp[own], block[own], sigs[own]
+        rows = whole.take(own)
+        yield rows, ids[own], block[own], np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(own), -1)
 
 
-def pair_batch(a: list, b: list) -> pa.RecordBatch:
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(cat(a), pa.int64()), pa.array(cat(b), pa.int64())], names=["a", "b"])
+def search(n: int, joined: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest: joined(v, others) marks which of the rows not reached yet are linked to v."""
+    a, b, left = [], [], np.arange(n)
+    while len(left):
+        reached, left = [int(left[0])], left[1:]
+        while reached and len(left):
+            v = reached.pop()
+            near = joined(v, left)
+            new = left[near].tolist()
+            a += [v] * len(new)
+            b += new
+            reached += new
+            left = left[~near]
+    return a, b
 
 
-def stars(least: float):
-    """Each text of a unit with the smallest centre whose estimate reaches it; what none reaches is a centre itself."""
+def pair_batch(ids: np.ndarray, a: list[int], b: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids[np.array(a, np.int64)]), pa.array(ids[np.array(b, np.int64)])], names=["a", "b"])
+
+
+def forests(least: float):
+    """Spanning forests of the pairs of each unit whose estimates suffice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, _, _, sigs in unit_rows(batches):
-            a, b, left = [], [], np.arange(len(ids))
-            while len(left) > 1:
-                centre, left = left[0], left[1:]
-                near = similarity(sigs[centre], sigs[left]) >= least
-                a.append(np.full(int(near.sum()), ids[centre]))
-                b.append(ids[left[near]])
-                left = left[~near]
-            yield pair_batch(a, b)
+        for _, ids, _, sigs in unit_rows(batches):
+            yield pair_batch(ids, *search(len(ids), lambda v, left, sigs=sigs: similarity(sigs[v], sigs[left]) >= least))
 
     return run
 
 
-def between(least: float):
-    """All candidate pairs of a unit between different components; in a unit of two blocks, between the blocks."""
+def overlaps(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share the percentage of their union."""
+    if len(p) > len(q):
+        p, q = q, p
+    if not len(p) or 100 * len(p) < percent * len(q):
+        return False
+    both = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def confirmed(words: int, percent: int, least: float):
+    """Spanning forests of the links of each unit, confirmed on full sets; in a unit of two blocks, of the links between them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, comp, block, sigs in unit_rows(batches):
-            a, b = [], []
+        for rows, ids, block, sigs in unit_rows(batches):
+            bands = np.array(rows.column("bands").to_pylist(), np.int64)
+            sets = [shingles(t, words) for t in rows.column("text").to_pylist()]
             two = block.min() != block.max()
-            for i in range(len(ids) - 1):
-                at = i + 1 + np.flatnonzero((comp[i + 1 :] != comp[i]) & ((block[i + 1 :] != block[i]) | (not two)))
-                if len(at):
-                    at = at[similarity(sigs[i], sigs[at]) >= least]
-                    a.append(np.full(len(at), ids[i]))
-                    b.append(ids[at])
-            yield pair_batch(a, b)
 
-    return run
+            def joined(v: int, left: np.ndarray, block=block, sigs=sigs, bands=bands, sets=sets, two=two) -> np.ndarray:
+                maybe = (bands[left] == bands[v]).any(1) & (similarity(sigs[v], sigs[left]) >= least)
+                if two:
+                    maybe &= block[left] != block[v]
+                for k in np.flatnonzero(maybe).tolist():
+                    maybe[k] = overlaps(sets[v], sets[left[k]], percent)
+                return maybe
 
+            yield pair_batch(ids, *search(len(ids), joined))
 
-def confirmed(pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs whose full sets overlap by the percentage at least."""
+    return run
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = lru_cache(200)(lambda t: shingles(t, words))
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                p, q = names(x), names(y)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) else 0
-                good.append(100 * both >= percent * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(good))
 
-    one = pairs.join(sets.select(F.col("_id").alias("a"), F.col("text").alias("x")), "a")
-    return one.join(sets.select(F.col("_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def blocked(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
+    """Rows of groups (column n: their sizes) dealt to units of one block or of two: adds unit and block."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    own = rows.withColumn("block", F.pmod(F.xxhash64("_id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return own.withColumn("unit", F.xxhash64(*keys, F.least("block", "_o"), F.greatest("block", "_o")))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -197,29 +209,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = signatures(docs, words)
     nodes = cut(rows.where(f"n_shingles > 0 and _id <> {NO_ID}").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     banded = nodes.select("_id", "sig", F.posexplode("bands").alias("band", "key"))
-    shared = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("_id").alias("first"), F.min_by("sig", "_id").alias("first_sig")).where("n > 1"), "buckets")
-    member = cut(banded.join(shared.select("band", "key", "n"), ["band", "key"]), "members")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = member.select("band", "key", "_id", "sig", "n", F.pmod(F.xxhash64("_id"), blocks).cast("int").alias("block"), blocks.alias("blocks"), F.lit(0).cast("long").alias("component"))
-    first = shared.where(f"n > {BLOCK}").select("band", "key", F.col("first").alias("_id"), F.col("first_sig").alias("sig"), "n", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), blocks.alias("blocks"), F.lit(0).cast("long").alias("component"))
-    cells = own.unionByName(first).dropDuplicates(["band", "key", "block", "_id"]).select(F.xxhash64("band", "key", "block").alias("unit"), "_id", "component", "block", "sig")
-    pairs = cut(cells.repartition(n, "unit").mapInArrow(stars(least), "a long, b long").distinct(), "pairs")
-
-    wanted = member.select("_id").distinct()
+    shared = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    cells = blocked(banded.join(shared, ["band", "key"]), ["band", "key"], BLOCK).select("unit", "block", "_id", "sig")
+    close = cut(cells.repartition(n, "unit").mapInArrow(forests(least), "a long, b long").distinct(), "close")
+    families = components(close).withColumnsRenamed({"node": "_id", "component": "family"})
+
+    members = nodes.join(families, "_id")
+    sizes = cut(families.groupBy("family").agg(F.count("*").alias("n")), "families")
+    wanted = families.select("_id")
     if wanted.count() <= BROADCAST_IDS:  # 16 MB of ids; more are joined by a shuffle
         wanted = F.broadcast(wanted)
-    sets = cut(docs.join(wanted, "_id"), "texts")
-    links = cut(confirmed(pairs, sets, words, percent), "links")
-    found = components(links)
-
-    known = member.select("band", "key", "_id", "sig", "n").join(found.withColumnRenamed("node", "_id"), "_id", "left").withColumn("component", F.coalesce("component", "_id"))
-    known = cut(known, "known")
-    mixed_buckets = known.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
-    parts = known.join(cut(mixed_buckets, "mixed"), ["band", "key"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("_id"), blocks).cast("int"))
-    meets = parts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = meets.select(F.xxhash64("band", "key", F.least("block", "other"), F.greatest("block", "other")).alias("unit"), "_id", "component", "block", "sig")
-    more = cut(units.repartition(n, "unit").mapInArrow(between(least), "a long, b long").distinct(), "pairs")
-    links = links.union(cut(confirmed(more, sets, words, percent), "links"))
+    own = members.join(sizes, "family").join(docs.join(wanted, "_id"), "_id")
+    units = blocked(own, ["family"], BLOCK // 4).select("unit", "block", "_id", "sig", "bands", "text")
+    links = cut(units.repartition(n, "unit").mapInArrow(confirmed(words, percent, least), "a long, b long"), "links")
     found = components(links)
 
     reps = nodes.select("digest", F.col("_id").alias("rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
