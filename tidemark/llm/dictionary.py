@@ -22,28 +22,34 @@ from pyspark.sql import functions as F
 from .common import cut, partitions
 from .simple8b import grouped
 
-CHUNK_BYTES = 24_000_000
+CHUNK_BYTES = 32_000_000
 GROUP_BYTES = 2_000_000
 ROWS = "kind int, chunk long, part int, head binary, body binary, tail binary"
 
 
-def squeeze(a: np.ndarray | bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a if isinstance(a, bytes) else a.tobytes())
+def squeeze(a: np.ndarray | bytes, level: int = 5) -> bytes:
+    """Numbers are packed byte by byte of their width: high bytes, mostly zero, take next to nothing."""
+    raw = a if isinstance(a, bytes) else np.ascontiguousarray(a.ravel()).view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=level).compress(raw)
 
 
 def loosen(b: bytes, kind: type | None = None):
     raw = zstandard.ZstdDecompressor().decompress(b)
-    return raw if kind is None else np.frombuffer(raw, kind)
+    if kind is None:
+        return raw
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
 def pack_words(words: list[bytes]) -> bytes:
     lens = np.fromiter(map(len, words), np.uint32, len(words))
-    return len(words).to_bytes(4, "little") + lens.tobytes() + b"".join(words)
+    return len(words).to_bytes(4, "little") + lens.view(np.uint8).reshape(-1, 4).T.tobytes() + b"".join(words)
 
 
 def unpack_words(blob: bytes) -> list[bytes]:
     n = int.from_bytes(blob[:4], "little")
-    ends = np.cumsum(np.frombuffer(blob, np.uint32, n, 4), dtype=np.int64) + 4 + 4 * n
+    lens = np.ascontiguousarray(np.frombuffer(blob, np.uint8, 4 * n, 4).reshape(4, n).T).view(np.uint32).ravel()
+    ends = np.cumsum(lens, dtype=np.int64) + 4 + 4 * n
     stops = ends.tolist()
     return [blob[a:b] for a, b in zip([4 + 4 * n, *stops], stops, strict=False)]
 
@@ -55,7 +61,7 @@ def batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def chunk_rows(new_coder: Callable, buckets: int, weigh: Callable[[list[int]], np.ndarray] | None):
-    """A chunk's stream (kind 0: ids, counts, numbers) and its words for each bucket (kind 1: words, numbers, weights).
+    """A chunk's stream (kind 0: ids, counts, numbers) and its words for each bucket (kind 1: words, steps of their numbers, weights).
 
     new_coder() gives (code, words): code(texts) numbers words and gives (numbers, count for each text); words() are the distinct words, as
     bytes, in the order of their numbers. weigh(ids) marks the documents whose words are counted as weights.
@@ -73,25 +79,28 @@ def chunk_rows(new_coder: Callable, buckets: int, weigh: Callable[[list[int]], n
             per = np.concatenate(counts) if counts else np.zeros(0, np.int64)
             own = words()
             times = np.bincount(flat, minlength=len(own))
-            order = np.argsort(-times, kind="stable")  # frequent words get small numbers, which pack well
+            bucket = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % buckets
+            alphabetical = np.empty(len(own), np.int64)
+            alphabetical[sorted(range(len(own)), key=own.__getitem__)] = np.arange(len(own))
+            # frequent words get small numbers, which pack well; of about equal ones, a bucket's words follow each other in order
+            order = np.lexsort((alphabetical, bucket, -np.log2(np.maximum(times, 1)).astype(np.int64)))
             rank = np.empty(len(own), np.uint32)
             rank[order] = np.arange(len(own), dtype=np.uint32)
-            planes = rank[flat]
-            stream = squeeze(np.concatenate([(planes & 255).astype(np.uint8), (planes >> 8 & 255).astype(np.uint8), (planes >> 16).astype(np.uint16).view(np.uint8)]))
+            stream = squeeze(rank[flat], 7)
             chunk = (part << 20) + k
             yield batch([(0, chunk, part + 7919 * k, squeeze(np.array(ids, np.int64)), stream, squeeze(per.astype(np.uint32)))])
             weights = None
             if weigh is not None:
                 weights = np.bincount(flat[np.repeat(weigh(ids), per)], minlength=len(own))[order]
             own = [own[i] for i in order.tolist()]
-            bucket = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % buckets
+            bucket = bucket[order]
             by = np.argsort(bucket, kind="stable")
             edges = np.searchsorted(bucket[by], np.arange(buckets + 1)).tolist()
             rows = []
             for b in range(buckets):
-                at = by[edges[b] : edges[b + 1]]
+                at = by[edges[b] : edges[b + 1]]  # ascending: their steps pack well
                 if len(at):
-                    rows.append((1, chunk, b, squeeze(pack_words([own[i] for i in at.tolist()])), squeeze(at.astype(np.uint32)), None if weights is None else squeeze(weights[at].astype(np.int64))))
+                    rows.append((1, chunk, b, squeeze(pack_words([own[i] for i in at.tolist()])), squeeze(np.diff(at, prepend=0).astype(np.uint32)), None if weights is None else squeeze(weights[at].astype(np.int64))))
             yield batch(rows)
 
         for new_ids, group in grouped(batches, GROUP_BYTES):
@@ -123,7 +132,7 @@ def by_bucket(table: DataFrame) -> DataFrame:
 def with_values(table: DataFrame, values: Callable[[list[bytes], np.ndarray], list[np.ndarray]]) -> DataFrame:
     """kind 1 rows with, for each word of the chunk, its value: values(distinct words, weights) gives (lens, flat).
 
-    The value of a word is a row of numbers; head holds the words' numbers, body the lens, tail the flat values (int64).
+    The value of a word is a row of numbers; head holds the steps of the words' numbers, body the lens, tail the flat values (int64).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,11 +171,9 @@ def read_chunks(table: DataFrame, valued: DataFrame, finish: Callable, schema: s
         while chunks:
             _, rows = chunks.popitem()
             stream = next(r for r in rows if r["kind"] == 0)
-            raw = loosen(stream["body"], np.uint8)
-            n = len(raw) // 4
-            numbers = raw[:n].astype(np.int64) | raw[n : 2 * n].astype(np.int64) << 8 | raw[2 * n :].view(np.uint16).astype(np.int64) << 16
+            numbers = loosen(stream["body"], np.uint32).astype(np.int64)
             words = [r for r in rows if r["kind"] == 1]
-            at = np.concatenate([loosen(r["head"], np.uint32) for r in words] or [np.zeros(0, np.uint32)])
+            at = np.concatenate([np.cumsum(loosen(r["head"], np.uint32)) for r in words] or [np.zeros(0, np.uint32)])
             lens = np.concatenate([loosen(r["body"], np.uint32) for r in words] or [np.zeros(0, np.uint32)]).astype(np.int64)
             flat = np.concatenate([loosen(r["tail"], np.int64) for r in words] or [np.zeros(0, np.int64)])
             order = np.argsort(at)
