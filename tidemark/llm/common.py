@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -42,6 +44,18 @@ def drop_cut(df: DataFrame | None) -> None:
         where.getFileSystem(hadoop).delete(where, True)
 
 
+def release() -> None:
+    """Gives back what a Python worker has freed: workers live on through many stages, and their allocators keep it otherwise."""
+    import pyarrow
+
+    gc.collect()
+    pyarrow.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, release
 from .simple8b import grouped
 
 CHUNK_BYTES = 32_000_000
@@ -113,8 +113,11 @@ def chunk_rows(new_coder: Callable, buckets: int, weigh: Callable[[list[int]], n
                 yield from close()
                 k, ids, counts, numbers, size = k + 1, [], [], [], 0
                 code, words = new_coder()
+                release()
         if ids:
             yield from close()
+        ids, counts, numbers, code, words = [], [], [], None, None
+        release()
 
     return run
 
@@ -181,6 +184,8 @@ def read_chunks(table: DataFrame, valued: DataFrame, finish: Callable, schema: s
             ends = np.cumsum(lens)
             flat = flat[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]) if len(ends) else 0)]
             yield from finish(loosen(stream["head"], np.int64), loosen(stream["tail"], np.uint32).astype(np.int64), numbers, lens, flat)
+            del rows, stream, words, numbers, at, lens, flat, order, starts, ends
+            release()
 
     n = partitions(table.sparkSession)
     streams = table.where("kind = 0")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_out, texts
+from .common import documents, id_out, release, texts
 from .simple8b import grouped
 
 WINDOW = 13
@@ -222,6 +222,8 @@ def searched(items: list[tuple[int, str]], keep_text: bool):
                 "_id": pa.array(ids, pa.int64()), "text": pa.array(group if keep_text else [None] * len(ids), pa.string()), "n_words": pa.array(list(map(len, docs)), pa.int64()),
                 "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "items": pa.array(found, pa.list_(pa.int64())),
             })
+            del docs, rows, spans, found
+            release()
 
     return run
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, documents, id_out, partitions, texts
+from .common import NO_ID, cut, documents, id_out, partitions, release, texts
 from .components import components
 
 PERMUTATIONS = 128
@@ -43,7 +43,7 @@ _words: dict[bytes, int] = {}
 
 
 def word_hashes(text: str) -> np.ndarray:
-    if len(_words) > 500_000:
+    if len(_words) > 100_000:
         _words.clear()
     found = text.encode().lower().split()
     for w in set(found):
@@ -113,6 +113,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 bands.append(keys.view(np.int64))
                 sigs.append(packed(values).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("digest"), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["_id", "digest", "n_shingles", "bands", "sig"])
+            release()
 
     rows = docs.select("_id", F.unhex(F.sha2("text", 256)).alias("digest"), "text")
     return cut(rows.mapInArrow(run, "_id long, digest binary, n_shingles long, bands array<long>, sig binary"), "signatures")
@@ -191,6 +192,7 @@ def confirmed(words: int, percent: int, least: float):
                 return maybe
 
             yield pair_batch(ids, *search(len(ids), joined))
+        release()
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, documents, id_col, id_out
+from .common import crc_mod, documents, id_col, id_out, release
 
 BUCKETS = 1 << 14
 LANDMARKS = 192
@@ -91,7 +91,7 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[li
     return [r["text"] for r in got], [r["lang"] for r in got]
 
 
-def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None, carry: str = "") -> DataFrame:
+def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None) -> DataFrame:
     """Adds lang_pred and score to the rows of docs (any columns; `text` is read)."""
     own = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own) + ", lang_pred string, score double"
@@ -110,6 +110,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] |
                     for i, l in zip(lettered, found, strict=True):
                         langs[i] = l
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in own], pa.array(langs, pa.string()), pa.array(scores)], names=[*[f.name for f in own], "lang_pred", "score"])
+            release()
 
     return docs.select([docs[f.name] for f in own]).mapInArrow(run, schema)
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, documents, id_out, partitions, texts
+from .common import cut, documents, id_out, partitions, release, texts
 from .dictionary import loosen, pack_words, squeeze, unpack_words
 from .minhash import mixed
 
@@ -265,6 +265,8 @@ def anchors_of_chunks(parts: int, length: int, gram: int):
             if found:
                 h, n = np.unique(np.concatenate(found), return_counts=True)
                 yield row_batch([(1, row["chunk"], p, h[at].tobytes(), squeeze(np.minimum(n[at], HOT + 1).astype(np.uint16))) for p, at in dealt(h, parts)])
+            del docs, found
+            release()
 
     return run
 
@@ -345,6 +347,7 @@ def pieces_of_chunks(parts: int, length: int, gram: int):
             chunks.setdefault(r["chunk"], []).append(r)
         while chunks:
             yield from of_chunk(*chunks.popitem())
+            release()
 
     return run
 
@@ -389,6 +392,8 @@ def repeats_of_parts(length: int):
             spans = np.concatenate(found)
             order = np.lexsort((spans[:, 1], spans[:, 0]))
             yield row_batch([(1, home, 0, squeeze(spans[order]))])
+        del rows, out
+        release()
 
     return run
 
@@ -429,6 +434,7 @@ def cleaned(keep_text: bool):
             chunks.setdefault(r["chunk"], []).append(r)
         while chunks:
             yield of_chunk(chunks.popitem()[1])
+            release()
 
     return run
 
