@@ -28,6 +28,7 @@ LANDMARKS = 192
 PER_LANGUAGE = 500
 RIDGE = 1e-2
 BATCH = 128
+MOST_BROADCAST = 10_000
 
 
 def presence(texts: list[str], buckets: int = BUCKETS) -> np.ndarray:
@@ -86,6 +87,8 @@ def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[li
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("_r"))
     counts = rows.groupBy("lang").count()
     rates = counts.select(F.col("lang").alias("_l"), (F.lit(per_language * 1_000_000) / F.col("count")).alias("_rate"))
+    if counts.count() <= MOST_BROADCAST:  # a row a language; texts stay where they are
+        rates = F.broadcast(rates)
     got = rows.join(rates, F.col("lang") == F.col("_l")).where("_r <= _rate").select("lang", "text", "_r").collect()
     got.sort(key=lambda r: (r["_r"], r["lang"], r["text"]))
     return [r["text"] for r in got], [r["lang"] for r in got]
