@@ -231,7 +231,7 @@ def dealt(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def packed_docs(chunk: int, rows: list[tuple[int, bytes]]) -> tuple:
-    return 0, chunk, 0, squeeze(np.array([i for i, _ in rows], np.int64)), squeeze(pack_words([t for _, t in rows]))
+    return 0, chunk, 0, squeeze(np.array([i for i, _ in rows], np.int64)), squeeze(pack_words([t for _, t in rows]), 9)
 
 
 def unpacked_docs(row: dict) -> list[tuple[int, bytes]]:
