@@ -58,12 +58,16 @@ def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more of the words lie inside occurrences of benchmark phrases."""
-    docs = docs.select(*COLUMNS)
-    found = fmindex.contamination(with_ids(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops documents of which a twentieth or more of the words lie inside occurrences of benchmark phrases.
+
+    The text decides alone, so documents are told apart by id and digest of the text: those without an id, or with one id, fall singly.
+    """
+    docs = with_ids(docs.select(*COLUMNS))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    found = fmindex.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0))
-    bad = cut(found.where((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).select("_id").distinct(), "contaminated")
-    return with_ids(docs).join(bad, "_id", "left_anti").select(*COLUMNS)
+    bad = cut(found.where((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).select("_id", digest.alias("_digest")).distinct(), "contaminated")
+    return docs.withColumn("_digest", digest).join(bad, ["_id", "_digest"], "left_anti").select(*COLUMNS)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,12 @@ def test_empty(spark, docs, tmp_path, sf):
     spark.read.parquet(f"{sf}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert string_kernel.fit([], []) is None
+
+
+def test_decontamination_drops_only_contaminated_rows(spark, sf):
+    """Of documents without an id, or with the same one, the clean stay."""
+    bench = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if len(fmindex.words_of(r.text)) >= 20)
+    clean = "nothing of the sort stands here"
+    rows = [(i, t, "en", "s", len(t)) for i in (None, 3, 4) for t in (clean, bench)][:5]
+    out = corpus_pipeline.decontamination(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), sf)
+    assert sorted(map(tuple, out.collect()), key=str) == sorted((tuple(r) for r in rows if r[1] == clean), key=str)
