@@ -30,13 +30,13 @@ d AS (SELECT r.range AS rep, s.question_type, ('0x' || substr(md5(r.range || ':'
 h AS (SELECT rep, question_type, sum(kc)::DOUBLE / nullif(sum(k), 0) AS ka, sum(ua)::DOUBLE / nullif(sum(u), 0) AS ar FROM d JOIN s USING (question_type, slot) GROUP BY 1, 2),
 m AS (SELECT rep, avg(CASE WHEN ka + ar = 0 THEN 0e0 ELSE 2 * ka * ar / (ka + ar) END) AS h FROM h GROUP BY rep HAVING count(ka + ar) = (SELECT count(DISTINCT question_type) FROM outs))
 SELECT round(quantile_cont(h, 0.025), 6) AS low, round(quantile_cont(h, 0.975), 6) AS high, count(*) AS replicates FROM m""")
-def macro_bootstrap(spark, sf):
+def macro_bootstrap(spark, sf, replicates=100):
     """Mean h over subsets, clusters drawn within each; replicates in which a subset is undefined are left out."""
     outs = V.outs(spark, sf)
     stats = outs.groupBy("question_type", "episode_id").agg(F.count_if("known").alias("k"), F.count_if(F.col("known") & F.col("correct")).alias("kc"), F.count_if(~F.col("known")).alias("u"), F.count_if(~F.col("known") & F.col("abstained")).alias("ua"))
     part = W.partitionBy("question_type")
     stats = stats.withColumn("slot", F.row_number().over(part.orderBy("episode_id")) - 1).withColumn("n", F.count("*").over(part))
-    plan = stats.select("question_type", "n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(99))).alias("rep"))
+    plan = stats.select("question_type", "n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
     sums = plan.select("rep", "question_type", drawn.alias("slot")).join(stats.drop("n"), ["question_type", "slot"]).groupBy("rep", "question_type").agg(*[F.sum(c).alias(c) for c in ("k", "kc", "u", "ua")])
     ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
@@ -46,6 +46,12 @@ def macro_bootstrap(spark, sf):
     return means.agg(F.round(F.percentile("h", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("h", F.lit(0.975)), 6).alias("high"), F.count("*").alias("replicates"))
 
 
+@query(ORACLES["macro_bootstrap"].replace("range(100)", "range(1000)"))
+def macro_bootstrap_full(spark, sf):
+    """The plan of the reference: 1,000 replicates."""
+    return macro_bootstrap(spark, sf, 1000)
+
+
 @query(", c AS (SELECT episode, count(*) AS seen FROM frames GROUP BY episode) SELECT count(*) AS episodes, max(seen) AS most_seen, sum(greatest(seen - 16, 0))::BIGINT AS evictions, count(*) FILTER (seen > 100) AS leaks FROM c")
 def streaming_audit(spark, sf):
     seen = V.frames(spark, sf).groupBy("episode").agg(F.count("*").alias("seen")).withColumn("evicted", F.greatest(F.col("seen") - 16, F.lit(0)))

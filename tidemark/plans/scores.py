@@ -74,6 +74,12 @@ def bootstrap_ci_h(spark, sf):
     return scoring.bootstrap(V.outs(spark, sf), "episode_id", 200)
 
 
+@query(ORACLES["bootstrap_ci_h"].replace("range(200)", "range(1000)"))
+def bootstrap_ci_h_full(spark, sf):
+    """The plan of the reference: 1,000 replicates."""
+    return scoring.bootstrap(V.outs(spark, sf), "episode_id", 1000)
+
+
 @query("SELECT coalesce(pred_index::VARCHAR, 'INVALID') AS choice, count(*) AS n FROM preds GROUP BY 1")
 def choice_distribution(spark, sf):
     return scoring.choice_distribution(V.preds(spark, sf))
