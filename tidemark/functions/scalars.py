@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: added to a time before it is compared with a frame's or event's time.
 TICK = 1e-6
@@ -39,6 +44,12 @@ def normalised_question(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 
 
+@F.pandas_udf(T.StringType())
+def question_digest(text: pd.Series) -> pd.Series:
+    """SHA-256 of a text, whitespace collapsed and case folded (Spark's lower keeps an eszett)."""
+    return text.map(lambda t: None if not isinstance(t, str) else hashlib.sha256(re.sub(r"\s+", " ", t).strip().casefold().encode()).hexdigest())
+
+
 def with_time(text: Column, seconds: Column) -> Column:
     """Puts a time with two decimals where a text says `at or before N seconds`."""
     return F.regexp_replace(text, F.lit(r"at or before [0-9.]+ seconds"), F.concat(F.lit("at or before "), F.format_string("%.2f", seconds), F.lit(" seconds")))

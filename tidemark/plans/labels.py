@@ -8,6 +8,7 @@ from tidemark.functions import scalars as X
 from tidemark.operators import rules, selection, sets
 from tidemark.plans import views as V
 from tidemark.plans.registry import hash_int, registry
+from tidemark.sources.tables import checkpointed
 
 QUERIES, ORACLES, query = registry()
 
@@ -188,6 +189,13 @@ def tokenise(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
 
 
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ')) AS tokens_sha256 FROM documents")
+def tokenise_full(spark, sf):
+    """Number and digest of all tokens."""
+    t = X.tokens(F.col("text"))
+    return V.table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.sha2(F.array_join(t, " "), 256).alias("tokens_sha256"))
+
+
 @query(""", t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<answer>' || chr((65 + conv_id % 5)::INTEGER) || '</answer>' WHEN 1 THEN chr((65 + conv_id % 5)::INTEGER) || '. ' || text WHEN 2 THEN 'the answer is ' || chr((97 + conv_id % 5)::INTEGER) ELSE text END AS x FROM conversations)
 SELECT conv_id, turn, upper(coalesce(nullif(regexp_extract(x, '(?is)<answer>\\s*\\(?([A-D])\\)?', 1), ''), nullif(regexp_extract(x, '(?i)^\\s*\\(?([A-D])(?:[\\).:\\s]|$)', 1), ''),
   nullif(regexp_extract(x, '(?i)(?:answer|option|choice|答案|选项)\\s*(?:is|:|：|为|是)?\\s*\\(?([A-D])\\b', 1), ''), nullif(regexp_extract(x, '(?:^|[^A-Za-z])([A-D])(?:[^A-Za-z]|$)', 1), ''))) AS choice FROM t""")
@@ -211,6 +219,15 @@ def normalised_questions(spark, sf):
     return V.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", X.normalised_question(F.substring("text", 1, 200)).alias("q"))
 
 
+@query()
+def duplicate_questions(spark, sf):
+    """Documents whose whole text, case folded and whitespace collapsed, others have too: how many have it and the smallest id. Null texts are none."""
+    rows = V.table(spark, sf, "documents").where("text is not null").select("doc_id", X.question_digest("text").alias("question_sha256"))
+    rows = checkpointed(rows)
+    groups = rows.groupBy("question_sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    return rows.join(groups, "question_sha256").select("doc_id", "question_sha256", "n", "first_id")
+
+
 @query(f"SELECT doc_id, {hash_int('doc_id::VARCHAR')} AS h, 'video_' || substr(sha256(source || '/' || doc_id), 1, 16) AS name, {hash_int('doc_id::VARCHAR')} % 3 AS slot FROM documents")
 def hashed_names(spark, sf):
     h = X.hash_int(F.col("doc_id").cast("string"))
