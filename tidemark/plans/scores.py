@@ -258,4 +258,6 @@ def dataset_fingerprint(spark, sf):
 
 @query()
 def debias_filter(spark, sf):
-    return audit.debias(V.items(spark, sf).select("id", "known", "question_type", "episode_id", "text"), F.col("text"), "episode_id", target=0.5).select("id", "known", "question_type")
+    rows = V.items(spark, sf).select("id", "known", "question_type", "episode_id", "text", "change_intensity", (F.col("query_time") - F.col("span_end")).alias("age"))
+    kept = audit.debias(rows, F.col("text"), "episode_id", X.intensity_bin(F.col("change_intensity"), "filter"), X.age_bin(F.col("age"), "filter"), target=0.5)
+    return kept.select("id", "known", "question_type")
