@@ -1,18 +1,25 @@
 """Scoring texts with a log-bilinear language model.
 
-Counts of all training words are summed over the whole corpus (see dictionary.py). The model predicts the next token
-from the two before it. Its targets are the TARGETS commonest tokens and one class for all others; its contexts are the
-CONTEXTS - 2 commonest tokens, one class for others and one for the start. A context's vector is the sum of the classes'
-vectors, each turned by the matrix of its position; a target's score is the product with the target's vector plus its bias.
+Counts of all training words are summed over the whole corpus (see dictionary.py). The VECTORS * sqrt(training tokens) commonest words
+have vectors of their own, so the vocabulary follows the corpus; every other word, seen or not, shares the vector of its ending (one of ENDINGS
+classes of the last three bytes) and has the class's probability times its share of the class's smoothed counts.
 
-Noise-contrastive estimation in numpy: every training occurrence of (context, target) in the corpus is counted, and the
-expected NCE objective - the counted data against RATIO noise tokens from the unigram distribution for each - is minimised by
-Adam over batches of contexts. Probabilities are normalised over all targets by matrix products over batches of contexts;
-a token outside the targets has the class's probability times its share of the smoothed unigram mass outside the targets, so
-all tokens, unknown ones included, sum to 1 in every context.
+The next token is predicted from the ORDER tokens before it. A context's vector is the sum of their vectors, each turned by the matrix of its
+position; a target's score is the product with the target's vector plus a bias. Targets stand in about sqrt(targets) / 2 groups of equal weight:
+P(target) = P(group) * P(target in its group), each normalised over all its alternatives by matrix products over batches of contexts, so all
+words and one unknown word for each ending sum to 1 in every context.
+
+Noise-contrastive estimation in numpy: every training token of the corpus is read once, in ROUNDS turns. In a turn, tasks start from the shared
+parameters, go through batches of BATCH tokens against NOISE samples drawn from the unigram distribution (of groups, and of each group's
+targets) with AdaGrad, and report what they changed; changes are averaged row by row, weighted by the squared gradients behind them, block by
+block in tasks of their own. There are at most twice as many such tasks as cores.
+
+Bound: at most MOST words have vectors of their own (reached at 4.3 billion training tokens), so the parameters, the one thing sent to all
+tasks, stay below 80 MB. Words beyond share vectors by ending, as all rarer words do.
 
 Defined results: null and empty texts are one end token; without training texts the model is the base model, whose
-probabilities are then 1; repeated rows count each; null ids are held by crc32('') like any other; other columns are ignored.
+probabilities are then 1; repeated rows count each; ties of words in count are broken by their bytes; very long texts are scored whole, in batches;
+null ids are held by crc32('') like any other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,17 +33,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, documents, id_out, partitions, texts
+from .common import NO_ID, cut, documents, drop_cut, id_out, release, texts
 from .dictionary import by_bucket, chunked, loosen, read_chunks, squeeze, unpack_words, with_values
-from .simple8b import grouped
 
-TARGETS = 1000
-CONTEXTS = 48
-DIMENSIONS = 16
+VECTORS = 4
+MOST = 1 << 18
+LEAST_COUNT = 4
+ENDINGS = 2048
+ORDER = 4
+DIMENSIONS = 32
+ROUNDS = 2
+BATCH = 8192
+NOISE = 64
 RATIO = 10.0
+RATE = 0.1
+#: Parameter rows averaged by one task.
+BLOCK = 4096
+TASK_TOKENS = 1 << 22
 #: The end of a text; no word is empty.
 END = b""
-PARTS = 64
 
 
 def held_out(ids: list[int]) -> np.ndarray:
@@ -61,166 +76,291 @@ def new_coder():
     return code, lambda: list(numbers)
 
 
-def corpus_counts(table: DataFrame, most: int = TARGETS) -> tuple[int, int, list[tuple[bytes, int]]]:
-    """(N, V, the commonest training tokens with counts) over all training texts."""
+def endings(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w[-3:]) for w in words), np.int64, len(words)) % ENDINGS
+
+
+def corpus_counts(table: DataFrame) -> tuple[int, int, list[tuple[bytes, int]], np.ndarray, np.ndarray]:
+    """(N, V, words with vectors of their own and their counts, each ending's tokens, and its distinct words) over all training texts.
+
+    Endings are counted without the words that have vectors of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[bytes, int] = {}
         for b in batches:
             for head, tail in zip(b.column("head").to_pylist(), b.column("tail").to_pylist(), strict=True):
                 for w, n in zip(unpack_words(loosen(head)), loosen(tail, np.int64).tolist(), strict=True):
-                    total[w] = total.get(w, 0) + n
-        known = {w: n for w, n in total.items() if n}
-        best = sorted(known.items(), key=lambda x: (-x[1], x[0]))[:most]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([None, *[w for w, _ in best]], pa.binary()), "n": pa.array([sum(known.values()), *[n for _, n in best]], pa.int64()), "v": pa.array([len(known), *[0] * len(best)], pa.int64())})
-
-    found = cut(by_bucket(table).select("head", "tail").mapInArrow(run, "word binary, n long, v long"), "counts")
-    n, v = found.where("word is null").agg(F.sum("n"), F.sum("v")).first()
-    top = found.where("word is not null").orderBy(F.desc("n"), "word").limit(most).collect()
-    return n or 0, v or 0, [(bytes(r.word), r.n) for r in top]
-
-
-def contexts_of(targets: np.ndarray, starts: np.ndarray, classes: int) -> np.ndarray:
-    """Context number of each token: classes of the two tokens before it. Targets are numbered by rank, so classes are the low ranks."""
-    other, start = classes - 2, classes - 1
-    own = np.minimum(targets, other)
-    one = np.concatenate([[start], own[:-1]])
-    two = np.concatenate([[start, start], own[:-2]])[: len(own)]
-    one[starts], two[starts] = start, start
-    second = starts + 1
-    two[second[second < len(two)]] = start  # a text's second token; where the first is the end, its place is a start
-    two[starts] = start
-    return one * classes + two
-
-
-def count_contexts(docs: DataFrame, top: list[bytes], classes: int = CONTEXTS) -> np.ndarray:
-    """How often each target follows each context in all training texts; a table of fixed size."""
-    number, width, size = {w: i for i, w in enumerate(top)}, len(top) + 1, classes * classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * width, np.int64)
-        for ids, group in grouped(batches, 2_000_000):
-            learn = ~held_out(ids)
-            found = [words_of(t) for t, l in zip(group, learn.tolist(), strict=True) if l]
-            flat = np.fromiter(map(number.get, (w for f in found for w in f), repeat(width - 1)), np.int64)
-            if len(flat):
-                lens = np.fromiter(map(len, found), np.int64, len(found))
-                cells, n = np.unique(contexts_of(flat, np.cumsum(lens) - lens, classes) * width + flat, return_counts=True)
-                total[cells] += n
-        rows = -(-size // PARTS) * width
-        for p in range(PARTS):
-            own = total[p * rows : (p + 1) * rows]
-            at = np.flatnonzero(own)
-            if len(at):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": pa.array([squeeze(at.astype(np.uint32))], pa.binary()), "n": pa.array([squeeze(own[at])], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for r in b.to_pylist():
-                own = sums.setdefault(r["part"], np.zeros(-(-size // PARTS) * width, np.int64))
-                own[loosen(r["at"], np.uint32)] += loosen(r["n"], np.int64)
-        for p, own in sums.items():
-            at = np.flatnonzero(own)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32()), "at": pa.array([squeeze(at.astype(np.uint32))], pa.binary()), "n": pa.array([squeeze(own[at])], pa.binary())})
-
-    schema = "part int, at binary, n binary"
-    n = min(PARTS, partitions(docs.sparkSession))
-    out = np.zeros(-(-size // PARTS) * PARTS * width, np.int64)
-    for r in docs.mapInArrow(run, schema).repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).mapInArrow(add, schema).collect():
-        out[r.part * -(-size // PARTS) * width + loosen(bytes(r["at"]), np.uint32)] = loosen(bytes(r["n"]), np.int64)
-    return out[: size * width].reshape(size, width)
+                    if n:
+                        total[w] = total.get(w, 0) + n
+        words, counts = list(total), np.fromiter(total.values(), np.int64, len(total))
+        ending = endings(words)
+        own = [w for w, n in total.items() if n >= LEAST_COUNT]
+        tokens, kinds = np.bincount(ending, weights=counts, minlength=ENDINGS).astype(np.int64), np.bincount(ending, minlength=ENDINGS)
+        yield pa.RecordBatch.from_pydict({
+            "word": pa.array([None, *own], pa.binary()), "n": pa.array([int(counts.sum()), *[total[w] for w in own]], pa.int64()),
+            "tokens": pa.array([squeeze(tokens), *repeat(None, len(own))], pa.binary()), "kinds": pa.array([squeeze(kinds), *repeat(None, len(own))], pa.binary()),
+        })
+
+    found = cut(by_bucket(table).select("head", "tail").mapInArrow(run, "word binary, n long, tokens binary, kinds binary"), "counts")
+    tokens, kinds, n = np.zeros(ENDINGS, np.int64), np.zeros(ENDINGS, np.int64), 0
+    for r in found.where("word is null").select("n", "tokens", "kinds").toLocalIterator():  # a row a bucket
+        n, tokens, kinds = n + r.n, tokens + loosen(bytes(r.tokens), np.int64), kinds + loosen(bytes(r.kinds), np.int64)
+    v = int(kinds.sum())
+    top = [(bytes(r.word), r.n) for r in found.where("word is not null").orderBy(F.desc("n"), "word").limit(min(MOST, int(VECTORS * np.sqrt(n)))).select("word", "n").collect()]
+    ending = endings([w for w, _ in top])
+    np.subtract.at(tokens, ending, [c for _, c in top])
+    np.subtract.at(kinds, ending, 1)
+    drop_cut(found)
+    return n, v, top, tokens, kinds
+
+
+def contexts_of(cells: np.ndarray, starts: np.ndarray, before: int, order: int = ORDER) -> np.ndarray:
+    """(order, tokens): the cells 1, 2, ... tokens before each; `before` stands in front of each text."""
+    n = len(cells)
+    into = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    out = np.full((order, n), before, np.int64)
+    for k in range(order):
+        at = np.flatnonzero(into > k)
+        out[k, at] = cells[at - k - 1]
+    return out
 
 
 class LogBilinear:
-    """score(context, target) = (E[a] C1 + E[b] C2) . Q[target] + bias[target]."""
-
-    def __init__(self, classes: int, noise: np.ndarray, dimensions: int = DIMENSIONS):
-        rng = np.random.default_rng(11)
-        self.classes, self.noise = classes, noise.astype(np.float32)
-        draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        self.parts = [draw(classes, dimensions), np.eye(dimensions, dtype=np.float32), 0.5 * np.eye(dimensions, dtype=np.float32), draw(len(noise), dimensions), np.log(self.noise)]
+    """Vectors of cells (words, then endings) as contexts and, by group, as targets.
+
+    All parameters are the rows of one table: contexts (the last is the start), targets in the order of their groups, groups, and the
+    matrices of the positions; the last column holds the biases of targets and groups.
+    """
+
+    def __init__(self, counts: np.ndarray, dimensions: int = DIMENSIONS, order: int = ORDER):
+        n, rng = len(counts), np.random.default_rng(11)
+        self.n, self.d, self.order = n, dimensions, order
+        self.groups = max(1, int(np.ceil(np.sqrt(n) / 2)))
+        self.group = np.empty(n, np.int64)
+        self.group[np.argsort(-counts, kind="stable")] = np.arange(n) % self.groups
+        place = np.argsort(self.group, kind="stable")
+        self.edges = np.searchsorted(self.group[place], np.arange(self.groups + 1))
+        self.inner = np.empty(n, np.int64)
+        self.inner[place] = np.arange(n) - self.edges[self.group[place]]
+        share = (counts + 1.0) / (counts + 1.0).sum()
+        self.noise_groups = np.bincount(self.group, weights=share, minlength=self.groups)
+        self.noise_targets = (share / self.noise_groups[self.group])[place]
+        self.log_groups, self.log_targets = np.log(self.noise_groups).astype(np.float32), np.log(self.noise_targets).astype(np.float32)
+        self.table = np.zeros((2 * n + 1 + self.groups + order * dimensions, dimensions + 1), np.float32)
+        self.table[: n + 1, :dimensions] = rng.normal(0, 0.1, (n + 1, dimensions))
+        self.table[n + 1 : 2 * n + 1, dimensions] = self.log_targets
+        self.table[2 * n + 1 : 2 * n + 1 + self.groups, dimensions] = self.log_groups
+        self.table[2 * n + 1 + self.groups :, :dimensions] = np.concatenate([np.eye(dimensions) * 0.8**k for k in range(order)])
+        self.squares = np.full(len(self.table), 1e-6, np.float32)
+
+    def parts(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Views of contexts, targets, groups and position matrices."""
+        a, b, c = self.n + 1, 2 * self.n + 1, 2 * self.n + 1 + self.groups
+        return table[:a], table[a:b], table[b:c], table[c:].reshape(self.order, self.d, *table.shape[1:])
 
     def vectors(self, contexts: np.ndarray) -> np.ndarray:
-        e, c1, c2, _, _ = self.parts
-        return e[contexts // self.classes] @ c1 + e[contexts % self.classes] @ c2
-
-    def fit(self, counts: np.ndarray, rounds: int = 12, size: int = 256, rate: float = 0.03) -> LogBilinear:
-        """Adam on the expected objective, over batches of contexts that occur."""
-        seen = np.flatnonzero(counts.sum(1))
-        rng = np.random.default_rng(5)
-        first, second, step = [np.zeros_like(p) for p in self.parts], [np.zeros_like(p) for p in self.parts], 0
-        shift = np.log(RATIO * self.noise)
-        for turn in range(rounds):
-            rng.shuffle(seen)
-            for low in range(0, len(seen), size):
-                own = seen[low : low + size]
-                n = counts[own].astype(np.float32)
-                many = n.sum(1, keepdims=True)
-                e, c1, c2, q, bias = self.parts
-                a, b = own // self.classes, own % self.classes
-                r = e[a] @ c1 + e[b] @ c2
-                data = 1 / (1 + np.exp(-np.clip(r @ q.T + bias - shift, -30, 30)))
-                grad = (RATIO * many * self.noise * data - n * (1 - data)) / many.sum()
-                dr = grad @ q
-                de = np.zeros_like(e)
-                np.add.at(de, a, dr @ c1.T)
-                np.add.at(de, b, dr @ c2.T)
-                grads = [de, e[a].T @ dr, e[b].T @ dr, grad.T @ r, grad.sum(0)]
-                step += 1
-                pace = rate / (1 + turn / 3)
-                for k, g in enumerate(grads):
-                    first[k] = 0.9 * first[k] + 0.1 * g
-                    second[k] = 0.999 * second[k] + 0.001 * g * g
-                    self.parts[k] = self.parts[k] - pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        return self
-
-    def table(self, size: int = 256) -> np.ndarray:
-        """Normalised natural log-probabilities of all targets in all contexts."""
-        out = np.empty((self.classes**2, len(self.noise)), np.float32)
-        for low in range(0, len(out), size):
-            own = np.arange(low, min(low + size, len(out)))
-            s = self.vectors(own) @ self.parts[3].T + self.parts[4]
-            top = s.max(1, keepdims=True)
-            out[own] = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
+        """Context vectors with a last column of 1, for the biases."""
+        seen, _, _, turn = self.parts(self.table)
+        out = np.ones((contexts.shape[1], self.d + 1), np.float32)
+        out[:, : self.d] = sum(seen[contexts[k], : self.d] @ turn[k, :, : self.d] for k in range(self.order))
         return out
 
+    def by_group(self, cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the tokens by group, and (group, first, end) of the groups that occur."""
+        group = self.group[cells]
+        order = np.argsort(group, kind="stable")
+        edges = np.searchsorted(group[order], np.arange(self.groups + 1)).tolist()
+        return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
+
+    def step(self, cells: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -> None:
+        """One batch: the data against sampled noise, for the groups and within each."""
+        seen, targets, groups, turn = self.parts(self.table)
+        seen2, targets2, groups2, turn2 = self.parts(self.squares)
+        r, odds = self.vectors(contexts), float(np.log(RATIO))
+
+        def contrast(r, q, log_noise, own, noise):
+            """(gradient of the context vectors, gradient of q's rows) of the binary losses."""
+            times = rng.multinomial(NOISE, noise)
+            on = np.flatnonzero(times)
+            data = -1 / (1 + np.exp(np.clip((r * q[own]).sum(1) - log_noise[own] - odds, -30, 30)))
+            false = (times[on] * (RATIO / NOISE)).astype(np.float32) / (1 + np.exp(-np.clip(r @ q[on].T - (log_noise[on] + odds), -30, 30)))
+            weights = np.zeros((len(q), len(own)), np.float32)
+            weights[on] = false.T
+            weights[own, np.arange(len(own))] += data
+            return data[:, None] * q[own] + false @ q[on], weights @ r
+
+        def descend(rows, squares, at, gradient):
+            squares[at] += (gradient * gradient).mean(1)
+            rows[at] -= RATE * gradient / np.sqrt(squares[at])[:, None]
+
+        dr, dg = contrast(r, groups, self.log_groups, self.group[cells], self.noise_groups)
+        order, stretches = self.by_group(cells)
+        sorted_r, inner = r[order], self.inner[cells[order]]
+        for g, a, b in stretches:
+            own = slice(self.edges[g], self.edges[g + 1])
+            back, dq = contrast(sorted_r[a:b], targets[own], self.log_targets[own], inner[a:b], self.noise_targets[own])
+            dr[order[a:b]] += back
+            descend(targets[own], targets2[own], slice(None), dq)
+        dr = dr[:, : self.d]
+        for k in range(self.order):
+            by = np.argsort(contexts[k], kind="stable")
+            first = np.flatnonzero(np.diff(contexts[k][by], prepend=-1))
+            rows, sums = contexts[k][by[first]], np.add.reduceat(dr[by], first)
+            to_turn = seen[rows, : self.d].T @ sums
+            to_seen = np.zeros((len(rows), self.d + 1), np.float32)
+            to_seen[:, : self.d] = sums @ turn[k, :, : self.d].T
+            descend(seen, seen2, rows, to_seen)
+            turn2[k] += (to_turn * to_turn).mean(1)
+            turn[k, :, : self.d] -= 0.1 * RATE * to_turn / np.sqrt(turn2[k])[:, None]
+        descend(groups, groups2, slice(None), dg)
+
+    def logs(self, cells: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Normalised natural log-probabilities of the cells in their contexts."""
+        _, targets, groups, _ = self.parts(self.table)
+        out = np.empty(len(cells))
+
+        def normalised(r, q, own):
+            s = r @ q.T
+            s -= s.max(1, keepdims=True)
+            return s[np.arange(len(own)), own] - np.log(np.exp(s).sum(1))
+
+        for low in range(0, len(cells), BATCH):
+            own, r = cells[low : low + BATCH], self.vectors(contexts[:, low : low + BATCH])
+            found = normalised(r, groups, self.group[own]).astype(np.float64)
+            order, stretches = self.by_group(own)
+            r, inner = r[order], self.inner[own[order]]
+            for g, a, b in stretches:
+                found[order[a:b]] += normalised(r[a:b], targets[self.edges[g] : self.edges[g + 1]], inner[a:b])
+            out[low : low + BATCH] = found
+        return out
+
+
+STREAMS = "ids binary, counts binary, known binary, base binary, extra binary, cells binary"
+
+
+def streams(table: DataFrame, valued: DataFrame, n: int, v: int, rest: int, mass: np.ndarray) -> DataFrame:
+    """A row for each chunk: its documents' base scores and their tokens as cells; extra is what words add to their endings' probabilities."""
+
+    def finish(ids: np.ndarray, counts: np.ndarray, numbers: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
+        c, cell = flat[0::2], flat[1::2]
+        starts = np.cumsum(counts) - counts
+        plain = np.log10((c + 1.0) / (n + v + 1.0))
+        share = np.where(cell >= rest, np.log10((c + 1.0) / mass[np.maximum(cell - rest, 0)]), 0.0)
+        sums = [np.add.reduceat(x[numbers], starts) for x in ((c > 0).astype(np.int64), plain, share)]
+        row = [squeeze(x) for x in (ids, counts.astype(np.uint32), *sums, cell.astype(np.uint32)[numbers])]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in row], names=["ids", "counts", "known", "base", "extra", "cells"])
+
+    return cut(read_chunks(table, valued, finish, STREAMS), "streams")
+
+
+def unpacked(row: dict) -> tuple[np.ndarray, ...]:
+    kinds = (("ids", np.int64), ("counts", np.uint32), ("known", np.int64), ("base", np.float64), ("extra", np.float64), ("cells", np.uint32))
+    out = [loosen(row[k], t) for k, t in kinds]
+    return out[0], out[1].astype(np.int64), *out[2:5], out[5].astype(np.int64)
+
+
+def training_batches(row: dict, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(cells, starts of texts) of a turn's batches of a chunk's training texts; a long text fills several."""
+    ids, counts, _, _, _, cells = unpacked(row)
+    learn = ~held_out(ids.tolist())
+    cells, counts = cells[np.repeat(learn, counts)], counts[learn]
+    starts = np.cumsum(counts) - counts
+    for k, low in enumerate(range(0, len(cells), BATCH)):
+        if k % ROUNDS == turn:
+            inside = starts[np.searchsorted(starts, low, side="right") : np.searchsorted(starts, low + BATCH)]
+            yield cells[low : low + BATCH], np.concatenate([[0], inside - low]).astype(np.int64)
+
+
+def trained(rows: DataFrame, counts: np.ndarray, tokens: int) -> LogBilinear:
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(1, min(2 * cores, -(-tokens // TASK_TOKENS)))
+    model = LogBilinear(counts)
+    blocks = -(-len(model.table) // BLOCK)
+    schema = "task int, block int, change binary, weight binary"
+    for turn in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((model.table, model.squares))
+
+        def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
+
+            own = LogBilinear(counts)
+            table, squares = shared.value
+            own.table, own.squares = table.copy(), squares.copy()
+            for b in batches:
+                for row in b.to_pylist():
+                    rng = np.random.default_rng([turn, zlib.crc32(row["ids"])])
+                    for cells, starts in training_batches(row, turn):
+                        own.step(cells, contexts_of(cells, starts, own.n), rng)
+            task = TaskContext.get().partitionId()
+            for k in range(blocks):
+                part = slice(k * BLOCK, (k + 1) * BLOCK)
+                change = (own.table[part] - table[part]).astype(np.float16)
+                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "block": pa.array([k], pa.int32()), "change": pa.array([squeeze(change, 1)], pa.binary()), "weight": pa.array([squeeze(own.squares[part] - squares[part], 1)], pa.binary())})
+            release()
+
+        def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            by: dict[int, list[dict]] = {}
+            for r in (r for b in batches for r in b.to_pylist()):
+                by.setdefault(r["block"], []).append(r)
+            for k, found in by.items():
+                change, weight = 0.0, 0.0
+                for r in sorted(found, key=lambda r: r["task"]):
+                    w = loosen(r["weight"], np.float32).astype(np.float64)
+                    change, weight = change + w[:, None] * loosen(r["change"], np.float16).reshape(len(w), -1), weight + w
+                yield pa.RecordBatch.from_pydict({"task": pa.array([len(found)], pa.int32()), "block": pa.array([k], pa.int32()), "change": pa.array([squeeze((change / np.maximum(weight, 1e-30)[:, None]).astype(np.float32))], pa.binary()), "weight": pa.array([squeeze((weight / len(found)).astype(np.float32))], pa.binary())})
+
+        n = min(blocks, 4 * cores)
+        changed = rows.coalesce(tasks).mapInArrow(learn, schema).repartitionById(n, F.col("block") % n).mapInArrow(average, schema).collect()  # the parameters: below 80 MB
+        table, squares = model.table.copy(), model.squares.copy()
+        for r in changed:
+            part = slice(r.block * BLOCK, (r.block + 1) * BLOCK)
+            table[part] += loosen(bytes(r.change), np.float32).reshape(-1, model.d + 1)
+            squares[part] += loosen(bytes(r.weight), np.float32)
+        model.table, model.squares = table, squares
+        shared.destroy()
+    return model
+
 
 SCORES = "_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def scores(docs: DataFrame) -> tuple[DataFrame, int]:
     """Per document the columns of SCORES, and N."""
-    docs = texts(docs)
-    table = chunked(docs, new_coder, lambda ids: ~held_out(ids))
-    n, v, top = corpus_counts(table)
-    words, classes = [w for w, _ in top], min(CONTEXTS, len(top) + 2)
-    model = None
-    if n:
-        counts = count_contexts(docs, words, classes)
-        seen = counts.sum(0) + 1.0
-        model = LogBilinear(classes, seen / seen.sum()).fit(counts)
-    number, rest = {w: i for i, w in enumerate(words)}, len(words)
-    outside = 1.0 - sum((c + 1) / (n + v + 1) for _, c in top)
+    spark = docs.sparkSession
+    table = chunked(texts(docs), new_coder, lambda ids: ~held_out(ids))
+    n, v, top, tokens, kinds = corpus_counts(table)
+    number, rest = {w: i for i, (w, _) in enumerate(top)}, len(top)
 
     def values(own: list[bytes], total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """A word's value: its training count and its target."""
-        return np.full(len(own), 2, np.int64), np.stack([total, np.fromiter(map(number.get, own, repeat(rest)), np.int64, len(own))], 1).ravel()
+        """A word's value: its training count and its cell."""
+        cells = np.fromiter(map(number.get, own, repeat(-1)), np.int64, len(own))
+        cells = np.where(cells < 0, rest + endings(own), cells)
+        return np.full(len(own), 2, np.int64), np.stack([total, cells], 1).ravel()
+
+    rows = streams(table, with_values(table, values), n, v, rest, tokens + kinds + 1.0)
+    drop_cut(table)
+    counts = np.concatenate([[c for _, c in top], tokens]).astype(np.float64)
+    model = None
+    if n:
+        fitted = trained(rows, counts, n)
+        model = spark.sparkContext.broadcast(fitted.table)
 
-    def finish(ids: np.ndarray, counts: np.ndarray, numbers: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-        c, target = flat[0::2], flat[1::2]
-        plain = np.log10((c + 1.0) / (n + v + 1.0))
-        starts = np.cumsum(counts) - counts
-        base, known = np.add.reduceat(plain[numbers], starts), np.add.reduceat((c > 0).astype(np.int64)[numbers], starts)
-        own = base
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = LogBilinear(counts)
         if model is not None:
-            extra = np.where(target == rest, plain - np.log10(max(outside, 1e-300)), 0.0)
-            goal = target[numbers]
-            logs = model.table()[contexts_of(goal, starts, classes), goal] / np.log(10)
-            own = np.add.reduceat(logs + extra[numbers], starts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held_out(ids.tolist())), pa.array(counts), pa.array(known), pa.array(base), pa.array(own.astype(np.float64))], names=["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    return read_chunks(table, with_values(table, values), finish, SCORES), n
+            own.table = model.value
+        for row in (r for b in batches for r in b.to_pylist()):
+            ids, sizes, known, base, extra, cells = unpacked(row)
+            score = base
+            if model is not None:
+                starts = np.cumsum(sizes) - sizes
+                score = extra + np.add.reduceat(own.logs(cells, contexts_of(cells, starts, own.n)), starts) / np.log(10)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(held_out(ids.tolist())), pa.array(sizes), pa.array(known), pa.array(base), pa.array(score)], names=["_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+        release()
+
+    return rows.mapInArrow(finish, SCORES), n
 
 
 def op3_log_bilinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
