@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -17,30 +18,41 @@ def sets_of(rows, words):
 
 
 def brute(rows, words, percent):
-    """Components over ids of all pairs that reach the threshold."""
-    sets, up = sets_of(rows, words), {r.doc_id: r.doc_id for r in rows if r.doc_id is not None}
+    """Components of all pairs that reach the threshold: per row (doc_id, shingles, smallest id, whether it is the first by id and digest)."""
+    sets, up = sets_of(rows, words), list(range(len(rows)))
+    key = [(2**63 - 1 if r.doc_id is None else r.doc_id, hashlib.sha256((r.text or "").encode()).digest()) for r in rows]
 
     def top(x):
         while up[x] != x:
             x = up[x]
         return x
 
-    for i, a in enumerate(rows):
+    for i in range(len(rows)):
         for j in range(i):
             p, q = sets[i], sets[j]
-            if a.doc_id is None or rows[j].doc_id is None or not p or not q or min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
+            if not p or not q or min(len(p), len(q)) * 100 < percent * max(len(p), len(q)):
                 continue
             if 100 * len(p & q) >= percent * len(p | q):
-                x, y = top(a.doc_id), top(rows[j].doc_id)
-                up[max(x, y)] = min(x, y)
-    return sorted(((r.doc_id, len(s), None if r.doc_id is None else top(r.doc_id) if s else r.doc_id) for r, s in zip(rows, sets, strict=True)), key=str)
+                x, y = top(i), top(j)
+                up[x] = y
+    least = {}
+    for i in range(len(rows)):
+        least[top(i)] = min(least.get(top(i), key[i]), key[i])
+    return [(r.doc_id, len(s), None if least[top(i)][0] == 2**63 - 1 else least[top(i)][0], key[i] == least[top(i)]) for i, (r, s) in enumerate(zip(rows, sets, strict=True))]
 
 
-@pytest.mark.parametrize("name,words", [("docs", 2), ("docs", 5), ("odd", 2), ("none", 2), ("family", 2)])
+@pytest.mark.parametrize("name,words", [("docs", 2), ("docs", 5), ("odd", 2), ("none", 2), ("family", 2), ("unnamed", 2)])
 @pytest.mark.parametrize("block", [2048, 8])
 def test_matches_all_pairs(request, spark, name, words, block, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
-    if name == "family":  # chains of small edits: neighbours are near, the ends are not
+    monkeypatch.setattr(minhash, "FAMILY", block // 4 + 2)
+    monkeypatch.setattr(minhash, "PIVOTS", 2)
+    if name == "unnamed":  # copies without an id, and different texts with one id
+        rng = random.Random(6)
+        base = [" ".join(f"v{rng.randrange(80)}" for _ in range(40)) for _ in range(5)]
+        rows = [(rng.choice([None, None, 3, 40 + k]), base[k % 5] + " " + rng.choice(["", "end", "tail"])) for k in range(60)]
+        docs = spark.createDataFrame([*rows, rows[0], (None, None), (3, "")], "doc_id long, text string")
+    elif name == "family":  # chains of small edits: neighbours are near, the ends are not
         rng, rows = random.Random(5), []
         for f in range(4):
             text = [f"w{rng.randrange(300)}" for _ in range(60)]
@@ -52,8 +64,8 @@ def test_matches_all_pairs(request, spark, name, words, block, monkeypatch):
         docs = spark.createDataFrame(rows, "doc_id long, text string")
     else:
         docs = request.getfixturevalue(name)
-    got = sorted(((r._id if r._id != 2**63 - 1 else None, r.n_shingles, r.component_id) for r in minhash.near_duplicates(docs, words).collect()), key=str)
-    assert got == brute(docs.select("doc_id", "text").collect(), words, 80)
+    got = [(r._id if r._id != 2**63 - 1 else None, r.n_shingles, r.component_id, r.first) for r in minhash.near_duplicates(docs, words).collect()]
+    assert sorted(got, key=str) == sorted(brute(docs.select("doc_id", "text").collect(), words, 80), key=str)
 
 
 def test_components_of_chains_and_stars(spark):

@@ -6,6 +6,7 @@ import pytest
 import tiktoken
 from test_contamination import brute as brute_hits
 from test_near_duplicates import brute as brute_groups
+from test_repeats import place
 
 import corpus_pipeline
 from tidemark.llm import fmindex, string_kernel
@@ -15,7 +16,7 @@ Doc = namedtuple("Doc", "doc_id text lang source n_chars")
 
 def removed(rows, length=100):
     seen, out = set(), []
-    for r in sorted(rows, key=lambda r: (r.doc_id is None, r.doc_id, r.text)):
+    for r in sorted(rows, key=lambda r: place(r.doc_id, r.text)):
         t = r.text.encode()
         gone = np.zeros(len(t), bool)
         for p in range(len(t) - length + 1):
@@ -32,9 +33,7 @@ def removed(rows, length=100):
 
 def brute(rows, bench):
     rows = [r for r in rows if r.text is not None and any(c.isalpha() for c in r.text)]
-    group = {i: c for i, _, c in brute_groups(rows, 5, 80) if i is not None}
-    rows = [r for r in rows if r.doc_id is None or group[r.doc_id] == r.doc_id]
-    rows = removed(rows)
+    rows = removed(list({(r.doc_id, r.text): r for r, (*_, first) in zip(rows, brute_groups(rows, 5, 80), strict=True) if first}.values()))
     out = []
     for r in rows:
         words = fmindex.words_of(r.text)
@@ -44,10 +43,16 @@ def brute(rows, bench):
     return out
 
 
-@pytest.mark.parametrize("kind", ["part", "odd"])
+@pytest.mark.parametrize("kind", ["part", "odd", "unnamed"])
 def test_pipeline_matches_brute_force(spark, sf, odd, kind, tmp_path):
     if kind == "part":
         docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 90 and n_chars < 6000")
+    elif kind == "unnamed":  # rows without an id and rows that share one: clean, contaminated, copies, repeats of one passage
+        item = next(r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").collect() if len(fmindex.words_of(r.text)) >= 20)
+        passage = " ".join(f"passage{k}" for k in range(30))
+        texts = ["a clean text of its own", item, passage + " first", "second " + passage + " é", " ".join(f"copy{k}" for k in range(60)), " ".join(f"copy{k}" for k in range(59))]
+        rows = [(i, t, "en", "s", len(t)) for i in (None, 3, 4) for t in texts]
+        docs = spark.createDataFrame([*rows, rows[0], rows[8], (3, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
     else:
         docs = odd.where("doc_id is null or doc_id <> 5").select(*corpus_pipeline.COLUMNS)
     docs.write.parquet(str(tmp_path / "documents.parquet"))

@@ -5,14 +5,19 @@ name its buckets, and the low BITS bits of all minima are packed, plane by plane
 similarity is estimated by bit counts: a share m of equal low bits means (m - 2^-b) / (1 - 2^-b). Pairs whose estimate
 is SLACK below the threshold at least are confirmed on the full sets.
 
-Equal texts are one node. Each bucket gives a spanning forest of the pairs whose estimates reach that, and the forests' components are the
-families: every candidate pair lies within one. A family's texts travel once to the task that confirms it. There, a search
-goes from text to text; each is compared with those not reached so far that share a bucket with it and whose estimate suffices, so a group of close copies takes one
-comparison a text, no pair is compared twice and none is left out. Buckets and families of more than BLOCK texts are dealt out in
-blocks, and every two blocks meet in a task of their own. Tasks report spanning forests, never all pairs.
-
-Defined results: null, empty and blank texts have no shingles and stay alone; a text of fewer words is one shingle;
-rows that share an id are one document; rows without an id are linked with nothing and have no component; other columns are ignored.
+Equal texts are one node; nodes are numbered in the order of (smallest id, digest). Each bucket gives a spanning forest of the pairs whose
+estimates reach that, and the forests' components are the families: every candidate pair lies within one. A family's texts travel to the
+tasks that confirm it. There, a search goes from text to text; each is compared with those not reached so far that share a bucket with it
+and whose estimate suffices, so a group of close copies takes one comparison a text, no pair is compared twice and none is left out.
+
+Buckets of more than BLOCK signatures are dealt out in blocks, and every two blocks meet in a task of their own. Families of more than FAMILY
+texts are dealt out in blocks too, each with the family's PIVOTS texts, so that copies find each other through them; what is not in the
+family's largest group then meets the blocks of the family again, and only pairs of different groups are compared. So a large group of
+close copies sends each text once or twice. Tasks report spanning forests, never all pairs.
+
+Defined results: null, empty and blank texts have no shingles and stay alone; a text of fewer words is one shingle; of any length, the whole text counts;
+rows that share an id are told apart by their texts; rows without an id are linked like others, and a group in which no row has an id has no
+component_id; of equal (id, text) rows all are marked as kept or none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +39,8 @@ ROWS = 4
 BANDS = 24
 SLACK = 0.18
 BLOCK = 2048
+FAMILY = 512
+PIVOTS = 8
 BROADCAST_IDS = 2_000_000
 
 _rng = np.random.default_rng(20)
@@ -119,19 +126,19 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return cut(rows.mapInArrow(run, "_id long, digest binary, n_shingles long, bands array<long>, sig binary"), "signatures")
 
 
-def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
-    """(rows, ids, blocks, signatures) of each unit of a partition, ids ascending."""
+def unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """(rows, nodes, signatures) of each unit of a partition, nodes ascending."""
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     whole = pa.Table.from_batches(held)
-    unit, ids, block = (whole.column(c).to_numpy() for c in ("unit", "_id", "block"))
-    order = np.lexsort((ids, unit))
+    unit, nodes = (whole.column(c).to_numpy() for c in ("unit", "node"))
+    order = np.lexsort((nodes, unit))
     edges = np.flatnonzero(np.concatenate([[True], np.diff(unit[order]) != 0, [True]])).tolist()
     for a, b in zip(edges, edges[1:], strict=False):
         own = order[a:b]
         rows = whole.take(own)
-        yield rows, ids[own], block[own], np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(own), -1)
+        yield rows, nodes[own], np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint64).reshape(len(own), -1)
 
 
 def search(n: int, joined: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
@@ -158,8 +165,8 @@ def forests(least: float):
     """Spanning forests of the pairs of each unit whose estimates suffice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, ids, _, sigs in unit_rows(batches):
-            yield pair_batch(ids, *search(len(ids), lambda v, left, sigs=sigs: similarity(sigs[v], sigs[left]) >= least))
+        for _, nodes, sigs in unit_rows(batches):
+            yield pair_batch(nodes, *search(len(nodes), lambda v, left, sigs=sigs: similarity(sigs[v], sigs[left]) >= least))
 
     return run
 
@@ -174,65 +181,118 @@ def overlaps(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(p) + len(q) - both)
 
 
+def asked(sets: list[np.ndarray], sigs: np.ndarray, bands: np.ndarray, side: np.ndarray, group: np.ndarray, percent: int, least: float) -> tuple[list[int], list[int]]:
+    """Links of the rows of side 1 with rows of side 0, one for each other group, whose members are linked already."""
+    a, b, others = [], [], np.flatnonzero(side == 0)
+    for v in np.flatnonzero(side > 0).tolist():
+        maybe = (bands[others] == bands[v]).any(1) & (similarity(sigs[v], sigs[others]) >= least) & (group[others] != group[v])
+        done: set[int] = set()
+        for k in others[maybe].tolist():
+            if int(group[k]) not in done and overlaps(sets[v], sets[k], percent):
+                done.add(int(group[k]))
+                a.append(v)
+                b.append(k)
+    return a, b
+
+
 def confirmed(words: int, percent: int, least: float):
-    """Spanning forests of the links of each unit, confirmed on full sets; in a unit of two blocks, of the links between them."""
+    """Forests of the links of each unit, confirmed on full sets; where a unit has both sides, of the links between those."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, ids, block, sigs in unit_rows(batches):
+        for rows, nodes, sigs in unit_rows(batches):
             bands = np.array(rows.column("bands").to_pylist(), np.int64)
+            side, group = rows.column("side").to_numpy(), rows.column("group").to_numpy()
             sets = [shingles(t, words) for t in rows.column("text").to_pylist()]
-            two = block.min() != block.max()
 
-            def joined(v: int, left: np.ndarray, block=block, sigs=sigs, bands=bands, sets=sets, two=two) -> np.ndarray:
+            def joined(v: int, left: np.ndarray, sigs=sigs, bands=bands, sets=sets) -> np.ndarray:
                 maybe = (bands[left] == bands[v]).any(1) & (similarity(sigs[v], sigs[left]) >= least)
-                if two:
-                    maybe &= block[left] != block[v]
                 for k in np.flatnonzero(maybe).tolist():
                     maybe[k] = overlaps(sets[v], sets[left[k]], percent)
                 return maybe
 
-            yield pair_batch(ids, *search(len(ids), joined))
+            if (side > 0).all():
+                yield pair_batch(nodes, *search(len(nodes), joined))
+            else:
+                yield pair_batch(nodes, *asked(sets, sigs, bands, side, group, percent, least))
         release()
 
     return run
 
 
 def blocked(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """Rows of groups (column n: their sizes) dealt to units of one block or of two: adds unit and block."""
+    """Rows of groups (column n: their sizes) dealt to units of one block or of two."""
     blocks = F.ceil(F.col("n") / size).cast("int")
-    own = rows.withColumn("block", F.pmod(F.xxhash64("_id"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_o", F.explode(F.sequence(F.lit(0), blocks - 1)))
     return own.withColumn("unit", F.xxhash64(*keys, F.least("block", "_o"), F.greatest("block", "_o")))
 
 
+def family_links(members: DataFrame, words: int, percent: int, least: float) -> DataFrame:
+    """Forests of the links within families: members (family, n: its texts, node, sig, bands, text)."""
+    parts = partitions(members.sparkSession)
+    columns = ("unit", "node", "side", "group", "sig", "bands", "text")
+    confirm = lambda units, label: cut(units.select(*columns).repartition(parts, "unit").mapInArrow(confirmed(words, percent, least), "a long, b long"), label)
+    blocks = F.ceil(F.col("n") / FAMILY).cast("int")
+    block, all_blocks = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.explode(F.sequence(F.lit(0), blocks - 1))
+    large = cut(members.where(f"n > {FAMILY}").select("family", "n", "node"), "large")
+    none_large = large.isEmpty()
+    own = members.withColumn("side", F.lit(1)).withColumn("group", F.col("node"))
+    first = own.withColumn("at", block)
+    if not none_large:
+        picks = [F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"].alias(f"p{k}") for k in range(PIVOTS)]
+        pivots = large.groupBy("family").agg(*picks).select(F.explode(F.array_distinct(F.array(*[f"p{k}" for k in range(PIVOTS)]))).alias("node"))
+        guests = own.join(cut(pivots, "pivots"), "node").withColumn("home", block).withColumn("at", all_blocks).where("at <> home").drop("home")
+        first = first.unionByName(guests)
+    links = confirm(first.withColumn("unit", F.xxhash64("family", "at")), "links")
+    if none_large:
+        return links
+    found = components(links).withColumnsRenamed({"component": "found"})
+    groups = cut(large.join(found, "node", "left").select("family", "node", F.coalesce("found", "node").alias("group")), "groups")
+    counts = groups.groupBy("family", "group").agg(F.count("*").alias("k"))
+    main = cut(counts.groupBy("family").agg(F.max_by("group", F.struct("k", "group")).alias("main")), "main")
+    left = cut(counts.join(main, "family").where("group <> main").groupBy("family", "main").agg(F.sum("k").alias("others")), "left")
+    if left.isEmpty():
+        return links
+    rows = members.join(groups.join(left, "family").drop("family"), "node")
+    other_blocks = F.ceil(F.col("others") / FAMILY).cast("int")
+    inside = rows.withColumn("side", F.lit(0)).withColumn("x", block).withColumn("y", F.explode(F.sequence(F.lit(0), other_blocks - 1)))
+    asking = rows.where("group <> main").withColumn("side", F.lit(1)).withColumn("y", F.pmod(F.xxhash64("node"), other_blocks).cast("int")).withColumn("x", all_blocks)
+    second = inside.unionByName(asking).withColumn("unit", F.xxhash64("family", "x", "y"))
+    return cut(links.unionByName(confirm(second, "more_links")), "all_links")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """Per row of docs: _id, n_shingles, component_id."""
+    """Per row of docs: _id, digest of the text, n_shingles, component_id and whether the row is its group's first (by id, then by digest)."""
     docs, spark = texts(docs), docs.sparkSession
     least, n = percent / 100 - SLACK, partitions(spark)
     rows = signatures(docs, words)
-    nodes = cut(rows.where(f"n_shingles > 0 and _id <> {NO_ID}").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
-    banded = nodes.select("_id", "sig", F.posexplode("bands").alias("band", "key"))
+    classes = rows.where("n_shingles > 0").groupBy("digest").agg(F.min("_id").alias("_id"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    numbered = classes.repartitionByRange(n, "_id", "digest").sortWithinPartitions("_id", "digest")
+    nodes = cut(numbered.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    banded = nodes.select("node", "sig", F.posexplode("bands").alias("band", "key"))
     shared = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
-    cells = blocked(banded.join(shared, ["band", "key"]), ["band", "key"], BLOCK).select("unit", "block", "_id", "sig")
+    cells = blocked(banded.join(shared, ["band", "key"]), ["band", "key"], BLOCK).select("unit", "node", "sig")
     close = cut(cells.repartition(n, "unit").mapInArrow(forests(least), "a long, b long").distinct(), "close")
-    families = components(close).withColumnsRenamed({"node": "_id", "component": "family"})
-
-    members = nodes.join(families, "_id")
-    sizes = cut(families.groupBy("family").agg(F.count("*").alias("n")), "families")
-    wanted = families.select("_id")
-    if wanted.count() <= BROADCAST_IDS:  # 16 MB of ids; more are joined by a shuffle
+    families = components(close).withColumnsRenamed({"component": "family"})
+    sizes = families.groupBy("family").agg(F.count("*").alias("n"))
+    known = cut(nodes.join(families.join(sizes, "family"), "node"), "members")
+    wanted = known.select("_id").distinct()
+    if known.count() <= BROADCAST_IDS:  # 16 MB of ids; more are joined by a shuffle
         wanted = F.broadcast(wanted)
-    own = members.join(sizes, "family").join(docs.join(wanted, "_id"), "_id")
-    units = blocked(own, ["family"], BLOCK // 4).select("unit", "block", "_id", "sig", "bands", "text")
-    links = cut(units.repartition(n, "unit").mapInArrow(confirmed(words, percent, least), "a long, b long"), "links")
-    found = components(links)
+    held = docs.join(wanted, "_id", "left_semi").withColumn("digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["_id", "digest"])
+    members = known.join(held, ["_id", "digest"]).select("family", "n", "node", "sig", "bands", "text")
+    found = components(family_links(members, words, percent, least))
 
-    reps = nodes.select("digest", F.col("_id").alias("rep")).join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    named = rows.select("_id", "digest", "n_shingles").join(cut(reps, "classes"), "digest", "left")
-    own_id = F.when(F.col("_id") != NO_ID, F.col("_id"))
-    return named.select("_id", "n_shingles", F.when((F.col("n_shingles") > 0) & own_id.isNotNull(), F.col("class")).otherwise(own_id).alias("component_id"))
+    heads = nodes.select(F.col("node").alias("component"), F.col("_id").alias("head"), F.col("digest").alias("head_digest"))
+    named = found.join(heads, "component").withColumnsRenamed({"node": "n"})
+    reps = nodes.select("digest", "node", "_id").join(named, F.col("node") == F.col("n"), "left")
+    reps = cut(reps.select("digest", F.coalesce("head", "_id").alias("head"), F.coalesce("head_digest", "digest").alias("head_digest")), "classes")
+    out = rows.select("_id", "digest", "n_shingles").join(reps, "digest", "left")
+    head = F.coalesce("head", "_id")
+    kept = (F.col("_id") == head) & (F.col("digest") == F.coalesce("head_digest", "digest"))
+    return out.select("_id", "digest", "n_shingles", F.when(head != NO_ID, head).alias("component_id"), kept.alias("first"))
 
 
 def op7_b_bit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(documents(spark, sf_dir, "doc_id", "text"), words=2, percent=80)
-    kept = F.col("component_id").isNull() | (F.col("_id") == F.col("component_id"))
+    kept = F.when(F.col("component_id").isNull(), F.col("first")).otherwise(F.col("_id") == F.col("component_id"))
     return out.select(id_out(), "n_shingles", "component_id", kept.alias("kept"))

@@ -4,13 +4,13 @@ LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 OP5 = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
-b AS (SELECT item_id, regexp_extract_all({LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+b AS (SELECT item_id, regexp_extract_all({LOWER.format("text")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
 p AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + 12), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
 q AS (SELECT DISTINCT n, s FROM p), l AS (SELECT DISTINCT n FROM q),
 x AS (SELECT d.doc_id, l.n, d.w, unnest(range(1, len(d.w) - l.n + 2)) AS i FROM d, l WHERE len(d.w) >= l.n),
 h AS (SELECT x.doc_id, x.i, x.n, q.s FROM (SELECT doc_id, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM x) x JOIN q ON x.n = q.n AND x.s = q.s),
 k AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM h) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, array_to_string(list(item ORDER BY item), ',') AS items FROM (SELECT DISTINCT h.doc_id, p.item_id::VARCHAR AS item FROM h JOIN p ON h.n = p.n AND h.s = p.s) GROUP BY doc_id)
+t AS (SELECT doc_id, count(*) AS n_items, array_to_string(list(item ORDER BY item), ',') AS items FROM (SELECT DISTINCT h.doc_id, p.item_id::VARCHAR AS item FROM h JOIN p ON h.n = p.n AND h.s = p.s WHERE p.item_id IS NOT NULL) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(k.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256, coalesce(k.n_hit, 0) > 0 AND 20 * coalesce(k.n_hit, 0) >= len(d.w) AS contaminated
 FROM d LEFT JOIN k ON d.doc_id = k.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """

@@ -12,17 +12,17 @@ against the arrays of the existing levels, and where two are equal the later one
 about equal size are merged, so that sizes grow geometrically and a suffix is moved a logarithmic number of times.
 
 Equal pieces of text are brought together before, in the chunk of documents and again in the task. Anchors that occur more than HOT times
-(the edges of very common passages) are dealt out suffix by suffix, by two hashes of the whole string, so no task gets
-all of one anchor.
+(the edges of very common passages) are dealt out suffix by suffix, by a hash of the whole string, so no task gets
+all of one anchor; those suffixes travel with their LENGTH bytes and go through a family of suffix arrays like all others.
 
 Defined results: null and empty texts, and texts of fewer than LENGTH bytes, lose nothing by themselves; rows that repeat (id and text) share
-one result; rows that share an id only are taken in the order of their texts; null ids come last; other columns are ignored.
+one result; rows that share an id only (or have none: null ids come last) are taken in the order of a hash of id and text, by which they are dealt
+to chunks, so no id is a hot key; texts of any length are cut into segments of SEGMENT bytes that overlap; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -97,13 +97,13 @@ def runs(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.
     return lo, hi, h[anchor[lo]], np.searchsorted(ends, lo, side="right")
 
 
-def distinct_rows(rows: list[tuple[int, bytes]]) -> tuple[list[tuple[int, int, bytes]], list[int]]:
-    """(id, place of its first byte, text) of the distinct rows, and for each row which of them it is."""
-    of: dict[tuple[int, bytes], int] = {}
+def distinct_rows(rows: list[tuple[int, int, bytes]]) -> tuple[list[tuple[int, int, bytes]], list[int]]:
+    """(id, place of its first byte, text) of the distinct (id, hash, text) rows, and for each row which of them it is."""
+    of: dict[tuple[int, int, bytes], int] = {}
     for r in sorted(set(rows)):
         of[r] = len(of)
     out: list[tuple[int, int, bytes]] = []
-    for i, t in of:
+    for i, _, t in of:
         out.append((i, out[-1][1] + APART if out and out[-1][0] == i else 0, t))
     return out, [of[r] for r in rows]
 
@@ -134,26 +134,31 @@ def grouped_runs(docs: list[tuple[int, int, bytes]], length: int, gram: int) ->
         yield close()
 
 
-def kept_first(keys: list[np.ndarray]) -> np.ndarray:
-    """Marks the first of each group of equal values (of all keys but the last two, which order them): (order, first)."""
-    order = np.lexsort(keys[::-1])
-    new = np.concatenate([[True], np.logical_or.reduce([np.diff(k[order]) != 0 for k in keys[:-2]])]) if len(order) else np.zeros(0, bool)
-    return order, new
+def kept_first(strings: np.ndarray, ids: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, marks of the first of each group of equal strings in it)."""
+    order = np.lexsort((places, ids, strings))
+    strings = strings[order]
+    return order, np.concatenate([[True], strings[1:] != strings[:-1]])
 
 
 class Levels:
-    """A family of suffix arrays. Suffixes are numbers into arrays of (id, place); equal strings keep the earliest."""
+    """A family of suffix arrays. Suffixes are numbers into arrays of (id, home, place), which order them; equal strings keep the earliest.
 
-    def __init__(self, ids: np.ndarray, places: np.ndarray):
-        self.ids, self.places, self.late = ids, places, np.zeros(len(ids), bool)
+    A home is the chunk of documents that a suffix comes from; chunks are ordered by the hash that deals rows to them.
+    """
+
+    def __init__(self, ids: np.ndarray, homes: np.ndarray, places: np.ndarray):
+        self.ids, self.homes, self.places, self.late = ids, homes, places, np.zeros(len(ids), bool)
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
 
     def earlier(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return (self.ids[a] < self.ids[b]) | ((self.ids[a] == self.ids[b]) & (self.places[a] < self.places[b]))
+        same = self.ids[a] == self.ids[b]
+        home, other = self.homes[a], self.homes[b]
+        return (self.ids[a] < self.ids[b]) | (same & (home < other)) | (same & (home == other) & (self.places[a] < self.places[b]))
 
     def add(self, keys: np.ndarray, own: np.ndarray) -> None:
         """A batch: its suffix array, the scan of each level, the levels' merges."""
-        by = np.lexsort((self.places[own], self.ids[own]))
+        by = np.lexsort((self.places[own], self.homes[own], self.ids[own]))
         keys, own = keys[by], own[by]
         order = np.argsort(keys, kind="stable")
         keys, own = keys[order], own[order]
@@ -183,7 +188,7 @@ def suffix_repeats(pieces: list[bytes], ids: np.ndarray, places: np.ndarray, hom
     """(home, id, start, end) of the removed stretches of pieces of text that share anchors."""
     out: list[tuple[int, int, int, int]] = []
     first: dict[bytes, int] = {}
-    for k in np.lexsort((places, ids)).tolist():  # equal pieces: all but the earliest go whole
+    for k in np.lexsort((places, homes, ids)).tolist():  # equal pieces: all but the earliest go whole
         if first.setdefault(pieces[k], k) != k:
             out.append((int(homes[k]), int(ids[k]), int(places[k]), int(places[k]) + len(pieces[k])))
     own = sorted(first.values())
@@ -196,7 +201,8 @@ def suffix_repeats(pieces: list[bytes], ids: np.ndarray, places: np.ndarray, hom
     inner = np.arange(int(stops[-1])) - np.repeat(stops - many, many)
     at = np.repeat(ends - lens, many) + inner
     chosen = np.array(own)
-    family = Levels(np.repeat(ids[chosen], many), np.repeat(places[chosen], many) + inner)
+    home = np.repeat(homes[chosen], many)
+    family = Levels(np.repeat(ids[chosen], many), home, np.repeat(places[chosen], many) + inner)
     for low in range(0, len(at), BATCH):
         part = np.arange(low, min(low + BATCH, len(at)))
         keys = buf[at[part][:, None] + np.arange(length)].view(f"S{length}").ravel()
@@ -206,7 +212,6 @@ def suffix_repeats(pieces: list[bytes], ids: np.ndarray, places: np.ndarray, hom
     edge[stops - many] = edge[stops] = True
     begin = np.flatnonzero(late & (edge[:-1] | ~np.concatenate([[False], late[:-1]])))
     end = np.flatnonzero(late & (edge[1:] | ~np.concatenate([late[1:], [False]])))
-    home = np.repeat(homes[chosen], many)
     out += zip(home[begin].tolist(), family.ids[begin].tolist(), family.places[begin].tolist(), (family.places[end] + length).tolist(), strict=True)
     return out
 
@@ -230,28 +235,29 @@ def dealt(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[edges[p] : edges[p + 1]]
 
 
-def packed_docs(chunk: int, rows: list[tuple[int, bytes]]) -> tuple:
-    return 0, chunk, 0, squeeze(np.array([i for i, _ in rows], np.int64)), squeeze(pack_words([t for _, t in rows]), 9)
+def packed_docs(chunk: int, rows: list[tuple[int, int, bytes]]) -> tuple:
+    return 0, chunk, 0, squeeze(np.array([i for i, _, _ in rows], np.int64)), squeeze(pack_words([t for _, _, t in rows]), 6), squeeze(np.array([h for _, h, _ in rows], np.int64))
 
 
-def unpacked_docs(row: dict) -> list[tuple[int, bytes]]:
-    return list(zip(loosen(row["a"], np.int64).tolist(), unpack_words(loosen(row["b"])), strict=True))
+def unpacked_docs(row: dict) -> list[tuple[int, int, bytes]]:
+    return list(zip(loosen(row["a"], np.int64).tolist(), loosen(row["c"], np.int64).tolist(), unpack_words(loosen(row["b"])), strict=True))
 
 
 def chunk_table(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Documents dealt by id to chunks of about CHUNK_BYTES, one row each."""
+    """Documents dealt by a hash of id and text to chunks of about CHUNK_BYTES, one row each; ranges of the hash, so chunks are in its order."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(partitions(docs.sparkSession), -(-size // CHUNK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[int, bytes]]] = {}
+        by: dict[int, list[tuple[int, int, bytes]]] = {}
         for b in batches:
-            for c, i, t in zip(b.column("chunk").to_pylist(), b.column("_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                by.setdefault(c, []).append((i, t))
+            for c, i, h, t in zip(*(b.column(k).to_pylist() for k in ("chunk", "_id", "hash")), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                by.setdefault(c, []).append((i, h, t))
         for c, rows in by.items():
             yield row_batch([packed_docs(c, rows)])
 
-    dealt_out = docs.withColumn("chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks))).repartitionById(chunks, F.col("chunk").cast("int"))
+    hashed = docs.withColumn("hash", F.shiftrightunsigned(F.xxhash64("_id", "text"), 32))
+    dealt_out = hashed.withColumn("chunk", F.shiftright(F.col("hash") * chunks, 32)).repartitionById(chunks, F.col("chunk").cast("int"))
     return cut(dealt_out.mapInArrow(run, ROWS), "chunks", "none"), chunks
 
 
@@ -288,13 +294,12 @@ def repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield row_batch([(1, r["chunk"], r["part"], own[again].tobytes(), (times[again] > HOT).astype(np.uint8).tobytes())])
 
 
-def windows_of(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of each string of `length` bytes."""
-    one, two = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+def strings_of(buf: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of `length` bytes that start at these places, and a hash of each."""
+    h = np.zeros(len(at), np.uint64)
     for k in range(length):
-        v = buf[at + k].astype(np.uint64) + np.uint64(1)
-        one, two = one * np.uint64(_BASE) + v, two * np.uint64(0xC2B2AE3D27D4EB4F) + v
-    return mixed(one), mixed(two)
+        h = h * np.uint64(_BASE) + (buf[at + k].astype(np.uint64) + np.uint64(1))
+    return buf[at[:, None] + np.arange(length)].view(f"S{length}").ravel(), mixed(h)
 
 
 def pieces_of_chunks(parts: int, length: int, gram: int):
@@ -310,7 +315,7 @@ def pieces_of_chunks(parts: int, length: int, gram: int):
         again, hot = again[order], hot[order]
         first: dict[bytes, tuple] = {}
         gone: list[tuple[int, int, int]] = []
-        singles: list[list[np.ndarray]] = [[], [], [], []]
+        singles: list[list[np.ndarray]] = [[], [], [], []]  # strings, hashes, ids, places
         for buf, lo, hi, h, ids, places in grouped_runs(docs, length, gram):
             at = np.minimum(np.searchsorted(again, h), len(again) - 1)
             repeats = again[at] == h
@@ -324,20 +329,20 @@ def pieces_of_chunks(parts: int, length: int, gram: int):
                 many = hi[own] - lo[own] + 1
                 stops = np.cumsum(many)
                 inner = np.arange(int(stops[-1])) - np.repeat(stops - many, many)
-                one, two = windows_of(buf, np.repeat(lo[own], many) + inner, length)
-                for s, v in zip(singles, (one, two, np.repeat(ids[own], many), np.repeat(places[own], many) + inner), strict=True):
+                strings = strings_of(buf, np.repeat(lo[own], many) + inner, length)
+                for s, v in zip(singles, (*strings, np.repeat(ids[own], many), np.repeat(places[own], many) + inner), strict=True):
                     s.append(v)
         if first:
             texts_, info = list(first), list(first.values())
             h, ids, places = np.array([x[0] for x in info], np.uint64), np.array([x[1] for x in info], np.int64), np.array([x[2] for x in info], np.int64)
             yield row_batch([(1, chunk, p, squeeze(pack_words([texts_[k] for k in at.tolist()])), squeeze(h[at]), squeeze(ids[at]), squeeze(places[at])) for p, at in dealt(h, parts)])
         if singles[0]:
-            one, two, ids, places = map(np.concatenate, singles)
-            order, new = kept_first([one, two, ids, places])
+            strings, h, ids, places = map(np.concatenate, singles)
+            order, new = kept_first(strings, ids, places)
             later = order[~new]
             gone += zip(ids[later].tolist(), places[later].tolist(), (places[later] + length).tolist(), strict=True)
             keep = order[new]
-            yield row_batch([(2, chunk, p, one[keep[at]].tobytes(), two[keep[at]].tobytes(), squeeze(ids[keep[at]]), squeeze(places[keep[at]])) for p, at in dealt(one[keep], parts)])
+            yield row_batch([(2, chunk, p, squeeze(strings[keep[at]].tobytes()), None, squeeze(ids[keep[at]]), squeeze(places[keep[at]])) for p, at in dealt(h[keep], parts)])
         if gone:
             yield row_batch([(3, chunk, chunk % parts, squeeze(np.array(gone, np.int64)))])
 
@@ -380,14 +385,17 @@ def repeats_of_parts(length: int):
                 low = high
         single = [r for r in rows if r["kind"] == 2]
         if single:
-            one, two = (np.concatenate([np.frombuffer(r[k], np.uint64) for r in single]) for k in "ab")
+            strings = np.frombuffer(b"".join(loosen(r["a"]) for r in single), f"S{length}")
             ids, places = (np.concatenate([loosen(r[k], np.int64) for r in single]) for k in "cd")
-            homes = np.repeat([r["chunk"] for r in single], [len(r["a"]) // 8 for r in single])
-            order, new = kept_first([one, two, ids, places])
-            later = order[~new]
+            homes = np.repeat([r["chunk"] for r in single], [len(loosen(r["d"])) // 8 for r in single])
+            family = Levels(ids, homes, places)
+            for low in range(0, len(strings), BATCH):
+                family.add(strings[low : low + BATCH], np.arange(low, min(low + BATCH, len(strings))))
+            later = np.flatnonzero(family.late)
             for home in np.unique(homes[later]).tolist():
                 at = later[homes[later] == home]
                 out.setdefault(home, []).append(np.stack([ids[at], places[at], places[at] + length], 1))
+            del strings, family
         for home, found in out.items():
             spans = np.concatenate(found)
             order = np.lexsort((spans[:, 1], spans[:, 0]))
@@ -399,7 +407,10 @@ def repeats_of_parts(length: int):
 
 
 def cleaned(keep_text: bool):
-    """Per row of a chunk: bytes, bytes and stretches removed, digest of the rest (and the rest)."""
+    """Per row of a chunk: bytes, bytes and stretches removed, digest of the rest; if asked for, where bytes go, also the text's digest and the rest.
+
+    Bytes of characters that are cut in two are left out of the rest as text.
+    """
 
     def of_chunk(rows: list[dict]) -> pa.RecordBatch:
         all_rows = unpacked_docs(next(r for r in rows if r["kind"] == 0))
@@ -424,9 +435,10 @@ def cleaned(keep_text: bool):
                     at = end = b
             kept.append(text[at:])
             rest = b"".join(kept)
-            done.append((len(text), removed, merged, hashlib.sha256(rest).hexdigest(), zlib.crc32(text), rest if keep_text else None))
-        cols = list(zip(*[(i, *done[k]) for (i, _), k in zip(all_rows, of, strict=True)], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()), strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "crc32", "kept"])
+            more = (hashlib.sha256(text).hexdigest(), rest.decode("utf-8", "ignore")) if keep_text and removed else (None, None)
+            done.append((len(text), removed, merged, hashlib.sha256(rest).hexdigest(), *more))
+        cols = list(zip(*[(i, *done[k]) for (i, _, _), k in zip(all_rows, of, strict=True)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, *[pa.string()] * 3), strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "sha256", "kept"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[int, list[dict]] = {}
@@ -440,7 +452,7 @@ def cleaned(keep_text: bool):
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256, the text's crc32 and, if asked for, the bytes kept."""
+    """Per row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the digest and the rest of each text that loses bytes."""
     table, chunks = chunk_table(texts(docs))
     parts = partitions(docs.sparkSession)
     home = F.col("chunk").cast("int")
@@ -448,7 +460,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep
     again = to_part(table.mapInArrow(anchors_of_chunks(parts, length, gram), ROWS)).mapInArrow(repeated_anchors, ROWS)
     pieces = table.unionByName(again).repartitionById(chunks, home).mapInArrow(pieces_of_chunks(parts, length, gram), ROWS)
     spans = to_part(pieces).mapInArrow(repeats_of_parts(length), ROWS)
-    return table.unionByName(spans).repartitionById(chunks, home).mapInArrow(cleaned(keep_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, crc32 long, kept binary")
+    return table.unionByName(spans).repartitionById(chunks, home).mapInArrow(cleaned(keep_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sha256 string, kept string")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
