@@ -3,28 +3,38 @@
 A stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last returns a row of digests for each
 document that is left. run() writes each stage's result to the shared folder and rereads it. SQL cannot express the stages (kernel
 regression, hashed signatures, byte-level BPE), so ORACLE_SQL is None and tests compare run() with a brute-force version.
+
+Defined results, in every stage: the text decides, so rows are told apart by id and sha256 of the text; rows without an id, and rows that share one,
+stand or fall singly. Equal (id, text) rows are one document: the near-duplicates keep one of them. Null texts are empty, very long texts are read whole, an
+empty table gives no rows, and columns beyond those of documents are dropped.
 """
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.llm import fmindex, minhash, string_kernel, suffix_dedup, word_bpe
-from tidemark.llm.common import NO_ID, crc_mod, cut
+from tidemark.llm.common import NO_ID, crc_mod, cut, drop_cut
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
 
-def with_ids(docs: DataFrame) -> DataFrame:
-    return docs.select(*COLUMNS).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID)))
+def digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def with_keys(docs: DataFrame) -> DataFrame:
+    """Adds the key of a row: _id and _digest."""
+    return docs.select(*COLUMNS).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_digest", digest())
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in which no language is found (no text, or no letter) and sets lang to the language predicted for the rest."""
+    """Drops documents in which no language is found (no text, or no letter) and sets lang to the language predicted for the rest.
+
+    Without labelled training texts there is nothing to predict: documents with a letter stay as they are.
+    """
     docs = docs.select(*COLUMNS)
     model = string_kernel.fit(*string_kernel.training_rows(docs.where(crc_mod("doc_id", 5) != 0)))
     found = string_kernel.identify(docs, model)
@@ -34,44 +44,39 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates: five words, similarity 0.8. Of rows that share an id, one stays."""
-    docs = with_ids(docs)
-    groups = minhash.near_duplicates(docs)
-    gone = cut(groups.where("component_id <> _id").select("_id").distinct(), "gone")
-    left = docs.join(gone, "_id", "left_anti")
-    alone = left.where(f"_id = {NO_ID}")
-    return left.where(f"_id <> {NO_ID}").dropDuplicates(["_id"]).unionByName(alone).select(*COLUMNS)
+    """Keeps the first document, by id and then by digest, of each group of near-duplicates: five words, similarity 0.8.
 
-
-@F.pandas_udf(T.StringType())
-def whole_characters(parts: pd.Series) -> pd.Series:
-    return parts.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+    Documents without an id come last. Equal rows leave one, of which the smallest (lang, source, n_chars) is taken.
+    """
+    groups = minhash.near_duplicates(docs)
+    gone = cut(groups.where("not first").select("_id", F.hex("digest").alias("d")).distinct(), "gone")
+    keys = with_keys(docs)
+    left = keys.join(gone, (keys["_id"] == gone["_id"]) & (F.upper(keys["_digest"]) == gone["d"]), "left_anti").select(*keys.columns)
+    again = cut(groups.where("first").groupBy("_id", F.lower(F.hex("digest")).alias("_digest")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    ones, many = left.join(again, ["_id", "_digest"], "left_anti"), left.join(again, ["_id", "_digest"], "left_semi")
+    least = F.min(F.struct("lang", "source", "n_chars"))
+    kept = many.groupBy("doc_id", "_id", "_digest").agg(F.first("text").alias("text"), least.alias("m"))
+    return ones.select(*COLUMNS).unionByName(kept.select("doc_id", "text", "m.lang", "m.source", "m.n_chars"))
 
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes strings of 100 bytes that occur earlier; bytes of characters cut in two go too, and documents left without text."""
-    docs = with_ids(docs).withColumn("_crc", F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
-    kept = suffix_dedup.remove_repeats(docs, keep_text=True).where("n_removed > 0")
-    rests = cut(kept.select(F.col("_id").alias("i"), F.col("crc32").alias("c"), whole_characters("kept").alias("rest")), "rests").dropDuplicates(["i", "c"])
-    both = docs.join(rests, F.expr("_id = i and _crc = c"), "left").where("rest is null or rest <> ''")
-    return both.select("doc_id", F.coalesce("rest", "text").alias("text"), "lang", "source", F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    """Removes strings of 100 bytes that occur earlier; bytes of characters cut in two go too, and documents left without text. n_chars is counted anew."""
+    found = suffix_dedup.remove_repeats(docs, keep_text=True).where("kept is not null")
+    rests = cut(found.select("_id", F.col("sha256").alias("_digest"), F.col("kept").alias("rest")), "rests").dropDuplicates(["_id", "_digest"])
+    both = with_keys(docs).join(rests, ["_id", "_digest"], "left").where("rest is null or rest <> ''")
+    n_chars = F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("n_chars"))
+    return both.select("doc_id", F.coalesce("rest", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of which a twentieth or more of the words lie inside occurrences of benchmark phrases.
-
-    The text decides alone, so documents are told apart by id and digest of the text: those without an id, or with one id, fall singly.
-    """
-    docs = with_ids(docs.select(*COLUMNS))
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    found = fmindex.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_text=True)
-    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"]), F.lit(0))
-    bad = cut(found.where((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).select("_id", digest.alias("_digest")).distinct(), "contaminated")
-    return docs.withColumn("_digest", digest).join(bad, ["_id", "_digest"], "left_anti").select(*COLUMNS)
+    """Drops documents of which a twentieth or more of the words lie inside occurrences of benchmark phrases."""
+    found = fmindex.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    bad = cut(found.where(fmindex.contaminated()).select("_id", F.col("sha256").alias("_digest")).distinct(), "contaminated")
+    return with_keys(docs).join(bad, ["_id", "_digest"], "left_anti").select(*COLUMNS)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encodes and decodes what is left."""
+    """Encodes and decodes what is left: a row of digests for each document."""
     import public_tokenizers as P
 
     out = word_bpe.token_digests(docs, P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
@@ -88,7 +93,9 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), name)
+        drop_cut(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
