@@ -32,18 +32,30 @@ def test_language_odd_rows(odd, none):
     assert {r.lang_pred for r in string_kernel.identify(docs, None).collect()} == {"und"}
 
 
+def test_training_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, f"text number {k} of its kind", f"l{k % 40}") for k in range(2000)], "doc_id long, text string, lang string")
+    spectra, langs = string_kernel.training_rows(docs, per_language=30, most=400)
+    assert spectra.shape == (len(langs), string_kernel.BUCKETS // 8) and 250 < len(langs) < 550 and len(set(langs)) == 40
+    assert (string_kernel.unpacked(string_kernel.packed(["abc", ""])) == string_kernel.presence(["abc", ""])).all()
+
+
 def test_kernel_counts_shared_grams():
     k = string_kernel.kernel(string_kernel.presence(["abc", "xyz"]), string_kernel.presence(["abc", "abd", ""]))
     assert abs(k[0, 0] - 1) < 1e-6 and 0 < k[0, 1] < 1 and k[0, 2] == 0 and k[1, 0] == 0
 
 
 def test_quality_held_out_accuracy(spark):
+    """By ranks too: a good document scores above a bad one 99 times of 100."""
     sf = "/root/testdata/sf0.1"
     truth = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = pu_quality.op4_pu_quality(spark, sf).collect()
     assert len(rows) == 10_000 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
     own = [r for r in rows if r.held_out and r.doc_id in truth]
-    assert len(own) > 500 and np.mean([r.predicted == truth[r.doc_id] for r in own]) > 0.97
+    right = np.mean([r.predicted == truth[r.doc_id] for r in own])
+    good, bad = (np.array([r.score for r in own if truth[r.doc_id] == k]) for k in (1, 0))
+    area = np.mean((good[:, None] > bad) + 0.5 * (good[:, None] == bad))
+    print("quality", right, area)
+    assert len(own) > 500 and right > 0.97 and area > 0.99
 
 
 def test_quality_odd_rows(spark, odd, none):
@@ -57,7 +69,7 @@ def test_quality_odd_rows(spark, odd, none):
 
 def test_risk_estimate_recovers_a_line():
     rng = np.random.default_rng(1)
-    x = rng.normal(0, 1, (6000, 38))
+    x = rng.normal(0, 1, (6000, pu_quality.SURFACE))
     good = x[:, 0] + x[:, 1] > -1
     model = pu_quality.fit(x[good][:1500], x, good.mean())
     assert np.mean((pu_quality.score(model, x) >= 0.5) == good) > 0.93

@@ -82,7 +82,7 @@ def test_empty(spark, docs, tmp_path, sf):
     docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{sf}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-    assert string_kernel.fit([], []) is None
+    assert string_kernel.fit(string_kernel.packed([]), []) is None
 
 
 def test_decontamination_drops_only_contaminated_rows(spark, sf):

@@ -28,7 +28,6 @@ def expected_ids(rows):
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    tool.encode_special_tokens = True
     out, start = [], 0
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         ids = [*tool.encode(t or "", add_special_tokens=False).ids, 2]
@@ -44,6 +43,15 @@ def test_ids(request, name):
     assert sorted(got, key=str) == sorted(expected_ids([(r.doc_id, r.text) for r in docs.collect()]), key=str)
 
 
+def test_added_tokens_in_texts(spark):
+    """Alone, inside, glued to words, after spaces, and where pieces are joined to be encoded."""
+    t = "<|endoftext|>"
+    texts = [t, f"a{t}b", f"a {t} b", f" {t}", f"{t} ", f"word {t}{t} word", f"x  {t}  y", f"{t}x {t}y z{t}", "<|endoftext| >", f"é{t}é\n{t}", f"{t[:-1]}", " ".join(f"w{k}{t}" for k in range(600))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [tuple(r) for r in simple8b.read_ids(simple8b.write_ids(docs, P.path("byte_bpe_50k.json"))).collect()]
+    assert sorted(got) == sorted(expected_ids(list(enumerate(texts))))
+
+
 def hilbert_plain(x, bits):
     """The textbook algorithm: transpose form, then interleaved."""
     x, n, q = list(x), len(x), 1 << (bits - 1)
@@ -99,3 +107,30 @@ def test_shard_files_hold_everything_once(docs, tmp_path, spark):
     hilbert.write_shards(docs, str(tmp_path / "out"), 8)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 8
+
+
+def test_shards_prune_on_every_dimension(spark):
+    """Any language, source, and any twentieth of the ids or sizes lies in about half of the shards at most; a commoner value in its share and a fifth more."""
+    sf, shards = "/root/testdata/sf0.1", 40
+    meta = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source")
+    rows = hilbert.op8_hilbert_sharding(spark, sf).select("doc_id", "shard", "size").join(meta, "doc_id").collect()
+    assert len(rows) == 10_000
+    for name in ("lang", "source"):
+        for value in {r[name] for r in rows}:
+            own = [r.shard for r in rows if r[name] == value]
+            assert len(set(own)) <= shards * max(0.55, len(own) / len(rows) + 0.2), (name, value)
+    for name in ("doc_id", "size"):
+        values = sorted(r[name] for r in rows)
+        ends = [(min(v), max(v)) for k in range(shards) if (v := [r[name] for r in rows if r.shard == k])]
+        for low in range(0, 10_000, 500):
+            a, b = values[low], values[low + 499]
+            assert sum(x <= b and y >= a for x, y in ends) <= 0.65 * shards, (name, low)
+
+
+def test_categories_and_numbers_take_cells(spark):
+    rows = [(k, "common" if k < 60 else None if k < 80 else f"rare{k}", float(k)) for k in range(100)]
+    df = spark.createDataFrame([*rows, (100, "common", None)], "doc_id long, lang string, x double")
+    cells = df.select("lang", "x", hilbert.category_cell(df, "lang").alias("a"), hilbert.number_cells(df, ["x"])[0].alias("b")).collect()
+    assert {r.a for r in cells if r.lang == "common"} == {0} and {r.a for r in cells if r.lang is None} == {61 * 64 // 101}
+    assert all(0 <= r.a < 64 and 0 <= r.b < 64 for r in cells) and len({r.b for r in cells}) == 64
+    assert [r.b for r in cells if r.x is not None] == sorted(r.b for r in cells if r.x is not None)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, release
 from .simple8b import grouped
 
-CHUNK_BYTES = 32_000_000
+CHUNK_BYTES = 16_000_000
 GROUP_BYTES = 2_000_000
 ROWS = "kind int, chunk long, part int, head binary, body binary, tail binary"
 
@@ -75,9 +75,12 @@ def chunk_rows(new_coder: Callable, buckets: int, weigh: Callable[[list[int]], n
         code, words = new_coder()
 
         def close() -> Iterator[pa.RecordBatch]:
-            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+            nonlocal code, words
+            flat = np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
             per = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+            numbers.clear()
             own = words()
+            code = words = None
             times = np.bincount(flat, minlength=len(own))
             bucket = np.fromiter(map(zlib.crc32, own), np.int64, len(own)) % buckets
             alphabetical = np.empty(len(own), np.int64)
@@ -107,7 +110,7 @@ def chunk_rows(new_coder: Callable, buckets: int, weigh: Callable[[list[int]], n
             flat, per = code(group)
             ids += new_ids
             counts.append(per)
-            numbers.append(flat)
+            numbers.append(flat.astype(np.uint32))
             size += sum(map(len, group))
             if size >= CHUNK_BYTES:
                 yield from close()

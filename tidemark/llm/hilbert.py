@@ -5,8 +5,13 @@ array functions, rows are sorted by (curve index, id) through a range partitioni
 into runs. Neighbours on the curve are near in every dimension, so each shard covers a small box of the metadata
 space and min/max statistics of its file prune on any of the dimensions.
 
-Defined results: nulls take cell 0 of their dimension; an empty table gives no rows; rows that repeat each get a
-slot of their own; a null or empty text counts 0 bytes (plus the 16 of overhead); columns beyond those named are ignored.
+Cells hold about equal numbers of rows: numbers are cut at approximate quantiles; a category starts at the cell that its place among the
+FREQUENT commonest values, by cumulated rows, gives it, and rarer values share the cells after those by their crc32.
+
+Defined results: a null category is a value like any other, a null number takes cell 0 of its dimension; an empty table gives no rows; rows that repeat
+each get a slot of their own; a null or empty text counts 0 bytes (plus the 16 of overhead), and texts of any length count whole. Ties of the curve are
+broken by id, then by crc32 of the text. Equal texts are not kept together: ids are a dimension, so copies with distant ids may lie in different
+shards; the law is `rows`, under which counts alone are even. Columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -19,21 +24,40 @@ from .common import cut, documents
 
 BITS = 6
 OVERHEAD = 16
-
-
-def code_of(name: str, bits: int = BITS) -> Column:
-    """A category's cell: low bits of its crc32. Unbounded sets of names need no dictionary."""
-    return F.coalesce((F.crc32(F.col(name).cast("string").cast("binary")) % (1 << bits)), F.lit(0)).cast("long")
-
-
-def log_of(name: str, bits: int = BITS) -> Column:
-    """A size's cell: three cells to each doubling."""
-    return F.coalesce(F.least(F.floor(F.log2(F.greatest(F.col(name), F.lit(0)) + 1) * 3), F.lit((1 << bits) - 1)), F.lit(0)).cast("long")
-
-
-def span_of(name: str, least: int, most: int, bits: int = BITS) -> Column:
-    """A number's cell between the least and most value of the table."""
-    return F.coalesce(F.floor((F.col(name) - F.lit(least)).cast("double") * (1 << bits) / (most - least + 1)), F.lit(0)).cast("long")
+FREQUENT = 48
+
+
+def category_cell(df: DataFrame, name: str, bits: int = BITS) -> Column:
+    """Cell of a category: where its rows start if values are laid out by frequency. Rarer values share what is left."""
+    cells, column = 1 << bits, F.col(name).cast("string")
+    top = df.groupBy(column.alias("v")).count().orderBy(F.desc("count"), "v").limit(FREQUENT).collect()
+    total = df.count() if len(top) == FREQUENT else sum(r["count"] for r in top)
+    cell, none, before = [], F.lit(0), 0
+    for r in top:
+        at = F.lit(before * cells // total)
+        if r["v"] is None:
+            none = at
+        else:
+            cell += [F.lit(r["v"]), at]
+        before += r["count"]
+    left = min(cells - 1, before * cells // max(1, total))
+    rest = F.lit(left) + F.crc32(column.cast("binary")) % (cells - left)
+    own = F.coalesce(F.element_at(F.create_map(*cell), column), rest) if cell else rest
+    return F.when(column.isNull(), none).otherwise(own).cast("long")
+
+
+def number_cells(df: DataFrame, names: list[str], bits: int = BITS) -> list[Column]:
+    """Cells of numbers, between approximate quantiles: a binary search as one expression."""
+    shares = [k / (1 << bits) for k in range(1, 1 << bits)]
+    found = df.agg(*[F.percentile_approx(n, shares, 10_000).alias(f"q{k}") for k, n in enumerate(names)]).first()
+
+    def search(value: Column, edges: list, low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value > F.lit(edges[middle]), search(value, edges, middle + 1, high)).otherwise(search(value, edges, low, middle))
+
+    return [F.lit(0).cast("long") if found[k] is None else search(F.col(n), found[k], 0, len(shares)).cast("long") for k, n in enumerate(names)]
 
 
 def with_hilbert(df: DataFrame, cells: list[Column], bits: int = BITS, name: str = "hilbert") -> DataFrame:
@@ -87,10 +111,9 @@ def cut_runs(df: DataFrame, order: list[str], shards: int) -> DataFrame:
 
 def hilbert_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     """Documents' ids, sizes and shards; dimensions: language, source, length and id."""
-    least, most = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", "lang", "source", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
-    cells = [code_of("lang"), code_of("source"), log_of("size"), span_of("doc_id", least or 0, most or 0)]
+    cells = [category_cell(rows, "lang"), category_cell(rows, "source"), *number_cells(rows, ["size", "doc_id"])]
     indexed = with_hilbert(rows, cells).select("doc_id", "size", "text_crc32", "hilbert")
     return cut_runs(indexed, ["hilbert", "doc_id", "text_crc32"], shards)
 

@@ -4,7 +4,11 @@ Trusted positives are labelled rows of quality 1; the unlabelled set is web text
 trained to minimise the non-negative unbiased risk: prior * R+(positives) + max(0, R-(unlabelled) - prior * R-(positives)),
 with a gradient step the other way where the bracket falls below zero. The class prior is estimated from the labels.
 
-The model is fitted on bounded samples drawn by hash: POSITIVES and UNLABELLED rows on average; scoring covers every whole text.
+A text is described by SURFACE numbers (shares of bytes and marks, lengths, repetition, compressibility) and by its content: the shares of its
+words, and of its byte trigrams, in BUCKETS hashed buckets each.
+
+The model is fitted on bounded samples drawn by hash of id and text: POSITIVES and UNLABELLED rows on average (as in the method, the unlabelled rows are drawn from
+all training texts, trusted positives among them); features are taken in tasks, and the driver gets one row of numbers for each. Scoring covers every whole text.
 
 Defined results: null and empty texts are scored as empty; labels that are null or belong to no document teach nothing;
 without positives every score is 0.5; a document labelled twice counts twice; equal texts get equal scores; other columns are ignored.
@@ -27,17 +31,38 @@ from .common import crc_mod, documents, id_out, texts
 POSITIVES = 3000
 UNLABELLED = 6000
 HIDDEN = 24
+SURFACE = 38
+BUCKETS = 64
+WIDTH = SURFACE + 2 * BUCKETS
 #: Byte classes counted as shares: lower, upper, digits, white space, sentence marks, other marks, above ASCII.
 CLASSES = np.full(256, 5, np.int64)
 CLASSES[97:123], CLASSES[65:91], CLASSES[48:58], CLASSES[[9, 10, 11, 12, 13, 32]], CLASSES[[33, 39, 44, 46, 58, 59, 63]], CLASSES[128:] = 0, 1, 2, 3, 4, 6
 
 
-def features(text: str) -> list[float]:
+def content(raw: bytes, words: list[str]) -> np.ndarray:
+    """Root shares of a text's words and of its trigrams of bytes by hashed bucket."""
+    out = np.zeros(2 * BUCKETS)
+    if words:
+        counts = Counter(words)
+        bucket = np.fromiter((zlib.crc32(w.lower().encode()) % BUCKETS for w in counts), np.int64, len(counts))
+        out[:BUCKETS] = np.bincount(bucket, weights=list(counts.values()), minlength=BUCKETS) / len(words)
+    b = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    if len(b) > 2:
+        gram = (b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]) * np.uint32(2654435761) >> np.uint32(26)
+        out[BUCKETS:] = np.bincount(gram, minlength=BUCKETS) / len(gram)
+    return np.sqrt(out)
+
+
+def features(text: str) -> np.ndarray:
+    return np.concatenate([surface(text), content(text.encode(), text.split())])
+
+
+def surface(text: str) -> list[float]:
     """Shares and ratios of a whole text; empty texts give zeros."""
     raw = text.encode()
     n = len(raw)
     if not n:
-        return [0.0] * 38
+        return [0.0] * SURFACE
     seen = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
     classes = np.bincount(CLASSES, weights=seen, minlength=7) / n
     marks = seen[[33, 124, 35, 36, 37, 38, 42, 64, 44, 46, 10, 60, 61, 95, 47]] / n
@@ -107,6 +132,18 @@ def sampled(rows: DataFrame, n: int, most: int, seed: int) -> DataFrame:
     return rows.where(F.pmod(F.xxhash64(F.lit(seed), "_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n))))
 
 
+def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, WIDTH)
+        yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["row"])
+
+
+def matrix(rows: DataFrame) -> np.ndarray:
+    """Features of a sample, in an order of their own."""
+    found = sorted(bytes(r["row"]) for r in rows.select("text").mapInArrow(described, "row binary").collect())
+    return np.frombuffer(b"".join(found)).reshape(len(found), WIDTH)
+
+
 def quality_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> tuple[np.ndarray, ...] | None:
     """Learns from whole texts whose ids fall in the training share; labels from that share alone."""
     train = docs.where(crc_mod("doc_id", 3) != 1)
@@ -117,7 +154,6 @@ def quality_model(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES
     prior = min(0.98, max(0.02, n_pos / n))
     trusted = sampled(texts(train).join(own.where("quality = 1").select("_id"), "_id"), n_pos, positives, 1)
     web = sampled(texts(train), train.count(), unlabelled, 2)
-    matrix = lambda df: np.array([features(r.text) for r in df.select("text").orderBy(F.xxhash64("text")).toLocalIterator()]).reshape(-1, 38)
     return fit(matrix(trusted), matrix(web), prior)
 
 
@@ -126,7 +162,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, ...] | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, 38)
+            rows = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(score(model, rows))], names=["_id", "score"])
 
     return texts(docs).mapInArrow(run, "_id long, score double")

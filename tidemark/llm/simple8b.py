@@ -8,7 +8,9 @@ its first word and first escape are stored, so that all words of many blocks are
 A file row (Parquet holds the rows, so that Spark's commit protocol guards the write) is a run of whole documents:
 their ids, token counts, words, block places and escapes.
 
-Defined results: null and empty texts have only the end id; null ids sort last; rows that share an id are ordered by
+Texts are encoded as the library does with add_special_tokens=False alone: added tokens that stand in a text become their own ids.
+
+Defined results: null and empty texts have only the end id; texts of any length are encoded whole; null ids sort last; rows that share an id are ordered by
 their text's hash; an empty table gives no rows; other columns are ignored.
 """
 
@@ -120,7 +122,6 @@ def encoder(path: str) -> Pieces:
         from tokenizers import Tokenizer
 
         tool = Tokenizer.from_file(path)
-        tool.encode_special_tokens = True
         letters = tool.pre_tokenizer.alphabet()
         width = np.array([0 if t is None else len(t) if all(c in letters for c in t) else len(t.encode()) for t in (tool.id_to_token(i) for i in range(tool.get_vocab_size()))], np.int64)
 

@@ -6,9 +6,10 @@ texts span the Nyström approximation; kernel ridge regression, one language aga
 feature space. Whole batches of texts are scored by two matrix products: presence times landmark presence, and kernel
 times weights.
 
-The model is fitted on a bounded sample, PER_LANGUAGE labelled texts of each language on average, drawn by hash of the id.
+The model is fitted on a bounded sample, PER_LANGUAGE labelled texts of each language on average and MOST_TEXTS in all, drawn by hash of id and text;
+their spectra are taken in tasks, and the driver gets BUCKETS bits of each.
 
-Defined results: null texts and texts without a letter are `und` with score 0; so is every text if there is nothing to
+Defined results: texts of any length are read whole; of equal regressions the alphabetically first language is taken; null texts and texts without a letter are `und` with score 0; so is every text if there is nothing to
 learn from; rows without a language teach nothing; equal texts get equal results; other columns are ignored.
 """
 
@@ -26,6 +27,7 @@ from .common import crc_mod, documents, id_col, id_out, release
 BUCKETS = 1 << 14
 LANDMARKS = 192
 PER_LANGUAGE = 500
+MOST_TEXTS = 20_000
 RIDGE = 1e-2
 BATCH = 128
 MOST_BROADCAST = 10_000
@@ -52,20 +54,28 @@ def kernel(rows: np.ndarray, marks: np.ndarray) -> np.ndarray:
     return (rows @ marks.T) / norm
 
 
-def fit(texts: list[str], langs: list[str], landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
-    """(languages, landmark presence, weights) or None without texts."""
+def packed(texts: list[str]) -> np.ndarray:
+    """Presence as bits."""
+    return np.packbits(presence(texts).astype(bool), axis=1)
+
+
+def unpacked(rows: np.ndarray) -> np.ndarray:
+    return np.unpackbits(rows, axis=1).astype(np.float32)
+
+
+def fit(spectra: np.ndarray, langs: list[str], landmarks: int = LANDMARKS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
+    """(languages, landmark presence, weights) from packed spectra, or None without any."""
     names = sorted(set(langs))
     if not names:
         return None
     by = {x: [i for i, l in enumerate(langs) if l == x] for x in names}
     share = max(1, landmarks // len(names))
-    chosen = [i for x in names for i in by[x][:share]][: max(landmarks, len(names))]
-    marks = presence([texts[i] for i in chosen])
+    marks = unpacked(spectra[[i for x in names for i in by[x][:share]][: max(landmarks, len(names))]])
     k_mm = kernel(marks, marks).astype(np.float64)
     values, vectors = np.linalg.eigh(k_mm)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    z = np.concatenate([kernel(presence(texts[i : i + BATCH]), marks) for i in range(0, len(texts), BATCH)]) @ root
+    z = np.concatenate([kernel(unpacked(spectra[i : i + BATCH]), marks) for i in range(0, len(spectra), BATCH)]) @ root
     z = np.concatenate([z, np.ones((len(z), 1))], axis=1)
     y = np.array([[1.0 if l == x else -1.0 for x in names] for l in langs])
     balance = np.array([len(langs) / (len(names) * len(by[l])) for l in langs])[:, None]
@@ -82,16 +92,25 @@ def score(model: tuple[list[str], np.ndarray, np.ndarray], texts: list[str], mar
     return [names[i] for i in best], (1 / e.sum(1)).astype(np.float64)
 
 
-def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], list[str]]:
-    """Texts and languages, about per_language each, evenly by a hash of id and text."""
+def training_rows(docs: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_TEXTS) -> tuple[np.ndarray, list[str]]:
+    """Packed spectra and languages of about per_language texts each, `most` in all, evenly by a hash of id and text."""
     rows = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)).alias("_r"))
     counts = rows.groupBy("lang").count()
-    rates = counts.select(F.col("lang").alias("_l"), (F.lit(per_language * 1_000_000) / F.col("count")).alias("_rate"))
-    if counts.count() <= MOST_BROADCAST:  # a row a language; texts stay where they are
+    languages = counts.count()
+    rates = counts.select(F.col("lang").alias("_l"), (F.lit(min(per_language, most / max(1, languages)) * 1_000_000) / F.col("count")).alias("_rate"))
+    if languages <= MOST_BROADCAST:  # a row a language; texts stay where they are
         rates = F.broadcast(rates)
-    got = rows.join(rates, F.col("lang") == F.col("_l")).where("_r <= _rate").select("lang", "text", "_r").collect()
-    got.sort(key=lambda r: (r["_r"], r["lang"], r["text"]))
-    return [r["text"] for r in got], [r["lang"] for r in got]
+
+    def spectra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, BATCH):
+                part = batch.slice(low, BATCH)
+                bits = packed(part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("_r"), part.column("lang"), pa.array([b.tobytes() for b in bits], pa.binary())], names=["r", "lang", "bits"])
+
+    drawn = rows.join(rates, F.col("lang") == F.col("_l")).where("_r <= _rate").select("_r", "lang", "text")
+    got = sorted((r["r"], r["lang"], bytes(r["bits"])) for r in drawn.mapInArrow(spectra, "r long, lang string, bits binary").collect())
+    return np.frombuffer(b"".join(b for _, _, b in got), np.uint8).reshape(len(got), BUCKETS // 8), [lang for _, lang, _ in got]
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray] | None) -> DataFrame:

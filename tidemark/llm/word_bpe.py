@@ -2,9 +2,10 @@
 
 Pre-tokens (matches of the tokenizer's pattern) are numbered in each chunk with their positions kept; each distinct
 word of the corpus is encoded once, in the bucket of its hash, the ids are joined back to the chunks that use it and
-the documents are put together by position. Decoding joins ids to the table of the tokens' bytes.
+the documents are put together by position. Decoding joins ids to the table of the tokens' bytes, which each task holds (50,256 rows here):
+a word's ids once a chunk.
 
-Defined results: null and empty texts have no ids; null ids of documents are kept; repeated rows each have a row; an
+Defined results: null and empty texts have no ids; texts of any length are taken whole, in groups of 2 MB, one text at least; null ids of documents are kept; repeated rows each have a row; an
 empty table gives none; columns beyond doc_id and text are ignored.
 """
 
@@ -53,6 +54,13 @@ def word_coder(pattern: str):
     return new
 
 
+@cache
+def token_bytes(path: str) -> list[bytes]:
+    """The token-byte table, by id; as large as the vocabulary, whatever the corpus."""
+    found = {i: b for b, i in ranks(path).items()}
+    return [found.get(i, b"") for i in range(max(found, default=-1) + 1)]
+
+
 @cache
 def merger(path: str):
     import tiktoken
@@ -65,7 +73,7 @@ def encode_words(path: str):
 
     def values(words: list[bytes], _: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tool = merger(path)
-        rows = [tool._encode_single_piece(w) for w in words]
+        rows = [tool.encode_ordinary(w.decode()) for w in words]
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
         return lens, np.fromiter((x for r in rows for x in r), np.int64, int(lens.sum()))
 
@@ -106,7 +114,7 @@ def decode(ids: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = {i: b for b, i in ranks(path).items()}
+        table = dict(enumerate(token_bytes(path)))
         for b in batches:
             out = [None if row is None else b"".join(table.get(i, b"") for i in row) for row in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(out, pa.binary())], names=["_id", "bytes"])
@@ -121,10 +129,7 @@ def digests(path: str):
     """Per document: tokens, the digest of its ids and of the bytes that they decode to; each word's ids decode once a chunk."""
 
     def finish(ids: np.ndarray, counts: np.ndarray, numbers: np.ndarray, lens: np.ndarray, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-        table: list[bytes] = [b""] * (max(int(flat.max(initial=0)) + 1, 1))
-        for b, i in ranks(path).items():
-            if i < len(table):
-                table[i] = b
+        table = token_bytes(path)
         stops = np.cumsum(lens).tolist()
         tokens = flat.tolist()
         decimals = list(map(str, range(len(table))))
