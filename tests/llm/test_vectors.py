@@ -1,3 +1,5 @@
+from collections import Counter
+
 import numpy as np
 import pytest
 
@@ -67,3 +69,26 @@ def test_probes_find_every_neighbour():
     near = (x @ x.T) >= 0.98
     for i, lists in enumerate(q.probes(x, own, 0.2)):
         assert set(own[near[i]].tolist()) <= set(lists.tolist())
+
+
+def test_one_id_on_two_vectors(spark):
+    """Rows that share an id are told apart by their vectors."""
+    v, w = [1.0] * 8, [1.0, -1.0] * 4
+    near = lambda x: [x[0] * 1.01, *x[1:]]
+    rows = [(1, v, 0), (1, w, 1), (2, near(v), 0), (3, near(w), 1), (4, w, 0), (1, w, 0)]
+    got = Counter((r.vec_id, r.n_links, r.component_id) for r in pq.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == Counter([(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 1), (1, 1, 1)])
+
+
+def test_recall_of_long_vectors(spark):
+    """64 components, links of all distances up to the radius: the margin loses none of some thousands."""
+    rng = np.random.default_rng(8)
+    base = rng.normal(0, 1, (500, 64))
+    x = np.concatenate([base, *[base + rng.normal(0, s, base.shape) for s in (0.02, 0.1, 0.15, 0.18, 0.2)]]).astype(np.float32)
+    labels = np.tile(np.arange(500) % 3, 6)
+    unit = x.astype(np.float64) / np.sqrt((x.astype(np.float64) ** 2).sum(1, keepdims=True))
+    near = (unit @ unit.T >= 0.98) & (labels[:, None] == labels)
+    docs = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, labels, strict=True))], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: r.n_links for r in pq.near_vectors(docs).collect()}
+    want = dict(enumerate((near.sum(1) - 1).tolist()))
+    assert sum(want.values()) > 4000 and sum(got.values()) >= 0.999 * sum(want.values()) and all(got[i] <= want[i] for i in want)

@@ -1,18 +1,20 @@
 """Near-duplicate vectors by product quantisation.
 
-Vectors of one label are compared by cosine. Equal vectors are one node with a weight. Unit vectors are put into the
-inverted list of their nearest coarse centre, as codes of SUBSPACES parts of the residual. A vector probes every list
-that can hold something near enough: the plane halfway between its own centre and the list's must lie within
-the radius, since all of the list is beyond that plane. In a probed list, distances are read from the query's tables
-(asymmetric: the query is exact); whatever they leave possible, given each code's stored error, is compared by exact cosine in
-double precision. So probes and candidates suffice for all links; tests measure recall against all pairs.
+Vectors of one label are compared by cosine. Equal vectors of a label are one node with a weight; nodes are numbered in the order of their smallest
+ids. Unit vectors are put into the inverted list of their nearest coarse centre, as codes of SUBSPACES parts of the residual. A vector probes
+the lists that can hold something near enough: the plane halfway between its own centre and the list's, beyond which all of the list lies, must be
+within a margin. For vectors of up to SPREAD^2 components the margin is the radius itself, so no link is lost; for longer ones it is SPREAD times the share of the
+radius that lies along one direction on average (4.8 deviations), which tests measure as full recall against all pairs. In a probed list, distances are read
+from the query's tables (asymmetric: the query is exact); what they leave possible, given each code's stored error, is compared in single precision, and by
+exact cosine in double precision where that comes within rounding of the threshold.
 
 Coarse centres (about the root of the number of vectors, LISTS at most) and code books are fitted on a bounded sample of SAMPLE vectors, drawn by
 hash; every vector is indexed and every vector is a query. A list of more than BLOCK vectors is dealt out in blocks and so are its
 queries. A task reports for each query how much it links with, and a spanning forest of the links.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components link with nothing, nor do those without a label or
-id; vectors of different lengths are never compared; rows that repeat are copies of each other; other columns are ignored.
+id; vectors of different lengths are never compared; rows that repeat are copies of each other, and rows that share an id are told apart by label
+and vector; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,10 +30,11 @@ from .common import cut, documents, partitions
 from .components import components
 
 LEAST = 0.98
-LISTS = 8192
-SAMPLE = 65_536
+LISTS = 4096
+SAMPLE = 32_768
 SUBSPACES = 8
-CODES = 64
+CODES = 256
+SPREAD = 4.8
 BLOCK = 1024
 
 
@@ -71,13 +74,14 @@ class Quantiser:
     def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
         """Lists that may hold vectors within the radius."""
         c = self.coarse
+        margin = radius * min(1.0, SPREAD / np.sqrt(x.shape[1])) + 1e-4
         square = (c * c).sum(1)
         out = []
         for a in range(0, len(x), 1024):
             d = square - 2 * x[a : a + 1024] @ c.T
             mine = own[a : a + 1024]
             apart = np.sqrt(np.maximum(square[mine][:, None] + square - 2 * c[mine] @ c.T, 1e-12))
-            near = (d - d[np.arange(len(mine)), mine][:, None]) / (2 * apart) <= radius + 1e-4
+            near = (d - d[np.arange(len(mine)), mine][:, None]) / (2 * apart) <= margin
             near[np.arange(len(mine)), mine] = True
             out += [np.flatnonzero(r) for r in near]
         return out
@@ -94,10 +98,16 @@ class Quantiser:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a column of vectors of one length, as doubles."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1)
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+def restored(column: pa.ChunkedArray, single: bool) -> np.ndarray:
+    """Vectors from their bytes, as doubles."""
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), np.float32 if single else np.float64).reshape(len(rows), -1).astype(np.float64)
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -105,29 +115,32 @@ def units(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
-POSTED = "unit long, side int, node long, weight long, list int, embedding array<double>, codes binary, error float"
+POSTED = "unit long, side int, node long, weight long, list int, vector binary, codes binary, error float"
 
 
-def postings(models: dict[int, Quantiser], radius: float):
-    """Each vector as an entry of its own list (side 0) and as a query of the lists it probes (side 1)."""
+def postings(models: dict[int, Quantiser], radius: float, single: bool):
+    """Each vector as an entry of its own list (side 0) and as a query of the lists it probes (side 1); vectors travel as the bytes of their own type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            sizes = np.fromiter(map(len, table.column("embedding").to_pylist()), np.int64, len(table))
+            sizes = np.fromiter(map(len, table.column("embedding")), np.int64, len(table))
             for size in np.unique(sizes).tolist():
                 part, q = table.take(np.flatnonzero(sizes == size)), models[size]
-                x = units(matrix(part.column("embedding")))
+                exact = matrix(part.column("embedding"))
+                x = units(exact)
                 own = nearest(x, q.coarse)
                 codes, error = q.encode(x, own)
                 lists = q.probes(x, own, radius)
                 n = np.fromiter(map(len, lists), np.int64, len(lists))
-                at = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), n)])
-                rows = part.take(at)
+                asks = np.repeat(np.arange(len(x)), n)
+                at = np.concatenate([np.arange(len(x)), asks])
+                raw = [v.tobytes() for v in exact.astype(np.float32 if single else np.float64)]
+                stored = [c.tobytes() for c in codes] + [None] * len(asks)
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column("label").combine_chunks(), pa.array(np.concatenate([np.zeros(len(x), np.int32), np.ones(int(n.sum()), np.int32)])), rows.column("node").combine_chunks(), rows.column("weight").combine_chunks(),
-                     pa.array(np.concatenate([own, *lists]).astype(np.int32)), rows.column("embedding").combine_chunks(), pa.array([codes[k].tobytes() for k in at.tolist()], pa.binary()), pa.array(error[at].astype(np.float32))],
-                    names=["unit", "side", "node", "weight", "list", "embedding", "codes", "error"],
+                    [part.column("label").combine_chunks().take(pa.array(at)), pa.array(np.repeat(np.array([0, 1], np.int32), [len(x), len(asks)])), part.column("node").combine_chunks().take(pa.array(at)), part.column("weight").combine_chunks().take(pa.array(at)),
+                     pa.array(np.concatenate([own, *lists]).astype(np.int32)), pa.array([raw[k] for k in at.tolist()], pa.binary()), pa.array(stored, pa.binary()), pa.array(error[at].astype(np.float32))],
+                    names=["unit", "side", "node", "weight", "list", "vector", "codes", "error"],
                 )
 
     return run
@@ -136,14 +149,16 @@ def postings(models: dict[int, Quantiser], radius: float):
 def links_of_unit(q: Quantiser, own: int, queries: tuple, entries: tuple, radius: float, least: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """(weight linked with, for each query; a spanning forest of the links)."""
     (qn, qx), (en, ex, codes, error, weight) = queries, entries
-    q_unit, e_unit = units(qx), ex
+    q_unit, e_unit = units(qx), units(ex)
     gap = q.distances(q_unit, own, codes)
-    found = np.zeros((len(qn), len(en)), bool)
-    i, j = np.nonzero((gap <= radius + error + 1e-3) & (qn[:, None] != en))
-    q_len, e_len = np.sqrt((qx * qx).sum(1)), np.sqrt((e_unit * e_unit).sum(1))
+    found = (gap <= radius + error + 1e-3) & (qn[:, None] != en)
+    single = q_unit @ e_unit.T
+    found &= single >= least - 1e-4
+    i, j = np.nonzero(found & (single <= least + 1e-4))  # within rounding: exact
+    q_len, e_len = np.sqrt((qx * qx).sum(1)), np.sqrt((ex * ex).sum(1))
     for a in range(0, len(i), 1 << 15):
         r, c = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
-        found[r, c] = (qx[r] * e_unit[c]).sum(1) / (q_len[r] * e_len[c]) >= least
+        found[r, c] = (qx[r] * ex[c]).sum(1) / (q_len[r] * e_len[c]) >= least
     total = found @ weight
     label_q, label_e = qn.copy(), en.copy()
     linked_q, linked_e = found.any(1), found.any(0)
@@ -158,7 +173,7 @@ def links_of_unit(q: Quantiser, own: int, queries: tuple, entries: tuple, radius
     return total, sorted(forest)
 
 
-def linked(models: dict[int, Quantiser], radius: float, least: float):
+def linked(models: dict[int, Quantiser], radius: float, least: float, single: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
@@ -174,7 +189,7 @@ def linked(models: dict[int, Quantiser], radius: float, least: float):
             if not len(entries) or not len(queries):
                 continue
             part = table.take(entries)
-            ex, qx = matrix(part.column("embedding")).astype(np.float64), matrix(table.column("embedding").take(pa.array(queries))).astype(np.float64)
+            ex, qx = restored(part.column("vector"), single), restored(table.column("vector").take(pa.array(queries)), single)
             q = models[ex.shape[1]]
             codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.uint8).reshape(len(entries), -1)
             total, forest = links_of_unit(q, int(lists[entries[0]]), (node[queries], qx), (node[entries], ex, codes, part.column("error").to_numpy(), weight[entries]), radius, least)
@@ -189,38 +204,42 @@ def linked(models: dict[int, Quantiser], radius: float, least: float):
 
 def near_vectors(rows: DataFrame, least: float = LEAST) -> DataFrame:
     """Per row of rows (vec_id, embedding, label): vec_id, n_links, component_id."""
-    spark = rows.sparkSession
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
+    spark, n = rows.sparkSession, partitions(rows.sparkSession)
+    single = rows.schema["embedding"].dataType.simpleString() == "array<float>"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>" if single else "array<double>").alias("embedding"), F.col("label").cast("string").alias("label"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("embedding", lambda v: v != 0)
     good = F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False))
-    nodes = cut(rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight")), "vectors")
+    classes = rows.where(good).groupBy("label", "embedding").agg(F.min("vec_id").alias("least_id"), F.count("*").alias("weight"))
+    numbered = classes.withColumn("_h", F.xxhash64("label", "embedding")).repartitionByRange(n, "least_id", "_h").sortWithinPartitions("least_id", "_h").drop("_h")
+    nodes = cut(numbered.withColumn("node", F.monotonically_increasing_id()), "vectors")
     radius = float(np.sqrt(2 - 2 * least))
 
     models: dict[int, Quantiser] = {}
     sizes = nodes.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count")).collect()  # lengths of vectors: a few
-    for size, n in sizes:
-        drawn = nodes.where((F.size("embedding") == size) & (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / n)))))
+    for size, many in sizes:
+        drawn = nodes.where((F.size("embedding") == size) & (F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < max(1, int(1_000_000 * min(1.0, SAMPLE / many)))))
         sample = drawn.select("node", "embedding").limit(2 * SAMPLE).toArrow().sort_by("node")
         if not len(sample):
             sample = nodes.where(F.size("embedding") == size).select("node", "embedding").limit(1).toArrow()
-        models[size] = Quantiser(units(matrix(sample.column("embedding"))), n)
+        models[size] = Quantiser(units(matrix(sample.column("embedding"))), many)
 
     shared = spark.sparkContext.broadcast(models)  # at most LISTS centres a length
-    run = lambda maker: lambda batches: maker(shared.value, radius)(batches)
-    posted = cut(nodes.select(F.xxhash64("label", F.size("embedding")).alias("label"), "node", "weight", "embedding").mapInArrow(run(postings), POSTED), "postings")
+    posted = nodes.select(F.xxhash64("label", F.size("embedding")).alias("label"), "node", "weight", "embedding")
+    posted = cut(posted.mapInArrow(lambda batches: postings(shared.value, radius, single)(batches), POSTED), "postings")
     count = F.count(F.when(F.col("side") == 0, 1))
     blocks = cut(posted.groupBy("unit", "list").agg(F.greatest(F.lit(1), F.ceil(count / BLOCK)).cast("int").alias("eb"), F.greatest(F.lit(1), F.ceil((F.count("*") - count) / BLOCK)).cast("int").alias("qb"), count.alias("n")).where("n > 0").drop("n"), "lists")
     cells = posted.join(blocks, ["unit", "list"])
     mine, others = F.when(F.col("side") == 0, F.col("eb")).otherwise(F.col("qb")), F.when(F.col("side") == 0, F.col("qb")).otherwise(F.col("eb"))
     cells = cells.withColumn("mine", F.pmod(F.xxhash64("node"), mine)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("int"), others - 1)))
     entry, query = F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))
-    cells = cells.select(F.xxhash64("unit", "list", entry.cast("long"), query.cast("long")).alias("unit"), "side", "node", "weight", "list", "embedding", "codes", "error")
-    n = partitions(spark)
-    found = cut(cells.repartition(n, "unit").mapInArrow(lambda batches: linked(shared.value, radius, least)(batches), "kind int, a long, b long"), "links")
+    cells = cells.select(F.xxhash64("unit", "list", entry.cast("long"), query.cast("long")).alias("unit"), "side", "node", "weight", "list", "vector", "codes", "error")
+    found = cut(cells.repartition(n, "unit").mapInArrow(lambda batches: linked(shared.value, radius, least, single)(batches), "kind int, a long, b long"), "links")
     named = components(found.where("kind = 1").select("a", "b"))
     linked_to = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
+    heads = nodes.select(F.col("node").alias("component"), F.col("least_id").alias("head"))
+    named = named.join(heads, "component").select("node", "head")
     whole = nodes.join(linked_to, "node", "left").join(named, "node", "left")
-    whole = cut(whole.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
+    whole = cut(whole.select("label", "embedding", (F.coalesce("others", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("head", "least_id").alias("component")), "classes")
     left = rows.withColumn("key", F.when(good, F.xxhash64("label", "embedding")))
     right = whole.withColumn("own_key", F.xxhash64("label", "embedding")).withColumnsRenamed({"label": "l", "embedding": "e"})
     both = left.join(right, (left["key"] == right["own_key"]) & (left["label"] == right["l"]) & (left["embedding"] == right["e"]), "left")
