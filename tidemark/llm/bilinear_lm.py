@@ -14,7 +14,7 @@ parameters, go through batches of BATCH tokens against NOISE samples drawn from
 targets) with AdaGrad, and report what they changed; changes are averaged row by row, weighted by the squared gradients behind them, block by
 block in tasks of their own. There are at most twice as many such tasks as cores.
 
-Bound: at most MOST words have vectors of their own (reached at 4.3 billion training tokens), so the parameters, the one thing sent to all
+Bound: at most MOST words have vectors of their own (reached at 7.6 billion training tokens), so the parameters, the one thing sent to all
 tasks, stay below 80 MB. Words beyond share vectors by ending, as all rarer words do.
 
 Defined results: null and empty texts are one end token; without training texts the model is the base model, whose
@@ -33,10 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, documents, drop_cut, id_out, release, texts
+from .common import NO_ID, cut, documents, drop_cut, id_out, one_thread, release, texts
 from .dictionary import by_bucket, chunked, loosen, read_chunks, squeeze, unpack_words, with_values
 
-VECTORS = 4
+VECTORS = 3
 MOST = 1 << 18
 LEAST_COUNT = 4
 ENDINGS = 2048
@@ -222,8 +222,14 @@ class LogBilinear:
 
         def normalised(r, q, own):
             s = r @ q.T
-            s -= s.max(1, keepdims=True)
-            return s[np.arange(len(own)), own] - np.log(np.exp(s).sum(1))
+            mine = s[np.arange(len(own)), own]
+            with np.errstate(over="ignore"):
+                total = np.exp(s, out=s).sum(1)
+            if np.isfinite(total).all() and total.all():
+                return mine - np.log(total)
+            s = r @ q.T
+            top = s.max(1, keepdims=True)
+            return mine - top[:, 0] - np.log(np.exp(s - top).sum(1))
 
         for low in range(0, len(cells), BATCH):
             own, r = cells[low : low + BATCH], self.vectors(contexts[:, low : low + BATCH])
@@ -285,6 +291,7 @@ def trained(rows: DataFrame, counts: np.ndarray, tokens: int) -> LogBilinear:
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             from pyspark import TaskContext
 
+            one_thread()
             own = LogBilinear(counts)
             table, squares = shared.value
             own.table, own.squares = table.copy(), squares.copy()
@@ -348,6 +355,7 @@ def scores(docs: DataFrame) -> tuple[DataFrame, int]:
         model = spark.sparkContext.broadcast(fitted.table)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         own = LogBilinear(counts)
         if model is not None:
             own.table = model.value

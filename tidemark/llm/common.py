@@ -58,6 +58,21 @@ def release() -> None:
         pass
 
 
+def one_thread() -> None:
+    """Has matrix products of this worker use one thread: tasks share an executor's cores, and idle threads of the library would spin on them."""
+    try:
+        with open("/proc/self/maps") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+        for path in paths:
+            library = ctypes.CDLL(path)
+            for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(library, name):
+                    getattr(library, name)(1)
+                    break
+    except OSError:  # no such library, or another system
+        pass
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
