@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, documents, id_out, partitions, release, texts
+from .common import NO_ID, cut, documents, drop_cut, id_out, partitions, release, texts
 from .components import components
 
 PERMUTATIONS = 128
@@ -279,8 +279,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     if known.count() <= BROADCAST_IDS:  # 16 MB of ids; more are joined by a shuffle
         wanted = F.broadcast(wanted)
     held = docs.join(wanted, "_id", "left_semi").withColumn("digest", F.unhex(F.sha2("text", 256))).dropDuplicates(["_id", "digest"])
-    members = known.join(held, ["_id", "digest"]).select("family", "n", "node", "sig", "bands", "text")
+    members = cut(known.join(held, ["_id", "digest"]).select("family", "n", "node", "sig", "bands", "text"), "member_texts")
     found = components(family_links(members, words, percent, least))
+    drop_cut(members)
+    drop_cut(known)
 
     heads = nodes.select(F.col("node").alias("component"), F.col("_id").alias("head"), F.col("digest").alias("head_digest"))
     named = found.join(heads, "component").withColumnsRenamed({"node": "n"})

@@ -38,6 +38,7 @@ LENGTH = 100
 GRAM = 24
 HOT = 512
 CHUNK_BYTES = 8_000_000
+PACK_BYTES = 32_000_000
 SEGMENT = 1 << 22
 GROUP = 1 << 18
 BATCH = 1 << 15
@@ -243,6 +244,26 @@ def unpacked_docs(row: dict) -> list[tuple[int, int, bytes]]:
     return list(zip(loosen(row["a"], np.int64).tolist(), loosen(row["c"], np.int64).tolist(), unpack_words(loosen(row["b"])), strict=True))
 
 
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's documents for each chunk, packed, PACK_BYTES of text at a time."""
+    by: dict[int, list[tuple[int, int, bytes]]] = {}
+    size = 0
+
+    def close() -> pa.RecordBatch:
+        return row_batch([(c, *packed_docs(c, rows)[1:]) for c, rows in by.items()])
+
+    for b in batches:
+        for c, i, h, t in zip(*(b.column(k).to_pylist() for k in ("chunk", "_id", "hash")), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            by.setdefault(c, []).append((i, h, t))
+            size += len(t)
+        if size >= PACK_BYTES:
+            yield close()
+            by, size = {}, 0
+    if by:
+        yield close()
+    release()
+
+
 def chunk_table(docs: DataFrame) -> tuple[DataFrame, int]:
     """Documents dealt by a hash of id and text to chunks of about CHUNK_BYTES, one row each; ranges of the hash, so chunks are in its order."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -251,14 +272,15 @@ def chunk_table(docs: DataFrame) -> tuple[DataFrame, int]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by: dict[int, list[tuple[int, int, bytes]]] = {}
         for b in batches:
-            for c, i, h, t in zip(*(b.column(k).to_pylist() for k in ("chunk", "_id", "hash")), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                by.setdefault(c, []).append((i, h, t))
-        for c, rows in by.items():
-            yield row_batch([packed_docs(c, rows)])
+            for row in b.to_pylist():
+                by.setdefault(row["chunk"], []).extend(unpacked_docs(row))
+        while by:
+            yield row_batch([packed_docs(*by.popitem())])
+        release()
 
     hashed = docs.withColumn("hash", F.shiftrightunsigned(F.xxhash64("_id", "text"), 32))
-    dealt_out = hashed.withColumn("chunk", F.shiftright(F.col("hash") * chunks, 32)).repartitionById(chunks, F.col("chunk").cast("int"))
-    return cut(dealt_out.mapInArrow(run, ROWS), "chunks", "none"), chunks
+    packed = hashed.withColumn("chunk", F.shiftright(F.col("hash") * chunks, 32)).mapInArrow(packs, ROWS)
+    return cut(packed.repartitionById(chunks, F.col("kind")).mapInArrow(run, ROWS), "chunks", "none"), chunks
 
 
 def anchors_of_chunks(parts: int, length: int, gram: int):
