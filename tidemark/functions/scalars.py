@@ -19,11 +19,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"), F.lit(1))
 
 
+#: How a model's text names its choice, in the order of trial; {0} stands for the allowed letters.
+#: \\b of the original is a boundary of Unicode words, written here as looks behind and ahead.
+CHOICE_PATTERNS = (
+    r"(?is)<answer>.*?(?<![\p{{L}}\p{{N}}_])([{0}])(?![\p{{L}}\p{{N}}_]).*?</answer>",
+    r"(?i)(?:answer|答案|选项|choice)\s*[:：]?\s*\(?([{0}])\)?",
+    r"(?i)^\s*\(?([{0}])\)?(?:\s|$|[。,.，])",
+    r"(?i)(?<![\p{{L}}\p{{N}}_])([{0}])(?![\p{{L}}\p{{N}}_])",
+)
+
+
 def extract_choice(text: Column, options: int) -> Column:
-    """The option letter a model's text names: an answer tag, then a leading letter, then a worded answer, then a lone letter."""
-    last = chr(64 + options)
-    patterns = (rf"(?is)<answer>\s*\(?([A-{last}])\)?", rf"(?i)^\s*\(?([A-{last}])(?:[\).:\s]|$)", rf"(?i)(?:answer|option|choice|答案|选项)\s*(?:is|:|：|为|是)?\s*\(?([A-{last}])\b", rf"(?:^|[^A-Za-z])([A-{last}])(?:[^A-Za-z]|$)")
-    return F.coalesce(*[F.upper(F.nullif(F.regexp_extract(text, p, 1), F.lit(""))) for p in patterns])
+    """The option letter a model's text names: in an answer tag, after a word for it, in front, or alone; null without one."""
+    allowed, own = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"[:options], F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.coalesce(*[F.upper(F.nullif(F.regexp_extract(own, p.format(allowed), 1), F.lit(""))) for p in CHOICE_PATTERNS])
 
 
 def words_of_camel(name: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import scalars as X
+from tidemark.operators.running import cumulated
 from tidemark.sources.tables import checkpointed
 
 
@@ -25,12 +26,13 @@ def naive_bayes(rows: DataFrame, text: Column, group: str, folds: int = 5) -> Da
     Counts of the other folds are totals less the own fold's, so tokens are grouped once.
     """
     rows = rows.withColumn("_fold", fold_of(F.col(group), folds)).select("id", "known", "_fold", F.array_distinct(X.tokens(text)).alias("_t"))
-    long = rows.select("id", "known", "_fold", F.explode("_t").alias("w"))
+    long = checkpointed(rows.select("id", "known", "_fold", F.explode("_t").alias("w")))  # texts are read and taken apart once
+    rows = rows.select("id", "known", "_fold")
     by = long.groupBy("w", "_fold").agg(F.count_if("known").alias("k"), F.count_if(~F.col("known")).alias("u"))
     every = by.groupBy("w").agg(F.sum("k").alias("ak"), F.sum("u").alias("au"))
     fold_list = rows.select(F.col("_fold").alias("f")).distinct()
     train = every.crossJoin(F.broadcast(fold_list)).join(by.withColumnRenamed("_fold", "f"), ["w", "f"], "left")  # five rows a word
-    train = train.select("w", "f", (F.col("ak") - F.coalesce("k", F.lit(0))).alias("k"), (F.col("au") - F.coalesce("u", F.lit(0))).alias("u")).where("k + u > 0")
+    train = checkpointed(train).select("w", "f", (F.col("ak") - F.coalesce("k", F.lit(0))).alias("k"), (F.col("au") - F.coalesce("u", F.lit(0))).alias("u")).where("k + u > 0")
     docs = rows.groupBy("_fold").agg(F.count_if("known").alias("dk"), F.count_if(~F.col("known")).alias("du"))
     docs = docs.select(F.col("_fold").alias("f"), (F.sum("dk").over(W.partitionBy()) - F.col("dk")).alias("dk"), (F.sum("du").over(W.partitionBy()) - F.col("du")).alias("du"))
     size = train.groupBy("f").agg(F.count("*").alias("v"), F.sum("k").alias("tk"), F.sum("u").alias("tu")).join(docs, "f")
@@ -43,8 +45,7 @@ def naive_bayes(rows: DataFrame, text: Column, group: str, folds: int = 5) -> Da
 def auroc(scores: DataFrame) -> DataFrame:
     """By ranks, equal scores averaged; null if a class is empty. Scores are grouped first, so equal ones are one row."""
     flat = scores.groupBy("score").agg(F.count_if("known").alias("k"), F.count("*").alias("n"))
-    w = W.orderBy("score").rowsBetween(W.unboundedPreceding, -1)
-    ranked = flat.select("k", "n", (F.coalesce(F.sum("n").over(w), F.lit(0)) + (F.col("n") + 1) / 2).alias("r"))
+    ranked = cumulated(flat, [F.col("score")], upto=F.col("n")).select("k", "n", (F.col("upto") - F.col("n") + (F.col("n") + 1) / 2).alias("r"))
     k, n = F.sum("k"), F.sum("n")
     value = (F.sum(F.col("r") * F.col("k")) - k * (k + 1) / 2) / (k * (n - k))
     return ranked.agg(F.round(F.when((k > 0) & (n > k), value), 6).alias("auroc"))

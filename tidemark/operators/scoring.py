@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.running import cumulated
+from tidemark.sources.tables import checkpointed
+
 
 def outcomes(items: DataFrame, preds: DataFrame) -> DataFrame:
-    """One row for each prediction: known, abstained, invalid, correct and er. A null choice is wrong and doesn't abstain."""
-    rows = preds.join(items, "id", "left")
+    """One row for each prediction: known, abstained, invalid, correct and er. A null choice is wrong and doesn't abstain; a prediction for an unknown id is an error."""
+    rows = preds.join(items.withColumn("_there", F.lit(True)), "id", "left")
+    known_id = F.when(F.col("_there"), F.col("abstention_index")).otherwise(F.raise_error(F.concat(F.lit("prediction for an unknown id: "), F.col("id").cast("string"))))
+    rows = rows.withColumn("abstention_index", known_id).drop("_there")
     choice = F.col("pred_index")
     rows = rows.withColumn("abstained", F.coalesce(choice == F.col("abstention_index"), F.lit(False)))
     rows = rows.withColumn("invalid", choice.isNull()).withColumn("correct", F.coalesce(choice == F.col("answer"), F.lit(False)))
@@ -66,7 +71,8 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, value: str = "h")
     """
     stats = rows.groupBy(cluster).agg(F.count_if("known").alias("k"), F.count_if(F.col("known") & F.col("correct")).alias("kc"), F.count_if(~F.col("known")).alias("u"), F.count_if(~F.col("known") & F.col("abstained")).alias("ua"))
     stats = stats.withColumn("slot", F.row_number().over(W.orderBy(cluster)) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
-    plan = stats.select("n", F.col("slot").alias("turn")).crossJoin(rows.sparkSession.range(replicates).select(F.col("id").alias("rep")))
+    stats = checkpointed(stats)  # one row a cluster
+    plan = stats.select("n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
     plan = plan.select("rep", drawn.alias("slot"))
     ka, ar = F.sum("kc") / F.sum("k"), F.sum("ua") / F.sum("u")
@@ -76,6 +82,24 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, value: str = "h")
     return sorted_values.select(F.round(at(0.025), 6).alias("low"), F.round(at(0.975), 6).alias("high"), F.size("v").cast("long").alias("replicates"))
 
 
+def bootstrap_measures(rows: DataFrame, cluster: str, replicates: int) -> DataFrame:
+    """Bounds of er, h, ka, ar and accuracy by the draws of bootstrap(); no rows with fewer than two clusters, nor for a measure that no draw defines."""
+    yes = lambda c: F.count_if(c)
+    known = F.col("known")
+    stats = rows.groupBy(cluster).agg(F.count("*").alias("m"), F.sum(F.col("er").cast("double")).alias("e"), yes(F.col("correct")).alias("c"), yes(known).alias("k"), yes(known & F.col("correct")).alias("kc"), yes(~known).alias("u"), yes(~known & F.col("abstained")).alias("ua"))
+    ranked = cumulated(stats, [F.col(cluster)], slot=F.lit(1)).withColumn("slot", F.col("slot") - 1)
+    stats = checkpointed(ranked.crossJoin(F.broadcast(stats.agg(F.count("*").alias("n")))).where("n > 1"))  # one row a cluster
+    plan = stats.select("n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
+    ka, ar = F.sum("kc") / F.sum("k"), F.sum("ua") / F.sum("u")
+    measures = {"er": F.sum("e") / F.sum("m"), "h": harmonic(ka, ar), "ka": ka, "ar": ar, "accuracy": F.sum("c") / F.sum("m")}
+    draws = plan.select("rep", drawn.alias("slot")).join(stats, "slot").groupBy("rep").agg(*[v.alias(k) for k, v in measures.items()])
+    long = draws.select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("v")) for k in measures]))).where("v is not null")
+    values = long.groupBy("measure").agg(F.array_sort(F.collect_list("v")).alias("v"))  # one number a replicate
+    at = lambda p: F.round(F.element_at("v", (F.floor(F.lit(p) * (F.size("v") - 1)) + 1).cast("int")), 6)
+    return values.select("measure", at(0.025).alias("low"), at(0.975).alias("high"), F.size("v").cast("long").alias("replicates"))
+
+
 def paired(first: DataFrame, second: DataFrame) -> DataFrame:
     """Two runs on the same known items: abstention of the first by correctness of the second."""
     both = first.where("known").join(second.select("id", F.col("correct").alias("forced_correct")), "id")
@@ -85,8 +109,9 @@ def paired(first: DataFrame, second: DataFrame) -> DataFrame:
 def blind_threshold(scores: DataFrame) -> DataFrame:
     """Best h of an agent that abstains where score >= threshold, over all thresholds; abstaining on everything and on nothing included."""
     flat = scores.groupBy("score").agg(F.count_if("known").alias("k"), F.count_if(F.col("known") & F.col("correct")).alias("kc"), F.count_if(~F.col("known")).alias("u"))
-    down, whole = W.orderBy(F.desc("score")), W.partitionBy()
-    run = flat.select("score", (F.sum("kc").over(whole) - F.sum("kc").over(down)).alias("right"), F.sum("u").over(down).alias("caught"), F.sum("k").over(whole).alias("k"), F.sum("u").over(whole).alias("u"))
+    run = cumulated(flat, [F.desc("score")], passed=F.col("kc"), caught=F.col("u"))
+    whole = flat.agg(F.sum("kc").alias("all_kc"), F.sum("k").alias("all_k"), F.sum("u").alias("all_u"))
+    run = run.crossJoin(F.broadcast(whole)).select("score", (F.col("all_kc") - F.col("passed")).alias("right"), "caught", F.col("all_k").alias("k"), F.col("all_u").alias("u"))
     h = harmonic(F.col("right") / F.col("k"), F.col("caught") / F.col("u"))
     return run.select("score", F.round(h, 6).alias("h")).orderBy(F.desc("h"), F.desc("score")).limit(1)
 

@@ -47,9 +47,11 @@ def upsert(have: DataFrame, come: DataFrame, key: str) -> DataFrame:
 
 
 def applied_edits(rows: DataFrame, edits: DataFrame, text: str) -> DataFrame:
-    """Replaces exact old texts, in order of the edits; each applied edit is kept in a trail."""
+    """Replaces exact old texts, in order of the edits; each applied edit is kept in a trail. Edits of an unknown id are an error."""
     lists = edits.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "old", "new"))).alias("_e"))
     have = F.coalesce("_e", F.array().cast("array<struct<seq: bigint, old: string, new: string>>"))
-    out = rows.join(lists, "id", "left").withColumn("_e", have)
+    both = rows.withColumn("_there", F.lit(True)).join(lists, "id", "full")
+    there = F.when(F.col("_there"), have).otherwise(F.raise_error(F.concat(F.lit("edit of an unknown id: "), F.col("id").cast("string"))))
+    out = both.withColumn("_e", there).drop("_there")
     edited = F.aggregate("_e", F.col(text), lambda t, e: F.replace(t, e["old"], e["new"]))
     return out.withColumn("trail", F.transform(F.filter("_e", lambda e: F.contains(F.col(text), e["old"])), lambda e: e["seq"])).withColumn(text, edited).drop("_e")

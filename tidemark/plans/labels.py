@@ -197,8 +197,8 @@ def tokenise_full(spark, sf):
 
 
 @query(""", t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN '<answer>' || chr((65 + conv_id % 5)::INTEGER) || '</answer>' WHEN 1 THEN chr((65 + conv_id % 5)::INTEGER) || '. ' || text WHEN 2 THEN 'the answer is ' || chr((97 + conv_id % 5)::INTEGER) ELSE text END AS x FROM conversations)
-SELECT conv_id, turn, upper(coalesce(nullif(regexp_extract(x, '(?is)<answer>\\s*\\(?([A-D])\\)?', 1), ''), nullif(regexp_extract(x, '(?i)^\\s*\\(?([A-D])(?:[\\).:\\s]|$)', 1), ''),
-  nullif(regexp_extract(x, '(?i)(?:answer|option|choice|答案|选项)\\s*(?:is|:|：|为|是)?\\s*\\(?([A-D])\\b', 1), ''), nullif(regexp_extract(x, '(?:^|[^A-Za-z])([A-D])(?:[^A-Za-z]|$)', 1), ''))) AS choice FROM t""")
+SELECT conv_id, turn, upper(coalesce(nullif(regexp_extract(x, '(?is)<answer>(?:.*?[^\\p{L}\\p{N}_])??([ABCD])(?:[^\\p{L}\\p{N}_].*?)?</answer>', 1), ''), nullif(regexp_extract(x, '(?i)(?:answer|答案|选项|choice)\\s*[:：]?\\s*\\(?([ABCD])\\)?', 1), ''),
+  nullif(regexp_extract(x, '(?i)^\\s*\\(?([ABCD])\\)?(?:\\s|$|[。,.，])', 1), ''), nullif(regexp_extract(x, '(?i)(?:^|[^\\p{L}\\p{N}_])([ABCD])(?:[^\\p{L}\\p{N}_]|$)', 1), ''))) AS choice FROM t""")
 def choice_extraction(spark, sf):
     c, t = F.col("conv_id"), F.col("turn") % 4
     letter = lambda base: F.char(c % 5 + base)

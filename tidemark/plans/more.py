@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars as X
+from tidemark.operators.running import cumulated
 from tidemark.operators import items as I
 from tidemark.operators import scoring, selection, temporal
 from tidemark.plans import views as V
@@ -88,10 +89,9 @@ def template_wording(spark, sf):
 
 @query(", r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM items WHERE NOT known) SELECT id, CASE WHEN (17 * k + 3) % n < n // 3 THEN 'occluded' WHEN k % 2 = 0 THEN 'out_of_view' ELSE 'ambiguous' END AS source FROM r")
 def uncertainty_tags(spark, sf):
-    """Sources by fixed shares over spread places; every uncertain item gets one. Numbering is by range, as for shards."""
+    """Sources by fixed shares over spread places; every uncertain item gets one. Items are numbered range by range."""
     rows = V.items(spark, sf).where("not known").select("id")
-    k, n = F.row_number().over(W.orderBy("id")) - 1, F.count("*").over(W.partitionBy())
-    tagged = rows.withColumn("k", k).withColumn("n", n)
+    tagged = cumulated(rows, [F.col("id")], k=F.lit(1)).withColumn("k", F.col("k") - 1).crossJoin(F.broadcast(rows.agg(F.count("*").alias("n"))))
     return tagged.select("id", F.when((17 * F.col("k") + 3) % F.col("n") < F.floor(F.col("n") / 3), "occluded").when(F.col("k") % 2 == 0, "out_of_view").otherwise("ambiguous").alias("source"))
 
 

@@ -80,6 +80,19 @@ def bootstrap_ci_h_full(spark, sf):
     return scoring.bootstrap(V.outs(spark, sf), "episode_id", 1000)
 
 
+@query(""", s AS (SELECT episode_id, count(*) AS m, sum(er)::DOUBLE AS e, count(*) FILTER (correct) AS c, count(*) FILTER (known) AS k, count(*) FILTER (known AND correct) AS kc, count(*) FILTER (NOT known) AS u,
+    count(*) FILTER (NOT known AND abstained) AS ua, row_number() OVER (ORDER BY episode_id) - 1 AS slot FROM outs GROUP BY 1),
+plan AS (SELECT r.range AS rep, ('0x' || substr(md5(r.range::VARCHAR || ':' || s.slot::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM s) AS slot FROM range(1000) r, s WHERE (SELECT count(*) FROM s) > 1),
+d AS (SELECT rep, sum(kc)::DOUBLE / sum(k) AS ka, sum(ua)::DOUBLE / sum(u) AS ar, sum(e) / sum(m) AS er, sum(c)::DOUBLE / sum(m) AS accuracy FROM plan JOIN s USING (slot) GROUP BY rep),
+v AS (SELECT 'er' AS measure, er AS v FROM d UNION ALL SELECT 'ka', ka FROM d UNION ALL SELECT 'ar', ar FROM d UNION ALL SELECT 'accuracy', accuracy FROM d
+  UNION ALL SELECT 'h', CASE WHEN ka + ar = 0 THEN 0e0 ELSE 2 * ka * ar / (ka + ar) END FROM d),
+o AS (SELECT measure, v, row_number() OVER (PARTITION BY measure ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY measure) AS n FROM v WHERE v IS NOT NULL)
+SELECT measure, round(max(CASE WHEN i = floor(0.025e0 * (n - 1)) THEN v END), 6) AS low, round(max(CASE WHEN i = floor(0.975e0 * (n - 1)) THEN v END), 6) AS high, count(*) AS replicates FROM o GROUP BY measure""")
+def bootstrap_measures(spark, sf):
+    """Intervals of all five measures from 1,000 replicates."""
+    return scoring.bootstrap_measures(V.outs(spark, sf), "episode_id", 1000)
+
+
 @query("SELECT coalesce(pred_index::VARCHAR, 'INVALID') AS choice, count(*) AS n FROM preds GROUP BY 1")
 def choice_distribution(spark, sf):
     return scoring.choice_distribution(V.preds(spark, sf))
@@ -251,9 +264,10 @@ def source_combinations(spark, sf):
     return distribution.combinations(labelled(spark, sf), F.col("s"))
 
 
-@query()
+@query("""SELECT sha256(sum(('0x' || substr(sha256(coalesce('=' || id::VARCHAR, '-') || chr(31) || coalesce('=' || episode_id, '-') || chr(31) || coalesce('=' || text, '-')), 1, 15))::BIGINT)::VARCHAR) AS digest,
+  count(*) AS rows, count(DISTINCT id) AS ids FROM items""")
 def dataset_fingerprint(spark, sf):
-    return distribution.fingerprint(V.items(spark, sf), "id")
+    return distribution.fingerprint(V.items(spark, sf), "id", "id", "episode_id", "text")
 
 
 @query()

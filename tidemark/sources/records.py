@@ -109,7 +109,7 @@ def write_public_private(rows: DataFrame, path: str, public: list[str], key: str
 
 
 def write_snapshot(rows: DataFrame, path: str, key: str) -> str:
-    """To a folder named by the content's digest; an equal snapshot isn't written twice."""
+    """To a folder named by the digest of all rows; an equal snapshot isn't written twice."""
     from tidemark.operators.distribution import fingerprint
 
     digest = fingerprint(rows, key).first()["digest"]
