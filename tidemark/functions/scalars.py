@@ -233,3 +233,40 @@ def processing_windows(duration: Column, size: float, tail: float) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+
+
+def state_family(verb: Column) -> Column:
+    """What kind of state an action's verb changes."""
+    return F.when(verb.isin("Open", "Close"), "openable").when(verb.isin("SwitchOn", "SwitchOff"), "switchable").otherwise("portable")
+
+
+def state_answers(verb: Column) -> Column:
+    """The answers that a question on the state after a verb offers."""
+    offered = {
+        "openable": ("Fully closed.", "Fully open.", "Partly open."), "switchable": ("On.", "Off.", "Being switched between on and off."),
+        "portable": ("Held by a person.", "Resting on a surface.", "Lying on the floor."),
+    }
+    own = F.create_map(*[x for k, v in offered.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return own[state_family(verb)]
+
+
+def event_labels(kind: Column, action: Column, toggled_on: Column) -> Column:
+    """(family, action) of an event's type; an unknown type is an error."""
+    pair = lambda f, a: F.struct(F.lit(f).alias("family"), a.alias("action"))
+    changed = F.when(action == "toggle", F.when(F.coalesce(toggled_on, F.lit(True)), "toggle_on").otherwise("toggle_off")).otherwise(F.coalesce(action, F.lit("slice")))
+    return (
+        F.when(kind == "move", pair("movement", F.lit("move")))
+        .when(kind.isin("appear", "disappear"), pair("presence_change", kind))
+        .when(kind.isin("occlude", "reveal"), pair("occlusion", kind))
+        .when(kind == "state_change", pair("state_change", changed))
+        .when(kind == "identity_swap", pair("identity_swap", F.coalesce(action, F.lit("swap_positions"))))
+        .when(kind == "quantity_change", pair("quantity_change", F.coalesce(action, F.lit("add_instance"))))
+        .when(kind == "no_change", pair("no_change", F.lit("none")))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown event type: "), F.coalesce(kind, F.lit("null")))).cast("struct<family:string,action:string>"))
+    )
+
+
+def boundary(value: Column, allowed: Column, tolerance: float = 0.05) -> Column:
+    """The nearest allowed boundary (the first of equally near ones); farther than the tolerance is an error."""
+    near = F.array_min(F.transform(allowed, lambda x, k: F.struct(F.abs(x - value).alias("gap"), k.alias("k"), x.alias("at"))))
+    return F.when(near["gap"] <= tolerance, near["at"]).otherwise(F.raise_error(F.concat(value.cast("string"), F.lit(" is not aligned to a boundary"))))

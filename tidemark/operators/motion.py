@@ -98,3 +98,30 @@ def rate_capped(rows: DataFrame, key: str, frame: str, value: str, most: float)
     step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value]).otherwise(F.element_at(acc, -1) + F.greatest(F.least(x[value] - F.element_at(acc, -1), F.lit(most)), F.lit(-most)))))
     folded = rows.groupBy(key).agg(fields.alias("_r")).withColumn("_c", F.aggregate("_r", F.array().cast("array<double>"), step))
     return folded.select(key, F.inline(F.zip_with("_r", "_c", lambda r, c: F.struct(r[frame].alias(frame), c.alias("capped")))))
+
+
+def points_at(path: DataFrame, asks: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
+    """Points of each polyline at distances along it, clamped to its length: per ask (key, distance) its x and y.
+
+    Vertices closer than 1e-6 to the one before are passed over. Vertices and asks are sorted together, so no ask is compared with all vertices.
+    """
+    w = W.partitionBy(key).orderBy(order)
+    step = lambda: F.coalesce(F.sqrt((F.col(x) - F.lag(x).over(w)) ** 2 + (F.col(y) - F.lag(y).over(w)) ** 2), F.lit(0.0))
+    kept = path.withColumn("_s", step()).withColumn("_n", F.row_number().over(w)).where("_s > 1e-6 or _n = 1").drop("_n")
+    placed = kept.withColumn("_s", step()).withColumn("_d", F.sum("_s").over(w))
+    length = placed.groupBy(key).agg(F.max("_d").alias("_total"))
+    bounded = asks.join(length, key).withColumn("_d", F.least(F.greatest(F.col("distance"), F.lit(0.0)), F.col("_total")))
+    vertex = F.struct(F.col("_d").alias("d"), F.col(x).alias("x"), F.col(y).alias("y"))
+    both = placed.select(key, "_d", F.lit(None).cast("double").alias("distance"), vertex.alias("_v")).unionByName(bounded.select(key, "_d", "distance", F.lit(None).cast("struct<d:double,x:double,y:double>").alias("_v")))
+    down, up = W.partitionBy(key).orderBy("_d", F.col("_v").isNull()), W.partitionBy(key).orderBy(F.desc("_d"), F.col("_v").isNull())
+    near = both.withColumn("_a", F.last("_v", True).over(down)).withColumn("_b", F.last("_v", True).over(up)).where("distance is not null")
+    share = F.when(F.col("_b.d") > F.col("_a.d"), (F.col("_d") - F.col("_a.d")) / (F.col("_b.d") - F.col("_a.d"))).otherwise(0.0)
+    at = lambda c: F.col(f"_a.{c}") + share * (F.col(f"_b.{c}") - F.col(f"_a.{c}"))
+    return near.select(key, "distance", at("x").alias("x"), at("y").alias("y"))
+
+
+def exits(samples: DataFrame, keys: list[str], time: str, state: str) -> DataFrame:
+    """Times at which something seen is gone: a state counts once two samples in a row agree on it, and ambiguous ones are passed over."""
+    w = W.partitionBy(*keys).orderBy(time)
+    sure = samples.withColumn("_b", F.lag(state).over(w)).where((F.col(state) == F.col("_b")) & (F.col(state) != "ambiguous"))
+    return sure.withColumn("_p", F.lag(state).over(w)).where((F.col("_p") == "visible") & (F.col(state) == "absent")).select(*keys, time)

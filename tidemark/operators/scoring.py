@@ -75,7 +75,7 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, value: str = "h")
     plan = stats.select("n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
     plan = plan.select("rep", drawn.alias("slot"))
-    ka, ar = F.sum("kc") / F.sum("k"), F.sum("ua") / F.sum("u")
+    ka, ar = F.try_divide(F.sum("kc"), F.sum("k")), F.try_divide(F.sum("ua"), F.sum("u"))
     draws = plan.join(stats, "slot").groupBy("rep").agg(harmonic(ka, ar).alias("h")).where("h is not null")
     sorted_values = draws.agg(F.array_sort(F.collect_list("h")).alias("v"))  # one number a replicate
     at = lambda p: F.element_at("v", (F.floor(F.lit(p) * (F.size("v") - 1)) + 1).cast("int"))
@@ -91,7 +91,7 @@ def bootstrap_measures(rows: DataFrame, cluster: str, replicates: int) -> DataFr
     stats = checkpointed(ranked.crossJoin(F.broadcast(stats.agg(F.count("*").alias("n")))).where("n > 1"))  # one row a cluster
     plan = stats.select("n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
-    ka, ar = F.sum("kc") / F.sum("k"), F.sum("ua") / F.sum("u")
+    ka, ar = F.try_divide(F.sum("kc"), F.sum("k")), F.try_divide(F.sum("ua"), F.sum("u"))
     measures = {"er": F.sum("e") / F.sum("m"), "h": harmonic(ka, ar), "ka": ka, "ar": ar, "accuracy": F.sum("c") / F.sum("m")}
     draws = plan.select("rep", drawn.alias("slot")).join(stats, "slot").groupBy("rep").agg(*[v.alias(k) for k, v in measures.items()])
     long = draws.select(F.inline(F.array(*[F.struct(F.lit(k).alias("measure"), F.col(k).alias("v")) for k in measures]))).where("v is not null")

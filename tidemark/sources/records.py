@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,3 +117,16 @@ def write_snapshot(rows: DataFrame, path: str, key: str) -> str:
     digest = fingerprint(rows, key).first()["digest"]
     rows.write.mode("ignore").parquet(f"{path}/{digest}")
     return digest
+
+
+def rewrite_with_backup(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame], stamp: str) -> str:
+    """Rewrites a folder of JSON lines. What was there is kept as `<path>_backup_<stamp>`; it stays in place until the new rows are written whole."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    old, new, kept = hadoop(path), hadoop(f"{path}_next_{stamp}"), hadoop(f"{path}_backup_{stamp}")
+    files = old.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(kept):
+        raise FileExistsError(f"{path}_backup_{stamp}")
+    write_lines(change(spark.read.json(path)), str(new))
+    if not files.rename(old, kept) or not files.rename(new, old):
+        raise OSError(f"{path} could not be moved")
+    return str(kept)
