@@ -61,10 +61,10 @@ def test_tables(request, name):
     docs = request.getfixturevalue(name)
     got = sd.remove_repeats(docs, keep_text=True)
     assert result(got) == brute([(r.doc_id, r.text) for r in docs.collect()], 100)
-    texts = {hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
     for r in got.collect():
-        assert (r.kept is None) == (r.n_removed == 0) == (r.sha256 is None)
-        assert r.kept is None or (r.sha256 in texts and len(r.kept.encode()) <= r.n_bytes - r.n_removed)
+        assert len(r.kept.encode()) <= r.n_bytes - r.n_removed and (r.n_removed or hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256)
+    sent = sd.remove_repeats(docs, along=docs["text"]).collect()
+    assert all(r.n_bytes == len(r.along.encode()) and r.kept is None for r in sent)
 
 
 def test_rows_without_an_id_are_many(spark, monkeypatch):
@@ -74,7 +74,7 @@ def test_rows_without_an_id_are_many(spark, monkeypatch):
     shared = ["".join(rng.choice("abcdefgh ") for _ in range(130)) for _ in range(4)]
     rows = [(None if k % 3 else 7, shared[k % 4] + "".join(rng.choice("xyz ") for _ in range(60)) + shared[(k + 1) % 4]) for k in range(90)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    table, chunks = sd.chunk_table(sd.texts(docs))
+    table, chunks = sd.chunk_table(sd.texts(docs.withColumn("along", docs["text"]), "along"))
     assert chunks > 8 and table.count() > chunks // 2
     assert result(sd.remove_repeats(docs)) == brute(rows, 100)
 

@@ -85,9 +85,9 @@ def id_out(name: str = "doc_id") -> Column:
     return F.when(F.col("_id") != NO_ID, F.col("_id")).alias(name)
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    """(_id, text) of documents, whatever other columns there are; a null text is empty."""
-    return docs.select(id_col(), F.coalesce(docs["text"], F.lit("")).alias("text"))
+def texts(docs: DataFrame, *more: str) -> DataFrame:
+    """(_id, text) of documents and the columns asked for, whatever other columns there are; a null text is empty."""
+    return docs.select(id_col(), F.coalesce(docs["text"], F.lit("")).alias("text"), *more)
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str, table: str = "documents") -> DataFrame:

@@ -270,6 +270,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = cut(numbered.withColumn("node", F.monotonically_increasing_id()), "nodes")
     banded = nodes.select("node", "sig", F.posexplode("bands").alias("band", "key"))
     shared = cut(banded.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    if shared.count() <= BROADCAST_IDS:  # 40 MB of buckets; then signatures are not shuffled to find theirs
+        shared = F.broadcast(shared)
     cells = blocked(banded.join(shared, ["band", "key"]), ["band", "key"], BLOCK).select("unit", "node", "sig")
     close = cut(cells.repartition(n, "unit").mapInArrow(forests(least), "a long, b long").distinct(), "close")
     families = components(close).withColumnsRenamed({"component": "family"})

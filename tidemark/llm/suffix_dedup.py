@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, documents, id_out, partitions, release, texts
@@ -101,12 +101,12 @@ def runs(buf: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.
 def distinct_rows(rows: list[tuple[int, int, bytes]]) -> tuple[list[tuple[int, int, bytes]], list[int]]:
     """(id, place of its first byte, text) of the distinct (id, hash, text) rows, and for each row which of them it is."""
     of: dict[tuple[int, int, bytes], int] = {}
-    for r in sorted(set(rows)):
+    for r in sorted({r[:3] for r in rows}):
         of[r] = len(of)
     out: list[tuple[int, int, bytes]] = []
-    for i, _, t in of:
+    for i, _, t, *_ in of:
         out.append((i, out[-1][1] + APART if out and out[-1][0] == i else 0, t))
-    return out, [of[r] for r in rows]
+    return out, [of[r[:3]] for r in rows]
 
 
 def grouped_runs(docs: list[tuple[int, int, bytes]], length: int, gram: int) -> Iterator[tuple]:
@@ -236,25 +236,27 @@ def dealt(values: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[edges[p] : edges[p + 1]]
 
 
-def packed_docs(chunk: int, rows: list[tuple[int, int, bytes]]) -> tuple:
-    return 0, chunk, 0, squeeze(np.array([i for i, _, _ in rows], np.int64)), squeeze(pack_words([t for _, _, t in rows]), 6), squeeze(np.array([h for _, h, _ in rows], np.int64))
+def packed_docs(chunk: int, rows: list[tuple[int, int, bytes, bytes]]) -> tuple:
+    ids, hashes, texts_, more = zip(*rows, strict=True)
+    return 0, chunk, 0, squeeze(np.array(ids, np.int64)), squeeze(pack_words(texts_), 6), squeeze(np.array(hashes, np.int64)), squeeze(pack_words(more))
 
 
-def unpacked_docs(row: dict) -> list[tuple[int, int, bytes]]:
-    return list(zip(loosen(row["a"], np.int64).tolist(), loosen(row["c"], np.int64).tolist(), unpack_words(loosen(row["b"])), strict=True))
+def unpacked_docs(row: dict) -> list[tuple[int, int, bytes, bytes]]:
+    """(id, hash, text, what the caller sends along) of a chunk's rows."""
+    return list(zip(loosen(row["a"], np.int64).tolist(), loosen(row["c"], np.int64).tolist(), *(unpack_words(loosen(row[k])) for k in "bd"), strict=True))
 
 
 def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A task's documents for each chunk, packed, PACK_BYTES of text at a time."""
-    by: dict[int, list[tuple[int, int, bytes]]] = {}
+    by: dict[int, list[tuple[int, int, bytes, bytes]]] = {}
     size = 0
 
     def close() -> pa.RecordBatch:
         return row_batch([(c, *packed_docs(c, rows)[1:]) for c, rows in by.items()])
 
     for b in batches:
-        for c, i, h, t in zip(*(b.column(k).to_pylist() for k in ("chunk", "_id", "hash")), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            by.setdefault(c, []).append((i, h, t))
+        for c, i, h, t, x in zip(*(b.column(k).to_pylist() for k in ("chunk", "_id", "hash")), *(b.column(k).cast(pa.binary()).to_pylist() for k in ("text", "along")), strict=True):
+            by.setdefault(c, []).append((i, h, t, x))
             size += len(t)
         if size >= PACK_BYTES:
             yield close()
@@ -270,7 +272,7 @@ def chunk_table(docs: DataFrame) -> tuple[DataFrame, int]:
     chunks = max(partitions(docs.sparkSession), -(-size // CHUNK_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list[tuple[int, int, bytes]]] = {}
+        by: dict[int, list[tuple[int, int, bytes, bytes]]] = {}
         for b in batches:
             for row in b.to_pylist():
                 by.setdefault(row["chunk"], []).extend(unpacked_docs(row))
@@ -429,7 +431,7 @@ def repeats_of_parts(length: int):
 
 
 def cleaned(keep_text: bool):
-    """Per row of a chunk: bytes, bytes and stretches removed, digest of the rest; if asked for, where bytes go, also the text's digest and the rest.
+    """Per row of a chunk: bytes, bytes and stretches removed, digest of the rest, the rest if asked for, and what the caller sent along.
 
     Bytes of characters that are cut in two are left out of the rest as text.
     """
@@ -457,10 +459,9 @@ def cleaned(keep_text: bool):
                     at = end = b
             kept.append(text[at:])
             rest = b"".join(kept)
-            more = (hashlib.sha256(text).hexdigest(), rest.decode("utf-8", "ignore")) if keep_text and removed else (None, None)
-            done.append((len(text), removed, merged, hashlib.sha256(rest).hexdigest(), *more))
-        cols = list(zip(*[(i, *done[k]) for (i, _, _), k in zip(all_rows, of, strict=True)], strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, *[pa.string()] * 3), strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "sha256", "kept"])
+            done.append((len(text), removed, merged, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if keep_text else None))
+        cols = list(zip(*[(i, *done[k], x.decode()) for (i, _, _, x), k in zip(all_rows, of, strict=True)], strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, *[pa.string()] * 3), strict=True)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "along"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks: dict[int, list[dict]] = {}
@@ -473,16 +474,16 @@ def cleaned(keep_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
-    """Per row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the digest and the rest of each text that loses bytes."""
-    table, chunks = chunk_table(texts(docs))
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, keep_text: bool = False, along: Column | None = None) -> DataFrame:
+    """Per row of docs: _id, n_bytes, n_removed, n_spans, kept_sha256, kept (the rest, if asked for) and along (a text that the caller wants back with each row)."""
+    table, chunks = chunk_table(texts(docs.withColumn("along", F.lit("") if along is None else F.coalesce(along, F.lit(""))), "along"))
     parts = partitions(docs.sparkSession)
     home = F.col("chunk").cast("int")
     to_part = lambda df: df.repartitionById(parts, F.col("part"))
     again = to_part(table.mapInArrow(anchors_of_chunks(parts, length, gram), ROWS)).mapInArrow(repeated_anchors, ROWS)
     pieces = table.unionByName(again).repartitionById(chunks, home).mapInArrow(pieces_of_chunks(parts, length, gram), ROWS)
     spans = to_part(pieces).mapInArrow(repeats_of_parts(length), ROWS)
-    return table.unionByName(spans).repartitionById(chunks, home).mapInArrow(cleaned(keep_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, sha256 string, kept string")
+    return table.unionByName(spans).repartitionById(chunks, home).mapInArrow(cleaned(keep_text), "_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string, along string")
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
