@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm import fmindex, minhash, string_kernel, suffix_dedup, word_bpe
 from tidemark.llm.common import NO_ID, crc_mod, cut, drop_cut
@@ -53,6 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = with_keys(docs)
     left = keys.join(gone, (keys["_id"] == gone["_id"]) & (F.upper(keys["_digest"]) == gone["d"]), "left_anti").select(*keys.columns)
     again = cut(groups.where("first").groupBy("_id", F.lower(F.hex("digest")).alias("_digest")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
+    if again.isEmpty():
+        return left.select(*COLUMNS)
     ones, many = left.join(again, ["_id", "_digest"], "left_anti"), left.join(again, ["_id", "_digest"], "left_semi")
     least = F.min(F.struct("lang", "source", "n_chars"))
     kept = many.groupBy("doc_id", "_id", "_digest").agg(F.first("text").alias("text"), least.alias("m"))
@@ -61,11 +64,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 100 bytes that occur earlier; bytes of characters cut in two go too, and documents left without text. n_chars is counted anew."""
-    found = suffix_dedup.remove_repeats(docs, keep_text=True).where("kept is not null")
-    rests = cut(found.select("_id", F.col("sha256").alias("_digest"), F.col("kept").alias("rest")), "rests").dropDuplicates(["_id", "_digest"])
-    both = with_keys(docs).join(rests, ["_id", "_digest"], "left").where("rest is null or rest <> ''")
-    n_chars = F.when(F.col("rest").isNotNull(), F.length("rest").cast("long")).otherwise(F.col("n_chars"))
-    return both.select("doc_id", F.coalesce("rest", "text").alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    docs = docs.select(*COLUMNS)
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    found = suffix_dedup.remove_repeats(docs, keep_text=True, along=F.to_json(F.struct(*[f.name for f in others])))
+    kept = found.where("n_removed = 0 or kept <> ''").select("n_removed", F.col("kept").alias("text"), F.from_json("along", T.StructType(others)).alias("o"))
+    n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("o.n_chars"))
+    return kept.select("o.doc_id", "text", "o.lang", "o.source", n_chars.alias("n_chars"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
