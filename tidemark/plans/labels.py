@@ -183,10 +183,10 @@ def option_permutation(spark, sf):
     return V.items(spark, sf).select("id", F.array_join(F.transform(order, lambda x: x.cast("string")), ",").alias("permutation"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, array_to_string(regexp_extract_all(lower(text), '[a-z]+')[1:5], ' ') AS head FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, len(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS n_distinct FROM documents")
 def tokenise(spark, sf):
     t = X.tokens(F.col("text"))
-    return V.table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.array_join(F.slice(t, 1, 5), " ").alias("head"))
+    return V.table(spark, sf, "documents").select("doc_id", F.size(t).cast("long").alias("n"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
 @query("SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+')) AS n, sha256(array_to_string(regexp_extract_all(lower(text), '[a-z]+'), ' ')) AS tokens_sha256 FROM documents")
@@ -214,9 +214,10 @@ def camel_words(spark, sf):
     return V.table(spark, sf, "pages").select("page_id", F.lower(F.regexp_replace(letters, "([a-z])([A-Z])", "$1 $2")).alias("words"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 200), '\\s+', ' ', 'g'))) AS q FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, sha256(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS q FROM documents")
 def normalised_questions(spark, sf):
-    return V.table(spark, sf, "documents").where("lang = 'en'").select("doc_id", X.normalised_question(F.substring("text", 1, 200)).alias("q"))
+    """Digests of whole texts of all documents, in lower case and with white space collapsed."""
+    return V.table(spark, sf, "documents").select("doc_id", F.sha2(X.normalised_question(F.col("text")), 256).alias("q"))
 
 
 @query()
