@@ -167,10 +167,10 @@ class LogBilinear:
         return out
 
     def by_group(self, cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """Order of the tokens by group, and (group, first, end) of the groups that occur."""
-        group = self.group[cells]
-        order = np.argsort(group, kind="stable")
-        edges = np.searchsorted(group[order], np.arange(self.groups + 1)).tolist()
+        """Order of the tokens by group and place in it, and (group, first, end) of the groups that occur."""
+        place = self.edges[self.group[cells]] + self.inner[cells]
+        order = np.argsort(place, kind="stable")
+        edges = np.searchsorted(place[order], self.edges).tolist()
         return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
     def step(self, cells: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -> None:
@@ -180,29 +180,37 @@ class LogBilinear:
         r, odds = self.vectors(contexts), float(np.log(RATIO))
 
         def contrast(r, q, log_noise, own, noise):
-            """(gradient of the context vectors, gradient of q's rows) of the binary losses."""
+            """(gradient of the context vectors, gradient of q's rows) of the binary losses; own ascends."""
             times = rng.multinomial(NOISE, noise)
             on = np.flatnonzero(times)
-            data = -1 / (1 + np.exp(np.clip((r * q[own]).sum(1) - log_noise[own] - odds, -30, 30)))
-            false = (times[on] * (RATIO / NOISE)).astype(np.float32) / (1 + np.exp(-np.clip(r @ q[on].T - (log_noise[on] + odds), -30, 30)))
-            weights = np.zeros((len(q), len(own)), np.float32)
-            weights[on] = false.T
-            weights[own, np.arange(len(own))] += data
-            return data[:, None] * q[own] + false @ q[on], weights @ r
+            mine, sampled = q[own], q[on]
+            data = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", r, mine) - log_noise[own] - odds, -30, 30)))
+            false = r @ sampled.T
+            false -= log_noise[on] + odds
+            np.clip(false, -30, 30, out=false)
+            np.exp(np.negative(false, out=false), out=false)
+            np.divide((times[on] * (RATIO / NOISE)).astype(np.float32), np.add(false, 1, out=false), out=false)
+            dq = np.zeros_like(q)
+            dq[on] = false.T @ r
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            dq[own[first]] += np.add.reduceat(data[:, None] * r, first)
+            mine *= data[:, None]
+            return np.add(mine, false @ sampled, out=mine), dq
 
         def descend(rows, squares, at, gradient):
             squares[at] += (gradient * gradient).mean(1)
             rows[at] -= RATE * gradient / np.sqrt(squares[at])[:, None]
 
-        dr, dg = contrast(r, groups, self.log_groups, self.group[cells], self.noise_groups)
         order, stretches = self.by_group(cells)
-        sorted_r, inner = r[order], self.inner[cells[order]]
+        cells, contexts, r = cells[order], contexts[:, order], r[order]
+        inner = self.inner[cells]
+        dr, dg = contrast(r, groups, self.log_groups, self.group[cells], self.noise_groups)
         for g, a, b in stretches:
             own = slice(self.edges[g], self.edges[g + 1])
-            back, dq = contrast(sorted_r[a:b], targets[own], self.log_targets[own], inner[a:b], self.noise_targets[own])
-            dr[order[a:b]] += back
+            back, dq = contrast(r[a:b], targets[own], self.log_targets[own], inner[a:b], self.noise_targets[own])
+            dr[a:b] += back
             descend(targets[own], targets2[own], slice(None), dq)
-        dr = dr[:, : self.d]
+        dr = np.ascontiguousarray(dr[:, : self.d])
         for k in range(self.order):
             by = np.argsort(contexts[k], kind="stable")
             first = np.flatnonzero(np.diff(contexts[k][by], prepend=-1))
