@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 from tidemark.llm import fmindex, minhash, string_kernel, suffix_dedup, word_bpe
 from tidemark.llm.common import NO_ID, crc_mod, cut, drop_cut
 
+#: Rows of an id and a digest (below 100 MB in a task's table) that go to all tasks; more are joined by a shuffle of the texts.
+BROADCAST_ROWS = 1_000_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 ORACLE_SQL = None
 
@@ -31,6 +33,11 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("_digest", digest())
 
 
+def small(keys: DataFrame) -> DataFrame:
+    """A written table of keys, sent to all tasks if its rows are few, so that texts are not shuffled."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language is found (no text, or no letter) and sets lang to the language predicted for the rest.
 
@@ -50,12 +57,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents without an id come last. Equal rows leave one, of which the smallest (lang, source, n_chars) is taken.
     """
     groups = minhash.near_duplicates(docs)
-    gone = cut(groups.where("not first").select("_id", F.hex("digest").alias("d")).distinct(), "gone")
-    keys = with_keys(docs)
-    left = keys.join(gone, (keys["_id"] == gone["_id"]) & (F.upper(keys["_digest"]) == gone["d"]), "left_anti").select(*keys.columns)
+    gone = cut(groups.where("not first").select(F.col("_id").alias("i"), F.col("digest").alias("d")).distinct(), "gone")
+    keys, gone = with_keys(docs), small(gone)
+    left = keys.join(gone, (keys["_id"] == gone["i"]) & (F.unhex(keys["_digest"]) == gone["d"]), "left_anti")
     again = cut(groups.where("first").groupBy("_id", F.lower(F.hex("digest")).alias("_digest")).agg(F.count("*").alias("n")).where("n > 1").drop("n"), "again")
     if again.isEmpty():
         return left.select(*COLUMNS)
+    again = small(again)
     ones, many = left.join(again, ["_id", "_digest"], "left_anti"), left.join(again, ["_id", "_digest"], "left_semi")
     least = F.min(F.struct("lang", "source", "n_chars"))
     kept = many.groupBy("doc_id", "_id", "_digest").agg(F.first("text").alias("text"), least.alias("m"))
@@ -76,7 +84,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Drops documents of which a twentieth or more of the words lie inside occurrences of benchmark phrases."""
     found = fmindex.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = cut(found.where(fmindex.contaminated()).select("_id", F.col("sha256").alias("_digest")).distinct(), "contaminated")
-    return with_keys(docs).join(bad, ["_id", "_digest"], "left_anti").select(*COLUMNS)
+    return with_keys(docs).join(small(bad), ["_id", "_digest"], "left_anti").select(*COLUMNS)
 
 
 def token_digests(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
