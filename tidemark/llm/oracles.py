@@ -34,3 +34,25 @@ r AS (SELECT doc_id AS x, doc_id AS m FROM documents UNION SELECT l.y, r.m FROM
 c AS (SELECT x, min(m) AS m FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.m AS component_id, d.doc_id = c.m AS kept FROM documents d JOIN c ON d.doc_id = c.x LEFT JOIN n ON d.doc_id = n.doc_id
 """
+
+OP11 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w, row_number() OVER () AS r FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS w FROM benchmark),
+s AS (SELECT count(*) AS n, sum(len(w)) AS l FROM d WHERE len(w) > 0),
+p AS (SELECT r, doc_id, len(w) AS n, unnest(w) AS t FROM d),
+f AS (SELECT r, doc_id, n, t, count(*) AS tf FROM p GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * s.n + 2) / (2 * c + 1))) AS BIGINT) AS w FROM (SELECT t, count(*) AS c FROM f GROUP BY t), s),
+x AS (SELECT b.q, b.item_id, f.r, f.doc_id, CAST(sum(v.w * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * f.n * s.n) // s.l)))) AS BIGINT) AS score
+  FROM (SELECT q, item_id, unnest(w) AS t FROM b) b JOIN f USING (t) JOIN v USING (t), s GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM x WHERE score > 0) WHERE rank <= 10
+"""
+
+OP12 = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20),
+l AS (SELECT doc_id, i, row_number() OVER (PARTITION BY array_to_string(list_slice(w, i, i + 19), ' ') ORDER BY doc_id, i) > 1 AS late FROM x),
+g AS (SELECT DISTINCT doc_id, i + unnest(range(20)) AS i FROM l WHERE late),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+k AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.i) AS rest, count(*) AS n FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.i = g.i GROUP BY p.doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, len(d.w) - coalesce(k.n, 0) AS n_removed, sha256(coalesce(k.rest, '')) AS kept_sha256 FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
