@@ -12,7 +12,7 @@ from tidemark.plans import views
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"debias_filter"}
+SLOW: set[str] = set()
 
 
 @pytest.fixture(scope="module")

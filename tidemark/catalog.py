@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import labels, logs, more, records, runs, scores, traces
+from tidemark.plans import graphs, labels, logs, more, records, routes, runs, scores, traces
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scores.QUERIES | logs.QUERIES | labels.QUERIES | records.QUERIES | more.QUERIES | traces.QUERIES | runs.QUERIES
+    return scores.QUERIES | logs.QUERIES | labels.QUERIES | records.QUERIES | more.QUERIES | traces.QUERIES | runs.QUERIES | graphs.QUERIES | routes.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return scores.ORACLES | logs.ORACLES | labels.ORACLES | records.ORACLES | more.ORACLES | traces.ORACLES | runs.ORACLES
+    return scores.ORACLES | logs.ORACLES | labels.ORACLES | records.ORACLES | more.ORACLES | traces.ORACLES | runs.ORACLES | graphs.ORACLES | routes.ORACLES

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections import Counter, deque
-from itertools import islice
+import math
+from collections import Counter
+from collections.abc import Iterable
+from functools import reduce
+from heapq import nsmallest
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import scalars as X
 from tidemark.operators.running import cumulated
@@ -20,26 +22,40 @@ def fold_of(group: Column, folds: int = 5) -> Column:
     return F.pmod(X.hash_int(group), F.lit(folds))
 
 
-def naive_bayes(rows: DataFrame, text: Column, group: str, folds: int = 5) -> DataFrame:
-    """Out-of-fold log odds of known against uncertain from the set of a text's words, Laplace-smoothed, vocabulary of the other folds.
+def words_of(rows: DataFrame, text: Column, group: str, folds: int = 5) -> DataFrame:
+    """(id, known, fold, w): the set of each text's words."""
+    words = F.array_remove(F.array_distinct(F.split(F.lower(text), "[^a-z]+")), "")
+    return rows.select("id", "known", fold_of(F.col(group), folds).alias("_fold"), F.explode(words).alias("w"))
+
 
-    Counts of the other folds are totals less the own fold's, so tokens are grouped once.
+def scored_words(items: DataFrame, words: DataFrame) -> DataFrame:
+    """(id, known, score) of items (id, known, _fold): out-of-fold log odds of their words.
+
+    A word's counts by fold are one row, with the sums of the others taken from its total, so the words are grouped once and joined once.
     """
-    rows = rows.withColumn("_fold", fold_of(F.col(group), folds)).select("id", "known", "_fold", F.array_distinct(X.tokens(text)).alias("_t"))
-    long = checkpointed(rows.select("id", "known", "_fold", F.explode("_t").alias("w")))  # texts are read and taken apart once
-    rows = rows.select("id", "known", "_fold")
-    by = long.groupBy("w", "_fold").agg(F.count_if("known").alias("k"), F.count_if(~F.col("known")).alias("u"))
-    every = by.groupBy("w").agg(F.sum("k").alias("ak"), F.sum("u").alias("au"))
-    fold_list = rows.select(F.col("_fold").alias("f")).distinct()
-    train = every.crossJoin(F.broadcast(fold_list)).join(by.withColumnRenamed("_fold", "f"), ["w", "f"], "left")  # five rows a word
-    train = checkpointed(train).select("w", "f", (F.col("ak") - F.coalesce("k", F.lit(0))).alias("k"), (F.col("au") - F.coalesce("u", F.lit(0))).alias("u")).where("k + u > 0")
-    docs = rows.groupBy("_fold").agg(F.count_if("known").alias("dk"), F.count_if(~F.col("known")).alias("du"))
-    docs = docs.select(F.col("_fold").alias("f"), (F.sum("dk").over(W.partitionBy()) - F.col("dk")).alias("dk"), (F.sum("du").over(W.partitionBy()) - F.col("du")).alias("du"))
-    size = train.groupBy("f").agg(F.count("*").alias("v"), F.sum("k").alias("tk"), F.sum("u").alias("tu")).join(docs, "f")
-    odds = train.join(F.broadcast(size), "f").select("w", F.col("f").alias("_fold"), (F.log((F.col("k") + 1) / (F.col("tk") + F.col("v"))) - F.log((F.col("u") + 1) / (F.col("tu") + F.col("v")))).alias("o"))
-    prior = size.select(F.col("f").alias("_fold"), F.log((F.col("dk") + 1) / (F.col("du") + 1)).alias("prior"))
-    summed = long.join(odds, ["w", "_fold"], "left").groupBy("id").agg(F.sum(F.coalesce("o", F.lit(0.0))).alias("s"))
-    return rows.join(summed, "id", "left").join(F.broadcast(prior), "_fold").select("id", "known", (F.coalesce("s", F.lit(0.0)) + F.col("prior")).alias("score"))
+    folds = [r[0] for r in items.select("_fold").distinct().orderBy("_fold").collect()]  # five
+    if not folds:
+        return items.select("id", "known", F.lit(0.0).alias("score"))
+    counts = [F.count_if((F.col("_fold") != f) & (F.col("known") == k)).alias(f"{n}{f}") for f in folds for k, n in ((True, "k"), (False, "u"))]
+    table = checkpointed(words.groupBy("w").agg(*counts))
+    sums = [x for f in folds for x in (F.count_if(F.col(f"k{f}") + F.col(f"u{f}") > 0).alias(f"v{f}"), F.sum(f"k{f}").alias(f"k{f}"), F.sum(f"u{f}").alias(f"u{f}"))]
+    total = table.agg(*sums).first()
+    docs = {r["_fold"]: (r["k"], r["u"]) for r in items.groupBy("_fold").agg(F.count_if("known").alias("k"), F.count_if(~F.col("known")).alias("u")).collect()}
+    every = [sum(d[j] for d in docs.values()) for j in (0, 1)]
+    odds, prior = F.lit(0.0), F.lit(0.0)
+    for f in folds:
+        k, u, v = total[f"k{f}"] or 0, total[f"u{f}"] or 0, total[f"v{f}"]
+        own = F.log((F.col(f"k{f}") + 1) / F.lit(float(k + v or 1))) - F.log((F.col(f"u{f}") + 1) / F.lit(float(u + v or 1)))
+        odds = F.when(F.col("_fold") == f, F.when(F.col(f"k{f}") + F.col(f"u{f}") > 0, own).otherwise(0.0)).otherwise(odds)
+        prior = F.when(F.col("_fold") == f, F.lit(math.log((every[0] - docs[f][0] + 1) / (every[1] - docs[f][1] + 1)))).otherwise(prior)
+    summed = words.select("id", "_fold", "w").join(table, "w").groupBy("id").agg(F.sum(odds).alias("s"))
+    return items.join(summed, "id", "left").select("id", "known", (F.coalesce("s", F.lit(0.0)) + prior).alias("score"))
+
+
+def naive_bayes(rows: DataFrame, text: Column, group: str, folds: int = 5) -> DataFrame:
+    """Out-of-fold log odds of known against uncertain from the set of a text's words, Laplace-smoothed, vocabulary of the other folds."""
+    items = rows.select("id", "known", fold_of(F.col(group), folds).alias("_fold"))
+    return scored_words(items, words_of(rows, text, group, folds))
 
 
 def auroc(scores: DataFrame) -> DataFrame:
@@ -80,95 +96,127 @@ def vote_histogram(votes: DataFrame, models: int) -> DataFrame:
 
 #: Points by which shares may move; a cause's share may also move by 1.5 uncertain rows.
 TOLERANCE, STATUS_TOLERANCE = 2.0, 1.5
-
-
-def categories(row: dict) -> list[tuple]:
-    """What a row counts for: shares of all rows, and causes among the uncertain."""
-    own = [("status", row["known"]), ("type", row["question_type"]), ("intensity", row["intensity"]), ("age", row["age"])]
-    return own if row["known"] else own + [("cause", c) for c in set(row["causes"])]
-
-
-def shares(counts: Counter, n: int) -> dict[tuple, float]:
-    """Percent shares of all categories."""
-    uncertain = max(counts["status", False], 1)
-    return {k: 100 * v / (uncertain if k[0] == "cause" else n) for k, v in counts.items()}
-
-
-def within(first: dict[tuple, float], now: dict[tuple, float], cause_tolerance: float) -> bool:
-    limits = {"status": STATUS_TOLERANCE, "cause": cause_tolerance}
-    return all(abs(now.get(k, 0.0) - v) <= limits.get(k[0], TOLERANCE) for k, v in first.items())
-
-
-def accepted(rows: list[dict], first: dict[tuple, float], cause_tolerance: float, step: float) -> set:
-    """Ids that a round drops. Rows are in order of id.
-
-    Uncertain rows are tried from the most identifiable on, each type up to its quota; each takes known rows of its type along, as many as the
-    ratio asks for, those of its intensity and age bin before others and the least uncertain-looking first; it falls if all shares stay within tolerance.
+#: Rows of an order that travel in one piece.
+PIECE = 1 << 20
+
+
+class Balance:
+    """How many rows of each category are left, as a vector. Cells are rows with equal categories; `table` has a cell's categories as zeros and ones."""
+
+    def __init__(self, cells: list[dict], step: float):
+        names = sorted({c for x in cells for c in self.categories(x)}, key=str)
+        place = {c: k for k, c in enumerate(names)}
+        self.cells, self.table = cells, np.zeros((len(cells), len(names)), np.int64)
+        for k, x in enumerate(cells):
+            self.table[k, [place[c] for c in self.categories(x)]] = 1
+        self.known = np.array([x["known"] for x in cells], bool)
+        many = np.array([x["n"] for x in cells], np.int64)
+        self.counts, self.n, self.uncertain = many @ self.table, int(many.sum()), int(many[~self.known].sum())
+        self.of_causes = np.array([c[0] == "cause" for c in names], bool)
+        self.ratio = (self.n - self.uncertain) / max(self.uncertain, 1)
+        sizes: Counter = Counter()
+        for x in cells:
+            if not x["known"]:
+                sizes[x["question_type"]] += x["n"]
+        self.quota = {t: max(1, round(step * n)) for t, n in sizes.items()}
+        causes = max(TOLERANCE, 150 / max(self.uncertain, 1))
+        self.limits = np.array([STATUS_TOLERANCE if c[0] == "status" else causes if c[0] == "cause" else TOLERANCE for c in names])
+        self.first = self.percent(self.counts, self.n, self.uncertain)
+
+    @staticmethod
+    def categories(cell: dict) -> list[tuple]:
+        own = [("status", cell["known"]), *((c, cell[c]) for c in ("question_type", "intensity", "age"))]
+        return own if cell["known"] else own + [("cause", c) for c in cell["causes"]]
+
+    def percent(self, counts: np.ndarray, n: int, uncertain: int) -> np.ndarray:
+        return 100 * counts / np.where(self.of_causes, max(uncertain, 1), n)
+
+    def drop(self, cells: list[int]) -> bool:
+        """Takes one row out of each of these cells if all shares stay within their limits of `first`."""
+        left, n = self.counts - self.table[cells].sum(0), self.n - len(cells)
+        uncertain = self.uncertain - int((~self.known[cells]).sum())
+        if n <= 0 or (np.abs(self.percent(left, n, uncertain) - self.first) > self.limits).any():
+            return False
+        self.counts, self.n, self.uncertain = left, n, uncertain
+        return True
+
+
+def falling(balance: Balance, order: Iterable[np.ndarray], partners: dict[int, list[tuple]]) -> tuple[list[int], list]:
+    """(places in the order, ids of partners) that a round drops.
+
+    order gives the cells of uncertain rows, most identifiable first; partners the (-score, id) of the known rows of a cell, least identifiable first. An uncertain
+    row takes as many known ones of its type along as the ratio asks for: equal intensity before equal age before any, then by score.
     """
-    uncertain = sorted((r for r in rows if not r["known"]), key=lambda r: r["score"])
-    known = sorted((r for r in rows if r["known"]), key=lambda r: -r["score"])
-    ratio = len(known) / max(len(uncertain), 1)
+    used, falls, places, ids, at = Counter(), 0, [], [], 0
+    quota, ratio = dict(balance.quota), balance.ratio
     by_type: dict = {}
-    for r in uncertain:
-        by_type.setdefault(r["question_type"], []).append(r)
-    quota = {t: max(1, round(step * len(rs))) for t, rs in by_type.items()}
-    pools: dict = {}
-    for k, r in enumerate(known):
-        pools.setdefault(r["question_type"], {}).setdefault((r["intensity"], r["age"]), deque()).append((k, r))
-    counts, n, taken, dropped, falls = Counter(c for r in rows for c in categories(r)), len(rows), Counter(), set(), 0
-    for u in sorted((r for rs in by_type.values() for r in rs), key=lambda r: r["score"]):
-        kind = u["question_type"]
-        need = round((falls + 1) * ratio) - round(falls * ratio)
-        if taken[kind] >= quota[kind]:
-            continue
-        cells = pools.get(kind, {})
-        heads = [((i != u["intensity"], a != u["age"], k), (i, a), r) for (i, a), cell in cells.items() for k, r in islice(cell, need)]
-        partners = sorted(heads, key=lambda x: x[0])[:need]
-        if len(partners) < need:
-            continue
-        gone = Counter(c for r in [u, *(r for _, _, r in partners)] for c in categories(r))
-        left = counts.copy()
-        left.subtract(gone)
-        if n > 1 + need and within(first, shares(left, n - 1 - need), cause_tolerance):
-            for _, cell, r in partners:
-                cells[cell].popleft()
-                dropped.add(r["id"])
-            dropped.add(u["id"])
-            counts, n, falls = left, n - 1 - need, falls + 1
-            taken[kind] += 1
-    return dropped
+    for k in partners:
+        by_type.setdefault(balance.cells[k]["question_type"], []).append(k)
+    for piece in order:
+        for own in piece.tolist():
+            at += 1
+            cell = balance.cells[own]
+            if not quota[cell["question_type"]]:
+                continue
+            need = round((falls + 1) * ratio) - round(falls * ratio)
+            near = [(cell["intensity"] != balance.cells[k]["intensity"], cell["age"] != balance.cells[k]["age"], k) for k in by_type.get(cell["question_type"], [])]
+            heads = nsmallest(need, ((i, a, *x, k) for i, a, k in near for x in partners[k][used[k] : used[k] + need]))
+            if len(heads) == need and balance.drop([own, *(x[-1] for x in heads)]):
+                used.update(x[-1] for x in heads)
+                ids += [x[-2] for x in heads]
+                places.append(at - 1)
+                quota[cell["question_type"]] -= 1
+                falls += 1
+        if not any(quota.values()):
+            break
+    return places, ids
 
 
 def debias(rows: DataFrame, text: Column, group: str, intensity: Column, age: Column, causes: Column | None = None, target: float = 0.65, keep: float = 0.65, step: float = 0.03) -> DataFrame:
     """Drops the most identifiable uncertain items with known ones of their type, while shares hold, until the AUROC of the words falls to the target,
     the share to keep is reached or no item can fall.
 
-    Scores, ranks and the filter are relational. Whether an item falls depends on those before it, so that step is a fold of one task over ids, bins and
-    scores, without texts. The driver reads one number and the categories' counts. The score is the log odds of known: the lowest look most uncertain.
+    Texts are taken apart once; scores, ranks and joins are relational. Whether an item falls depends on those before it, so that step is a walk over the order of uncertain
+    rows as numbers of cells (two bytes a row, PIECE rows at a time through the driver) with, for each cell of known rows, as many of its first as the quotas could ask
+    for. The score is the log odds of known: the lowest look most uncertain.
     """
     none = F.array().cast("array<string>")
-    binned = rows.select("id", "known", "question_type", intensity.alias("intensity"), age.alias("age"), (none if causes is None else F.coalesce(causes, none)).alias("causes"))
-    binned = checkpointed(binned)
-    names = ("known", "question_type", "intensity", "age")
-    counts = Counter()
-    for kind, name in zip(("status", "type", "intensity", "age"), names, strict=True):
-        counts.update({(kind, r[0]): r[1] for r in binned.groupBy(name).agg(F.count("*")).collect()})
-    counts.update({("cause", r[0]): r[1] for r in binned.where("not known").select(F.explode(F.array_distinct("causes")).alias("c")).groupBy("c").agg(F.count("*")).collect()})
-    total = binned.count()
-    first, cause_tolerance = shares(counts, max(total, 1)), max(TOLERANCE, 150 / max(counts["status", False], 1))
-
-    def fold(table: pa.Table) -> pa.Table:
-        own = sorted(table.to_pylist(), key=lambda r: r["id"])
-        return pa.table({"id": pa.array(sorted(accepted(own, first, cause_tolerance, step)), table.schema.field("id").type)})
-
+    bins = rows.select("id", "known", "question_type", intensity.alias("intensity"), age.alias("age"), (none if causes is None else F.array_sort(F.array_distinct(F.coalesce(causes, none)))).alias("causes"))
+    bins = bins.withColumn("causes", F.when(~F.col("known"), F.col("causes")).otherwise(none))
+    kinds = ["known", "question_type", "intensity", "age", "causes"]
+    words = checkpointed(words_of(rows, text, group))
+    items = checkpointed(bins.join(rows.select("id", fold_of(F.col(group)).alias("_fold")), "id"))
+    cells = [r.asDict() for r in items.groupBy(*kinds).agg(F.count("*").alias("n")).orderBy(*kinds).collect()]  # cells, whatever the number of rows
+    if not cells:
+        return rows
+    numbered = rows.sparkSession.createDataFrame([tuple(x[k] for k in kinds) + (k,) for k, x in enumerate(cells)], items.select(*kinds).schema.add("cell", "integer"))
+    equal = [items[k].eqNullSafe(numbered[k]) for k in kinds]
+    items = checkpointed(items.join(F.broadcast(numbered), reduce(lambda a, b: a & b, equal)).select("id", items["known"], "_fold", "cell"))
+    whole, first = Balance(cells, step), None
     while True:
-        scores = naive_bayes(rows, text, group)
-        scores = checkpointed(scores)
-        value, left = auroc(scores).first()["auroc"], rows.count()
-        if value is None or value <= target or left <= keep * total:
-            return rows
-        scored = scores.select("id", "score").join(binned, "id").withColumn("_all", F.lit(0))
-        gone = checkpointed(scored.groupBy("_all").applyInArrow(fold, T.StructType([T.StructField("id", rows.schema["id"].dataType)])))
-        if gone.isEmpty():
-            return rows
-        rows = checkpointed(rows.join(gone, "id", "left_anti"))
+        scores = checkpointed(scored_words(items, words).join(items.select("id", "cell"), "id"))
+        value, left = auroc(scores).first()["auroc"], scores.count()
+        if value is None or value <= target or left <= keep * whole.n:
+            break
+        many = {r["cell"]: r["n"] for r in scores.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        balance = Balance([x | {"n": many.get(k, 0)} for k, x in enumerate(cells)], step)
+        balance.first = first = balance.first if first is None else first
+        balance.limits = whole.limits
+        order = cumulated(scores.where("not known"), [F.col("score"), F.col("id")], place=F.lit(1)).withColumn("place", F.col("place") - 1)
+        order = checkpointed(order)
+        pieces = order.groupBy(F.floor(F.col("place") / PIECE).alias("piece")).agg(F.array_sort(F.collect_list(F.struct("place", "cell"))).alias("rows"))
+        walk = (np.fromiter((x["cell"] for x in r["rows"]), np.int16) for r in pieces.orderBy("piece").toLocalIterator())
+        most = math.ceil(sum(balance.quota.values()) * balance.ratio) + 1
+        ranked = scores.where("known").withColumn("r", F.row_number().over(W.partitionBy("cell").orderBy(F.desc("score"), "id"))).where(F.col("r") <= most)
+        partners: dict[int, list[tuple]] = {}
+        for r in ranked.orderBy("cell", "r").toLocalIterator():
+            partners.setdefault(r["cell"], []).append((-r["score"], r["id"]))
+        places, ids = falling(balance, walk, partners)
+        if not places:
+            break
+        spark, kind = rows.sparkSession, scores.select("id").schema
+        fell = order.join(F.broadcast(spark.createDataFrame([(p,) for p in places], "place long")), "place").select("id").unionByName(spark.createDataFrame([(i,) for i in ids], kind))
+        fell = checkpointed(fell)
+        items = checkpointed(items.join(fell, "id", "left_anti"))
+        words = checkpointed(words.join(fell, "id", "left_anti"))
+    return rows.join(items.select("id"), "id", "left_semi")

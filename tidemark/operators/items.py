@@ -11,20 +11,14 @@ from tidemark.functions import scalars as X
 ABSTENTION = "The evidence seen so far is not enough to tell."
 
 #: Wordings of options that state that evidence is insufficient.
-META = [
-    r"cannot be (determined|established|resolved|confirmed|inferred|told|identified)", r"can't be determined", r"cannot (determine|tell|confirm)", r"not enough (visual )?evidence",
-    r"enough (identity cues|discriminative evidence)", "insufficient", "uncertain", "unreadable", "undetermin", "not determinable",
-    r"do(es)? not (establish|reveal|uniquely|determine|allow|confirm|provide|preserve)", "no definite", "no unique", "no concrete alternative", "none of the concrete",
-    r"remains? (ambiguous|unresolved|unknown|unclear)", r"ambiguous (in|across)", r"leaves? .*unresolved", "absent from the visual record", r"not (be |visibly )?established",
-    "not visible enough", "contents not visible", r"not observed( clearly enough)?", "lacks enough", "cannot be recovered", "cannot rule out", "not sufficiently observed", "not shown in the available",
-]
+META = r"cannot be (determined|established|resolved|confirmed|inferred|told|identified)|can't be determined|cannot (determine|tell|confirm)|not enough (visual )?evidence|enough (identity cues|discriminative evidence)|insufficient|uncertain|unreadable|undetermin|not determinable|do(es)? not (establish|reveal|uniquely|determine|allow|confirm|provide|preserve)|no definite|no unique|no concrete alternative|none of the concrete|remains? (ambiguous|unresolved|unknown|unclear)|ambiguous (in|across)|leaves? .*unresolved|absent from the visual record|not (be |visibly )?established|not visible enough|contents not visible|not observed( clearly enough)?|lacks enough|cannot be recovered|cannot rule out|not sufficiently observed|not shown in the available"
 
 #: Prefixes of an episode's name, the folder its video lies in (or none), by precedence.
 SITES = ["cmu", "sfu", "unc", "uniandes", "utokyo", "minnesota", "georgiatech", "nus"]
 
 
 def is_meta(option: Column) -> Column:
-    return option.rlike("(?i)" + "|".join(META))
+    return option.rlike("(?i)" + META)
 
 
 def normal_permutation(name: Column, count: Column, abstention: Column) -> Column:

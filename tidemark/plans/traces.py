@@ -93,13 +93,6 @@ def state_pairs(spark, sf):
     return a.join(b, ["episode", "b"]).where("second - first between 3000 and 15000").select("episode", "first", "second", "x", "y")
 
 
-@query(", c AS (SELECT episode, seq, abs(value) AS score FROM frames), r AS (SELECT episode, arg_max(seq, (round(score, 6), -seq)) AS best, count(*) AS tried FROM c GROUP BY episode) SELECT episode, best, tried FROM r")
-def best_route(spark, sf):
-    """The candidate of the best score, first of equals: scored in parallel, one aggregate."""
-    rows = V.frames(spark, sf).select("episode", "seq", F.abs("value").alias("score"))
-    return rows.groupBy("episode").agg(F.max_by("seq", F.struct(F.round("score", 6), -F.col("seq"))).alias("best"), F.count("*").alias("tried"))
-
-
 def parents(spark, sf: str) -> DataFrame:
     """Edges of the scene with the state of what they lead to."""
     nodes, edges = graph(spark, sf)
