@@ -2,9 +2,9 @@
 
 Vectors of one label are compared by cosine. Equal vectors of a label are one node with a weight; nodes are numbered in the order of their smallest
 ids. Unit vectors are put into the inverted list of their nearest coarse centre, as codes of SUBSPACES parts of the residual. A vector probes
-the lists that can hold something near enough: the plane halfway between its own centre and the list's, beyond which all of the list lies, must be
-within a margin. For vectors of up to SPREAD^2 components the margin is the radius itself, so no link is lost; for longer ones it is SPREAD times the share of the
-radius that lies along one direction on average (4.8 deviations), which tests measure as full recall against all pairs. In a probed list, distances are read
+the lists that can hold something within the radius of the threshold, by two exact bounds: the plane halfway between its own centre and the list's, beyond which all of
+the list lies, is no farther than the radius; and its distance from the list's centre is at most the radius and the list's own reach (the largest distance of a member). So
+no link is lost, whatever directions the vectors fill. In a probed list, distances are read
 from the query's tables (asymmetric: the query is exact); what they leave possible, given each code's stored error, is compared in single precision, and by
 exact cosine in double precision where that comes within rounding of the threshold.
 
@@ -34,7 +34,6 @@ LISTS = 4096
 SAMPLE = 32_768
 SUBSPACES = 8
 CODES = 256
-SPREAD = 4.8
 BLOCK = 1024
 
 
@@ -60,6 +59,7 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, n: int):
         self.coarse = k_means(sample, max(1, min(LISTS, int(np.sqrt(n)), len(sample))), 8, 1)
+        self.reach = np.full(len(self.coarse), np.inf)  # the largest distance of a list's members from its centre, once all are known
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.parts = np.array_split(np.arange(sample.shape[1]), min(SUBSPACES, sample.shape[1]))
         self.books = [k_means(rest[:8192][:, p], min(CODES, len(rest)), 8, 2 + k) for k, p in enumerate(self.parts)]
@@ -74,14 +74,14 @@ class Quantiser:
     def probes(self, x: np.ndarray, own: np.ndarray, radius: float) -> list[np.ndarray]:
         """Lists that may hold vectors within the radius."""
         c = self.coarse
-        margin = radius * min(1.0, SPREAD / np.sqrt(x.shape[1])) + 1e-4
         square = (c * c).sum(1)
         out = []
         for a in range(0, len(x), 1024):
             d = square - 2 * x[a : a + 1024] @ c.T
             mine = own[a : a + 1024]
             apart = np.sqrt(np.maximum(square[mine][:, None] + square - 2 * c[mine] @ c.T, 1e-12))
-            near = (d - d[np.arange(len(mine)), mine][:, None]) / (2 * apart) <= margin
+            near = (d - d[np.arange(len(mine)), mine][:, None]) / (2 * apart) <= radius + 1e-4
+            near &= np.sqrt(np.maximum((x[a : a + 1024] ** 2).sum(1)[:, None] + d, 0)) <= radius + self.reach + 1e-3
             near[np.arange(len(mine)), mine] = True
             out += [np.flatnonzero(r) for r in near]
         return out
@@ -115,6 +115,24 @@ def units(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(1, keepdims=True))).astype(np.float32)
 
 
+def reaches(models: dict[int, Quantiser]):
+    """For each list, the largest distance of a partition's vectors from its centre."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = {size: np.full(len(q.coarse), -1.0) for size, q in models.items()}
+        for batch in batches:
+            sizes = np.fromiter(map(len, batch.column("embedding")), np.int64, batch.num_rows)
+            for size in np.unique(sizes).tolist():
+                x, q = units(matrix(batch.column("embedding").take(pa.array(np.flatnonzero(sizes == size))))), models[size]
+                own = nearest(x, q.coarse)
+                np.maximum.at(most[size], own, np.sqrt(((x - q.coarse[own]) ** 2).sum(1)))
+        rows = [(size, k, v) for size, own in most.items() for k, v in enumerate(own.tolist()) if v >= 0]
+        cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["size", "list", "reach"])
+
+    return run
+
+
 POSTED = "unit long, side int, node long, weight long, list int, vector binary, codes binary, error float"
 
 
@@ -223,7 +241,14 @@ def near_vectors(rows: DataFrame, least: float = LEAST) -> DataFrame:
             sample = nodes.where(F.size("embedding") == size).select("node", "embedding").limit(1).toArrow()
         models[size] = Quantiser(units(matrix(sample.column("embedding"))), many)
 
-    shared = spark.sparkContext.broadcast(models)  # at most LISTS centres a length
+    fitted = spark.sparkContext.broadcast(models)  # at most LISTS centres a length
+    far = nodes.select("embedding").mapInArrow(lambda batches: reaches(fitted.value)(batches), "size int, list int, reach double").groupBy("size", "list").agg(F.max("reach").alias("reach")).collect()
+    for q in models.values():
+        q.reach[:] = -np.inf  # an empty list
+    for r in far:
+        models[r["size"]].reach[r["list"]] = r["reach"]
+    fitted.unpersist()
+    shared = spark.sparkContext.broadcast(models)
     posted = nodes.select(F.xxhash64("label", F.size("embedding")).alias("label"), "node", "weight", "embedding")
     posted = cut(posted.mapInArrow(lambda batches: postings(shared.value, radius, single)(batches), POSTED), "postings")
     count = F.count(F.when(F.col("side") == 0, 1))
