@@ -22,7 +22,9 @@ segments of SEGMENT words that overlap; empty tables give no rows; columns beyon
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -98,35 +100,42 @@ class SuffixAutomaton:
         return out, ends
 
 
-def late_windows(stretches: list[list[int]], keys: list[tuple[int, int, int]], length: int) -> list[np.ndarray]:
-    """For each stretch, which of its windows also occur at an earlier (id, hash, place). Stretches are in the order of their keys."""
+def late_windows(stretches: list[list[int]], keys: list[tuple[int, int, int]], length: int) -> list[list[tuple[int, int]]]:
+    """For each stretch, the runs (first, end) of its windows that also occur at an earlier (id, hash, place). Stretches are in the order of their keys."""
     flat, starts, signs = [], [], -1
     for own in stretches:
         starts.append(len(flat))
         flat += own
         flat.append(signs)  # occurs once: no match passes it
         signs -= 1
-    automaton = SuffixAutomaton(flat)
+    held, ends = SuffixAutomaton(flat).statistics(flat, length)
     begins = np.array(starts)
+    at = np.array(ends, np.int64) - (length - 1)  # where the window that ends here starts first
+    here = np.arange(len(flat)) - (length - 1)
+    seen = np.flatnonzero((np.array(held, np.int64) == length) & (at < here))  # an occurrence further on is no earlier one
+    at, here = at[seen], here[seen]
     ids, hashes, places = (np.array([k[j] for k in keys], np.int64) for j in range(3))
-    out = []
-    for k, own in enumerate(stretches):
-        held, ends = automaton.statistics(own, length)
-        at = np.array(ends, np.int64)[length - 1 :] - (length - 1)  # where the window starts first
-        other = np.searchsorted(begins, at, side="right") - 1
-        place = places[other] + at - begins[other]
-        here = places[k] + np.arange(len(at))
-        same = (ids[other] == ids[k]) & (hashes[other] == hashes[k])
-        out.append((np.array(held, np.int64)[length - 1 :] == length) & (~same | (place < here)))
+    other, own = np.searchsorted(begins, at, side="right") - 1, np.searchsorted(begins, here, side="right") - 1
+    same = (ids[other] == ids[own]) & (hashes[other] == hashes[own])
+    late = ~same | (places[other] + at - begins[other] < places[own] + here - begins[own])
+    own, at = own[late], (here - begins[own])[late]
+    out: list[list[tuple[int, int]]] = [[] for _ in stretches]
+    if len(own):
+        new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (at[1:] != at[:-1] + 1)]))
+        last = np.concatenate([new[1:], [len(own)]]) - 1
+        for k, a, b in zip(own[new].tolist(), at[new].tolist(), at[last].tolist(), strict=True):
+            out[k].append((a, b + 1))
     return out
 
 
 def numbered(group: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words by falling frequency, the numbers of all words, and how many each text has."""
-    words: dict[bytes, int] = {}
-    found = [np.fromiter((words.setdefault(w, len(words)) for w in t.encode().split()), np.int64) for t in group]
+    found = [t.encode().split() for t in group]
     counts = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.concatenate(found) if found else np.zeros(0, np.int64)
+    every = list(chain.from_iterable(found))
+    words = dict.fromkeys(every)
+    words.update(zip(words, range(len(words)), strict=True))
+    flat = np.fromiter(map(words.__getitem__, every), np.int64, len(every))
     order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
@@ -316,7 +325,7 @@ def spans_of_shards(length: int):
         rows = [r for b in batches for r in b.to_pylist()]
         out: dict[int, list[np.ndarray]] = {}
         words: dict[bytes, int] = {}
-        stretches: list[np.ndarray] = []
+        stretches: list[bytes] = []
         info: list[np.ndarray] = []
         homes: list[int] = []
         for r in rows:
@@ -324,38 +333,46 @@ def spans_of_shards(length: int):
                 out.setdefault(r["chunk"], []).append(loosen(r["a"], np.int64).reshape(-1, 4))
                 continue
             own = np.array([words.setdefault(w, len(words)) for w in unpack_words(loosen(r["a"]))], np.uint32)
-            lens = loosen(r["d"], np.int64)
-            stretches += np.split(own[loosen(r["b"], np.uint32)], np.cumsum(lens)[:-1])
+            raw, stops = own[loosen(r["b"], np.uint32)].tobytes(), np.cumsum(loosen(r["d"], np.int64) * 4).tolist()
+            stretches += [raw[x:y] for x, y in zip([0, *stops], stops, strict=False)]
             info.append(loosen(r["c"], np.int64).reshape(-1, 4))
-            homes += [r["chunk"]] * len(lens)
+            homes += [r["chunk"]] * len(stops)
         del rows
         if stretches:
             table = np.concatenate(info)
+            keys = list(map(tuple, table[:, 1:].tolist()))
             first: dict[bytes, int] = {}
             also: dict[int, list[int]] = {}  # of a kept stretch: chunks in which the same row has it
+            whole: dict[int, list[tuple]] = {}
             for k in np.lexsort((table[:, 3], table[:, 2], table[:, 1])).tolist():
-                kept = first.setdefault(stretches[k].tobytes(), k)
-                i, h, p = table[k, 1:].tolist()
-                if (table[kept, 1:] == table[k, 1:]).all():
+                kept = first.setdefault(stretches[k], k)
+                if kept == k or keys[kept] == keys[k]:
                     also.setdefault(kept, []).append(homes[k])
                 else:
-                    out.setdefault(homes[k], []).append(np.array([[i, h, p, p + len(stretches[k])]], np.int64))
-            own = sorted(also, key=lambda k: (table[k, 0], *table[k, 1:].tolist()))
-            low = 0
+                    i, h, p = keys[k]
+                    whole.setdefault(homes[k], []).append((i, h, p, p + len(stretches[k]) // 4))
+            for home, gone in whole.items():
+                out.setdefault(home, []).append(np.array(gone, np.int64))
+            kept = np.array(list(also))
+            # windows of one stretch have its anchor at different places, so they differ: an anchor with one stretch left has no more repeats
+            _, of, many = np.unique(table[kept, 0], return_inverse=True, return_counts=True)
+            kept = kept[many[of] > 1]
+            own = kept[np.argsort(table[kept, 0], kind="stable")]
+            anchors, size = table[own, 0].tolist(), np.cumsum([len(stretches[k]) // 4 for k in own.tolist()]).tolist()
+            low, found = 0, {}
             while low < len(own):  # several anchors to a shard, and no anchor in two
-                high, size = low, 0
-                while high < len(own) and (size < SHARD_WORDS or table[own[high], 0] == table[own[high - 1], 0]):
-                    size += len(stretches[own[high]])
+                high = max(low + 1, bisect_right(size, (size[low - 1] if low else 0) + SHARD_WORDS))
+                while high < len(own) and anchors[high] == anchors[high - 1]:
                     high += 1
-                shard = sorted(own[low:high], key=lambda k: table[k, 1:].tolist())
-                keys = [tuple(table[k, 1:].tolist()) for k in shard]
-                for k, (i, h, p), late in zip(shard, keys, late_windows([stretches[k].tolist() for k in shard], keys, length), strict=True):
-                    edges = np.flatnonzero(np.diff(np.concatenate([[0], late.astype(np.int8), [0]])))
-                    if len(edges):
-                        spans = np.array([(i, h, p + a, p + b - 1 + length) for a, b in edges.reshape(-1, 2).tolist()], np.int64)
+                shard = sorted(own[low:high].tolist(), key=keys.__getitem__)
+                for k, late in zip(shard, late_windows([np.frombuffer(stretches[k], np.uint32).tolist() for k in shard], [keys[k] for k in shard], length), strict=True):
+                    i, h, p = keys[k]
+                    for a, b in late:
                         for home in also[k]:
-                            out.setdefault(home, []).append(spans)
+                            found.setdefault(home, []).append((i, h, p + a, p + b - 1 + length))
                 low = high
+            for home, gone in found.items():
+                out.setdefault(home, []).append(np.array(gone, np.int64))
         for home, found in out.items():
             spans = np.concatenate(found)
             yield row_batch([(1, home, 0, squeeze(spans[np.lexsort(spans.T[::-1])]))])
