@@ -92,14 +92,6 @@ def interpolated(rows: DataFrame, keys: DataFrame, key: str, t: str, value: str,
     return both.where("_ask = 1").select(key, F.col("_t").alias(t), mid.alias(value))
 
 
-def rate_capped(rows: DataFrame, key: str, frame: str, value: str, most: float) -> DataFrame:
-    """Each value no further than `most` from the one before it as capped. Every step depends on the last, so each group is one fold over its own rows."""
-    fields = F.array_sort(F.collect_list(F.struct(frame, value)))
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x[value]).otherwise(F.element_at(acc, -1) + F.greatest(F.least(x[value] - F.element_at(acc, -1), F.lit(most)), F.lit(-most)))))
-    folded = rows.groupBy(key).agg(fields.alias("_r")).withColumn("_c", F.aggregate("_r", F.array().cast("array<double>"), step))
-    return folded.select(key, F.inline(F.zip_with("_r", "_c", lambda r, c: F.struct(r[frame].alias(frame), c.alias("capped")))))
-
-
 def points_at(path: DataFrame, asks: DataFrame, key: str, order: str, x: str, y: str) -> DataFrame:
     """Points of each polyline at distances along it, clamped to its length: per ask (key, distance) its x and y.
 

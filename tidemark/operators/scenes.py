@@ -73,10 +73,10 @@ def observer_commands(script: DataFrame, allowed: list[str]) -> DataFrame:
     return each.withColumn("fault", F.when(many > 1, "two commands").when((F.col("actor") == 0) & ~F.col("verb").isin(allowed), "not allowed"))
 
 
-def contained(visits: DataFrame, segments: DataFrame, key: str) -> DataFrame:
-    """Each visit with the first segment that holds all of it."""
-    s = segments.select(key, F.col("seq").alias("segment"), F.col("start").alias("_a"), F.col("end").alias("_b"))
-    return visits.join(s, key).where("start >= _a and end <= _b").groupBy("seq").agg(F.min("segment").alias("segment"))
+def contained(visits: DataFrame, segments: DataFrame, key: str, width: float) -> DataFrame:
+    """Each visit with the first segment that holds all of it. Segments are spread over buckets of `width`, so a visit meets those that hold its start only."""
+    s = segments.select(key, F.col("seq").alias("segment"), F.col("start").alias("_a"), F.col("end").alias("_b")).where("_a <= _b").withColumn("_c", F.explode(F.sequence(F.floor(F.col("_a") / width), F.floor(F.col("_b") / width))))
+    return visits.withColumn("_c", F.floor(F.col("start") / width)).join(s, [key, "_c"]).where("start >= _a and end <= _b").groupBy("seq").agg(F.min("segment").alias("segment"))
 
 
 def order_pairs(events: DataFrame, key: str, name: str, t: str, least: float) -> DataFrame:

@@ -91,10 +91,19 @@ def interval_hits(points: DataFrame, spans: DataFrame, key: str, t: str, width:
 
 
 def inside_gaps(segments: DataFrame, visits: DataFrame, key: str) -> DataFrame:
-    """What lies wholly between a visit's end and the next one's start."""
+    """What lies wholly between a visit's end and the next one's start; on the border of two such spaces, what has no length lies in the later.
+
+    Spaces don't overlap, so a segment can only lie in the last one that begins by its start: one window over both sides, in the order of time.
+    """
     w = over(key, "start", "end")
-    spaces = visits.withColumn("until", F.lead("start").over(w)).where("until is not null").select(key, F.col("end").alias("since"), "until")
-    return segments.join(spaces, key).where("start >= since and end <= until")
+    spaces = visits.withColumn("until", F.lead("start").over(w)).select(key, F.col("end").alias("since"), "until").where("until >= since")
+    names = [c for c in segments.columns if c != key]
+    none = F.lit(None).cast(segments.select(F.struct(*names).alias("s")).schema["s"].dataType)
+    both = segments.select(key, F.col("start").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(spaces.schema["until"].dataType).alias("_u"), F.struct(*names).alias("_s"))
+    both = both.unionByName(spaces.select(key, F.col("since").alias("_t"), F.lit(0).alias("_k"), F.col("until").alias("_u"), none.alias("_s")))
+    space = F.when(F.col("_k") == 0, F.struct(F.col("_t").alias("since"), F.col("_u").alias("until")))
+    held = F.last(space, True).over(W.partitionBy(key).orderBy("_t", "_k", "_u").rowsBetween(W.unboundedPreceding, 0))
+    return both.withColumn("_h", held).where((F.col("_k") == 1) & (F.col("_s.end") <= F.col("_h.until"))).select(key, "_s.*", "_h.since", "_h.until")
 
 
 def confirmed_changes(rows: DataFrame, key: str, order: list[str], state: str, value: str) -> DataFrame:
@@ -157,5 +166,13 @@ def aligned_clock(rows: DataFrame, key: str, order: list[str], frame: str) -> Da
 
 
 def retimed(events: DataFrame, frames: DataFrame, key: str) -> DataFrame:
-    """The last frame before an event's start and the first after its end."""
-    return events.join(frames.select(key, F.col("t").alias("_f")), key).groupBy(*events.columns).agg(F.max(F.when(F.col("_f") < F.col("start"), F.col("_f"))).alias("before"), F.min(F.when(F.col("_f") > F.col("end"), F.col("_f"))).alias("after"))
+    """The last frame before an event's start and the first after its end: an event asks twice, and one window over asks and frames answers, in the order of time."""
+    names = [c for c in events.columns if c != key]
+    kind = events.select(F.struct(*names).alias("e")).schema["e"].dataType
+    ask = lambda t, side: events.select(key, F.col(t).cast("double").alias("_t"), F.lit(side).alias("_k"), F.struct(*names).alias("_e"), F.lit(None).cast(frames.schema["t"].dataType).alias("_f"))
+    rows = frames.select(key, F.col("t").cast("double").alias("_t"), F.lit(1).alias("_k"), F.lit(None).cast(kind).alias("_e"), F.col("t").alias("_f"))
+    both = ask("start", 0).unionByName(rows).unionByName(ask("end", 2))  # at one time: starts, frames, ends
+    w = W.partitionBy(key).orderBy("_t", "_k")
+    both = both.withColumn("_b", F.last("_f", True).over(w.rowsBetween(W.unboundedPreceding, 0))).withColumn("_a", F.first("_f", True).over(w.rowsBetween(0, W.unboundedFollowing)))
+    out = both.where("_k <> 1").groupBy(key, "_e").agg(F.max(F.when(F.col("_k") == 0, F.col("_b"))).alias("before"), F.min(F.when(F.col("_k") == 2, F.col("_a"))).alias("after"))
+    return out.select(key, "_e.*", "before", "after")

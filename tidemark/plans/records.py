@@ -127,11 +127,6 @@ def keyframe_interpolation(spark, sf):
     return motion.interpolated(f.where("event_type = 'purchase'").select("episode", "t").distinct(), keys, "episode", "t", "v").select("episode", "t", F.round("v", 4).alias("v"))
 
 
-@query()
-def rate_cap(spark, sf):
-    return motion.rate_capped(V.frames(spark, sf).select("episode", "seq", F.col("value").cast("double").alias("v")), "episode", "seq", "v", 5.0)
-
-
 GRAPH = ", n AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS surface, p_partkey % 4 = 1 AS closed, p_partkey % 5 = 0 AS opens, p_partkey % 7 AS room FROM part), e AS (SELECT p_partkey AS a, p_partkey // 2 AS b, CASE WHEN p_partkey % 2 = 0 THEN 'ON' ELSE 'INSIDE' END AS r FROM part)"
 
 
@@ -194,7 +189,7 @@ def spacing_gate(spark, sf):
 def visit_containment(spark, sf):
     f = V.frames(spark, sf)
     span = lambda kind, size: f.where(F.col("event_type") == kind).select("seq", "episode", F.col("t").alias("start"), (F.col("t") + size).alias("end"))
-    return scenes.contained(span("view", 30), span("purchase", 5000), "episode")
+    return scenes.contained(span("view", 30), span("purchase", 5000), "episode", 5000)
 
 
 @query(", m AS (SELECT episode, event_type AS k, min(t) AS t FROM frames GROUP BY 1, 2) SELECT a.episode, a.k AS x, b.k AS y, CASE WHEN a.t < b.t THEN a.k ELSE b.k END AS first FROM m a JOIN m b ON a.episode = b.episode AND a.k < b.k WHERE abs(a.t - b.t) >= 3")

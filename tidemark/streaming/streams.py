@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -49,12 +50,14 @@ def run_to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "ap
 
 
 def prefix_frames(frames: DataFrame, asks: DataFrame, key: str) -> DataFrame:
-    """Frames newly seen at each ask: after the ask before, up to this one."""
-    from pyspark.sql import Window as W
-
-    since = F.lag("query_time").over(W.partitionBy(key).orderBy("query_time", "id"))
-    spans = asks.withColumn("since", F.coalesce(since, F.lit(float("-inf"))))
-    return frames.join(spans, key).where("t > since + 1e-6 and t <= query_time + 1e-6")
+    """Frames newly seen at each ask: after the ask before, up to this one. A frame belongs to the first ask at or after it: one window over both, in the order of time."""
+    own, more = [c for c in frames.columns if c != key], [c for c in asks.columns if c != key]
+    kind = lambda df, names: df.select(F.struct(*names).alias("s")).schema["s"].dataType
+    a = frames.select(key, F.col("t").cast("double").alias("_t"), F.lit(0).alias("_k"), F.lit(None).cast(asks.schema["id"].dataType).alias("_i"), F.struct(*own).alias("_f"), F.lit(None).cast(kind(asks, more)).alias("_a"))
+    b = asks.select(key, (F.col("query_time") + 1e-6).cast("double").alias("_t"), F.lit(1).alias("_k"), F.col("id").alias("_i"), F.lit(None).cast(kind(frames, own)).alias("_f"), F.struct(*more).alias("_a"))
+    w = W.partitionBy(key).orderBy("_t", "_k", "_i")
+    both = a.unionByName(b).withColumn("_n", F.first("_a", True).over(w.rowsBetween(0, W.unboundedFollowing))).where("_k = 0 and _n is not null")
+    return both.select(key, "_f.*", *[F.col(f"_n.{c}").alias(c) for c in more if c not in own])
 
 
 def audit(rows: DataFrame, leaks: Column) -> DataFrame:
