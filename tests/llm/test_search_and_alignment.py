@@ -141,11 +141,11 @@ def test_anchors_of_many_stretches_are_dealt_by_window(spark, monkeypatch):
     assert got == {i: 25 if i else 0 for i in range(200)}
 
 
-A_FILE, B_FILE = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+FILES = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN
 
 
 def links(rows):
-    pair = alignment.Pair(A_FILE, B_FILE)
+    pair = alignment.Pair(*FILES)
     out, per, holds = [], [], Counter()
     for i, t in rows:
         a, b, right = pair.encode(" " + t) if t else ([], [], False)
@@ -186,10 +186,32 @@ def test_alignment_of_tables(request, name, chunk, monkeypatch):
     docs = request.getfixturevalue(name)
     if name == "docs":
         docs = docs.limit(60)
-    got = alignment.token_links(docs, A_FILE, B_FILE)
+    got = alignment.token_links(docs, *FILES)
     assert Counter(tuple(r) for r in got.collect()) == links([(r.doc_id, r.text) for r in docs.collect()])
 
 
+def test_pieces_hold_what_their_texts_do(docs):
+    """Merges by rank against the tokenizer's own file, large groups against small ones, and pieces whose bytes differ."""
+    pair, store = alignment.Pair(*FILES), alignment.Store(*FILES)
+    pieces = list(dict.fromkeys(p for r in docs.collect() for p in alignment.pieces_of(r.text))) + [" ", " ▁a", " x▁", "  two", " a\nb", " naïve", " слово", " 漢字", " <|endoftext|>", " " + "é漢" * 80, " " + "y" * 500, " <0x41>"]
+    numbers = store.numbers(pieces * 2)
+    table, keys, times = store.held.whole()
+    ends = table[:, 4].cumsum()
+    for p, n in zip(pieces, numbers.tolist(), strict=False):
+        a, b, right = pair.encode(p)
+        assert right == bool(table[n, 5])
+        if right:
+            assert table[n, :2].tolist() == [len(a), len(b)]
+            said = [g.split("|") for g in store.held.names[n].split(";")]
+            assert [int(x) for g in said for x in g[0].split(",")] == a and [int(x) for g in said for x in g[1].split(",")] == b and table[n, 2] == len(said)
+            want = Counter(int(x) << 32 | int(y) for g in said for x in g[0].split(",") for y in g[1].split(","))
+            got = Counter()
+            for k, t in zip(keys[ends[n] - table[n, 4] : ends[n]].tolist(), times[ends[n] - table[n, 4] : ends[n]].tolist(), strict=True):
+                got[k] += t
+            assert got == want and table[n, 3] == sum(want.values())
+    assert numbers[: len(pieces)].tolist() == numbers[len(pieces) :].tolist()
+
+
 def test_owners_overlaps_and_cuts():
     a, b = alignment.owners([2, 1, 3]), alignment.owners([1, 2, 2, 1])
     assert a.tolist() == [0, 0, 1, 2, 2, 2] and b.tolist() == [0, 1, 1, 2, 2, 3]
@@ -197,8 +219,8 @@ def test_owners_overlaps_and_cuts():
 
 
 def test_aligned_outputs(spark, odd):
-    pair = alignment.Pair(A_FILE, B_FILE)
-    for r in alignment.aligned(odd, A_FILE, B_FILE).collect():
+    pair = alignment.Pair(*FILES)
+    for r in alignment.aligned(odd, *FILES).collect():
         if r.a:
             whole = b"".join(pair.a_bytes[i] for i in r.a)
             assert whole == b"".join(pair.b_bytes[i] for i in r.b) and r.cuts[-1] == len(whole)
@@ -219,6 +241,6 @@ def test_a_text_of_megabytes(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert removed(automaton_dedup.remove_repeats(docs)) == repeats(rows, 20)
     assert ranked(lexical_search.search(docs, spark.createDataFrame([(7, rows[1][1])], "item_id long, text string"))) == best(rows, [(7, rows[1][1])])
-    got = {r._id: r for r in alignment.token_links(docs, A_FILE, B_FILE).collect()}
-    a, b, right = alignment.Pair(A_FILE, B_FILE).encode(" " + long)
+    got = {r._id: r for r in alignment.token_links(docs, *FILES).collect()}
+    a, b, right = alignment.Pair(*FILES).encode(" " + long)
     assert right and (got[1].n_a, got[1].n_b) == (len(a), len(b)) and got[3].n_a > 0

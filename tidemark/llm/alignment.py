@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,13 @@ from .suffix_dedup import ROWS, row_batch
 
 CHUNK_BYTES = 8_000_000
 #: Pieces aligned in one string.
-STRING = 256
+STRING = 1024
 #: Pieces that a worker holds.
-MOST = 400_000
+MOST = 600_000
+#: Links of a group that are written out one by one.
+MANY = 256
+#: Letters below this are Latin, and of one kind in all versions of Unicode.
+LATIN = "\u0250"
 
 
 def owners(lens: np.ndarray) -> np.ndarray:
@@ -53,106 +58,120 @@ def cuts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Pair:
-    """Two tokenizers with their tokens' bytes."""
+    """Two tokenizers with their tokens' bytes.
 
-    def __init__(self, byte_level: str, pieces: str):
+    Pieces of which all but the first are Latin letters, digits and signs go to A's merges by rank (an id is its rank), which is several times as fast as
+    the tokenizer of the file and gives the same ids; all others go to that.
+    """
+
+    def __init__(self, byte_level: str, pieces: str, pattern: str):
         import sentencepiece
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(byte_level)
         self.a.encode_special_tokens = True
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies write as themselves; the others follow from 256 on
         of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-        self.a_bytes = [self.bytes_of(self.a.id_to_token(i) or "", of) for i in range(self.a.get_vocab_size())]
+        added = set(self.a.get_added_tokens_decoder())
+        names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
+        self.a_bytes = [n.encode() if i in added else bytes(of[c] for c in n) for i, n in enumerate(names)]
+        self.ranks = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if i not in added}, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(n[3:5], 16)]) if self.b.is_byte(i) else n.replace("▁", " ").encode() for i, n in enumerate(names)]
         self.a_width = np.array(list(map(len, self.a_bytes)), np.int64)
         self.b_width = np.array(list(map(len, self.b_bytes)), np.int64)
+        # a token and what follows it in a group: another token of its side, or the end of its side
+        self.said = [f"{i}{x}" for i in range(len(self.a_bytes)) for x in ",|"] + [f"{i}{x}" for i in range(len(self.b_bytes)) for x in ",;"]
 
-    @staticmethod
-    def bytes_of(token: str, of: dict[str, int]) -> bytes:
-        return bytes(of[c] for c in token) if all(c in of for c in token) else token.encode()
-
-    def encode(self, text: str) -> tuple[list[int], list[int], bool]:
+    def encode(self, text: str, by_rank: bool = False) -> tuple[list[int], list[int], bool]:
         """Ids of a text that starts with a space by A, of the rest by B (which adds the space), and whether both give the text's bytes."""
-        a, b, raw = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:]), text.encode()
+        a = self.ranks.encode_ordinary(text) if by_rank else self.a.encode(text, add_special_tokens=False).ids
+        b, raw = self.b.encode(text[1:]), text.encode()
         return a, b, b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
 
 
 class Aligned:
-    """What distinct pieces hold, in the order of their numbers: ids, groups, and linked id pairs with how often each is linked."""
+    """What distinct pieces hold, in the order of their numbers: groups as text, sizes, and linked id pairs with how often each is linked."""
 
     def __init__(self):
         self.names: list[str] = []
-        self.sizes: list[tuple[int, int, int, int, bool]] = []  # tokens of A, of B, groups, links, whether the bytes are right
-        self.pairs: list[dict[int, int]] = []
-
-    def add(self, a: list[int], b: list[int], groups: list[tuple[int, int, int, int]]) -> None:
-        said, pairs, links = [], {}, 0
-        for a0, a1, b0, b1 in groups:
-            own, other = a[a0:a1], b[b0:b1]
-            said.append(f"{','.join(map(str, own))}|{','.join(map(str, other))}")
-            links += len(own) * len(other)
-            if len(own) == len(other) == 1:
-                key = own[0] << 32 | other[0]
-                pairs[key] = pairs.get(key, 0) + 1
-            else:  # by distinct ids: a group of any size has no more pairs than its ids
-                left, right = count(own), count(other)
-                for x, n in left.items():
-                    for y, m in right.items():
-                        key = x << 32 | y
-                        pairs[key] = pairs.get(key, 0) + n * m
-        self.names.append(";".join(said))
-        self.sizes.append((len(a), len(b), len(groups), links, True))
-        self.pairs.append(pairs)
-
-    def add_wrong(self) -> None:
-        self.names.append("")
-        self.sizes.append((0, 0, 0, 0, False))
-        self.pairs.append({})
-
-
-def count(ids: list[int]) -> dict[int, int]:
-    out: dict[int, int] = {}
-    for i in ids:
-        out[i] = out.get(i, 0) + 1
-    return out
-
-
-def align(pair: Pair, pieces: list[str], out: Aligned) -> None:
+        self.tables: list[np.ndarray] = [np.zeros((0, 6), np.int64)]  # a row a piece: tokens of A, of B, groups, links, pairs stored, whether the bytes are right
+        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.times: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def add(self, names: list[str], table: np.ndarray, keys: np.ndarray, times: np.ndarray) -> None:
+        self.names += names
+        self.tables.append(table)
+        self.keys.append(keys)
+        self.times.append(times)
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        for own in (self.tables, self.keys, self.times):
+            if len(own) > 1:
+                own[:] = [np.concatenate(own)]
+        return self.tables[0], self.keys[0], self.times[0]
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct id pairs of one group and how often each is linked: by distinct ids, so a group of any size has no more pairs than its ids."""
+    x, n = np.unique(a, return_counts=True)
+    y, m = np.unique(b, return_counts=True)
+    return (x[:, None] << 32 | y).ravel(), (n[:, None] * m).ravel()
+
+
+def align(pair: Pair, pieces: list[str], out: Aligned, by_rank: bool = False) -> None:
     """Aligns pieces, all starting with a space, as one string; where the bytes differ, half by half."""
-    a, b, right = pair.encode("".join(pieces))
+    ids, other, right = pair.encode("".join(pieces), by_rank)
     if not right:
         if len(pieces) == 1:
-            out.add_wrong()
+            out.add([""], np.zeros((1, 6), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
             return
         half = len(pieces) // 2
-        align(pair, pieces[:half], out)
-        align(pair, pieces[half:], out)
+        align(pair, pieces[:half], out, by_rank)
+        align(pair, pieces[half:], out, by_rank)
         return
+    a, b = np.array(ids, np.int64), np.array(other, np.int64)
     wide_a, wide_b = pair.a_width[a], pair.b_width[b]
-    at = cuts(owners(wide_a), owners(wide_b))
-    ends = np.concatenate([at, [int(wide_a.sum())]])
-    stop_a, stop_b = np.searchsorted(np.cumsum(wide_a), ends, side="left") + 1, np.searchsorted(np.cumsum(wide_b), ends, side="left") + 1
+    ends = np.concatenate([cuts(owners(wide_a), owners(wide_b)), [int(wide_a.sum())]])
     stops = np.cumsum([len(p.encode()) for p in pieces])
-    upto = np.searchsorted(ends, stops) + 1
+    upto = np.searchsorted(ends, stops) + 1  # groups up to each piece's end
     if len(pieces) > 1 and not (ends[np.minimum(upto - 1, len(ends) - 1)] == stops).all():  # a piece's end is no cut: each on its own
         for p in pieces:
-            align(pair, [p], out)
+            align(pair, [p], out, by_rank)
         return
-    stop_a, stop_b, low = stop_a.tolist(), stop_b.tolist(), 0
-    a_low = b_low = 0
-    for high in upto.tolist():
-        groups, a0, b0 = [], 0, 0
-        for k in range(low, high):
-            groups.append((a0, stop_a[k] - a_low, b0, stop_b[k] - b_low))
-            a0, b0 = stop_a[k] - a_low, stop_b[k] - b_low
-        out.add(a[a_low : a_low + a0], b[b_low : b_low + b0], groups)
-        low, a_low, b_low = high, a_low + a0, b_low + b0
-
-
-_workers: dict[tuple[str, str], tuple] = {}
+    stop_a, stop_b = np.searchsorted(np.cumsum(wide_a), ends) + 1, np.searchsorted(np.cumsum(wide_b), ends) + 1
+    n_a, n_b = np.diff(stop_a, prepend=0), np.diff(stop_b, prepend=0)
+    # the groups as text: each group's tokens of A, then of B, each with the sign behind it
+    group_a, group_b = np.repeat(np.arange(len(ends)), n_a), np.repeat(np.arange(len(ends)), n_b)
+    code = np.empty(len(a) + len(b), np.int64)
+    last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+    last_a[stop_a - 1] = last_b[stop_b - 1] = 1
+    code[np.arange(len(a)) + (stop_b - n_b)[group_a]] = 2 * a + last_a
+    code[np.arange(len(b)) + stop_a[group_b]] = 2 * (len(pair.a_bytes) + b) + last_b
+    said = list(map(pair.said.__getitem__, code.tolist()))
+    bounds = [0, *(stop_a + stop_b)[upto - 1].tolist()]
+    names = ["".join(said[x:y])[:-1] for x, y in zip(bounds, bounds[1:], strict=False)]
+    # all pairs of a group; a group of many goes by distinct ids
+    links = n_a * n_b
+    few = np.where(links <= MANY, links, 0)
+    base, total = np.cumsum(few) - few, int(few.sum())
+    of = np.repeat(np.arange(len(ends)), few)
+    inner = np.arange(total) - base[of]
+    keys = a[(stop_a - n_a)[of] + inner // n_b[of]] << 32 | b[(stop_b - n_b)[of] + inner % n_b[of]]
+    times, stored = np.ones(total, np.int64), few.copy()
+    large = np.flatnonzero(links > MANY)
+    if len(large):
+        found = [linked(a[stop_a[g] - n_a[g] : stop_a[g]], b[stop_b[g] - n_b[g] : stop_b[g]]) for g in large.tolist()]
+        stored[large] = [len(k) for k, _ in found]
+        where = np.repeat(base[large], stored[large])
+        keys, times = np.insert(keys, where, np.concatenate([k for k, _ in found])), np.insert(times, where, np.concatenate([t for _, t in found]))
+    sums = [np.diff(np.concatenate([[0], x])[np.concatenate([[0], upto])]) for x in (np.cumsum(n_a), np.cumsum(n_b), np.arange(1, len(ends) + 1), np.cumsum(links), np.cumsum(stored))]
+    out.add(names, np.stack([*sums, np.ones(len(pieces), np.int64)], 1), keys, times)
+
+
+_workers: dict[tuple[str, str, str], Store] = {}
 
 
 def pieces_of(text: str | None) -> list[str]:
@@ -164,10 +183,10 @@ def pieces_of(text: str | None) -> list[str]:
 
 
 class Store:
-    """A worker's pieces: number -> what it holds. Emptied when MOST are held, so memory is bounded."""
+    """A worker's pieces: number -> what it holds. Emptied between chunks when MOST are held, so memory is bounded."""
 
-    def __init__(self, byte_level: str, pieces: str):
-        self.pair = Pair(byte_level, pieces)
+    def __init__(self, byte_level: str, pieces: str, pattern: str):
+        self.pair = Pair(byte_level, pieces, pattern)
         self.clear()
 
     def clear(self) -> None:
@@ -175,52 +194,59 @@ class Store:
         self.held = Aligned()
 
     def numbers(self, pieces: list[str]) -> np.ndarray:
-        new = [p for p in dict.fromkeys(pieces) if p not in self.code]
-        joined = [p for p in new if len(p) > 1 and not p[1].isspace() and not p[-1].isspace()]
-        kept = set(joined)
-        for group in (*([p] for p in new if p not in kept), *(joined[i : i + STRING] for i in range(0, len(joined), STRING))):
-            align(self.pair, group, self.held)
+        out = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unknown = np.flatnonzero(out < 0).tolist()
+        if not unknown:
+            return out
+        ranked, joined, single = [], [], []
+        for p in dict.fromkeys([pieces[i] for i in unknown]):
+            if len(p) < 2 or p[1].isspace() or p[-1].isspace():
+                single.append(p)
+            elif len(p.split()) == 1 and (p.isascii() or max(p) < LATIN):
+                ranked.append(p)
+            else:
+                joined.append(p)
+        for group, by_rank in (*(([p], False) for p in single), *((own[i : i + STRING], by) for own, by in ((ranked, True), (joined, False)) for i in range(0, len(own), STRING))):
+            align(self.pair, group, self.held, by_rank)
             self.code.update(zip(group, range(len(self.code), len(self.code) + len(group)), strict=True))
-        return np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
+        out[unknown] = [self.code[pieces[i]] for i in unknown]
+        return out
 
 
-def store_of(byte_level: str, pieces: str) -> Store:
-    if (byte_level, pieces) not in _workers:
-        _workers[byte_level, pieces] = Store(byte_level, pieces)
-    return _workers[byte_level, pieces]
+def store_of(byte_level: str, pieces: str, pattern: str) -> Store:
+    key = byte_level, pieces, pattern
+    if key not in _workers:
+        _workers[key] = Store(*key)
+    return _workers[key]
 
 
-def chunk_rows(byte_level: str, pieces: str):
+def chunk_rows(byte_level: str, pieces: str, pattern: str):
     """Chunks (kind 0): ids and results so far; pieces of each document; links of each piece; distinct id pairs and the documents that hold them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, k = TaskContext.get().partitionId(), 0
-        store = store_of(byte_level, pieces)
+        store = store_of(byte_level, pieces, pattern)
         ids: list[int] = []
         flats: list[np.ndarray] = []
         counts: list[int] = []
         digests: list[str] = []
-        size = 0
 
         def take(group_ids: list[int], group: list[str]) -> None:
-            nonlocal size
             per = [pieces_of(t) for t in group]
-            flat = store.numbers([p for own in per for p in own])
-            names, sizes = store.held.names, store.held.sizes
-            low, keep = 0, []
-            for own in per:
-                numbers = flat[low : low + len(own)].tolist()
-                low += len(own)
-                if all(sizes[n][4] for n in numbers):
-                    counts.append(len(numbers))
-                    keep += numbers
-                    digests.append(hashlib.sha256(";".join([names[n] for n in numbers]).encode()).hexdigest() if numbers else "")
-                else:
-                    counts.append(0)
-                    digests.append("")
-            flats.append(np.array(keep, np.int64))
+            lens = np.fromiter(map(len, per), np.int64, len(per))
+            flat = store.numbers(list(chain.from_iterable(per)))
+            del per
+            wrong = np.concatenate([[0], np.cumsum(store.held.whole()[0][flat, 5] == 0)])
+            stops = np.cumsum(lens)
+            right = wrong[stops] == wrong[stops - lens]
+            names, low, every = store.held.names, 0, flat.tolist()
+            for n, good in zip(lens.tolist(), right.tolist(), strict=True):
+                digests.append(hashlib.sha256(";".join(map(names.__getitem__, every[low : low + n])).encode()).hexdigest() if good and n else "")
+                low += n
+            flats.append(flat[np.repeat(right, lens)])
+            counts.extend(np.where(right, lens, 0).tolist())
             ids.extend(group_ids)
 
         def close() -> pa.RecordBatch:
@@ -229,13 +255,13 @@ def chunk_rows(byte_level: str, pieces: str):
             order = np.argsort(-np.bincount(numbers, minlength=len(used)), kind="stable")  # frequent pieces get small numbers, which pack well
             rank = np.empty(len(used), np.int64)
             rank[order] = np.arange(len(used))
-            own = used[order].tolist()
+            own = used[order]
             numbers = rank[numbers]
-            held = store.held
-            table = np.array([held.sizes[n][:4] for n in own], np.int64).reshape(-1, 4)
-            lens = np.array([len(held.pairs[n]) for n in own], np.int64)
-            keys = np.fromiter((x for n in own for x in held.pairs[n]), np.int64, int(lens.sum()))
-            times = np.fromiter((x for n in own for x in held.pairs[n].values()), np.int64, int(lens.sum()))
+            sizes, all_keys, all_times = store.held.whole()
+            table, lens = sizes[own, :4], sizes[own, 4]
+            starts, ends = np.cumsum(sizes[:, 4]) - sizes[:, 4], np.cumsum(lens)
+            at = np.repeat(starts[own] - (ends - lens), lens) + np.arange(int(lens.sum()))
+            keys, times = all_keys[at], all_times[at]
             distinct, place = np.unique(keys, return_inverse=True)
             owner = np.repeat(np.arange(len(per)), per)
             each = np.unique(owner * max(1, len(own)) + numbers)  # the distinct pieces of each document
@@ -367,20 +393,20 @@ def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
 
 
-def token_links(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def token_links(docs: DataFrame, byte_level: str, pieces: str, pattern: str) -> DataFrame:
     """Per document: _id, tokens of A and B, groups, links, links whose id pair is the most frequent of its A id, the sum of the links' counts, and the groups' digest."""
-    table = cut(texts(docs).mapInArrow(chunk_rows(byte_level, pieces), ROWS), "chunks", "none")
+    table = cut(texts(docs).mapInArrow(chunk_rows(byte_level, pieces, pattern), ROWS), "chunks", "none")
     parts = max(partitions(docs.sparkSession), table.count())  # a part's pairs are bounded by a chunk's, whatever the input
     home = F.pmod(F.shiftright("chunk", 20) + 7919 * F.col("chunk").bitwiseAND((1 << 20) - 1), F.lit(parts)).cast("int")
     counts = table.select("chunk", "d").mapInArrow(dealt_pairs(parts), ROWS).repartitionById(parts, F.col("part")).mapInArrow(counted, ROWS)
     return table.unionByName(counts).repartitionById(parts, home).mapInArrow(finished, DIGESTS)
 
 
-def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
+def aligned(docs: DataFrame, byte_level: str, pieces: str, pattern: str) -> DataFrame:
     """Per document: _id, ids of both tokenizers, the bytes at which both have an end, and the overlaps as pairs of token places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = store_of(byte_level, pieces).pair
+        pair = store_of(byte_level, pieces, pattern).pair
         for batch in batches:
             out = [[], [], [], []]
             for text in batch.column("text").to_pylist():
@@ -400,5 +426,5 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
 def op13_byte_owner_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    out = token_links(documents(spark, sf_dir, "doc_id", "text"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    out = token_links(documents(spark, sf_dir, "doc_id", "text"), P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"), P.PATTERN)
     return out.select(id_out(), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
