@@ -127,3 +127,38 @@ def text_headline(scores: DataFrame) -> DataFrame:
     """A line with percentages, n/a where undefined."""
     pct = lambda c: F.when(F.col(c).isNotNull(), F.format_string("%.1f", F.col(c) * 100)).otherwise("n/a")
     return scores.select(F.concat(F.lit("H "), pct("h"), F.lit(" KA "), pct("ka"), F.lit(" AR "), pct("ar")).alias("headline"))
+
+
+def macro_replicates(outs: DataFrame, subset: str, cluster: str, runs: list[str], replicates: int = 1000) -> DataFrame:
+    """(rep, run, ka, ar, h): measures of each run, averaged over subsets, when each subset's clusters are drawn with replacement.
+
+    outs has known and, for each run, correct_<run> and abstained_<run>; all runs get the same draws, so their differences are paired. A cluster is a row of counts; its slots are numbered in its
+    subset, and a draw is the MD5 of replicate and turn modulo the subset's clusters. A replicate in which a subset has no known, or no uncertain, item is left out.
+    """
+    counts = [F.count_if("known").alias("k"), F.count_if(~F.col("known")).alias("u")]
+    for r in runs:
+        counts += [F.count_if(F.col("known") & F.col(f"correct_{r}")).alias(f"kc_{r}"), F.count_if(~F.col("known") & F.col(f"abstained_{r}")).alias(f"ua_{r}")]
+    part = W.partitionBy(subset)
+    stats = outs.groupBy(subset, cluster).agg(*counts).withColumn("slot", F.row_number().over(part.orderBy(cluster)) - 1).withColumn("n", F.count("*").over(part))
+    stats = checkpointed(stats)  # one row a cluster
+    plan = stats.select(subset, "n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
+    slot = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
+    names = ["k", "u", *[f"{c}_{r}" for r in runs for c in ("kc", "ua")]]
+    sums = plan.select("rep", subset, slot.alias("slot")).join(stats.drop("n"), [subset, "slot"]).groupBy("rep", subset).agg(*[F.sum(c).alias(c) for c in names])
+    one = lambda r: F.struct(F.lit(r).alias("run"), F.try_divide(f"kc_{r}", "k").alias("ka"), F.try_divide(f"ua_{r}", "u").alias("ar"))
+    each = sums.select("rep", subset, F.inline(F.array(*[one(r) for r in runs]))).withColumn("h", harmonic(F.col("ka"), F.col("ar")))
+    means = each.groupBy("rep", "run").agg(*[F.avg(c).alias(c) for c in ("ka", "ar", "h")], F.count("*").alias("_m"), F.count("h").alias("_d"))
+    return means.where("_m = _d").drop("_m", "_d")
+
+
+def macro_intervals(draws: DataFrame) -> DataFrame:
+    """Per run and measure of macro_replicates(): mean, 2.5 and 97.5 percent bounds (interpolated) and how many replicates count."""
+    long = draws.select("run", F.inline(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in ("ka", "ar", "h")])))
+    return long.groupBy("run", "measure").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(0.025)).alias("low"), F.percentile("v", F.lit(0.975)).alias("high"), F.count("*").alias("replicates"))
+
+
+def paired_differences(draws: DataFrame, base: str) -> DataFrame:
+    """Per other run: mean difference of h to the base run, draw by draw, its bounds, and the share of draws in which it is above zero."""
+    own = draws.where(F.col("run") == base).select("rep", F.col("h").alias("_b"))
+    gap = draws.where(F.col("run") != base).join(own, "rep").withColumn("d", F.col("h") - F.col("_b"))
+    return gap.groupBy("run").agg(F.avg("d").alias("mean"), F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.avg((F.col("d") > 0).cast("double")).alias("above"))

@@ -275,3 +275,34 @@ def debias_filter(spark, sf):
     rows = V.items(spark, sf).select("id", "known", "question_type", "episode_id", "text", "change_intensity", (F.col("query_time") - F.col("span_end")).alias("age"))
     kept = audit.debias(rows, F.col("text"), "episode_id", X.intensity_bin(F.col("change_intensity"), "filter"), X.age_bin(F.col("age"), "filter"), target=0.5)
     return kept.select("id", "known", "question_type")
+
+
+DRAWS = """, w AS (SELECT *, correct AS ca, abstained AS aa, (id * 5 + n_chars) % 4 = answer AS cb, (id * 5 + n_chars) % 4 = 3 AS ab FROM outs),
+s AS (SELECT question_type, episode_id, count(*) FILTER (known) AS k, count(*) FILTER (NOT known) AS u, count(*) FILTER (known AND ca) AS kca, count(*) FILTER (NOT known AND aa) AS uaa, count(*) FILTER (known AND cb) AS kcb, count(*) FILTER (NOT known AND ab) AS uab,
+  row_number() OVER (PARTITION BY question_type ORDER BY episode_id) - 1 AS slot, count(*) OVER (PARTITION BY question_type) AS n FROM w GROUP BY 1, 2),
+d AS (SELECT r.range AS rep, s.question_type, ('0x' || substr(md5(r.range || ':' || s.slot), 1, 8))::BIGINT % s.n AS slot FROM range(1000) r, s),
+e AS (SELECT rep, question_type, sum(k) AS k, sum(u) AS u, sum(kca) AS kca, sum(uaa) AS uaa, sum(kcb) AS kcb, sum(uab) AS uab FROM d JOIN s USING (question_type, slot) GROUP BY 1, 2),
+l AS (SELECT rep, 'a' AS run, kca::DOUBLE / nullif(k, 0) AS ka, uaa::DOUBLE / nullif(u, 0) AS ar FROM e UNION ALL SELECT rep, 'b', kcb::DOUBLE / nullif(k, 0), uab::DOUBLE / nullif(u, 0) FROM e),
+m AS (SELECT rep, run, avg(ka) AS ka, avg(ar) AS ar, avg(CASE WHEN ka + ar = 0 THEN 0e0 ELSE 2 * ka * ar / (ka + ar) END) AS h FROM l GROUP BY 1, 2 HAVING count(*) = count(ka + ar))"""
+
+
+def draws(spark, sf):
+    """Two runs over the same items: the predictions, and others by arithmetic."""
+    other = (F.col("id") * 5 + F.col("n_chars")) % 4
+    rows = V.outs(spark, sf).withColumns({"correct_a": F.col("correct"), "abstained_a": F.col("abstained"), "correct_b": other == F.col("answer"), "abstained_b": other == 3})
+    return scoring.macro_replicates(rows, "question_type", "episode_id", ["a", "b"])
+
+
+@query(DRAWS + """ SELECT run, measure, round(avg(v), 6) AS mean, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, count(*) AS replicates
+FROM (SELECT run, 'ka' AS measure, ka AS v FROM m UNION ALL SELECT run, 'ar', ar FROM m UNION ALL SELECT run, 'h', h FROM m) GROUP BY 1, 2""")
+def macro_intervals(spark, sf):
+    """Intervals of known accuracy, abstention recall and their harmonic mean, averaged over subsets: 1,000 draws of episodes."""
+    found = scoring.macro_intervals(draws(spark, sf))
+    return found.select("run", "measure", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")], "replicates")
+
+
+@query(DRAWS + """ SELECT 'b' AS run, round(avg(y.h - x.h), 6) AS mean, round(quantile_cont(y.h - x.h, 0.025), 6) AS low, round(quantile_cont(y.h - x.h, 0.975), 6) AS high, round(avg((y.h > x.h)::INT), 6) AS above FROM m x JOIN m y ON x.rep = y.rep AND x.run = 'a' AND y.run = 'b' HAVING count(*) > 0""")
+def paired_differences(spark, sf):
+    """How much better the second run's mean h is than the first's, draw by draw."""
+    found = scoring.paired_differences(draws(spark, sf), "a")
+    return found.select("run", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "above")])
