@@ -70,8 +70,8 @@ def bootstrap(rows: DataFrame, cluster: str, replicates: int, value: str = "h")
     Each cluster is four counts, so a draw costs a join with a row a cluster and never touches predictions again.
     """
     stats = rows.groupBy(cluster).agg(F.count_if("known").alias("k"), F.count_if(F.col("known") & F.col("correct")).alias("kc"), F.count_if(~F.col("known")).alias("u"), F.count_if(~F.col("known") & F.col("abstained")).alias("ua"))
-    stats = stats.withColumn("slot", F.row_number().over(W.orderBy(cluster)) - 1).withColumn("n", F.count("*").over(W.partitionBy()))
-    stats = checkpointed(stats)  # one row a cluster
+    ranked = cumulated(stats, [F.col(cluster)], slot=F.lit(1)).withColumn("slot", F.col("slot") - 1)
+    stats = checkpointed(ranked.crossJoin(F.broadcast(stats.agg(F.count("*").alias("n")))))  # one row a cluster
     plan = stats.select("n", F.col("slot").alias("turn"), F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
     drawn = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "turn")), 1, 8), 16, 10).cast("long") % F.col("n")
     plan = plan.select("rep", drawn.alias("slot"))
