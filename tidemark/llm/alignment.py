@@ -34,7 +34,7 @@ CHUNK_BYTES = 8_000_000
 #: Pieces aligned in one string.
 STRING = 1024
 #: Pieces that a worker holds.
-MOST = 600_000
+MOST = 200_000
 #: Links of a group that are written out one by one.
 MANY = 256
 #: Letters below this are Latin, and of one kind in all versions of Unicode.
@@ -267,7 +267,7 @@ def chunk_rows(byte_level: str, pieces: str, pattern: str):
             each = np.unique(owner * max(1, len(own)) + numbers)  # the distinct pieces of each document
             doc, piece = each // max(1, len(own)), each % max(1, len(own))
             starts = np.cumsum(lens) - lens
-            holds, step = np.zeros(len(distinct), np.int64), 1 << 19
+            holds, step = np.zeros(len(distinct), np.int64), 1 << 17
             low = 0
             while low < len(each):  # whole documents at a time
                 high = min(len(each), low + step)
@@ -312,8 +312,9 @@ def chunk_rows(byte_level: str, pieces: str, pattern: str):
                 release()
         if ids:
             yield close()
-        if len(store.code) > MOST:
-            store.clear()
+        store.clear()  # workers live on through the stages that follow
+        for x in (ids, flats, counts, digests):
+            x.clear()
         release()
 
     return run
