@@ -90,5 +90,49 @@ def test_vocabulary_follows_the_corpus(spark, docs):
     assert tokens.sum() == n - sum(k for _, k in top) and kinds.sum() == v - len(top)
 
 
+def test_scores_do_not_follow_cores_or_partitions(spark, docs, monkeypatch):
+    """Several shards, averaged: the same from one partition and from seven, in chunks of other sizes."""
+    monkeypatch.setattr(bilinear_lm, "SHARD_TOKENS", 1 << 13)
+    monkeypatch.setattr(bilinear_lm, "SHARD_ROWS", 1)
+    found = []
+    for parts, size in ((1, 1 << 24), (7, 20_000)):
+        monkeypatch.setattr(dictionary, "CHUNK_BYTES", size)
+        found.append({r._id: (r.score, r.base_score) for r in bilinear_lm.scores(docs.repartition(parts))[0].collect()})
+    assert found[0].keys() == found[1].keys() and all(found[0][i] == pytest.approx(found[1][i], rel=1e-6) for i in found[0])
+
+
+def test_scores_follow_from_the_parameters(spark, docs, monkeypatch):
+    """Every token's probability by plain loops over all alternatives, in doubles; repeated rows, null ids and texts of one word among them."""
+    kept = []
+    monkeypatch.setattr(bilinear_lm, "trained", lambda *a, own=bilinear_lm.trained: kept.append(own(*a)) or kept[-1])
+    rows = docs.limit(40).select("doc_id", "text").union(spark.createDataFrame([(1, "twice"), (1, "twice"), (None, "no id"), (None, None)], "doc_id long, text string"))
+    every = [(2**63 - 1 if r.doc_id is None else r.doc_id, bilinear_lm.words_of(r.text or "")) for r in rows.collect()]
+    got = bilinear_lm.scores(spark.createDataFrame([(None if i == 2**63 - 1 else i, " ".join(w.decode() for w in own[:-1])) for i, own in every], "doc_id long, text string"))[0].collect()
+    model, = kept
+    held = lambda i: bool(bilinear_lm.held_out([i])[0])
+    c = Counter(w for i, own in every if not held(i) for w in own)
+    vectors = int(bilinear_lm.VECTORS * sum(c.values()) ** 0.5)
+    top = sorted(((w, k) for w, k in c.items() if k >= bilinear_lm.LEAST_COUNT), key=lambda x: (-x[1], x[0]))[:vectors]
+    number = {w: k for k, (w, _) in enumerate(top)}
+    cell = lambda w: number.get(w, len(top) + zlib.crc32(w[-3:]) % bilinear_lm.ENDINGS)
+    mass = Counter({len(top) + e: 1 for e in range(bilinear_lm.ENDINGS)})
+    for w, k in c.items():
+        if w not in number:
+            mass[cell(w)] += k + 1
+    seen, targets, groups, turn = (p.astype(np.float64) for p in model.parts(model.table))
+    d, want = model.d, []
+    for i, own in every:
+        cells, total = [cell(w) for w in own], 0.0
+        for t, w in enumerate(own):
+            r = np.append(sum(seen[cells[t - k - 1] if t > k else model.n, :d] @ turn[k, :, :d] for k in range(model.order)), 1.0)
+            g = model.group[cells[t]]
+            inside = targets[model.edges[g] : model.edges[g + 1]] @ r
+            total += (groups @ r)[g] - np.log(np.exp(groups @ r).sum()) + inside[model.inner[cells[t]]] - np.log(np.exp(inside).sum())
+            total += 0.0 if w in number else math.log((c[w] + 1) / mass[cells[t]])
+        want.append((i, total / math.log(10)))
+    got, want = sorted((r._id, r.score) for r in got), sorted(want)
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-4, atol=1e-3)
+
+
 def test_token_table(spark):
     assert word_bpe.token_table(spark, PATH).count() == 50_256

@@ -5,17 +5,18 @@ have vectors of their own, so the vocabulary follows the corpus; every other wor
 classes of the last three bytes) and has the class's probability times its share of the class's smoothed counts.
 
 The next token is predicted from the ORDER tokens before it. A context's vector is the sum of their vectors, each turned by the matrix of its
-position; a target's score is the product with the target's vector plus a bias. Targets stand in about sqrt(targets) / 2 groups of equal weight:
-P(target) = P(group) * P(target in its group), each normalised over all its alternatives by matrix products over batches of contexts, so all
-words and one unknown word for each ending sum to 1 in every context.
+position; a target's score is the product with the target's vector plus a bias. Targets stand in groups, by rank: one of probability p stands with
+about WIDTH / sqrt(p) others, which makes the alternatives of a token fewest. P(target) = P(group) * P(target in its group), each normalised over all
+its alternatives by matrix products over batches of contexts, so all words and one unknown word for each ending sum to 1 in every context.
 
-Noise-contrastive estimation in numpy: every training token of the corpus is read once, in ROUNDS turns. In a turn, tasks start from the shared
-parameters, go through batches of BATCH tokens against NOISE samples drawn from the unigram distribution (of groups, and of each group's
-targets) with AdaGrad, and report what they changed; changes are averaged row by row, weighted by the squared gradients behind them, block by
-block in tasks of their own. There are at most twice as many such tasks as cores.
+Noise-contrastive estimation in numpy: every training token of the corpus is read once, in ROUNDS turns. Documents are dealt to shards and turns by a
+hash of id and words. In a turn, a task for each shard starts from the shared parameters, goes through batches of BATCH tokens against NOISE samples
+drawn from the unigram distribution (of groups, and of each group's targets) with AdaGrad, and reports what it changed; changes are averaged row by
+row, weighted by the squared gradients behind them, block by block in tasks of their own, in the order of the shards. The number of shards follows
+the training tokens and the parameters alone, and a shard's documents are put in order of their hashes, so cores and partitions do not matter.
 
-Bound: at most MOST words have vectors of their own (reached at 7.6 billion training tokens), so the parameters, the one thing sent to all
-tasks, stay below 80 MB. Words beyond share vectors by ending, as all rarer words do.
+Bounds (parameters): words that occur LEAST_COUNT times or more in training, and MOST of them at most (reached at 7.6 billion training tokens), have
+vectors of their own, so the parameters, the one thing sent to all tasks, stay below 80 MB. All other words share vectors by ending.
 
 Defined results: null and empty texts are one end token; without training texts the model is the base model, whose
 probabilities are then 1; repeated rows count each; ties of words in count are broken by their bytes; very long texts are scored whole, in batches;
@@ -47,9 +48,15 @@ BATCH = 8192
 NOISE = 64
 RATIO = 10.0
 RATE = 0.1
-#: Parameter rows averaged by one task.
+#: Alternatives of a token within its group, against those among groups.
+WIDTH = 2.0
+#: Contexts scored at once.
+SCORE_BATCH = 32768
+#: Parameter rows averaged by one task; fewer where there are over 64 shards.
 BLOCK = 4096
-TASK_TOKENS = 1 << 22
+#: A shard has SHARD_TOKENS tokens, or SHARD_ROWS for each row of parameters if that is more: reports stay a small part of the work.
+SHARD_TOKENS = 1 << 22
+SHARD_ROWS = 64
 #: The end of a text; no word is empty.
 END = b""
 
@@ -136,16 +143,19 @@ class LogBilinear:
     def __init__(self, counts: np.ndarray, dimensions: int = DIMENSIONS, order: int = ORDER):
         n, rng = len(counts), np.random.default_rng(11)
         self.n, self.d, self.order = n, dimensions, order
-        self.groups = max(1, int(np.ceil(np.sqrt(n) / 2)))
+        share = (counts + 1.0) / (counts + 1.0).sum()
+        ranked = np.argsort(-counts, kind="stable")
+        width = np.sqrt(share[ranked]) / WIDTH
         self.group = np.empty(n, np.int64)
-        self.group[np.argsort(-counts, kind="stable")] = np.arange(n) % self.groups
+        self.group[ranked] = np.cumsum(width) - width
+        self.groups = int(self.group[ranked[-1]]) + 1
         place = np.argsort(self.group, kind="stable")
         self.edges = np.searchsorted(self.group[place], np.arange(self.groups + 1))
         self.inner = np.empty(n, np.int64)
         self.inner[place] = np.arange(n) - self.edges[self.group[place]]
-        share = (counts + 1.0) / (counts + 1.0).sum()
         self.noise_groups = np.bincount(self.group, weights=share, minlength=self.groups)
         self.noise_targets = (share / self.noise_groups[self.group])[place]
+        self.kind = np.uint16 if max(self.groups, int(np.diff(self.edges).max())) < 1 << 16 else np.int64  # short numbers are sorted by radix
         self.log_groups, self.log_targets = np.log(self.noise_groups).astype(np.float32), np.log(self.noise_targets).astype(np.float32)
         self.table = np.zeros((2 * n + 1 + self.groups + order * dimensions, dimensions + 1), np.float32)
         self.table[: n + 1, :dimensions] = rng.normal(0, 0.1, (n + 1, dimensions))
@@ -159,69 +169,99 @@ class LogBilinear:
         a, b, c = self.n + 1, 2 * self.n + 1, 2 * self.n + 1 + self.groups
         return table[:a], table[a:b], table[b:c], table[c:].reshape(self.order, self.d, *table.shape[1:])
 
-    def vectors(self, contexts: np.ndarray) -> np.ndarray:
+    def distinct(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Context rows that occur, and for each position and token its place among them."""
+        mark = np.zeros(self.n + 1, bool)
+        mark[contexts.ravel()] = True
+        rows, place = np.flatnonzero(mark), np.cumsum(mark) - 1
+        return rows, place.astype(np.uint16 if len(rows) < 1 << 16 else np.int64)[contexts]
+
+    def vectors(self, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Context vectors with a last column of 1, for the biases."""
         seen, _, _, turn = self.parts(self.table)
-        out = np.ones((contexts.shape[1], self.d + 1), np.float32)
-        out[:, : self.d] = sum(seen[contexts[k], : self.d] @ turn[k, :, : self.d] for k in range(self.order))
+        base = seen[rows, : self.d]
+        out = np.ones((at.shape[1], self.d + 1), np.float32)
+        total = (base @ turn[0, :, : self.d])[at[0]]
+        for k in range(1, self.order):
+            total += (base @ turn[k, :, : self.d])[at[k]]
+        out[:, : self.d] = total
         return out
 
-    def by_group(self, cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """Order of the tokens by group and place in it, and (group, first, end) of the groups that occur."""
-        place = self.edges[self.group[cells]] + self.inner[cells]
-        order = np.argsort(place, kind="stable")
-        edges = np.searchsorted(place[order], self.edges).tolist()
+    def by_group(self, cells: np.ndarray, inner: bool = False) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the tokens by group (and place in it), and (group, first, end) of the groups that occur."""
+        group = self.group[cells].astype(self.kind)
+        if inner:
+            order = np.argsort(self.inner[cells].astype(self.kind), kind="stable")
+            order = order[np.argsort(group[order], kind="stable")]
+        else:
+            order = np.argsort(group, kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(group, minlength=self.groups))).tolist()
         return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
     def step(self, cells: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -> None:
-        """One batch: the data against sampled noise, for the groups and within each."""
+        """One batch: the data against sampled noise, for the groups and within each. Only rows of the batch and of the noise are touched."""
         seen, targets, groups, turn = self.parts(self.table)
         seen2, targets2, groups2, turn2 = self.parts(self.squares)
-        r, odds = self.vectors(contexts), float(np.log(RATIO))
+        odds = np.float32(np.log(RATIO))
 
         def contrast(r, q, log_noise, own, noise):
-            """(gradient of the context vectors, gradient of q's rows) of the binary losses; own ascends."""
-            times = rng.multinomial(NOISE, noise)
-            on = np.flatnonzero(times)
+            """(gradient of the context vectors, rows of q, their gradients) of the binary losses; own ascends."""
+            reach = np.cumsum(noise)
+            times = np.bincount(np.minimum(np.searchsorted(reach, rng.random(NOISE) * reach[-1], side="right"), len(q) - 1), minlength=len(q))
+            mark = times > 0
+            on = np.flatnonzero(mark)
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            mark[own[first]] = True
+            rows, place = np.flatnonzero(mark), np.cumsum(mark) - 1
             mine, sampled = q[own], q[on]
-            data = -1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", r, mine) - log_noise[own] - odds, -30, 30)))
+            data = np.einsum("ij,ij->i", r, mine)
+            data -= log_noise[own] + odds
+            data *= 0.5
+            data = np.tanh(data, out=data)
+            data -= 1
+            data *= 0.5
             false = r @ sampled.T
             false -= log_noise[on] + odds
-            np.clip(false, -30, 30, out=false)
-            np.exp(np.negative(false, out=false), out=false)
-            np.divide((times[on] * (RATIO / NOISE)).astype(np.float32), np.add(false, 1, out=false), out=false)
-            dq = np.zeros_like(q)
-            dq[on] = false.T @ r
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            dq[own[first]] += np.add.reduceat(data[:, None] * r, first)
+            false *= 0.5
+            np.tanh(false, out=false)
+            false += 1
+            false *= (times[on] * (RATIO / NOISE / 2)).astype(np.float32)
+            dq = np.zeros((len(rows), q.shape[1]), np.float32)
+            dq[place[on]] = false.T @ r
+            dq[place[own[first]]] += np.add.reduceat(data[:, None] * r, first)
             mine *= data[:, None]
-            return np.add(mine, false @ sampled, out=mine), dq
+            mine += false @ sampled
+            return mine, rows, dq
 
         def descend(rows, squares, at, gradient):
-            squares[at] += (gradient * gradient).mean(1)
-            rows[at] -= RATE * gradient / np.sqrt(squares[at])[:, None]
-
-        order, stretches = self.by_group(cells)
-        cells, contexts, r = cells[order], contexts[:, order], r[order]
-        inner = self.inner[cells]
-        dr, dg = contrast(r, groups, self.log_groups, self.group[cells], self.noise_groups)
+            total = squares[at] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
+            squares[at] = total
+            rows[at] -= gradient * (np.float32(RATE) / np.sqrt(total))[:, None]
+
+        order, stretches = self.by_group(cells, True)
+        cells, contexts = cells[order], contexts[:, order]
+        rows, at = self.distinct(contexts)
+        r, inner = self.vectors(rows, at), self.inner[cells]
+        dr, on, dg = contrast(r, groups, self.log_groups, self.group[cells], self.noise_groups)
         for g, a, b in stretches:
             own = slice(self.edges[g], self.edges[g + 1])
-            back, dq = contrast(r[a:b], targets[own], self.log_targets[own], inner[a:b], self.noise_targets[own])
+            if own.stop - own.start == 1:
+                continue  # the group's only target
+            back, touched, dq = contrast(r[a:b], targets[own], self.log_targets[own], inner[a:b], self.noise_targets[own])
             dr[a:b] += back
-            descend(targets[own], targets2[own], slice(None), dq)
+            descend(targets[own], targets2[own], touched, dq)
         dr = np.ascontiguousarray(dr[:, : self.d])
+        base, to_seen = seen[rows, : self.d], np.zeros((len(rows), self.d + 1), np.float32)
         for k in range(self.order):
-            by = np.argsort(contexts[k], kind="stable")
-            first = np.flatnonzero(np.diff(contexts[k][by], prepend=-1))
-            rows, sums = contexts[k][by[first]], np.add.reduceat(dr[by], first)
-            to_turn = seen[rows, : self.d].T @ sums
-            to_seen = np.zeros((len(rows), self.d + 1), np.float32)
-            to_seen[:, : self.d] = sums @ turn[k, :, : self.d].T
-            descend(seen, seen2, rows, to_seen)
+            by = np.argsort(at[k], kind="stable")
+            first = np.flatnonzero(np.diff(at[k][by].astype(np.int64), prepend=-1))
+            which, sums = at[k][by[first]], np.add.reduceat(dr[by], first)
+            to_turn = base[which].T @ sums
+            to_seen[which, : self.d] += sums @ turn[k, :, : self.d].T
             turn2[k] += (to_turn * to_turn).mean(1)
             turn[k, :, : self.d] -= 0.1 * RATE * to_turn / np.sqrt(turn2[k])[:, None]
-        descend(groups, groups2, slice(None), dg)
+        descend(seen, seen2, rows, to_seen)
+        descend(groups, groups2, on, dg)
 
     def logs(self, cells: np.ndarray, contexts: np.ndarray) -> np.ndarray:
         """Normalised natural log-probabilities of the cells in their contexts."""
@@ -239,14 +279,21 @@ class LogBilinear:
             top = s.max(1, keepdims=True)
             return mine - top[:, 0] - np.log(np.exp(s - top).sum(1))
 
-        for low in range(0, len(cells), BATCH):
-            own, r = cells[low : low + BATCH], self.vectors(contexts[:, low : low + BATCH])
-            found = normalised(r, groups, self.group[own]).astype(np.float64)
+        for low in range(0, len(cells), SCORE_BATCH):
+            own = cells[low : low + SCORE_BATCH]
             order, stretches = self.by_group(own)
-            r, inner = r[order], self.inner[own[order]]
+            own = own[order]
+            r, inner, group = self.vectors(*self.distinct(contexts[:, low : low + SCORE_BATCH][:, order])), self.inner[own], self.group[own]
+            found = np.empty(len(own))
+            for a in range(0, len(own), 2048):  # small enough for a core's cache
+                found[a : a + 2048] = normalised(r[a : a + 2048], groups, group[a : a + 2048])
             for g, a, b in stretches:
-                found[order[a:b]] += normalised(r[a:b], targets[self.edges[g] : self.edges[g + 1]], inner[a:b])
-            out[low : low + BATCH] = found
+                part = targets[self.edges[g] : self.edges[g + 1]]
+                step = max(64, (1 << 18) // len(part))
+                for c in range(a, b, step) if len(part) > 1 else ():
+                    d = min(b, c + step)
+                    found[c:d] += normalised(r[c:d], part, inner[c:d])
+            out[low + order] = found
         return out
 
 
@@ -274,63 +321,102 @@ def unpacked(row: dict) -> tuple[np.ndarray, ...]:
     return out[0], out[1].astype(np.int64), *out[2:5], out[5].astype(np.int64)
 
 
-def training_batches(row: dict, turn: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(cells, starts of texts) of a turn's batches of a chunk's training texts; a long text fills several."""
-    ids, counts, _, _, _, cells = unpacked(row)
-    learn = ~held_out(ids.tolist())
-    cells, counts = cells[np.repeat(learn, counts)], counts[learn]
-    starts = np.cumsum(counts) - counts
-    for k, low in enumerate(range(0, len(cells), BATCH)):
-        if k % ROUNDS == turn:
-            inside = starts[np.searchsorted(starts, low, side="right") : np.searchsorted(starts, low + BATCH)]
-            yield cells[low : low + BATCH], np.concatenate([[0], inside - low]).astype(np.int64)
+PIECES = "shard int, keys binary, counts binary, cells binary"
+
+
+def dealt(shards: int, turn: int):
+    """A turn's training documents of each chunk, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in (r for b in batches for r in b.to_pylist()):
+            ids, counts, _, _, _, cells = unpacked(row)
+            starts = np.cumsum(counts) - counts
+            key = ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (np.add.reduceat(cells, starts) * 31 + counts).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            for by in (29, 32):  # spread to all bits
+                key = (key ^ (key >> np.uint64(by))) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(31)
+            at = np.flatnonzero(~held_out(ids.tolist()) & (key % np.uint64(ROUNDS) == turn))
+            shard = ((key[at] >> np.uint64(20)) % np.uint64(shards)).astype(np.int64)
+            by = np.argsort(shard, kind="stable")
+            at, shard = at[by], shard[by]
+            edges = [*np.flatnonzero(np.diff(shard, prepend=-1)).tolist(), len(at)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                own = at[a:b]
+                lens = counts[own]
+                ends = np.cumsum(lens)
+                flat = cells[np.repeat(starts[own] - (ends - lens), lens) + np.arange(int(ends[-1]))]
+                blobs = [squeeze(key[own], 1), squeeze(lens.astype(np.uint32), 1), squeeze(flat.astype(np.uint32), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([int(shard[a])], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["shard", "keys", "counts", "cells"])
+
+    return run
+
+
+def shard_tokens(pieces: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """(cells, starts of texts) of a shard's documents in the order of their keys, wherever they came from."""
+    keys, counts, cells = (np.concatenate([loosen(p[k], t) for p in pieces]) for k, t in (("keys", np.uint64), ("counts", np.uint32), ("cells", np.uint32)))
+    counts = counts.astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    starts, lens = (np.cumsum(counts) - counts)[order], counts[order]
+    ends = np.cumsum(lens)
+    return cells[np.repeat(starts - (ends - lens), lens) + np.arange(int(ends[-1]))].astype(np.int64), ends - lens
 
 
 def trained(rows: DataFrame, counts: np.ndarray, tokens: int) -> LogBilinear:
     spark = rows.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    tasks = max(1, min(2 * cores, -(-tokens // TASK_TOKENS)))
     model = LogBilinear(counts)
-    blocks = -(-len(model.table) // BLOCK)
-    schema = "task int, block int, change binary, weight binary"
+    shards = -(-tokens // max(SHARD_TOKENS, SHARD_ROWS * len(model.table)))
+    height = max(32, min(BLOCK, BLOCK * 64 // shards))
+    blocks = -(-len(model.table) // height)
+    schema = "shard int, block int, change binary, weight binary"
+    names = ["shard", "block", "change", "weight"]
     for turn in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model.table, model.squares))
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             one_thread()
-            own = LogBilinear(counts)
+            by: dict[int, list[dict]] = {}
+            for r in (r for b in batches for r in b.to_pylist()):
+                by.setdefault(r["shard"], []).append(r)
             table, squares = shared.value
-            own.table, own.squares = table.copy(), squares.copy()
-            for b in batches:
-                for row in b.to_pylist():
-                    rng = np.random.default_rng([turn, zlib.crc32(row["ids"])])
-                    for cells, starts in training_batches(row, turn):
-                        own.step(cells, contexts_of(cells, starts, own.n), rng)
-            task = TaskContext.get().partitionId()
-            for k in range(blocks):
-                part = slice(k * BLOCK, (k + 1) * BLOCK)
-                change = (own.table[part] - table[part]).astype(np.float16)
-                yield pa.RecordBatch.from_pydict({"task": pa.array([task], pa.int32()), "block": pa.array([k], pa.int32()), "change": pa.array([squeeze(change, 1)], pa.binary()), "weight": pa.array([squeeze(own.squares[part] - squares[part], 1)], pa.binary())})
+            own = LogBilinear(counts) if by else None
+            for shard in sorted(by):
+                own.table, own.squares = table.copy(), squares.copy()
+                cells, starts = shard_tokens(by.pop(shard))
+                rng = np.random.default_rng([turn, shard])
+                for low in range(0, len(cells), BATCH):
+                    inside = starts[np.searchsorted(starts, low, side="right") : np.searchsorted(starts, low + BATCH)]
+                    part = cells[low : low + BATCH]
+                    own.step(part, contexts_of(part, np.append(0, inside - low), own.n), rng)
+                for k in range(blocks):
+                    part = slice(k * height, (k + 1) * height)
+                    change = (own.table[part] - table[part]).astype(np.float16)
+                    yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([k], pa.int32()), pa.array([squeeze(change, 1)], pa.binary()), pa.array([squeeze(own.squares[part] - squares[part], 1)], pa.binary())], names=names)
             release()
 
         def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            by: dict[int, list[dict]] = {}
+            """Rows come by block and shard; one block's sums are held."""
+
+            def close(k: int, change, weight, n: int) -> pa.RecordBatch:
+                mean = (change / np.maximum(weight, 1e-30)[:, None]).astype(np.float32)
+                return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), pa.array([k], pa.int32()), pa.array([squeeze(mean)], pa.binary()), pa.array([squeeze((weight / n).astype(np.float32))], pa.binary())], names=names)
+
+            at, change, weight, n = None, 0.0, 0.0, 0
             for r in (r for b in batches for r in b.to_pylist()):
-                by.setdefault(r["block"], []).append(r)
-            for k, found in by.items():
-                change, weight = 0.0, 0.0
-                for r in sorted(found, key=lambda r: r["task"]):
-                    w = loosen(r["weight"], np.float32).astype(np.float64)
-                    change, weight = change + w[:, None] * loosen(r["change"], np.float16).reshape(len(w), -1), weight + w
-                yield pa.RecordBatch.from_pydict({"task": pa.array([len(found)], pa.int32()), "block": pa.array([k], pa.int32()), "change": pa.array([squeeze((change / np.maximum(weight, 1e-30)[:, None]).astype(np.float32))], pa.binary()), "weight": pa.array([squeeze((weight / len(found)).astype(np.float32))], pa.binary())})
-
-        n = min(blocks, 4 * cores)
-        changed = rows.coalesce(tasks).mapInArrow(learn, schema).repartitionById(n, F.col("block") % n).mapInArrow(average, schema).collect()  # the parameters: below 80 MB
+                if r["block"] != at:
+                    if at is not None:
+                        yield close(at, change, weight, n)
+                    at, change, weight, n = r["block"], 0.0, 0.0, 0
+                w = loosen(r["weight"], np.float32).astype(np.float64)
+                change, weight, n = change + w[:, None] * loosen(r["change"], np.float16).reshape(len(w), -1), weight + w, n + 1
+            if at is not None:
+                yield close(at, change, weight, n)
+
+        n = min(blocks, 4 * spark.sparkContext.defaultParallelism)
+        changes = rows.mapInArrow(dealt(shards, turn), PIECES).repartitionById(shards, F.col("shard")).mapInArrow(learn, schema)
+        changed = changes.repartitionById(n, F.col("block") % n).sortWithinPartitions("block", "shard").mapInArrow(average, schema).collect()  # the parameters: below 80 MB
         table, squares = model.table.copy(), model.squares.copy()
         for r in changed:
-            part = slice(r.block * BLOCK, (r.block + 1) * BLOCK)
+            part = slice(r.block * height, (r.block + 1) * height)
             table[part] += loosen(bytes(r.change), np.float32).reshape(-1, model.d + 1)
             squares[part] += loosen(bytes(r.weight), np.float32)
         model.table, model.squares = table, squares
