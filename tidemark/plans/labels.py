@@ -265,7 +265,8 @@ def radius_join(spark, sf):
 @query("""WITH RECURSIVE up AS (SELECT p_partkey AS node, p_partkey // 2 AS parent, 1 AS depth FROM part WHERE p_partkey > 1 UNION ALL SELECT node, parent // 2, depth + 1 FROM up WHERE parent > 7)
 SELECT node, min(parent) AS room, max(depth) AS depth FROM up GROUP BY node""")
 def room_of_node(spark, sf):
-    """Containment followed upwards until the rooms (nodes up to 7)."""
-    V.table(spark, sf, "part").select(F.col("p_partkey").alias("k")).createOrReplaceTempView("tidemark_nodes")
-    return spark.sql("""WITH RECURSIVE up AS (SELECT k AS node, k DIV 2 AS parent, 1 AS depth FROM tidemark_nodes WHERE k > 1 UNION ALL SELECT node, parent DIV 2, depth + 1 FROM up WHERE parent > 7)
-      SELECT node, min(parent) AS room, max(depth) AS depth FROM up GROUP BY node""")
+    """Containment followed upwards until the rooms (nodes up to 7). Node k lies in node k // 2, so its way up is as many halvings as the number has bits: one row's fold, without a recursion over the table."""
+    nodes = V.table(spark, sf, "part").select(F.col("p_partkey").cast("long").alias("node")).where("node > 1").distinct()
+    start = F.struct(F.shiftright("node", 1).alias("room"), F.lit(1).alias("depth"))
+    up = lambda a, _: F.when(a.room > 7, F.struct(F.shiftright(a.room, 1).alias("room"), (a.depth + 1).alias("depth"))).otherwise(a)
+    return nodes.withColumn("a", F.aggregate(F.sequence(F.lit(1), F.length(F.bin("node"))), start, up)).select("node", "a.room", "a.depth")
