@@ -1,6 +1,11 @@
 """Steps that must keep to their bounds on larger tables, and their results against plain Python."""
 
+import random
+
+import pytest
+
 from tidemark import catalog
+from tidemark.operators import graphs
 from tidemark.plans import views
 
 
@@ -16,3 +21,25 @@ def test_rooms_of_many_nodes(spark, monkeypatch):
         return k * 31 + depth
 
     assert tuple(got) == (199_998, sum(map(way, range(2, 200_000))))
+
+
+def random_cells(spark, scenes=8, size=5):
+    rng = random.Random(5)
+    return spark.createDataFrame([(k, x - 3, y - 5) for k in range(scenes) for x in range(size) for y in range(size) if rng.random() < 0.6], "scene long, x long, y long")
+
+
+@pytest.mark.parametrize("search", [graphs.cell_components, graphs.walking_distances, graphs.farthest_routes, graphs.skeleton])
+def test_small_scenes_are_searched_without_joins(spark, monkeypatch, search):
+    """The same rows by a join a step and within tasks, in chunks that cut scenes, or with scenes of both kinds; and a fixed number of tables written."""
+    cells = random_cells(spark)
+    tables = []
+    written = graphs.checkpointed
+    monkeypatch.setattr(graphs, "checkpointed", lambda df: tables.append(1) or written(df))
+    found = []
+    for small, chunk in ((15, 1 << 18), (1 << 18, 1 << 18), (1 << 18, 20)):
+        monkeypatch.setattr(graphs, "SMALL", small)
+        monkeypatch.setattr(graphs, "CHUNK", chunk)
+        tables.clear()
+        found.append(sorted(map(tuple, search(cells).collect()), key=str))
+        assert small < 1 << 18 or len(tables) <= 4
+    assert found[0] and all(f == found[0] for f in found)
