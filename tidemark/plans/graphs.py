@@ -34,10 +34,8 @@ n AS (SELECT scene, component, count(*) AS cells FROM k GROUP BY ALL)
 SELECT scene, count(*) AS components, max(cells) AS largest FROM n GROUP BY scene""")
 def grid_components(spark, sf):
     """Components of each scene's walkable cells, and the size of the largest."""
-    own = cells(spark, sf)
-    single = own.select(F.col("scene").alias("graph"), graphs.node_of(F.col("x"), F.col("y")).alias("node"))
-    each = single.join(graphs.components(graphs.grid_edges(own)), ["graph", "node"], "left").groupBy("graph", F.coalesce("component", "node").alias("c")).agg(F.count("*").alias("cells"))
-    return each.groupBy(F.col("graph").alias("scene")).agg(F.count("*").alias("components"), F.max("cells").alias("largest"))
+    each = graphs.cell_components(cells(spark, sf)).groupBy("scene", "component").agg(F.count("*").alias("cells"))
+    return each.groupBy("scene").agg(F.count("*").alias("components"), F.max("cells").alias("largest"))
 
 
 @query(f"""WITH RECURSIVE {DISTANCES},
