@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,12 +36,45 @@ def near_pairs(actors: DataFrame, frame: str, name: str, x: str, y: str, least:
 
 
 def matched_nodes(before: DataFrame, after: DataFrame, kind: str, x: str, within: float = 0.15) -> DataFrame:
-    """Added nodes with those of their class within a distance, and how many there are."""
-    cell = lambda c: F.floor(c / within)
-    near = before.withColumn("_b", F.explode(F.array(*[cell(F.col(x)) + k for k in (-1, 0, 1)])))
-    own = after.select(F.col("id").alias("found"), F.col(kind).alias("_k"), F.col(x).alias("_x"), cell(F.col(x)).alias("_c"))
-    hit = near.join(own, (near[kind] == own["_k"]) & (near["_b"] == own["_c"]) & (F.abs(near[x] - own["_x"]) <= within))
-    return hit.groupBy("id").agg(F.count("*").alias("matches"), F.min("found").alias("found"))
+    """Added nodes with those of their class within a distance: how many there are, and the smallest.
+
+    Nodes of a class in one place are one row with their number and smallest id. A node's reach ends in two stretches of a class as wide as the distance and covers those between, so it needs running counts and
+    minima from either end of a stretch, and no pairs. Nodes without class or a finite place match nothing.
+    """
+
+    def bounds(x: pd.Series) -> pd.DataFrame:
+        """The farthest numbers whose difference, as computed, is within the distance."""
+        out = {}
+        for name, way in (("low", -1), ("high", 1)):
+            v = x.to_numpy(float)
+            inside, outside = v.copy(), v + way * 2 * within
+            while True:  # halved until no number lies between
+                at = inside + (outside - inside) / 2
+                if not ((at != inside) & (at != outside)).any():
+                    break
+                met = np.abs(v - at) <= within
+                inside, outside = np.where(met, at, inside), np.where(met, outside, at)
+            out[name] = inside
+        return pd.DataFrame(out)
+
+    reach = F.pandas_udf(bounds, "low double, high double")
+    real = lambda rows: rows.select(F.col(kind).alias("_k"), F.col(x).cast("double").alias("_x"), "id").where("_k is not null and abs(_x) < double('inf')")
+    block, none = lambda c: F.floor(F.col(c) / within), F.lit(None)
+    own = real(after).groupBy("_k", "_x").agg(F.count("*").alias("n"), F.min("id").alias("found"))
+    own = own.select("_k", block("_x").alias("_b"), F.col("_x").alias("at"), F.lit(0).alias("role"), none.cast("double").alias("_x"), "n", "found")
+    asked = real(before).select("_k", "_x").distinct().withColumn("r", reach("_x")).select("_k", "_x", "r.*").withColumn("first", block("low")).withColumn("last", block("high"))
+    asked = asked.select("*", F.explode(F.sequence("first", "last")).alias("_b"))
+    rest = ["_x", F.lit(0).cast("long").alias("n"), none.cast(after.schema["id"].dataType).alias("found")]
+    parts = []
+    for rows, at, order in (
+        (asked.where("_b = first and first < last"), F.col("low"), F.desc("at")),
+        (asked.where("_b > first or first = last"), F.when(F.col("_b") < F.col("last"), F.lit(float("inf"))).otherwise(F.col("high")), F.asc("at")),
+    ):
+        rows = own.unionByName(rows.select("_k", "_b", at.alias("at"), F.lit(1).alias("role"), *rest))
+        w = W.partitionBy("_k", "_b").orderBy(order, "role").rowsBetween(W.unboundedPreceding, 0)
+        parts.append(rows.select("_k", "_x", "role", F.sum("n").over(w).alias("n"), F.min("found").over(w).alias("found")).where("role = 1"))
+    hit = parts[0].unionByName(parts[1]).groupBy("_k", "_x").agg(F.sum("n").alias("n"), F.min("found").alias("found")).where("n > 0")
+    return real(before).join(hit, ["_k", "_x"]).groupBy("id").agg(F.sum("n").alias("matches"), F.min("found").alias("found"))
 
 
 def dependencies_met(program: DataFrame, key: str, order: str, needs: str, name: str) -> DataFrame:
