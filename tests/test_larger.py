@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tidemark import catalog
-from tidemark.operators import graphs
+from tidemark.operators import graphs, nearest, quotas, scenes
 from tidemark.plans import views
 
 
@@ -43,3 +43,49 @@ def test_small_scenes_are_searched_without_joins(spark, monkeypatch, search):
         found.append(sorted(map(tuple, search(cells).collect()), key=str))
         assert small < 1 << 18 or len(tables) <= 4
     assert found[0] and all(f == found[0] for f in found)
+
+
+@pytest.mark.parametrize("same", [False, True])
+def test_nearest_of_full_cells(spark, monkeypatch, same):
+    """Many points in few places, and arrays of few points."""
+    monkeypatch.setattr(nearest, "MOST", 4)
+    rng = random.Random(3)
+    points = [(0, i, float(rng.randrange(9)), float(rng.randrange(3))) for i in range(60)] + [(0, 99, 500.0, 500.0), (1, 1, 0.0, 0.0), (1, 2, 0.0, 0.0)]
+    asking = points if same else [(s, i + 1000, x + 0.3, y) for s, i, x, y in points]
+    frame = lambda rows: spark.createDataFrame(rows, "scene long, id long, x double, y double")
+    got = {(r.scene, r.id): (round(r.distance, 9), r.nearest) for r in nearest.nearest(frame(asking), frame(points), 400.0, same).collect()}
+    want = {(s, i): min((round(((x - u) ** 2 + (y - v) ** 2) ** 0.5, 9), j) for t, j, u, v in points if t == s and not (same and i == j)) for s, i, x, y in asking}
+    assert got == want
+
+
+def test_matched_nodes_without_pairs(spark):
+    """Against all pairs, with differences at the very bound; the plan joins on a node's own place only."""
+    rng = random.Random(4)
+    rows = [(i, rng.choice("ab"), rng.randrange(-400, 400) / 1000 * 2.5) for i in range(400)] + [(500, None, 0.1), (501, "a", None), (502, "a", float("nan")), (503, "a", float("inf")), (504, "a", 1e20), (505, "a", 1e20)]
+    data = spark.createDataFrame(rows, "id long, kind string, x double")
+    found = scenes.matched_nodes(data.where("id % 2 = 0"), data.where("id % 2 = 1"), "kind", "x")
+    want = {}
+    for i, k, x in rows:
+        own = [j for j, l, y in rows if j % 2 and k and l == k and x is not None and y is not None and abs(x - y) <= 0.15]
+        if i % 2 == 0 and own:
+            want[i] = (len(own), min(own))
+    assert {r.id: (r.matches, r.found) for r in found.collect()} == want
+    assert "<= 0.15" not in found._jdf.queryExecution().toString()
+
+
+def test_positions_follow_cells_not_rows(spark, monkeypatch):
+    """A batch's flow is over its cells, however many rows they have."""
+    cells = [{"n": 100_003, "left": [t], "right": [e], "draw": [0.5, 0.1, 0.7, 0.2]} for t in "ab" for e in "xyz"]
+    each = quotas.positions_of(cells, 4)
+    assert all(sum(e) == 100_003 and max(e) - min(e) == 1 for e in each)
+    for side, names in (("left", "ab"), ("right", "xyz")):
+        for g in names:
+            totals = [sum(n) for n in zip(*(e for c, e in zip(cells, each, strict=True) if c[side] == [g]), strict=True)]
+            assert max(totals) - min(totals) <= 1
+
+
+def test_flows_with_drawn_costs_end(spark):
+    """A hundred cells a batch: costs that rounding distorts beside those of bounds would run in circles."""
+    rows = spark.range(3000).selectExpr("id % 2 AS batch", "id", "cast(hash(id) % 4 as string) AS lang", "hash(id, 1) % 2 AS status", "hash(id, 2) % 7 AS episode")
+    got = quotas.balanced_positions(rows, ["lang", "status"], ["episode"]).groupBy("batch", "lang").pivot("position", [0, 1, 2, 3]).count().collect()
+    assert got and all(max(r[2:]) - min(r[2:]) <= 1 for r in got)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.operators.running import cumulated
 from tidemark.sources.tables import checkpointed
 
 #: Cost of a unit that a lower bound misses; above all other costs together.
@@ -198,51 +199,56 @@ def quota_selection(pool: DataFrame, quotas: dict[tuple[str, str], int], targets
     return taken.select("batch", "id"), marginals
 
 
-def positions_of(rows: list[dict], positions: int) -> list[int]:
-    """A position for each row (left: names of nested groups, the widest first; right: likewise), so that every group has each position as often as any other, but for one."""
-    out, left = [-1] * len(rows), list(range(len(rows)))
+def positions_of(cells: list[dict], positions: int) -> list[list[int]]:
+    """How many rows of each cell (n; left: names of nested groups, the widest first; right: likewise) get each position, so that every group and cell has each as often as any other, but for one."""
+    out, left = [[] for _ in cells], [c["n"] for c in cells]
+    names = [([("left", *c["left"][: i + 1]) for i in range(len(c["left"]))], [("right", *c["right"][: i + 1]) for i in range(len(c["right"]))]) for c in cells]
     for p in range(positions):
         net, many, parts = Flow(), Counter(), positions - p
-        chains = []
-        for k in left:
-            a, b = [("left", *rows[k]["left"][: i + 1]) for i in range(len(rows[k]["left"]))], [("right", *rows[k]["right"][: i + 1]) for i in range(len(rows[k]["right"]))]
-            chains.append((k, a, b))
-            many.update([("left",), *a, *b])
-        joined, arcs = set(), {}
-        for k, a, b in chains:
+        for (a, b), n in zip(names, left, strict=True):
+            for group in [("left",), *a, *b]:
+                many[group] += n
+        joined, arcs = set(), []
+        for k, (a, b) in enumerate(names):
             for u, v in (*zip([("left",), *a], a, strict=False), *((y, x) for x, y in zip([("right",), *b], b, strict=False))):
                 if (u, v) not in joined:
                     joined.add((u, v))
                     group = v if v[0] == "left" else u
                     net.add(u, v, many[group] // parts, -(-many[group] // parts))
-            arcs[k] = net.add(a[-1] if a else ("left",), b[-1] if b else ("right",), 0, 1, rows[k]["draw"][p])
+            arcs.append(net.add(a[-1] if a else ("left",), b[-1] if b else ("right",), left[k] // parts, -(-left[k] // parts), cells[k]["draw"][p]))
         n = many["left",]
-        low = n // parts + (1 if n % parts else 0)  # the first positions have one more
-        net.send(("left",), ("right",), low)
-        for k in [k for k, e in arcs.items() if net.flow(e)]:
-            out[k] = p
-        left = [k for k in left if out[k] < 0]
+        net.send(("left",), ("right",), n // parts + (1 if n % parts else 0))  # the first positions have one more
+        for k, e in enumerate(arcs):
+            out[k].append(net.flow(e))
+            left[k] -= out[k][-1]
     return out
 
 
 def balanced_positions(rows: DataFrame, nested: list[str], other: list[str], positions: int = 4, seed: int = 0) -> DataFrame:
     """rows (batch, id, ...) with `position`: within a batch, in each group of `nested` columns (all, the first, the first two, ...) and of `other` columns each position occurs as often as any other, but for one.
 
-    Groups nested on either side make a flow with bounds that a fractional split always meets, so whole positions meet them too: one flow a position. Equal costs are drawn from seed and id.
+    Rows of the same groups are one cell. Groups nested on either side make a flow over a batch's cells with bounds that a fractional split always meets, so whole numbers meet them too: one flow a position. Equal
+    costs are drawn from seed and cell; a cell's rows get its positions in an order drawn from seed and id, ranked range by range.
     """
     text = lambda names: F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names]) if names else F.array().cast("array<string>")
-    draw = F.array(*[(F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string"), F.lit(p)), F.lit(1_000_003)) / 1_000_003.0).alias("d") for p in range(positions)])
+    draw = F.array(*[(F.pmod(F.xxhash64(F.lit(seed), F.col("_cell"), F.lit(p)), F.lit(1 << 20)) / float(1 << 20)).alias("d") for p in range(positions)])  # whole parts of a power of two: sums with BOUND are exact, so no rounding makes a circle look cheaper
     own = rows.where("batch is not null and id is not null").dropDuplicates(["batch", "id"])
-    lists = packed(own, [F.col("id").cast("string").alias("id"), text(nested).alias("left"), text(other).alias("right"), draw.alias("draw")]).select(F.col("batch").cast("string").alias("_key"), "rows")
+    own = own.withColumns({"_left": text(nested), "_right": text(other)}).withColumns({"_key": F.col("batch").cast("string"), "_cell": F.to_json(F.struct("_left", "_right")), "_draw": F.xxhash64(F.lit(seed), F.col("id").cast("string"))})
+    ranked = cumulated(own, [F.col(c) for c in ("_key", "_cell", "_draw", "id")], _place=F.lit(1))
+    cells = checkpointed(ranked.groupBy("_key", "_cell", "_left", "_right").agg(F.count("*").alias("n"), F.min("_place").alias("_first")))
+    lists = packed(cells.withColumn("batch", F.col("_key")), [F.col("_cell").alias("cell"), F.col("_left").alias("left"), F.col("_right").alias("right"), "n", draw.alias("draw")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for name, text in zip(b.column("_key").to_pylist(), b.column("rows").to_pylist(), strict=True):
+            for name, text in zip(b.column("batch").to_pylist(), b.column("rows").to_pylist(), strict=True):
                 own = json.loads(text)
-                out += [(name, r["id"], p) for r, p in zip(own, positions_of(own, positions), strict=True)]
+                out += [(name, c["cell"], each) for c, each in zip(own, positions_of(own, positions), strict=True)]
             cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["_key", "_id", "position"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.list_(pa.int64())), strict=True)], names=["_key", "_cell", "_each"])
 
-    found = lists.repartition("_key").mapInArrow(run, T.StructType([T.StructField("_key", T.StringType()), T.StructField("_id", T.StringType()), T.StructField("position", T.LongType())]))
-    return own.join(found, (own["batch"].cast("string") == found["_key"]) & (own["id"].cast("string") == found["_id"])).drop("_key", "_id")
+    found = lists.repartition("batch").mapInArrow(run, "_key string, _cell string, _each array<bigint>")
+    found = checkpointed(cells.select("_key", "_cell", "_first").join(found, ["_key", "_cell"]))
+    # a rank's position: the first up to which the cell's counts add up to more
+    at = F.aggregate("_each", F.struct((F.col("_place") - F.col("_first")).alias("left"), F.lit(0).cast("long").alias("p")), lambda a, n: F.struct((a.left - n).alias("left"), (a.p + F.when(a.left >= n, 1).otherwise(0)).cast("long").alias("p")))
+    return ranked.join(found, ["_key", "_cell"]).select(*rows.columns, at["p"].alias("position"))
