@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.running import cumulated
+from tidemark.sources.tables import checkpointed
 
 
 def episode_types(episodes: DataFrame, quotas: DataFrame, low: int = 10, high: int = 12, least: int = 1, most: int = 3, seed: int = 0) -> DataFrame:
@@ -38,6 +39,7 @@ def episode_types(episodes: DataFrame, quotas: DataFrame, low: int = 10, high: i
     circle = F.transform("types", lambda t, k: F.struct(t.type.alias("type"), F.floor(t.quota / F.col("n")).cast("long").alias("each"), rest(t).alias("more"), before(k).alias("start")))
     plan = F.when(fault.isNull(), circle).otherwise(F.raise_error(F.concat(F.lit("batch "), F.col("batch").cast("string"), F.lit(": "), fault)))
     plans = sizes.join(wanted, "batch", "left").select("batch", "n", "first", plan.alias("plan"))
+    plans = checkpointed(plans)  # of a known size: where batches are few, it is sent to all tasks, and their episodes stay spread
     at = F.col("place") - F.col("first")
     times = lambda t: t.each + F.when(F.pmod(at - t.start, F.col("n")) < t.more, 1).otherwise(0)
     copies = F.flatten(F.transform("plan", lambda t: F.transform(F.filter(F.sequence(F.lit(0).cast("long"), times(t)), lambda c: c < times(t)), lambda c: F.struct(drawn(t.type.cast("string"), c.cast("string")).alias("draw"), t.type.alias("type")))))
