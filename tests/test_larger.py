@@ -1,11 +1,14 @@
 """Steps that must keep to their bounds on larger tables, and their results against plain Python."""
 
+import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tidemark import catalog
-from tidemark.operators import graphs, nearest, quotas, scenes
+from tidemark.functions import draws
+from tidemark.operators import graphs, nearest, quotas, routes, scenes
 from tidemark.plans import views
 
 
@@ -89,3 +92,26 @@ def test_flows_with_drawn_costs_end(spark):
     rows = spark.range(3000).selectExpr("id % 2 AS batch", "id", "cast(hash(id) % 4 as string) AS lang", "hash(id, 1) % 2 AS status", "hash(id, 2) % 7 AS episode")
     got = quotas.balanced_positions(rows, ["lang", "status"], ["episode"]).groupBy("batch", "lang").pivot("position", [0, 1, 2, 3]).count().collect()
     assert got and all(max(r[2:]) - min(r[2:]) <= 1 for r in got)
+
+
+def test_draws_of_many_counts():
+    """Against hashlib, over all lengths of counts, a text of more than one block, and counts left out."""
+    counts = np.array([c for c in range(12_000) if c % 7])
+    for before, after in (("7:", ":target:3"), ("é" * 40 + ":", ":end"), ("x" * 53 + ":", "")):
+        want = [int(hashlib.md5(f"{before}{c}{after}".encode()).hexdigest()[:8], 16) for c in counts.tolist()]
+        assert draws.drawn_counts(before, counts, after).tolist() == want
+
+
+def test_candidates_of_a_plan_are_not_rows(spark, monkeypatch):
+    """The same routes in blocks of any size; the plans are dealt to many tasks, and no row is made for a candidate."""
+    rng = random.Random(8)
+    stations = [(plan, 100 * plan + k, k % 4, k % 3, float(rng.randrange(360)), float(rng.randrange(360))) for plan in range(6) for k in range(12)]
+    paths = [(p, s, t, rng.randrange(3, 30) / 10) for p, s, *_ in stations for q, t, *_ in stations if p == q and s < t]
+    stations, paths = spark.createDataFrame(stations, "plan long, station long, target int, surface int, target_yaw double, hidden_yaw double"), spark.createDataFrame(paths, "plan long, a long, b long, distance double")
+    found = []
+    for block in (70, 1 << 16):
+        monkeypatch.setattr(routes, "CANDIDATES", block)
+        got = routes.station_routes(stations, paths, [6.0, 12.0, 18.0, 24.0], 30.0, 3_000)
+        assert "Generate explode" not in (plan := got._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
+        found.append(sorted(map(tuple, got.collect())))
+    assert found[0] == found[1] and any(r[1] == "ok" and r[3] > 1 for r in found[0])

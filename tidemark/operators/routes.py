@@ -5,15 +5,20 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.draws import drawn_counts
 from tidemark.sources.tables import checkpointed
 
+CANDIDATES = 1 << 16
+
 
 def drawn(*parts: Column | str) -> Column:
     """A number below 2^32 from the MD5 of parts, each a column or a plain text."""
@@ -35,57 +40,116 @@ def station_routes(
     camera can turn between; then a start and an end next to them. A leg must have a path, within step and speed. Score: closeness to the wanted speed,
     different targets and surfaces, and a fine for stations used more than most_reuse times; the smallest candidate of equal scores.
 
-    A plan's stations are one row of arrays (a scene's, so bounded), and all candidates of a plan are its rows times a sequence: nothing is joined or shuffled for a candidate but the last maximum.
+    A plan's stations and legs are one row of arrays (a scene's, so bounded), and its candidates are drawn within one task, CANDIDATES at a time and only as far as they hold.
     Plans with fewer targets than the beats need get status 'insufficient stations', those without a feasible candidate 'no feasible route'.
     """
     events, half = len(beats), len(beats) // 2
     if events % 2 or events < 4:
         raise ValueError("an even number of beats, four at least, is needed")
     own = stations.select("plan", "station", "target", "surface", "target_yaw", "hidden_yaw").dropDuplicates(["plan", "station"])
-    own = own.withColumn("k", F.row_number().over(W.partitionBy("plan").orderBy("station")) - 1).withColumn("n", F.count("*").over(W.partitionBy("plan")))
+    code = lambda field: F.dense_rank().over(W.partitionBy("plan").orderBy(field)) - 1
+    own = own.withColumns({"k": F.row_number().over(W.partitionBy("plan").orderBy("station")) - 1, "n": F.count("*").over(W.partitionBy("plan")), "tk": code("target"), "sk": code("surface")})
     own = checkpointed(own)
     both = paths.select("plan", "a", "b", "distance").unionByName(paths.select("plan", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     place = lambda c, name, *more: own.select("plan", F.col("station").alias(c), F.col("k").alias(name), *[F.col(m).alias(f"{m}_{name}") for m in more])
     legs = both.where("a <> b").groupBy("plan", "a", "b").agg(F.min("distance").alias("distance"))
-    legs = checkpointed(legs.join(place("a", "i", "target", "hidden_yaw", "n"), ["plan", "a"]).join(place("b", "j", "target", "target_yaw"), ["plan", "b"]))
+    legs = legs.join(place("a", "i", "target", "hidden_yaw", "n", "tk"), ["plan", "a"]).join(place("b", "j", "target", "target_yaw"), ["plan", "b"])
     turn = F.abs(F.pmod(F.col("target_yaw_j") - F.col("hidden_yaw_i") + 180.0, F.lit(360.0)) - 180.0) * 1.875 / max(lag, 1e-6)
-    pairs = legs.where((F.col("target_i") == F.col("target_j")) & (turn <= yaw_rate)).groupBy("plan", F.col("target_i").alias("target")).agg(F.array_sort(F.collect_list(F.struct("i", "j"))).alias("pairs"))
-    pools = pairs.groupBy("plan").agg(F.transform(F.array_sort(F.collect_list(F.struct("target", "pairs"))), lambda x: x["pairs"]).alias("pools"))
-    cells = legs.groupBy("plan").agg(F.map_from_entries(F.collect_list(F.struct((F.col("i") * F.col("n_i") + F.col("j")).cast("int"), F.col("distance").cast("double")))).alias("m"), F.first("n_i").alias("n"))
-    matrix = cells.select("plan", F.transform(F.sequence(F.lit(0), (F.col("n") * F.col("n") - 1).cast("int")), lambda c: F.col("m")[c]).alias("metres"))  # null: no path
-    near = legs.groupBy("plan", "i", "n_i").agg(F.array_sort(F.collect_list("j")).alias("js")).groupBy("plan").agg(F.map_from_entries(F.collect_list(F.struct("i", "js"))).alias("m"), F.first("n_i").alias("n"))
-    near = near.select("plan", F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda c: F.coalesce(F.col("m")[c], F.array().cast("array<int>"))).alias("near"))
-    lists = own.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("k", "station", "target", "surface"))).alias("own"))
-    scenes = checkpointed(lists.join(pools, "plan", "left").join(matrix, "plan", "left").join(near, "plan", "left").withColumn("ready", F.coalesce(F.size("pools"), F.lit(0)) >= half))
-    c = F.col("c")
-    rows = scenes.where("ready").withColumn("n", F.size("own")).repartition("plan").select("*", F.explode(F.sequence(F.lit(0), F.lit(candidates - 1))).alias("c"))
-    ranked = lambda n, *key: F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(drawn(F.col("plan"), c, *key, i).alias("h"), i.alias("i")))), lambda x: x["i"])
-    once = lambda rows, **values: rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))))  # noqa: E731  evaluated once a row: projections would be merged, and each use evaluated anew
-    rows = once(rows, chosen=F.slice(ranked(F.size("pools"), "target"), 1, half), o1=ranked(F.lit(half), "first"), o2=ranked(F.lit(half), "second"))
-    swapped = F.concat(F.array(F.col("o2")[1], F.col("o2")[0]), F.slice("o2", 3, half))
-    rows = once(rows, order=F.concat("o1", F.when(F.col("o1")[half - 1] == F.col("o2")[0], swapped).otherwise(F.col("o2"))))
-    pick = lambda own, *key: own[(drawn(F.col("plan"), c, *key) % F.size(own)).cast("int")]
-    rows = once(rows, picked=F.transform("order", lambda t, s: pick(F.col("pools")[F.col("chosen")[t]], "pair", s)))
-    ahead, behind = F.col("near")[F.col("picked")[0]["i"]], F.col("near")[F.col("picked")[events - 1]["j"]]
-    inner = F.flatten(F.transform("picked", lambda p: F.array(p["i"], p["j"])))
-    rows = once(rows.where((F.size(ahead) > 0) & (F.size(behind) > 0)), way=F.concat(F.array(pick(ahead, "start")), inner, F.array(pick(behind, "end"))))
+    pool = F.when((F.col("target_i") == F.col("target_j")) & (turn <= yaw_rate), F.col("tk_i"))
+    leg = F.struct((F.col("i") * F.col("n_i") + F.col("j")).cast("long").alias("cell"), F.col("distance").cast("double").alias("metres"), pool.cast("int").alias("pool"))
+    legs = legs.groupBy("plan").agg(F.array_sort(F.collect_list(leg)).alias("legs"), F.size(F.collect_set(pool)).alias("pools"))
+    lists = own.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("k", "station", "tk", "sk"))).alias("own"))
+    scenes = checkpointed(lists.join(legs, "plan", "left").withColumn("ready", F.coalesce("pools", F.lit(0)) >= half))
     times = [0.0, *(t for b in beats for t in (max(0.0, b - lead), min(duration, b + lag))), duration]
-    spans = F.array(*[F.lit(max(b - a, 1e-6)) for a, b in zip(times, times[1:], strict=False)])
-    rows = once(rows, legs=F.transform(F.sequence(F.lit(0), F.lit(len(times) - 2)), lambda k: F.col("metres")[(F.col("way")[k] * F.col("n") + F.col("way")[k + 1]).cast("int")]))
-    rows = rows.drop("pools", "near", "metres", "chosen", "o1", "o2", "order", "picked")
-    good = F.forall(F.arrays_zip("legs", spans.alias("span")), lambda x: F.coalesce((x["legs"] > 1e-4) & (x["legs"] <= most_step) & (x["legs"] / x["span"] <= most_speed), F.lit(False)))
-    total = F.aggregate("legs", F.lit(0.0), lambda a, x: a + x)
-    inside = F.slice("way", 2, len(times) - 2)
-    different = lambda field: F.size(F.array_distinct(F.transform(inside, lambda k: F.col("own")[k][field])))
-    over = F.aggregate(F.array_distinct("way"), F.lit(0), lambda a, k: a + F.greatest(F.lit(0), F.size(F.filter("way", lambda x: x == k)) - most_reuse))
-    score = -F.abs(F.col("distance") / max(times[-1] - times[0], 1e-6) - wanted_speed) * 80.0 + different("target") * 5.0 + different("surface") * 2.0 - over * 20.0
-    rows = once(rows.where(good), distance=total).where(F.col("distance") >= least_travel).withColumn("score", F.round(score, 6))
-    best = rows.groupBy("plan").agg(F.count("*").alias("feasible"), F.max_by(F.struct("c", "score", F.round("distance", 6).alias("distance"), F.transform("way", lambda k: F.col("own")[k]["station"]).alias("route")), F.struct("score", -F.col("c"))).alias("b"))
-    out = scenes.select("plan", "ready").join(best, "plan", "left")
+    search = RouteSearch(times, candidates, half, most_speed, most_step, least_travel, wanted_speed, most_reuse)
+    schema = T.StructType([scenes.schema["plan"], *T._parse_datatype_string("feasible long, c int, score double, distance double, way array<int>")])
+    ready = scenes.where("ready").select("plan", F.col("plan").cast("string").alias("name"), *[F.col(x)[y].alias(y) for x, y in (("own", "tk"), ("own", "sk"), ("legs", "cell"), ("legs", "metres"), ("legs", "pool"))])
+    ready = ready.repartition(scenes.sparkSession.sparkContext.defaultParallelism * 8, "plan")  # by number, or all plans would be put into one task
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                found = search.best(*(b.column(c)[k].as_py() for c in ("name", "tk", "sk", "cell", "metres", "pool")))
+                cols = [list(x) for x in zip(*found, strict=True)] or [[] for _ in range(5)]
+                plans = b.column("plan").take(pa.array([k] * len(found), pa.int32()))
+                yield pa.RecordBatch.from_arrays([plans, *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.int32())), strict=True)]], names=schema.names)
+
+    rows = ready.mapInArrow(run, schema).withColumn("score", F.round("score", 6))
+    best = rows.groupBy("plan").agg(F.max("feasible").alias("feasible"), F.max_by(F.struct("c", "score", F.round("distance", 6).alias("distance"), "way"), F.struct("score", -F.col("c"))).alias("b"))
+    out = scenes.select("plan", "ready", "own").join(best, "plan", "left")
     status = F.when(~F.col("ready"), "insufficient stations").when(F.col("b").isNull(), "no feasible route").otherwise("ok")
     tried, feasible = F.when(F.col("ready"), candidates).otherwise(0).cast("long"), F.coalesce("feasible", F.lit(0)).cast("long")
-    kept = F.when(F.col("b").isNotNull(), F.array(*[F.lit(t) for t in times]))
-    return out.select("plan", status.alias("status"), tried.alias("tried"), feasible.alias("feasible"), F.col("b.c").cast("long").alias("best"), "b.score", "b.distance", "b.route", kept.alias("times"))
+    kept, route = F.when(F.col("b").isNotNull(), F.array(*[F.lit(t) for t in times])), F.transform("b.way", lambda k: F.col("own")[k]["station"])
+    return out.select("plan", status.alias("status"), tried.alias("tried"), feasible.alias("feasible"), F.col("b.c").cast("long").alias("best"), "b.score", "b.distance", route.alias("route"), kept.alias("times"))
+
+
+@dataclass
+class RouteSearch:
+    """The candidates of one plan, as arrays; a candidate that fails a leg draws no more."""
+
+    times: list[float]
+    candidates: int
+    half: int
+    most_speed: float
+    most_step: float
+    least_travel: float
+    wanted_speed: float
+    most_reuse: int
+
+    def best(self, plan: str, targets: list[int], surfaces: list[int], cells: list[int], metres: list[float], pools: list[int]) -> list[tuple]:
+        """(feasible, candidate, score, distance, way) of those feasible candidates whose scores could round to the best one; feasible counts all."""
+        n = len(targets)
+        cell = np.array(cells, np.int64)
+        table = np.full(n * n, np.nan)
+        table[cell] = np.array(metres, np.float64)
+        pool = np.array([-1 if p is None else p for p in pools], np.int64)
+        members = [cell[pool == p] for p in np.unique(pool[pool >= 0])]
+        of_pool = np.array([len(m) for m in members]), np.cumsum([0, *map(len, members)])[:-1], np.concatenate(members)
+        near = np.bincount(cell // n, minlength=n), np.searchsorted(cell, np.arange(n) * n), cell % n
+        scene = plan, n, table, of_pool, near, np.array(targets), np.array(surfaces)
+        found = [x for low in range(0, self.candidates, CANDIDATES) if (x := self.drawn(scene, np.arange(low, min(low + CANDIDATES, self.candidates))))[0].size]
+        if not found:
+            return []
+        c, score, distance, way = (np.concatenate(x) for x in zip(*found, strict=True))
+        top = np.flatnonzero(score >= score.max() - 1e-5)
+        return [(len(c), int(c[k]), float(score[k]), float(distance[k]), way[k].tolist()) for k in top]
+
+    def drawn(self, scene: tuple, c: np.ndarray) -> tuple[np.ndarray, ...]:
+        plan, n, table, (sizes, starts, pairs), (degree, first, neighbours), targets, surfaces = scene
+        events, spans = 2 * self.half, [max(b - a, 1e-6) for a, b in zip(self.times, self.times[1:], strict=False)]
+        number = lambda *key: drawn_counts(f"{plan}:", c, ":" + ":".join(map(str, key)))
+        ranked = lambda m, name: np.argsort(np.stack([number(name, i) for i in range(m)], 1), axis=1, kind="stable")
+        good = lambda d, k: (d > 1e-4) & (d <= self.most_step) & (d / spans[k] <= self.most_speed)
+        chosen, order = ranked(len(sizes), "target")[:, : self.half], ranked(self.half, "first")
+        way = np.empty((len(c), 0), np.int64)
+        for s in range(events):
+            if s == self.half:
+                second = ranked(self.half, "second")
+                same = order[:, -1] == second[:, 0]
+                second[same, :2] = second[same, 1::-1]
+                order = np.concatenate([order, second], 1)
+            own = chosen[np.arange(len(c)), order[:, s]]
+            i, j = np.divmod(pairs[starts[own] + number("pair", s) % sizes[own]], n)
+            kept = good(table[i * n + j], 2 * s + 1)
+            if s:
+                kept &= good(table[way[:, -1] * n + i], 2 * s)
+            way = np.concatenate([way, i[:, None], j[:, None]], 1)
+            c, chosen, order, way = c[kept], chosen[kept], order[kept], way[kept]
+        kept = (degree[way[:, 0]] > 0) & (degree[way[:, -1]] > 0)
+        c, way = c[kept], way[kept]
+        ends = [neighbours[first[k] + number(name) % degree[k]] for k, name in ((way[:, 0], "start"), (way[:, -1], "end"))]
+        way = np.concatenate([ends[0][:, None], way, ends[1][:, None]], 1)
+        legs = table[way[:, :-1] * n + way[:, 1:]]
+        distance = np.zeros(len(c))
+        for k in range(legs.shape[1]):
+            distance += legs[:, k]
+        kept = good(legs[:, 0], 0) & good(legs[:, -1], len(spans) - 1) & (distance >= self.least_travel)
+        c, way, distance = c[kept], way[kept], distance[kept]
+        different = lambda x: (np.diff(np.sort(x[way[:, 1:-1]], axis=1), axis=1) != 0).sum(1) + 1
+        stops, r = np.sort(way, axis=1), self.most_reuse
+        over = (stops[:, r:] == stops[:, : stops.shape[1] - r]).sum(1)
+        score = -np.abs(distance / max(self.times[-1] - self.times[0], 1e-6) - self.wanted_speed) * 80.0 + different(targets) * 5.0 + different(surfaces) * 2.0 - over * 20.0
+        return c, score, distance, way
 
 
 def routine_order(tasks: list[dict], *key) -> list[str]:
