@@ -115,3 +115,21 @@ def test_candidates_of_a_plan_are_not_rows(spark, monkeypatch):
         assert "Generate explode" not in (plan := got._jdf.queryExecution().toString()) and "REPARTITION_BY_NUM" in plan
         found.append(sorted(map(tuple, got.collect())))
     assert found[0] == found[1] and any(r[1] == "ok" and r[3] > 1 for r in found[0])
+
+
+def test_an_attempt_sees_few_questions_of_a_cell(spark):
+    """As many as an episode asks for, whatever the number of questions, and the same choice as from all of them."""
+    rng = random.Random(9)
+    rows, options = [], ["no", "yes"]
+    for k in range(3_000):
+        rows.append({"batch": 1, "episode": f"e{k % 2}", "kind": rng.choice("cf"), "domain": "d", "answer": rng.choice(options), "event": rng.choice(["1", "2", None]), "request": rng.choice([None, *"abcdefghijkl"]), "options": options, "id": f"q{k}"})
+    seen = 0
+    for seed in range(3):
+        own = [r | {"attempt": seed, "draw": routes.drawn_here(seed, "question", r["id"]) % 50} for r in rows]  # few draws: ids decide
+        data = spark.createDataFrame([tuple(r.values()) for r in own], "batch long, episode string, kind string, domain string, answer string, event string, request string, options array<string>, id string, attempt int, draw long")
+        few = [r.asDict() for r in routes.first_questions(data, 8).collect()]
+        assert len(few) == 8 * 2 * 2 * 2 * 3
+        whole = routes.natural_selection(own, ["c", "f"], 8, seed)
+        seen += whole is not None
+        assert routes.natural_selection(few, ["c", "f"], 8, seed) == whole
+    assert seen

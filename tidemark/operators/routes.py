@@ -194,7 +194,7 @@ def routines(tasks: DataFrame, seed: int) -> DataFrame:
 
 
 def natural_selection(pool: list[dict], kinds: list[str], each: int, *key) -> list[str] | None:
-    """One attempt at a batch: ids chosen, or None if an episode cannot be filled.
+    """One attempt at a batch: ids chosen, or None if an episode cannot be filled. A question's draw is its drawn number in this attempt.
 
     Episodes come in a drawn order, each with its kinds in a drawn order, turned by its place so that all kinds come to all places. A question may be taken if no answer of its options
     was given less often; of those, the one whose answer was given least in its options and kind, whose event was used least, and then the smallest drawn number.
@@ -207,20 +207,19 @@ def natural_selection(pool: list[dict], kinds: list[str], each: int, *key) -> li
     for place, episode in enumerate(episodes):
         turned = [kinds[(i + place * 4) % len(kinds)] for i in range(each)]
         order = sorted(range(each), key=lambda i: (drawn_here(*key, episode, "kind", i), i))
-        used, asked, events = set(), set(), Counter()
+        asked, events = set(), Counter()
         for i in order:
             kind = turned[i]
             found = []
             for q in by.get((episode, kind), ()):
-                if q["id"] in used or q["request"] in asked:
+                if q["request"] in asked:  # as of any question used
                     continue
                 times = given[kind, q["domain"], q["answer"]]
                 if times <= min(given[kind, q["domain"], a] for a in q["options"]):
-                    found.append((times, of_kind[kind, q["answer"]], events[q["event"]], drawn_here(*key, "question", q["id"]), q["id"], q))
+                    found.append((times, of_kind[kind, q["answer"]], events[q["event"]], q["draw"], q["id"], q))
             if not found:
                 return None
             *_, own = min(found, key=lambda x: x[:-1])
-            used.add(own["id"])
             asked.add(own["request"])
             events[own["event"]] += 1
             given[kind, own["domain"], own["answer"]] += 1
@@ -229,45 +228,53 @@ def natural_selection(pool: list[dict], kinds: list[str], each: int, *key) -> li
     return out
 
 
+CELL = ["episode", "kind", "domain", "answer", "event"]
+
+
+def first_questions(questions: DataFrame, each: int) -> DataFrame:
+    """The questions (batch, attempt, *CELL, request, options, draw, id) that an attempt at a batch can choose: of each cell the first by (draw, id) of the `each` requests that come first.
+
+    An episode asks for `each` questions, so at most each - 1 requests are taken when it chooses, and in a cell the first question of a request not taken wins.
+    """
+    cell = ["batch", "attempt", *CELL]
+    firsts = questions.groupBy(*cell, "request").agg(F.min(F.struct("draw", "id")).alias("q"), F.first("options").alias("options"))
+    return firsts.withColumn("_r", F.row_number().over(W.partitionBy(*cell).orderBy("q"))).where(F.col("_r") <= each).select(*cell, "request", "options", "q.*")
+
+
 def natural_batches(pool: DataFrame, kinds: list[str], each: int = 10, seed: int = 0, attempts: int = 256, wave: int = 16) -> DataFrame:
     """(batch, attempt, id): the selection of each batch's first feasible attempt.
 
-    pool: batch, episode, id, kind, options, answer, event, request. Questions count only if each of their options is the answer of some question of the same kind and options in the batch. Attempts are rows:
-    a wave of them runs in parallel for all batches without a selection, and the smallest feasible number wins, so the result does not depend on the
-    wave. A batch (a release, bounded by its episodes) travels packed as one row. Batches without any are an error that names one.
+    pool: batch, episode, id, kind, options, answer, event, request. Questions count only if each of their options is the answer of some question of the same kind and options in the batch. A wave of
+    attempts runs in parallel for all batches without a selection, and the smallest feasible number wins, so the result does not depend on the waves, which double from
+    one attempt to `wave`. An attempt at a batch sees `first_questions`: its size follows the batch's episodes, kinds, answers and events, not its questions. Batches without any
+    selection are an error that names one.
     """
     own = pool.where("batch is not null and episode is not null and id is not null").dropDuplicates(["batch", "id"]).withColumn("options", F.array_sort(F.array_distinct("options"))).withColumn("domain", F.to_json("options"))
     given = own.groupBy("batch", "kind", "domain").agg(F.array_sort(F.collect_set("answer")).alias("_given"))
     own = own.join(given, ["batch", "kind", "domain"]).withColumn("_ok", F.col("_given") == F.col("options"))
     fields = [F.col(c).cast("string").alias(c) for c in ("episode", "id", "kind", "domain", "answer", "event", "request")]
-    packed = checkpointed(own.groupBy("batch").agg(F.to_json(F.array_sort(F.collect_list(F.when(F.col("_ok"), F.struct(*fields, "options"))))).alias("pool"), F.to_json(F.sort_array(F.collect_set("episode"))).alias("episodes")))
-    schema, kind = T.StructType([T.StructField("batch", T.StringType()), T.StructField("attempt", T.IntegerType()), T.StructField("ids", T.ArrayType(T.StringType()))]), pool.schema["id"].dataType
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
-        for b in batches:
-            out = []
-            for name, text, every, attempt in zip(*(b.column(c).to_pylist() for c in ("batch", "pool", "episodes", "attempt")), strict=True):
-                rows = json.loads(text)
-                whole = len({q["episode"] for q in rows}) == len(json.loads(every))  # an episode without any question cannot be filled
-                ids = natural_selection(rows, kinds, each, seed + attempt) if whole else None
-                if ids is not None:
-                    out.append((name, attempt, ids))
-            cols = list(zip(*out, strict=True)) if out else [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.list_(pa.string())), strict=True)], names=schema.names)
-
-    packed = packed.withColumn("_name", F.col("batch").cast("string"))
-    left, found = packed, None
-    for low in range(0, attempts, wave):
-        rows = left.select(F.col("_name").alias("batch"), "pool", "episodes", F.explode(F.sequence(F.lit(low), F.lit(min(low + wave, attempts) - 1))).alias("attempt")).repartition("batch", "attempt")
-        own = checkpointed(rows.mapInArrow(run, schema).groupBy("batch").agg(F.min_by("ids", "attempt").alias("ids"), F.min("attempt").alias("attempt")))
-        found = own if found is None else found.unionByName(own)
-        left = checkpointed(left.join(own.select(F.col("batch").alias("_name")), "_name", "left_anti"))
-        if left.isEmpty():
-            break
-    stuck = left.select("_name").first()
+    own = checkpointed(own.select("batch", *fields, "options", "_ok"))
+    whole = own.groupBy("batch", "episode").agg(F.max("_ok").alias("ok")).groupBy("batch").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"))  # an episode without any question cannot be filled
+    left, found, low = checkpointed(whole), None, 0
+    kind, text = pool.schema["id"].dataType, T.ArrayType(T.StringType())
+    schema = T.StructType([pool.schema["batch"], T.StructField("attempt", T.IntegerType()), T.StructField("ids", text)])
+
+    def run(key: tuple[pa.Scalar, ...], questions: pa.Table) -> pa.Table:
+        attempt = key[1].as_py()
+        ids = natural_selection(questions.to_pylist(), kinds, each, seed + attempt)
+        return pa.table([questions.column("batch").slice(0, 1), pa.array([attempt], pa.int32()), pa.array([ids], pa.list_(pa.string()))], names=schema.names)
+
+    stuck = left.where("not ok").select("batch").first()
+    while stuck is None and low < attempts and not left.isEmpty():
+        many = min(max(low, 1), wave, attempts - low)
+        rows = own.where("_ok").join(left, "batch", "left_semi").withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(low + many - 1)))).withColumn("draw", drawn(F.col("attempt") + seed, "question", F.col("id")))
+        tried = first_questions(rows, each).groupBy("batch", "attempt").applyInArrow(run, schema).where("ids is not null")
+        tried = checkpointed(tried.groupBy("batch").agg(F.min_by("ids", "attempt").alias("ids"), F.min("attempt").alias("attempt")))
+        found = tried if found is None else found.unionByName(tried)
+        left, low = checkpointed(left.join(tried, "batch", "left_anti")), low + many
+    stuck = left.select("batch").first() if stuck is None else stuck
     if stuck is not None:
         raise ValueError(f"batch {stuck[0]} has no balanced selection within {attempts} attempts")
-    out = found.withColumnRenamed("batch", "_name").join(packed.select("_name", "batch"), "_name")
-    return out.select("batch", F.col("attempt").cast("long").alias("attempt"), F.explode(F.col("ids").cast(T.ArrayType(kind))).alias("id"))
+    if found is None:
+        return pool.select("batch", F.lit(0).cast("long").alias("attempt"), "id").limit(0)
+    return found.select("batch", F.col("attempt").cast("long").alias("attempt"), F.explode(F.col("ids").cast(T.ArrayType(kind))).alias("id"))
