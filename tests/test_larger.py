@@ -133,3 +133,14 @@ def test_an_attempt_sees_few_questions_of_a_cell(spark):
         seen += whole is not None
         assert routes.natural_selection(few, ["c", "f"], 8, seed) == whole
     assert seen
+
+
+def test_routines_of_an_episode_are_one_row(spark):
+    """The query's orders come from the fold, without a shuffle after it; duplicates and nulls as in `routines`."""
+    rows = [(e, f"t{k}", ["open", None, "pick", "place"][k], [[], ["t0"], ["t1", "t0"], ["t2"]][k], None if k % 2 else 0) for e in range(300) for k in range(4)]
+    tasks = spark.createDataFrame([*rows, rows[0], (None, "x", None, [], 0), (7, None, None, None, 0)], "episode long, task string, kind string, needs array<string>, gap int")
+    lists = routes.routine_lists(tasks, 5)
+    want = {(r.episode, r.place): r.task for r in routes.routines(tasks, 5).collect()}
+    assert {(r.episode, k): t for r in lists.collect() for k, t in enumerate(r.tasks)} == want and len(want) == 1200
+    plan = catalog.queries()["routine_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("MapInArrow")
+    assert len(plan) > 1 and "Exchange" not in plan[0]

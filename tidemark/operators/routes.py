@@ -6,6 +6,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -152,45 +153,67 @@ class RouteSearch:
         return c, score, distance, way
 
 
-def routine_order(tasks: list[dict], *key) -> list[str]:
-    """One episode's tasks in an order drawn by the key, or an error.
+def routine_order(tasks: dict[str, tuple], *key) -> list[str]:
+    """One episode's tasks {task: (kind, needs, gap)} in an order drawn by the key, or an error.
 
     A task is ready when what it needs is done; nothing is picked up or opened while something is carried, and a task with a gap waits until so
     many others lie between it and what it needs. Of the ready ones the one with the smallest drawn number is next.
     """
-    done: dict[str, int] = {}
-    carried = 0
-    while len(done) < len(tasks):
-        ready = [
-            t for t in tasks
-            if t["task"] not in done and all(d in done for d in t["needs"]) and not (carried and t["kind"] in ("pick", "open")) and (t["kind"] != "place" or carried)
-            and all(len(done) - done[d] > (t["gap"] or 0) for d in t["needs"])
-        ]
+    left, done, carried, head = dict(tasks), {}, 0, ":".join(map(str, key))
+    while left:
+        at, ready = len(done), []
+        for task, (kind, needs, gap) in left.items():
+            if (kind in ("pick", "open")) if carried else kind == "place":
+                continue
+            for d in needs:
+                if d not in done or at - done[d] <= gap:
+                    break
+            else:
+                ready.append(task)
         if not ready:
-            raise ValueError(f"no task can come next after {', '.join(done) or 'the start'}: {', '.join(sorted(t['task'] for t in tasks if t['task'] not in done))}")
-        own = min(ready, key=lambda t: (drawn_here(*key, len(done), t["task"]), t["task"]))
-        carried += {"pick": 1, "place": -1}.get(own["kind"], 0)
-        done[own["task"]] = len(done)
+            raise ValueError(f"no task can come next after {', '.join(done) or 'the start'}: {', '.join(sorted(left))}")
+        # the first bytes of a digest are in the order of the numbers drawn from it
+        own = ready[0] if len(ready) == 1 else min([(hashlib.md5(f"{head}:{at}:{t}".encode()).digest()[:4], t) for t in ready])[1]
+        carried += {"pick": 1, "place": -1}.get(left.pop(own)[0], 0)
+        done[own] = at
     return list(done)
 
 
-def routines(tasks: DataFrame, seed: int) -> DataFrame:
-    """(episode, place, task) of tasks (episode, task, kind, needs, gap): a random topological order of each episode under the rule of one hand.
+def texts(values: pa.Array) -> list[str | None]:
+    """The texts of an array, each distinct one decoded once."""
+    coded = values.dictionary_encode()
+    names = [*coded.dictionary.to_pylist(), None]
+    return [names[k] for k in coded.indices.fill_null(len(names) - 1).to_numpy().tolist()]
+
+
+def routine_lists(tasks: DataFrame, seed: int) -> DataFrame:
+    """(episode, tasks) of tasks (episode, task, kind, needs, gap): a random topological order of each episode under the rule of one hand.
 
     kind: pick, place, open or anything else. gap: how many tasks must lie between it and those it needs (null: none). An episode is packed to one row, as small as a
     routine, and folded in Arrow batches. Cycles, missing needs and orders that get stuck are errors; of a task that is named twice the last, by its other fields, counts.
     """
     rows = tasks.where("episode is not null and task is not null").select("episode", F.struct("task", "kind", F.coalesce("needs", F.array().cast("array<string>")).alias("needs"), F.col("gap").cast("int").alias("gap")).alias("t"))
     packed = rows.groupBy("episode").agg(F.array_sort(F.collect_list("t")).alias("tasks"))
+    packed = packed.select("episode", *[F.col("tasks")[c].alias(c) for c in ("task", "kind", "needs")], F.transform("tasks", lambda t: F.coalesce(t["gap"], F.lit(0))).alias("gap"))
     schema = T.StructType([T.StructField("episode", tasks.schema["episode"].dataType), T.StructField("tasks", T.ArrayType(T.StringType()))])
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column("episode")
-            orders = [routine_order(list({t["task"]: t for t in own}.values()), seed, name) for name, own in zip(names.to_pylist(), b.column("tasks").to_pylist(), strict=True)]
+            names, cuts = b.column("episode"), b.column("task").offsets.to_numpy().tolist()
+            task, kind = (texts(b.column(c).values) for c in ("task", "kind"))
+            inner, gap = b.column("needs").values, b.column("gap").values.to_numpy().tolist()
+            need, ends = texts(inner.values), inner.offsets.to_numpy().tolist()
+            needs = [need[x:y] for x, y in pairwise(ends)]
+            every = zip(names.to_pylist(), pairwise(cuts), strict=True)
+            orders = [routine_order(dict(zip(task[x:y], zip(kind[x:y], needs[x:y], gap[x:y], strict=True), strict=True)), seed, name) for name, (x, y) in every]
             yield pa.RecordBatch.from_arrays([names, pa.array(orders, pa.list_(pa.string()))], names=schema.names)
 
-    return packed.mapInArrow(fold, schema).select("episode", F.posexplode("tasks").alias("place", "task")).select("episode", F.col("place").cast("long").alias("place"), "task")
+    return packed.mapInArrow(fold, schema)
+
+
+def routines(tasks: DataFrame, seed: int) -> DataFrame:
+    """(episode, place, task): `routine_lists` as rows."""
+    return routine_lists(tasks, seed).select("episode", F.posexplode("tasks").alias("place", "task")).select("episode", F.col("place").cast("long").alias("place"), "task")
 
 
 def natural_selection(pool: list[dict], kinds: list[str], each: int, *key) -> list[str] | None:

@@ -90,8 +90,7 @@ def routine_orders(spark, sf):
     second = F.struct(name("second_", F.col("n")).alias("task"), F.when(F.col("carried"), "place").otherwise("close").alias("kind"), F.array(name("first_", F.col("n"))).alias("needs"))
     lamp = F.struct(F.lit("lamp").alias("task"), F.lit("switch").alias("kind"), none.alias("needs"))
     tasks = rows.withColumn("p", before).select("episode", F.explode(F.array(first, second, lamp)).alias("t")).select("episode", "t.*", F.lit(0).alias("gap"))
-    found = routes.routines(tasks, 7)
-    return found.groupBy("episode").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "task"))), lambda x: x["task"]), ",").alias("tasks"))
+    return routes.routine_lists(tasks, 7).select("episode", F.array_join("tasks", ",").alias("tasks"))
 
 
 @query()
