@@ -63,7 +63,7 @@ def station_routes(
     scenes = checkpointed(lists.join(legs, "plan", "left").withColumn("ready", F.coalesce("pools", F.lit(0)) >= half))
     times = [0.0, *(t for b in beats for t in (max(0.0, b - lead), min(duration, b + lag))), duration]
     search = RouteSearch(times, candidates, half, most_speed, most_step, least_travel, wanted_speed, most_reuse)
-    schema = T.StructType([scenes.schema["plan"], *T._parse_datatype_string("feasible long, c int, score double, distance double, way array<int>")])
+    schema = T.StructType([scenes.schema["plan"]]).add("feasible", "long").add("c", "integer").add("score", "double").add("distance", "double").add("way", T.ArrayType(T.IntegerType()))
     ready = scenes.where("ready").select("plan", F.col("plan").cast("string").alias("name"), *[F.col(x)[y].alias(y) for x, y in (("own", "tk"), ("own", "sk"), ("legs", "cell"), ("legs", "metres"), ("legs", "pool"))])
     ready = ready.repartition(scenes.sparkSession.sparkContext.defaultParallelism * 8, "plan")  # by number, or all plans would be put into one task
 
