@@ -23,3 +23,15 @@ def test_a_small_store_gives_the_same_rows():
         flat, counts = store.rows(texts)
         assert flat.tolist() == [ord(c) for t in texts for c in t] and counts.tolist() == [len(t) for t in texts]
         assert len(store.code) == len(store.lens) == len(store.starts)
+
+
+def test_repeated_words_are_one_string_and_cuts_stay():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("  \n\tab.é \x1c") for _ in range(rng.randrange(40))) for _ in range(300)] + ["", " ", "a", "a  b", " a b"]
+    place, strings, per = Pieces(None).pieces(texts)
+    found, low = [strings[k] for k in place.tolist()], 0
+    for text, n in zip(texts, per.tolist(), strict=True):
+        assert [p for p in found[low : low + n] if p] == cut_at_spaces(text)
+        low += n
+    _, strings, per = Pieces(None).pieces(["one two three " * 1000] * 5)
+    assert len(strings) < 20 and per.tolist() == [3000] * 5

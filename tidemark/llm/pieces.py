@@ -8,9 +8,11 @@ encoded on their own and the ids joined.
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def cut_at_spaces(text: str) -> list[str]:
@@ -46,24 +48,56 @@ class Pieces:
         self.code: dict[str, int] = {}
         self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    def pieces(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """(for each piece of all texts its place among the strings, strings, how many pieces each text has), cut as by cut_at_spaces.
+
+        Only distinct parts between spaces are seen as Python strings. A cut depends on the parts at both its sides alone: neither is empty, nor white at that end.
+        """
+        parts = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        per = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+        if not len(code):
+            return np.zeros(0, np.int64), [], np.zeros(len(texts), np.int64)
+        opens, shuts = (np.fromiter((p != "" and not p[k].isspace() for p in names), bool, len(names)) for k in (0, -1))
+        head = np.zeros(len(code), bool)
+        head[np.cumsum(per) - per] = True
+        begin = head.copy()
+        begin[1:] |= opens[code[1:]] & shuts[code[:-1]]
+        at = np.flatnonzero(begin)
+        ends = np.append(at[1:], len(code))
+        plain = (ends - at == 1) & ~head[at]  # one part after a space
+        mark = np.zeros(len(names), bool)
+        mark[code[at[plain]]] = True
+        used = np.flatnonzero(mark)
+        strings = [" " + names[i] for i in used.tolist()]
+        place = np.empty(len(at), np.int64)
+        place[plain] = (np.cumsum(mark) - 1)[code[at[plain]]]
+        rest = np.flatnonzero(~plain)
+        place[rest] = len(strings) + np.arange(len(rest))
+        for a, b, first in zip(at[rest].tolist(), ends[rest].tolist(), head[at[rest]].tolist(), strict=True):
+            piece = " ".join([names[i] for i in code[a:b].tolist()])
+            strings.append(piece if first else " " + piece)
+        return place, strings, np.add.reduceat(begin.astype(np.int64), np.cumsum(per) - per)
+
     def rows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of all texts, how many for each text)."""
-        per = [cut_at_spaces(t) for t in texts]
-        pieces = list(chain.from_iterable(per))
+        place, strings, per = self.pieces(texts)
         if len(self.code) > self.most:
             self.clear()
-        codes = np.fromiter(map(self.code.get, pieces, repeat(-1)), np.int64, len(pieces))
+        codes = np.fromiter(map(self.code.get, strings, repeat(-1)), np.int64, len(strings))
         unknown = np.flatnonzero(codes < 0).tolist()
         if unknown:
-            new = list(dict.fromkeys([pieces[i] for i in unknown]))
+            new = list(dict.fromkeys([strings[i] for i in unknown]))
             flat, lens = self.encode(new)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
             self.flat, self.lens = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.lens, lens])
             self.code.update(zip(new, range(len(self.code), len(self.code) + len(new)), strict=True))
-            codes[unknown] = [self.code[pieces[i]] for i in unknown]
+            codes[unknown] = [self.code[strings[i]] for i in unknown]
+        codes = codes[place]
         lens = self.lens[codes]
         ends = np.cumsum(lens)
         total = int(ends[-1]) if len(ends) else 0
         out = self.flat[np.repeat(self.starts[codes] - (ends - lens), lens) + np.arange(total)]
-        bound = np.concatenate([[0], ends])[np.cumsum([0, *map(len, per)])]
+        bound = np.concatenate([[0], ends])[np.cumsum([0, *per.tolist()])]
         return out, np.diff(bound)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -132,18 +133,17 @@ def encoder(path: str) -> Pieces:
             joined = [i for i in range(len(pieces)) if i not in kept]
             runs = [joined[i : i + 256] for i in range(0, len(joined), 256)]
             found = tool.encode_batch_fast([pieces[i] for i in alone] + ["".join(pieces[i] for i in run) for run in runs], add_special_tokens=False)
-            rows: list[list[int]] = [[]] * len(pieces)
-            for i, e in zip(alone, found, strict=False):
-                rows[i] = e.ids
-            for run, e in zip(runs, found[len(alone) :], strict=True):
-                ids = e.ids
-                cuts = np.searchsorted(np.cumsum(width[ids]), np.cumsum([len(pieces[i].encode()) for i in run])) + 1
-                low = 0
-                for i, high in zip(run, cuts.tolist(), strict=True):
-                    rows[i] = ids[low:high]
-                    low = high
-            lens = np.fromiter(map(len, rows), np.int64, len(rows))
-            return np.fromiter((x for r in rows for x in r), np.uint32, int(lens.sum())), lens
+            flat = np.fromiter(chain.from_iterable(e.ids for e in found), np.int64, sum(map(len, found)))
+            ends = np.concatenate([np.cumsum(np.fromiter(map(len, found[: len(alone)]), np.int64, len(alone))), np.zeros(len(joined), np.int64)])
+            low = int(ends[len(alone) - 1]) if alone else 0
+            # ends of pieces in bytes, over all strings: a token ends where a piece does
+            sizes = np.cumsum(np.fromiter((len(pieces[i].encode()) for i in joined), np.int64, len(joined)))
+            ends[len(alone) :] = low + np.searchsorted(np.cumsum(width[flat[low:]]), sizes) + 1
+            order, lens = np.empty(len(pieces), np.int64), np.diff(ends, prepend=0)
+            order[alone + joined] = np.arange(len(pieces))
+            starts, lens = (ends - lens)[order], lens[order]
+            stops = np.cumsum(lens)
+            return flat[np.repeat(starts - (stops - lens), lens) + np.arange(len(flat))].astype(np.uint32), lens
 
         _stores[path] = Pieces(encode)
     return _stores[path]
