@@ -91,3 +91,14 @@ def test_levels_grow_geometrically():
         assert all((k[1:] > k[:-1]).all() for k, _ in levels.levels)
     first = {k: i for i, k in reversed(list(enumerate(keys.tolist())))}
     assert levels.late.tolist() == [first[k] != i for i, k in enumerate(keys.tolist())]
+
+
+def test_words_are_numbered_by_falling_frequency():
+    from tidemark.llm.automaton_dedup import numbered
+
+    rng = random.Random(8)
+    for group in (["", " \n", "a"], [""], ["".join(rng.choice(" \t\n\x0b\x0c\r\x1c\x85aé\x00b") for _ in range(rng.randrange(12))) for _ in range(500)]):
+        words, numbers, counts = numbered(group)
+        found = [t.encode().split() for t in group]
+        assert [words[i] for i in numbers.tolist()] == [w for f in found for w in f] and counts.tolist() == [len(f) for f in found]
+        assert len(set(words)) == len(words) and (np.diff(np.bincount(numbers, minlength=len(words))) <= 0).all()

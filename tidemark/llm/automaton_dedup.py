@@ -24,10 +24,10 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -130,17 +130,16 @@ def late_windows(stretches: list[list[int]], keys: list[tuple[int, int, int]], l
 
 def numbered(group: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words by falling frequency, the numbers of all words, and how many each text has."""
-    found = [t.encode().split() for t in group]
-    counts = np.fromiter(map(len, found), np.int64, len(found))
-    every = list(chain.from_iterable(found))
-    words = dict.fromkeys(every)
-    words.update(zip(words, range(len(words)), strict=True))
-    flat = np.fromiter(map(words.__getitem__, every), np.int64, len(every))
+    parts = pc.ascii_split_whitespace(pa.array(group, pa.large_string()))
+    per, flat = pc.list_value_length(parts).to_numpy(zero_copy_only=False), parts.flatten()
+    filled = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at the ends of a text leaves empty parts
+    counts = np.bincount(np.repeat(np.arange(len(group)), per)[filled], minlength=len(group))
+    coded = (flat if filled.all() else flat.filter(pa.array(filled))).dictionary_encode()
+    words, flat = coded.dictionary.cast(pa.large_binary()).to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
     rank = np.empty(len(words), np.int64)
     rank[order] = np.arange(len(words))
-    names = list(words)
-    return [names[i] for i in order.tolist()], rank[flat], counts
+    return [words[i] for i in order.tolist()], rank[flat], counts
 
 
 def chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
