@@ -48,6 +48,13 @@ class Pieces:
         self.code: dict[str, int] = {}
         self.flat, self.starts, self.lens = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
+    @staticmethod
+    def dark(ends: pa.Array) -> np.ndarray:
+        """Which of these characters are some, and not white."""
+        coded = ends.dictionary_encode()
+        seen = np.array([c != "" and not c.isspace() for c in coded.dictionary.to_pylist()], bool)
+        return seen[coded.indices.to_numpy(zero_copy_only=False)]
+
     def pieces(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         """(for each piece of all texts its place among the strings, strings, how many pieces each text has), cut as by cut_at_spaces.
 
@@ -59,7 +66,7 @@ class Pieces:
         code, names = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
         if not len(code):
             return np.zeros(0, np.int64), [], np.zeros(len(texts), np.int64)
-        opens, shuts = (np.fromiter((p != "" and not p[k].isspace() for p in names), bool, len(names)) for k in (0, -1))
+        opens, shuts = (self.dark(pc.utf8_slice_codeunits(coded.dictionary, *k)) for k in ((0, 1), (-1,)))
         head = np.zeros(len(code), bool)
         head[np.cumsum(per) - per] = True
         begin = head.copy()
@@ -88,7 +95,7 @@ class Pieces:
         codes = np.fromiter(map(self.code.get, strings, repeat(-1)), np.int64, len(strings))
         unknown = np.flatnonzero(codes < 0).tolist()
         if unknown:
-            new = list(dict.fromkeys([strings[i] for i in unknown]))
+            new = list(dict.fromkeys([strings[i] for i in unknown]))  # first parts may repeat
             flat, lens = self.encode(new)
             self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(lens) - lens])
             self.flat, self.lens = np.concatenate([self.flat, flat.astype(np.uint32)]), np.concatenate([self.lens, lens])

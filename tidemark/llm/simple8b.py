@@ -34,6 +34,9 @@ BLOCK = 2048
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 WIDTHS = np.array([60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], np.int64)
 
+#: Bits of ids below 65,536.
+SHORT = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(words, first word of each block, escapes, first escape of each block) for unsigned ids."""
@@ -45,7 +48,7 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray, n
     reach = np.arange(n, dtype=np.int64)
     reach += reach // block * int(COUNTS.max())
     bits = np.zeros(blocks * (block + int(COUNTS.max())), np.uint8)
-    bits[reach] = np.frexp(ids.astype(np.float64))[1]
+    bits[reach] = SHORT[ids] if n and int(ids.max()) < len(SHORT) else np.frexp(ids.astype(np.float64))[1]
     choice = np.zeros(n, np.int8)
     left = np.flatnonzero(bits[reach] <= WIDTHS[-1])
     choice[left] = len(COUNTS) - 1
