@@ -136,3 +136,30 @@ def test_scores_follow_from_the_parameters(spark, docs, monkeypatch):
 
 def test_token_table(spark):
     assert word_bpe.token_table(spark, PATH).count() == 50_256
+
+
+def test_sums_of_stretches_equal_plain_sums():
+    """Stretches of one row, a few and many, in the order of the rows or another."""
+    rng = np.random.default_rng(3)
+    lens = np.array([1, 1, 2, 40, 1, 5, 6, 7, 300, 1, 3])
+    first, own = np.cumsum(lens) - lens, np.repeat(np.arange(len(lens)), lens)
+    rows = rng.normal(size=(len(own), 5)).astype(np.float32)
+    for by in (None, rng.permutation(len(own))):
+        want = np.zeros((len(lens), 5))
+        np.add.at(want, own, rows if by is None else rows[by])
+        assert np.allclose(bilinear_lm.segment_sums(rows, by, first), want, atol=1e-4)
+
+
+def test_a_step_draws_noise_from_each_group_that_occurs():
+    """Each group's noise is drawn from its own targets, and targets of groups without tokens in the batch stay as they are."""
+    model = bilinear_lm.LogBilinear(np.arange(1, 401).astype(float))
+    assert (model.row[np.argsort(model.row)] == np.arange(400)).all() and model.groups > 3
+    for g in range(model.groups):
+        low, high = model.reach_targets[model.edges[g]], model.reach_targets[model.edges[g + 1] - 1]
+        assert g < low <= high <= g + 1 and high > g + 1 - 1e-9
+    here = model.group < 2
+    cells = np.resize(np.flatnonzero(here), 600)
+    before = model.parts(model.table)[1].copy()
+    model.step(cells, bilinear_lm.contexts_of(cells, np.array([0]), model.n), np.random.default_rng(2))
+    changed = (model.parts(model.table)[1] != before).any(1)
+    assert changed[model.row[here]].all() and not changed[model.row[~here]].any()

@@ -26,15 +26,16 @@ null ids are held by crc32('') like any other; other columns are ignored.
 from __future__ import annotations
 
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, documents, drop_cut, id_out, one_thread, release, texts
+from .common import NO_ID, cut, documents, drop_cut, id_out, keep_heap, one_thread, release, texts
 from .dictionary import by_bucket, chunked, loosen, read_chunks, squeeze, unpack_words, with_values
 
 VECTORS = 3
@@ -70,15 +71,13 @@ def words_of(text: str) -> list[bytes]:
 
 
 def new_coder():
-    numbers: dict[bytes, int] = {}
+    numbers: defaultdict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__  # a new word's number
 
     def code(group: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = [words_of(t) for t in group]
-        flat = [w for f in found for w in f]
-        for w in dict.fromkeys(flat):
-            if w not in numbers:
-                numbers[w] = len(numbers)
-        return np.fromiter(map(numbers.__getitem__, flat), np.int64, len(flat)), np.fromiter(map(len, found), np.int64, len(found))
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(map(numbers.__getitem__, chain.from_iterable(found)), np.int64, int(counts.sum())), counts
 
     return code, lambda: list(numbers)
 
@@ -133,6 +132,23 @@ def contexts_of(cells: np.ndarray, starts: np.ndarray, before: int, order: int =
     return out
 
 
+def segment_sums(rows: np.ndarray, by: np.ndarray | None, first: np.ndarray) -> np.ndarray:
+    """Sums of the stretches of rows (in the order `by`) that begin at `first`. Most have one row or a few, which are added stretch beside stretch."""
+    lens = np.diff(np.append(first, len(rows)))
+    at = (lambda x: x) if by is None else by.__getitem__
+    out, k, left = np.take(rows, at(first), axis=0), 1, np.flatnonzero(lens > 1)
+    while len(left) and k < 6:
+        out[left] += np.take(rows, at(first[left] + k), axis=0)
+        k += 1
+        left = left[lens[left] > k]
+    if len(left):
+        more = lens[left] - k
+        ends = np.cumsum(more)
+        rest = np.repeat(first[left] + k - (ends - more), more) + np.arange(int(ends[-1]))
+        out[left] += np.add.reduceat(np.take(rows, at(rest), axis=0), ends - more)
+    return out
+
+
 class LogBilinear:
     """Vectors of cells (words, then endings) as contexts and, by group, as targets.
 
@@ -153,9 +169,16 @@ class LogBilinear:
         self.edges = np.searchsorted(self.group[place], np.arange(self.groups + 1))
         self.inner = np.empty(n, np.int64)
         self.inner[place] = np.arange(n) - self.edges[self.group[place]]
+        self.row = np.empty(n, np.int64)
+        self.row[place] = np.arange(n)
         self.noise_groups = np.bincount(self.group, weights=share, minlength=self.groups)
         self.noise_targets = (share / self.noise_groups[self.group])[place]
-        self.kind = np.uint16 if max(self.groups, int(np.diff(self.edges).max())) < 1 << 16 else np.int64  # short numbers are sorted by radix
+        self.group_of_row = self.group[place]
+        reach = np.cumsum(self.noise_targets)
+        before = np.append(0, reach)[self.edges]
+        inside = (reach - before[self.group_of_row]) / np.diff(before)[self.group_of_row]
+        self.reach_groups, self.reach_targets = np.cumsum(self.noise_groups), self.group_of_row + np.minimum(inside, 1.0)
+        self.kind = np.uint16 if n < 1 << 16 else np.int64  # short numbers are sorted by radix
         self.log_groups, self.log_targets = np.log(self.noise_groups).astype(np.float32), np.log(self.noise_targets).astype(np.float32)
         self.table = np.zeros((2 * n + 1 + self.groups + order * dimensions, dimensions + 1), np.float32)
         self.table[: n + 1, :dimensions] = rng.normal(0, 0.1, (n + 1, dimensions))
@@ -181,21 +204,16 @@ class LogBilinear:
         seen, _, _, turn = self.parts(self.table)
         base = seen[rows, : self.d]
         out = np.ones((at.shape[1], self.d + 1), np.float32)
-        total = (base @ turn[0, :, : self.d])[at[0]]
+        total = np.take(base @ turn[0, :, : self.d], at[0], axis=0)
         for k in range(1, self.order):
-            total += (base @ turn[k, :, : self.d])[at[k]]
+            total += np.take(base @ turn[k, :, : self.d], at[k], axis=0)
         out[:, : self.d] = total
         return out
 
-    def by_group(self, cells: np.ndarray, inner: bool = False) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """Order of the tokens by group (and place in it), and (group, first, end) of the groups that occur."""
-        group = self.group[cells].astype(self.kind)
-        if inner:
-            order = np.argsort(self.inner[cells].astype(self.kind), kind="stable")
-            order = order[np.argsort(group[order], kind="stable")]
-        else:
-            order = np.argsort(group, kind="stable")
-        edges = np.append(0, np.cumsum(np.bincount(group, minlength=self.groups))).tolist()
+    def by_group(self, cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """Order of the tokens by group and place in it, and (group, first, end) of the groups that occur."""
+        order = np.argsort(self.row[cells].astype(self.kind), kind="stable")
+        edges = np.append(0, np.cumsum(np.bincount(self.group[cells], minlength=self.groups))).tolist()
         return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
     def step(self, cells: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -> None:
@@ -204,63 +222,99 @@ class LogBilinear:
         seen2, targets2, groups2, turn2 = self.parts(self.squares)
         odds = np.float32(np.log(RATIO))
 
-        def contrast(r, q, log_noise, own, noise):
-            """(gradient of the context vectors, rows of q, their gradients) of the binary losses; own ascends."""
-            reach = np.cumsum(noise)
-            times = np.bincount(np.minimum(np.searchsorted(reach, rng.random(NOISE) * reach[-1], side="right"), len(q) - 1), minlength=len(q))
-            mark = times > 0
-            on = np.flatnonzero(mark)
-            first = np.flatnonzero(np.diff(own, prepend=-1))
-            mark[own[first]] = True
-            rows, place = np.flatnonzero(mark), np.cumsum(mark) - 1
-            mine, sampled = q[own], q[on]
+        def from_data(q, log_noise, own):
+            """(gradient of the context vectors, first token of each row of q, the rows' gradients) of the data's losses; own ascends."""
+            mine = np.take(q, own, axis=0)
             data = np.einsum("ij,ij->i", r, mine)
             data -= log_noise[own] + odds
             data *= 0.5
-            data = np.tanh(data, out=data)
+            np.tanh(data, out=data)
             data -= 1
             data *= 0.5
-            false = r @ sampled.T
-            false -= log_noise[on] + odds
-            false *= 0.5
-            np.tanh(false, out=false)
-            false += 1
-            false *= (times[on] * (RATIO / NOISE / 2)).astype(np.float32)
-            dq = np.zeros((len(rows), q.shape[1]), np.float32)
-            dq[place[on]] = false.T @ r
-            dq[place[own[first]]] += np.add.reduceat(data[:, None] * r, first)
             mine *= data[:, None]
-            mine += false @ sampled
-            return mine, rows, dq
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            return mine, first, segment_sums(data[:, None] * r, None, first)
+
+        def weights(q, log_noise, times):
+            """What a tanh of half the logits is taken of (the contexts' last column is 1), each row's weight, and the rows times it."""
+            half = q * np.float32(0.5)
+            half[:, self.d] -= (log_noise + odds) * np.float32(0.5)
+            weight = (times * (RATIO / NOISE / 2)).astype(np.float32)[:, None]
+            return half, weight, q * weight
+
+        def from_noise(r, total, half, weight, weighted):
+            """(what the noise adds to the gradient of the context vectors, gradients of its rows); total: the sum of the context vectors."""
+            false = r @ half.T
+            np.tanh(false, out=false)
+            back = false @ weighted
+            back += weighted.sum(0)
+            rows = false.T @ r
+            rows += total
+            rows *= weight
+            return back, rows
 
         def descend(rows, squares, at, gradient):
             total = squares[at] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
             squares[at] = total
-            rows[at] -= gradient * (np.float32(RATE) / np.sqrt(total))[:, None]
+            gradient *= (np.float32(RATE) / np.sqrt(total))[:, None]
+            rows[at] = np.take(rows, at, axis=0) - gradient
 
-        order, stretches = self.by_group(cells, True)
-        cells, contexts = cells[order], contexts[:, order]
+        def union(n, own, sums, on, noise):
+            mark = np.zeros(n, bool)
+            mark[own] = mark[on] = True
+            rows, place = np.flatnonzero(mark), np.cumsum(mark) - 1
+            out = np.zeros((len(rows), self.d + 1), np.float32)
+            out[place[on]] = noise
+            out[place[own]] += sums
+            return rows, out
+
+        order, stretches = self.by_group(cells)
+        row, contexts = self.row[cells[order]], np.take(contexts, order, axis=1)
+        group = self.group_of_row[row]
         rows, at = self.distinct(contexts)
-        r, inner = self.vectors(rows, at), self.inner[cells]
-        dr, on, dg = contrast(r, groups, self.log_groups, self.group[cells], self.noise_groups)
-        for g, a, b in stretches:
-            own = slice(self.edges[g], self.edges[g + 1])
-            if own.stop - own.start == 1:
-                continue  # the group's only target
-            back, touched, dq = contrast(r[a:b], targets[own], self.log_targets[own], inner[a:b], self.noise_targets[own])
+        r = self.vectors(rows, at)
+        totals = np.add.reduceat(r, [a for _, a, _ in stretches])
+        # the groups
+        dr, first, sums = from_data(groups, self.log_groups, group)
+        times = np.bincount(np.minimum(np.searchsorted(self.reach_groups, rng.random(NOISE) * self.reach_groups[-1], side="right"), self.groups - 1), minlength=self.groups)
+        on = np.flatnonzero(times)
+        back, noise = from_noise(r, totals.sum(0), *weights(groups[on], self.log_groups[on], times[on]))
+        dr += back
+        on, dg = union(self.groups, group[first], sums, on, noise)
+        # the targets of each group that has more than one
+        back, first, sums = from_data(targets, self.log_targets, row)
+        many = np.diff(self.edges) > 1
+        if not many.all():
+            back[~many[group]] = 0
+            sums[~many[group[first]]] = 0
+        dr += back
+        which = [k for k, (g, _, _) in enumerate(stretches) if many[g]]
+        drawn = np.array([stretches[k][0] for k in which], np.int64)[:, None]
+        drawn = np.minimum(np.searchsorted(self.reach_targets, drawn + rng.random((len(which), NOISE)), side="right"), self.edges[drawn + 1] - 1)
+        times = np.bincount(drawn.ravel(), minlength=self.n)
+        sampled = np.flatnonzero(times)
+        half, weight, weighted = weights(np.take(targets, sampled, axis=0), self.log_targets[sampled], times[sampled])
+        noise = np.empty((len(sampled), self.d + 1), np.float32)
+        for k in which:
+            g, a, b = stretches[k]
+            part = slice(*np.searchsorted(sampled, self.edges[g : g + 2]).tolist())
+            back, noise[part] = from_noise(r[a:b], totals[k], half[part], weight[part], weighted[part])
             dr[a:b] += back
-            descend(targets[own], targets2[own], touched, dq)
+        touched, dq = union(self.n, row[first], sums, sampled, noise)
+        # the contexts and the matrices of their positions
         dr = np.ascontiguousarray(dr[:, : self.d])
         base, to_seen = seen[rows, : self.d], np.zeros((len(rows), self.d + 1), np.float32)
         for k in range(self.order):
             by = np.argsort(at[k], kind="stable")
-            first = np.flatnonzero(np.diff(at[k][by].astype(np.int64), prepend=-1))
-            which, sums = at[k][by[first]], np.add.reduceat(dr[by], first)
-            to_turn = base[which].T @ sums
-            to_seen[which, : self.d] += sums @ turn[k, :, : self.d].T
+            own = at[k][by].astype(np.int64)
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            own, sums = own[first], segment_sums(dr, by, first)
+            to_turn = np.take(base, own, axis=0).T @ sums
+            to_seen[own, : self.d] += sums @ turn[k, :, : self.d].T
             turn2[k] += (to_turn * to_turn).mean(1)
             turn[k, :, : self.d] -= 0.1 * RATE * to_turn / np.sqrt(turn2[k])[:, None]
         descend(seen, seen2, rows, to_seen)
+        descend(targets, targets2, touched, dq)
         descend(groups, groups2, on, dg)
 
     def logs(self, cells: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -272,7 +326,7 @@ class LogBilinear:
             s = r @ q.T
             mine = s[np.arange(len(own)), own]
             with np.errstate(over="ignore"):
-                total = np.exp(s, out=s).sum(1)
+                total = np.exp(s, out=s) @ np.ones(s.shape[1], np.float32)  # faster than sums of short rows
             if np.isfinite(total).all() and total.all():
                 return mine - np.log(total)
             s = r @ q.T
@@ -374,6 +428,7 @@ def trained(rows: DataFrame, counts: np.ndarray, tokens: int) -> LogBilinear:
 
         def learn(batches: Iterator[pa.RecordBatch], turn: int = turn, shared=shared) -> Iterator[pa.RecordBatch]:
             one_thread()
+            keep_heap()
             by: dict[int, list[dict]] = {}
             for r in (r for b in batches for r in b.to_pylist()):
                 by.setdefault(r["shard"], []).append(r)
@@ -450,6 +505,7 @@ def scores(docs: DataFrame) -> tuple[DataFrame, int]:
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        keep_heap()
         own = LogBilinear(counts)
         if model is not None:
             own.table = model.value

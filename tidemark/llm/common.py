@@ -58,6 +58,16 @@ def release() -> None:
         pass
 
 
+def keep_heap() -> None:
+    """Has this worker take its arrays of up to 32 MB from memory that it already holds: fresh pages for each array cost more than the sums in it. release() gives it back."""
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+        mallopt(-3, 32 << 20)  # M_MMAP_THRESHOLD
+        mallopt(-1, 128 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def one_thread() -> None:
     """Has matrix products of this worker use one thread: tasks share an executor's cores, and idle threads of the library would spin on them."""
     try:
