@@ -216,6 +216,7 @@ class LogBilinear:
         edges = np.append(0, np.cumsum(np.bincount(self.group[cells], minlength=self.groups))).tolist()
         return order, [(g, a, b) for g, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) if a < b]
 
+    @np.errstate(over="ignore")
     def step(self, cells: np.ndarray, contexts: np.ndarray, rng: np.random.Generator) -> None:
         """One batch: the data against sampled noise, for the groups and within each. Only rows of the batch and of the noise are touched."""
         seen, targets, groups, turn = self.parts(self.table)
@@ -236,22 +237,21 @@ class LogBilinear:
             return mine, first, segment_sums(data[:, None] * r, None, first)
 
         def weights(q, log_noise, times):
-            """What a tanh of half the logits is taken of (the contexts' last column is 1), each row's weight, and the rows times it."""
-            half = q * np.float32(0.5)
-            half[:, self.d] -= (log_noise + odds) * np.float32(0.5)
-            weight = (times * (RATIO / NOISE / 2)).astype(np.float32)[:, None]
-            return half, weight, q * weight
-
-        def from_noise(r, total, half, weight, weighted):
-            """(what the noise adds to the gradient of the context vectors, gradients of its rows); total: the sum of the context vectors."""
-            false = r @ half.T
-            np.tanh(false, out=false)
-            back = false @ weighted
-            back += weighted.sum(0)
+            """What gives the negative logits (the contexts' last column is 1), each row's weight, and the rows times it."""
+            negative = -q
+            negative[:, self.d] += log_noise + odds
+            weight = (times * (RATIO / NOISE)).astype(np.float32)[:, None]
+            return negative, weight, q * weight
+
+        def from_noise(r, negative, weight, weighted):
+            """(what the noise adds to the gradient of the context vectors, gradients of its rows)."""
+            false = r @ negative.T
+            np.exp(false, out=false)  # beyond float32 the probability is 0
+            false += 1
+            np.reciprocal(false, out=false)
             rows = false.T @ r
-            rows += total
             rows *= weight
-            return back, rows
+            return false @ weighted, rows
 
         def descend(rows, squares, at, gradient):
             total = squares[at] + np.einsum("ij,ij->i", gradient, gradient) / np.float32(gradient.shape[1])
@@ -273,12 +273,11 @@ class LogBilinear:
         group = self.group_of_row[row]
         rows, at = self.distinct(contexts)
         r = self.vectors(rows, at)
-        totals = np.add.reduceat(r, [a for _, a, _ in stretches])
         # the groups
         dr, first, sums = from_data(groups, self.log_groups, group)
         times = np.bincount(np.minimum(np.searchsorted(self.reach_groups, rng.random(NOISE) * self.reach_groups[-1], side="right"), self.groups - 1), minlength=self.groups)
         on = np.flatnonzero(times)
-        back, noise = from_noise(r, totals.sum(0), *weights(groups[on], self.log_groups[on], times[on]))
+        back, noise = from_noise(r, *weights(groups[on], self.log_groups[on], times[on]))
         dr += back
         on, dg = union(self.groups, group[first], sums, on, noise)
         # the targets of each group that has more than one
@@ -293,12 +292,12 @@ class LogBilinear:
         drawn = np.minimum(np.searchsorted(self.reach_targets, drawn + rng.random((len(which), NOISE)), side="right"), self.edges[drawn + 1] - 1)
         times = np.bincount(drawn.ravel(), minlength=self.n)
         sampled = np.flatnonzero(times)
-        half, weight, weighted = weights(np.take(targets, sampled, axis=0), self.log_targets[sampled], times[sampled])
+        negative, weight, weighted = weights(np.take(targets, sampled, axis=0), self.log_targets[sampled], times[sampled])
         noise = np.empty((len(sampled), self.d + 1), np.float32)
         for k in which:
             g, a, b = stretches[k]
             part = slice(*np.searchsorted(sampled, self.edges[g : g + 2]).tolist())
-            back, noise[part] = from_noise(r[a:b], totals[k], half[part], weight[part], weighted[part])
+            back, noise[part] = from_noise(r[a:b], negative[part], weight[part], weighted[part])
             dr[a:b] += back
         touched, dq = union(self.n, row[first], sums, sampled, noise)
         # the contexts and the matrices of their positions
