@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark import catalog
 from tidemark.functions import draws
@@ -144,3 +145,28 @@ def test_routines_of_an_episode_are_one_row(spark):
     assert {(r.episode, k): t for r in lists.collect() for k, t in enumerate(r.tasks)} == want and len(want) == 1200
     plan = catalog.queries()["routine_orders"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().split("== Physical Plan ==")[1].split("MapInArrow")
     assert len(plan) > 1 and "Exchange" not in plan[0]
+
+
+@pytest.mark.parametrize("ids, requests", [(40, 40), (12, 200), (200, 12), (400, 400)])
+def test_an_attempt_sees_enough_questions_of_an_id(spark, ids, requests):
+    """Whatever ids and requests are taken, the first question left of a cell is among those seen, and they are bounded."""
+    rng, each = random.Random(ids), 5
+    rows = {(e, f"q{rng.randrange(ids)}", rng.choice("cf"), rng.choice(["no", "yes"]), rng.choice([None, *map(str, range(requests))])) for e in ("e", "g") for _ in range(1_500)}
+    data = spark.createDataFrame([(1, *r, "d", "1", 3) for r in sorted(rows, key=str)], "batch long, episode string, id string, kind string, answer string, request string, domain string, event string, attempt int")
+    turned = routes.turns(data).withColumn("draw", routes.drawn("question", F.col("id")) % 50)
+    order = lambda q: (q["draw"], q["id"], q["request"] is not None, q["request"] or "")
+    whole, few = (sorted((r.asDict() for r in d.collect()), key=order) for d in (turned, routes.first_questions(turned, each, F.col("turn"))))
+    assert len(few) <= 2 * 2 * 2 * (2 * (each - 1) * each + 1 + each) and len(few) < len(whole) / 2
+    cells = {(q["episode"], q["kind"], q["answer"]) for q in whole}
+    assert len(cells) == 8
+    of = lambda rows, cell: [q for q in rows if (q["episode"], q["kind"], q["answer"]) == cell]
+    for cell in sorted(cells):
+        own, seen = of(whole, cell), of(few, cell)
+        for trial in range(120):
+            taken = rng.sample([q for q in (whole if trial % 2 else own[:30]) if q["episode"] == cell[0]], each - 1)
+            if trial % 3 == 0:  # each time what would be chosen next
+                taken = []
+                for _ in range(each - 1):
+                    taken.append(next(q for q in own if all(q["id"] != t["id"] and q["request"] != t["request"] for t in taken)))
+            left = [next((q for q in x if all(q["id"] != t["id"] and q["request"] != t["request"] for t in taken)), None) for x in (own, seen)]
+            assert left[0] == left[1]

@@ -142,3 +142,63 @@ def test_natural_batches_equal_a_loop(spark, wave):
     assert got == {b: (s, set(ids)) for b, (s, ids) in want.items()}
     with pytest.raises(ValueError, match="no balanced selection"):
         routes.natural_batches(pool.where("kind <> 'h'"), kinds, 6, attempts=4).count()
+
+
+def whole_attempt(pool, kinds, each, seed):
+    """The rule written plainly, where ids repeat: an episode takes an id and a request once."""
+    answers, totals, out = Counter(), Counter(), []
+    for turn, e in enumerate(sorted({q["episode"] for q in pool}, key=lambda e: (number(seed, "episode", e), e))):
+        taken = []
+        plan = [kinds[(i + 4 * turn) % len(kinds)] for i in range(each)]
+        for i in sorted(range(each), key=lambda i: (number(seed, e, "kind", i), i)):
+            free = [q for q in pool if q["episode"] == e and q["kind"] == plan[i] and not any(t["id"] == q["id"] or t["request"] == q["request"] for t in taken)]
+            free = [q for q in free if all(answers[q["kind"], tuple(q["options"]), q["answer"]] <= answers[q["kind"], tuple(q["options"]), o] for o in q["options"])]
+            if not free:
+                return None
+            rank = lambda q: (answers[q["kind"], tuple(q["options"]), q["answer"]], totals[q["kind"], q["answer"]], sum(t["event"] == q["event"] for t in taken), number(seed, "question", q["id"]), q["id"])
+            taken.append(min(free, key=lambda q: (*rank(q), q["request"], q["options"], q["answer"], q["event"])))
+            q = taken[-1]
+            answers[q["kind"], tuple(q["options"]), q["answer"]] += 1
+            totals[q["kind"], q["answer"]] += 1
+            out.append(q["id"])
+    return out
+
+
+POOL = "batch long, episode string, id string, kind string, options array<string>, answer string, event string, request string"
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_all_questions_of_an_id_are_candidates(spark, parts):
+    """Ids that several questions of an episode, and several episodes, share: none of them is left out, whatever the order of rows."""
+    rng = random.Random(11)
+    kinds, rows = ["c", "f", "h"], []
+    for batch in range(4):
+        for k in range(240):
+            options = [["no", "yes"], ["blue", "green", "red"]][k % 2]
+            rows.append({"batch": batch, "episode": f"e{k % 3}", "id": f"q{rng.randrange(25)}", "kind": rng.choice(kinds), "options": options, "answer": rng.choice(options), "event": f"{rng.randrange(3)}", "request": f"{rng.randrange(20)}"})
+    data = [tuple(r.values()) for r in rows]
+    rng.shuffle(data)
+    want = {b: next((s, ids) for s in range(64) if (ids := whole_attempt([r for r in rows if r["batch"] == b], kinds, 6, s)) is not None) for b in range(4)}
+    got = {}
+    for r in routes.natural_batches(spark.createDataFrame([*data, *data[:50]], POOL).repartition(parts), kinds, 6, attempts=64).collect():
+        got.setdefault(r.batch, (r.attempt, []))[1].append(r.id)
+    assert {b: (s, sorted(ids)) for b, (s, ids) in got.items()} == {b: (s, sorted(ids)) for b, (s, ids) in want.items()}
+
+
+def test_an_episode_without_kinds_is_not_left_out(spark):
+    rows = [(1, "a", f"q{k}", "c", ["no", "yes"], ["no", "yes"][k % 2], "1", f"{k}") for k in range(8)]
+    assert routes.natural_batches(spark.createDataFrame(rows, POOL), ["c"], 4).count() == 4
+    with pytest.raises(ValueError, match="batch 1 has no balanced selection"):
+        routes.natural_batches(spark.createDataFrame([*rows, (1, "b", "q", None, ["no", "yes"], "no", "1", "1")], POOL), ["c"], 4).count()
+
+
+def test_every_line_item_is_a_question(spark, monkeypatch):
+    """Order and line number repeat in the tables; different line items under them are different questions."""
+    from tidemark import catalog
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(routes, "natural_batches", lambda pool, kinds: pool)
+    ids = catalog.queries()["natural_batches"](spark, sf).select("id").distinct().count()
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    whole = lines.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct().count()
+    assert ids == whole > lines.select("l_orderkey", "l_linenumber").distinct().count()

@@ -217,32 +217,34 @@ def routines(tasks: DataFrame, seed: int) -> DataFrame:
 
 
 def natural_selection(pool: list[dict], kinds: list[str], each: int, *key) -> list[str] | None:
-    """One attempt at a batch: ids chosen, or None if an episode cannot be filled. A question's draw is its drawn number in this attempt.
+    """One attempt at a batch: ids chosen, or None if an episode cannot be filled. A question's draw is its id's drawn number in this attempt.
 
-    Episodes come in a drawn order, each with its kinds in a drawn order, turned by its place so that all kinds come to all places. A question may be taken if no answer of its options
-    was given less often; of those, the one whose answer was given least in its options and kind, whose event was used least, and then the smallest drawn number.
+    Episodes come in a drawn order, each with its kinds in a drawn order, turned by its place so that all kinds come to all places. An episode takes an id and a request once. A question may be taken if
+    no answer of its options was given less often; of those, the one whose answer was given least in its options and kind, whose event was used least, and then the smallest drawn number; of
+    questions with the same id the first by request, options, answer and event.
     """
     by: dict = {}
-    for q in pool:
+    for q in sorted(pool, key=lambda q: (q["draw"], q["id"], *[(q[c] is not None, q[c] or "") for c in ("request", "domain", "answer", "event")])):
         by.setdefault((q["episode"], q["kind"]), []).append(q)
     given, of_kind, out = Counter(), Counter(), []
     episodes = sorted({q["episode"] for q in pool}, key=lambda e: (drawn_here(*key, "episode", e), e))
     for place, episode in enumerate(episodes):
         turned = [kinds[(i + place * 4) % len(kinds)] for i in range(each)]
         order = sorted(range(each), key=lambda i: (drawn_here(*key, episode, "kind", i), i))
-        asked, events = set(), Counter()
+        used, asked, events = set(), set(), Counter()
         for i in order:
             kind = turned[i]
             found = []
             for q in by.get((episode, kind), ()):
-                if q["request"] in asked:  # as of any question used
+                if q["id"] in used or q["request"] in asked:
                     continue
                 times = given[kind, q["domain"], q["answer"]]
                 if times <= min(given[kind, q["domain"], a] for a in q["options"]):
-                    found.append((times, of_kind[kind, q["answer"]], events[q["event"]], q["draw"], q["id"], q))
+                    found.append((times, of_kind[kind, q["answer"]], events[q["event"]], len(found), q))
             if not found:
                 return None
             *_, own = min(found, key=lambda x: x[:-1])
+            used.add(own["id"])
             asked.add(own["request"])
             events[own["event"]] += 1
             given[kind, own["domain"], own["answer"]] += 1
@@ -254,30 +256,44 @@ def natural_selection(pool: list[dict], kinds: list[str], each: int, *key) -> li
 CELL = ["episode", "kind", "domain", "answer", "event"]
 
 
-def first_questions(questions: DataFrame, each: int) -> DataFrame:
-    """The questions (batch, attempt, *CELL, request, options, draw, id) that an attempt at a batch can choose: of each cell the first by (draw, id) of the `each` requests that come first.
+def turns(questions: DataFrame) -> DataFrame:
+    """Different questions (batch, id, *CELL, request, more) with their turn: 0 if no other question of the episode has the id, else the place, from 1, by request among those of the cell with the id."""
+    own = W.partitionBy("batch", "episode", "id")
+    placed = questions.withColumn("turn", F.row_number().over(W.partitionBy("batch", "episode", "id", *CELL[1:]).orderBy("request")))
+    return placed.withColumn("turn", F.when(F.count("*").over(own) > 1, F.col("turn")).otherwise(0))
 
-    An episode asks for `each` questions, so at most each - 1 requests are taken when it chooses, and in a cell the first question of a request not taken wins.
+
+def first_questions(questions: DataFrame, each: int, turn: Column | int = 0) -> DataFrame:
+    """Those of the questions (batch, attempt, *CELL, request, draw, id, more) that an attempt at a batch can choose; turn: as of `turns`.
+
+    An episode asks for `each` questions, so at most each - 1 ids and as many requests are taken when it chooses, and in a cell the first question by (draw, id, request) with neither taken wins. All
+    before it have one of them taken. If no other question has their ids, their requests are: it is the first of its request, and fewer than `each` such are before it. If others do, it is among the
+    first `each` of its request and of its id; so a taken id or request holds `each` questions before it at most, and one of those that come first both of their id and of their request.
     """
-    cell = ["batch", "attempt", *CELL]
-    firsts = questions.groupBy(*cell, "request").agg(F.min(F.struct("draw", "id")).alias("q"), F.first("options").alias("options"))
-    return firsts.withColumn("_r", F.row_number().over(W.partitionBy(*cell).orderBy("q"))).where(F.col("_r") <= each).select(*cell, "request", "options", "q.*")
+    cell, taken = ["batch", "attempt", *CELL, "_several"], each - 1
+    rows = questions.withColumn("_turn", F.lit(turn)).withColumn("_several", F.col("_turn") > 0)
+    rows = rows.withColumn("_q", F.row_number().over(W.partitionBy(*cell, "request").orderBy("draw", "id"))).where((F.col("_q") <= each) & (F.col("_turn") <= each) & (F.col("_several") | (F.col("_q") == 1)))
+    order = W.partitionBy(*cell).orderBy("draw", "id", "request").rowsBetween(W.unboundedPreceding, 0)
+    first = ((F.col("_q") == 1) & (F.col("_turn") <= 1)).cast("int")
+    rows = rows.withColumn("_first", first).withColumns({"_r": F.row_number().over(order), "_f": F.sum("_first").over(order)})
+    rows = rows.where((F.col("_r") <= 2 * taken * each + 1) & (F.col("_f") - F.col("_first") <= F.when(F.col("_several"), 2 * taken).otherwise(taken)))
+    return rows.drop("_turn", "_several", "_q", "_first", "_r", "_f")
 
 
 def natural_batches(pool: DataFrame, kinds: list[str], each: int = 10, seed: int = 0, attempts: int = 256, wave: int = 16) -> DataFrame:
     """(batch, attempt, id): the selection of each batch's first feasible attempt.
 
-    pool: batch, episode, id, kind, options, answer, event, request. Questions count only if each of their options is the answer of some question of the same kind and options in the batch. A wave of
-    attempts runs in parallel for all batches without a selection, and the smallest feasible number wins, so the result does not depend on the waves, which double from
-    one attempt to `wave`. An attempt at a batch sees `first_questions`: its size follows the batch's episodes, kinds, answers and events, not its questions. Batches without any
-    selection are an error that names one.
+    pool: batch, episode, id, kind, options, answer, event, request. Questions count only if each of their options is the answer of some question of the same kind and options in the batch. All different
+    questions of an id are candidates, in each of its episodes; rows without batch, episode or id are none. A wave of attempts runs in parallel for all batches without a selection, and the smallest
+    feasible number wins, so the result does not depend on the waves, which double from one attempt to `wave`. An attempt at a batch sees `first_questions`: its size follows the
+    batch's episodes, kinds, answers and events, not its questions. Batches without any selection are an error that names one, and so is one with an episode none of whose questions counts.
     """
-    own = pool.where("batch is not null and episode is not null and id is not null").dropDuplicates(["batch", "id"]).withColumn("options", F.array_sort(F.array_distinct("options"))).withColumn("domain", F.to_json("options"))
+    own = pool.where("batch is not null and episode is not null and id is not null").withColumn("options", F.array_sort(F.array_distinct("options"))).withColumn("domain", F.to_json(F.col("options").cast("array<string>")))
     given = own.groupBy("batch", "kind", "domain").agg(F.array_sort(F.collect_set("answer")).alias("_given"))
-    own = own.join(given, ["batch", "kind", "domain"]).withColumn("_ok", F.col("_given") == F.col("options"))
-    fields = [F.col(c).cast("string").alias(c) for c in ("episode", "id", "kind", "domain", "answer", "event", "request")]
-    own = checkpointed(own.select("batch", *fields, "options", "_ok"))
-    whole = own.groupBy("batch", "episode").agg(F.max("_ok").alias("ok")).groupBy("batch").agg(F.min(F.coalesce("ok", F.lit(False))).alias("ok"))  # an episode without any question cannot be filled
+    fields = [F.col(c).cast("string").alias(c) for c in (*CELL, "request", "id")]
+    own = own.join(given, ["batch", "kind", "domain"], "left").select("batch", *fields, F.coalesce(F.col("_given") == F.col("options"), F.lit(False)).alias("_ok"))
+    own = checkpointed(turns(own.repartition("batch", "episode", "id").dropDuplicates()))
+    whole = own.groupBy("batch", "episode").agg(F.max("_ok").alias("ok")).groupBy("batch").agg(F.min("ok").alias("ok"))  # an episode without any question cannot be filled
     left, found, low = checkpointed(whole), None, 0
     kind, text = pool.schema["id"].dataType, T.ArrayType(T.StringType())
     schema = T.StructType([pool.schema["batch"], T.StructField("attempt", T.IntegerType()), T.StructField("ids", text)])
@@ -291,7 +307,7 @@ def natural_batches(pool: DataFrame, kinds: list[str], each: int = 10, seed: int
     while stuck is None and low < attempts and not left.isEmpty():
         many = min(max(low, 1), wave, attempts - low)
         rows = own.where("_ok").join(left, "batch", "left_semi").withColumn("attempt", F.explode(F.sequence(F.lit(low), F.lit(low + many - 1)))).withColumn("draw", drawn(F.col("attempt") + seed, "question", F.col("id")))
-        tried = first_questions(rows, each).groupBy("batch", "attempt").applyInArrow(run, schema).where("ids is not null")
+        tried = first_questions(rows, each, F.col("turn")).withColumn("options", F.from_json("domain", text)).groupBy("batch", "attempt").applyInArrow(run, schema).where("ids is not null")
         tried = checkpointed(tried.groupBy("batch").agg(F.min_by("ids", "attempt").alias("ids"), F.min("attempt").alias("attempt")))
         found = tried if found is None else found.unionByName(tried)
         left, low = checkpointed(left.join(tried, "batch", "left_anti")), low + many

@@ -95,10 +95,12 @@ def routine_orders(spark, sf):
 
 @query()
 def natural_batches(spark, sf):
-    """Ten questions an episode, answers in balance, by up to 256 drawn attempts a batch: each month of orders is a batch, its customers' nations are episodes, its line items questions."""
+    """Ten questions an episode, answers in balance, by up to 256 drawn attempts a batch: each year of orders is a batch, its customers' nations in five groups are episodes, its line items questions.
+
+    Order and line number are no key of the line items: part and supplier belong to a question's id."""
     l, o, c = (V.table(spark, sf, t) for t in ("lineitem", "orders", "customer"))
     rows = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
-    number = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    number = F.concat_ws("-", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("l_partkey") % 4 + 1).cast("int"))
     options = F.array(F.lit("a"), F.lit("b"), F.lit("c"))
     pool = rows.select(F.year(F.col("o_orderdate").cast("timestamp")).alias("batch"), (F.col("c_nationkey") % 5).alias("episode"), number.alias("id"), kind.alias("kind"), options.alias("options"), options[(F.col("l_suppkey") % 3).cast("int")].alias("answer"), (F.col("l_orderkey") % 50).alias("event"), F.col("l_partkey").alias("request"))
