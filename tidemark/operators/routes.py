@@ -257,10 +257,11 @@ CELL = ["episode", "kind", "domain", "answer", "event"]
 
 
 def turns(questions: DataFrame) -> DataFrame:
-    """Different questions (batch, id, *CELL, request, more) with their turn: 0 if no other question of the episode has the id, else the place, from 1, by request among those of the cell with the id."""
-    own = W.partitionBy("batch", "episode", "id")
-    placed = questions.withColumn("turn", F.row_number().over(W.partitionBy("batch", "episode", "id", *CELL[1:]).orderBy("request")))
-    return placed.withColumn("turn", F.when(F.count("*").over(own) > 1, F.col("turn")).otherwise(0))
+    """The different questions (batch, id, *CELL, request) with their turn: 0 if no other question of the episode has the id, else the place, from 1, by request among those of the cell with the id."""
+    own = ["batch", "episode", "id"]
+    order = W.partitionBy(*own, *CELL[1:]).orderBy("request")
+    rows = questions.repartition(*own).withColumns({"turn": F.dense_rank().over(order), "_rank": F.rank().over(order), "_row": F.row_number().over(order)}).where("_rank = _row").drop("_rank", "_row")
+    return rows.withColumn("turn", F.when(F.count("*").over(W.partitionBy(*own)) > 1, F.col("turn")).otherwise(0))
 
 
 def first_questions(questions: DataFrame, each: int, turn: Column | int = 0) -> DataFrame:
@@ -288,14 +289,16 @@ def natural_batches(pool: DataFrame, kinds: list[str], each: int = 10, seed: int
     feasible number wins, so the result does not depend on the waves, which double from one attempt to `wave`. An attempt at a batch sees `first_questions`: its size follows the
     batch's episodes, kinds, answers and events, not its questions. Batches without any selection are an error that names one, and so is one with an episode none of whose questions counts.
     """
-    own = pool.where("batch is not null and episode is not null and id is not null").withColumn("options", F.array_sort(F.array_distinct("options"))).withColumn("domain", F.to_json(F.col("options").cast("array<string>")))
+    kind, text = pool.schema["id"].dataType, T.ArrayType(T.StringType())
+    domain = F.to_json(F.array_sort(F.array_distinct("options")).cast(text))
+    own = pool.where("batch is not null and episode is not null and id is not null").withColumn("domain", domain)
+    own = checkpointed(turns(own.select("batch", *[F.col(c).cast("string").alias(c) for c in (*CELL, "request", "id")])))
     given = own.groupBy("batch", "kind", "domain").agg(F.array_sort(F.collect_set("answer")).alias("_given"))
-    fields = [F.col(c).cast("string").alias(c) for c in (*CELL, "request", "id")]
-    own = own.join(given, ["batch", "kind", "domain"], "left").select("batch", *fields, F.coalesce(F.col("_given") == F.col("options"), F.lit(False)).alias("_ok"))
-    own = checkpointed(turns(own.repartition("batch", "episode", "id").dropDuplicates()))
-    whole = own.groupBy("batch", "episode").agg(F.max("_ok").alias("ok")).groupBy("batch").agg(F.min("ok").alias("ok"))  # an episode without any question cannot be filled
+    given = checkpointed(given.select("batch", "kind", "domain", (F.col("_given") == F.array_sort(F.from_json("domain", text))).alias("_ok")))
+    own = own.join(given, ["batch", "kind", "domain"], "left")
+    ok = F.max(F.coalesce("_ok", F.lit(False))).alias("ok")
+    whole = own.groupBy("batch", "episode").agg(ok).groupBy("batch").agg(F.min("ok").alias("ok"))  # an episode without any question cannot be filled
     left, found, low = checkpointed(whole), None, 0
-    kind, text = pool.schema["id"].dataType, T.ArrayType(T.StringType())
     schema = T.StructType([pool.schema["batch"], T.StructField("attempt", T.IntegerType()), T.StructField("ids", text)])
 
     def run(key: tuple[pa.Scalar, ...], questions: pa.Table) -> pa.Table:
